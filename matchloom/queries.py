@@ -1,6 +1,59 @@
-"""All queries of the match jobs, and their SQL."""
+"""All queries of the match jobs, and their SQL. Each takes (spark, sf_dir) and reads whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from matchloom import oracles
+from matchloom.operators import awards, players
+from matchloom.sources.mapping import Tables, load
+
+FIRST_DAY, LAST_DAY = "2024-01-03", "2024-01-20"
+
+
+def _usable(t: Tables) -> DataFrame:
+    return players.usable_knocks(t.events, t.match_players)
+
+
+def _per_match(t: Tables) -> DataFrame:
+    return players.player_match(t.events, t.match_players, t.players, t.matches, t.scoreboard)
+
+
+def _matrix(t: Tables) -> DataFrame:
+    return players.knock_matrix(_usable(t))
+
+
+ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
+    "knock_outcomes": lambda t: players.knock_outcomes(t.events),
+    "elim_credit": lambda t: players.elim_credit(t.events),
+    "player_match": _per_match,
+    "player_career": lambda t: players.player_career(_per_match(t)),
+    "range_player_totals": lambda t: players.range_player_totals(_per_match(t), FIRST_DAY, LAST_DAY),
+    "board_or_rounds": lambda t: players.board_values(t.scoreboard),
+    "player_check": lambda t: players.player_check(_per_match(t)),
+    "usable_knocks": lambda t: _usable(t).select("event_id", "match_id", "killer_id", "victim_id", "killer_team", "victim_team"),
+    "knock_matrix": _matrix,
+    "pair_reverse": lambda t: players.pair_reverse(_matrix(t)),
+    "head_to_head": lambda t: players.head_to_head(_matrix(t), t.match_players),
+    "opponent_rankings": lambda t: players.opponent_rankings(_matrix(t), t.players),
+    "hidden_death_doubt": lambda t: players.hidden_death_doubt(t.events, players.knock_outcomes(t.events), t.match_players),
+    "player_knock_lines": lambda t: players.player_knock_lines(t.events, t.match_players),
+    "rivals": lambda t: awards.rivals(_usable(t)),
+    "dominating": lambda t: awards.dominating(_usable(t)),
+    "throwable_leaders": lambda t: awards.throwable_leaders(_usable(t)),
+    "weapon_class_counts": lambda t: awards.weapon_class_counts(_usable(t)),
+    "weapon_class_leaders": lambda t: awards.weapon_class_leaders(_usable(t)),
+    "clutch": lambda t: awards.clutch(awards.clutch_moments(t.events, _usable(t), t.match_players, t.matches)),
+    "knock_basis": lambda t: awards.knock_basis(t.events, _usable(t), t.match_players, t.scoreboard),
+    "role_order": lambda t: awards.role_order(awards.all_roles(t.events, _usable(t), t.match_players, t.matches), t.match_players, t.players),
+}
+
+
+def _on_folder(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: job(load(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in ON_TABLES.items()}
+ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()}
