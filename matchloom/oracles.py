@@ -151,3 +151,78 @@ SELECTS: dict[str, str] = {
           list_position(['Dominating', 'Rival', 'Grenadier', 'Molotov specialist', 'Driver', 'Shotgun specialist', 'AR player', 'SMG player', 'LMG player', 'Sniper player', 'Clutch'], role)) AS place,
         rc.player_id, role, n FROM rc JOIN mp ON mp.match_id = rc.match_id AND mp.player_id = rc.player_id JOIN pl ON pl.player_id = rc.player_id""",
 }
+
+#: The inputs of the dimension jobs.
+BASE_DIMS = """,
+nm AS (SELECT ign AS name FROM pl UNION ALL SELECT 'playor_' || player_id FROM pl WHERE player_id % 3 = 0 UNION ALL SELECT 'PLAYER _' || player_id FROM pl WHERE player_id % 5 = 1
+       UNION ALL SELECT 'ghost_' || player_id FROM pl WHERE player_id % 7 = 2),
+rt AS (SELECT 'playor_' || player_id AS name FROM pl WHERE player_id % 6 = 0 UNION ALL SELECT 'new_' || player_id FROM pl WHERE player_id % 10 = 3),
+sb AS (SELECT *, 1 AS batch FROM bo UNION ALL SELECT match_id, round_no, player_id, stat_name, value + 1, 2 FROM bo WHERE match_id % 3 = 0 AND player_id % 2 = 0),
+mb0 AS (SELECT match_id, source_file, recorded_at, CASE WHEN match_id % 3 <> 0 THEN status END AS status FROM ma WHERE match_id % 2 = 0),
+mb AS (SELECT * FROM mb0 UNION ALL SELECT match_id + 1000000, source_file, recorded_at, status FROM mb0 WHERE match_id % 10 = 0)
+"""
+_NORM = "translate(lower(regexp_replace({0}, '\\s+', '', 'g')), 'ø0', 'oo')"
+_RESOLVE = f"""(SELECT name, coalesce((SELECT min(player_id) FROM pl WHERE ign = name), (SELECT min(player_id) FROM al WHERE alias = name), (SELECT min(player_id) FROM pl WHERE {_NORM.format('ign')} = {_NORM.format('name')})) AS player_id,
+    CASE WHEN name IN (SELECT ign FROM pl) THEN 'name' WHEN name IN (SELECT alias FROM al) THEN 'alias' WHEN {_NORM.format('name')} IN (SELECT {_NORM.format('ign')} FROM pl) THEN 'norm' ELSE 'new' END AS tier FROM (SELECT DISTINCT name FROM {{0}}))"""
+_CHECK = """CASE WHEN pm.player_id IS NULL THEN 'on the board, but not in this match''s player list' WHEN NOT has_match_board THEN '' WHEN b.player_id IS NULL THEN 'not on the board'
+    WHEN u = '' THEN CASE WHEN d = '' THEN 'OK' ELSE d END WHEN d = '' THEN u || ' unreadable on the board' ELSE d || ' (' || u || ' unreadable)' END"""
+
+DIM_SELECTS: dict[str, str] = {
+    "known_names": "SELECT ign AS name FROM pl UNION SELECT alias FROM al",
+    "players_list": "SELECT player_id, ign, nickname, coalesce((SELECT string_agg(alias, ', ' ORDER BY alias) FROM al WHERE al.player_id = pl.player_id), '') AS aliases FROM pl",
+    "resolve_player": f"SELECT * FROM {_RESOLVE.format('nm')}",
+    "canonical_name": "SELECT DISTINCT name, coalesce((SELECT ign FROM al JOIN pl USING (player_id) WHERE alias = name), name) AS canonical FROM nm",
+    "roster_expand": f""", ids AS (SELECT player_id FROM {_RESOLVE.format('rt')} WHERE player_id IS NOT NULL)
+        SELECT name FROM rt UNION SELECT ign FROM pl WHERE player_id IN (SELECT player_id FROM ids) UNION SELECT alias FROM al WHERE player_id IN (SELECT player_id FROM ids)""",
+    "rename_merge_events": "SELECT event_id, CASE WHEN killer_id % 15 = 14 THEN killer_id - 1 ELSE killer_id END AS killer_id, CASE WHEN victim_id % 15 = 14 THEN victim_id - 1 ELSE victim_id END AS victim_id FROM ev",
+    "rename_merge_boards": """SELECT match_id, round_no, CASE WHEN player_id % 15 = 14 THEN player_id - 1 ELSE player_id END AS player_id, stat_name, value FROM bo
+        QUALIFY row_number() OVER (PARTITION BY match_id, round_no, stat_name, CASE WHEN player_id % 15 = 14 THEN player_id - 1 ELSE player_id END ORDER BY player_id) = 1""",
+    "rename_merge_players": """SELECT match_id, CASE WHEN player_id % 15 = 14 THEN player_id - 1 ELSE player_id END AS player_id, team, slot FROM mp
+        QUALIFY row_number() OVER (PARTITION BY match_id, CASE WHEN player_id % 15 = 14 THEN player_id - 1 ELSE player_id END ORDER BY player_id) = 1""",
+    "delete_match": "SELECT event_id, match_id FROM ev WHERE match_id NOT IN (SELECT match_id FROM ma WHERE match_id % 5 = 0)",
+    "drop_old_pipeline": "SELECT event_id, match_id FROM ev WHERE match_id NOT IN (SELECT match_id FROM ma WHERE pipeline_version LIKE '0.1%')",
+    "prune_players": """, g AS (SELECT match_id FROM ma WHERE match_id % 1000 % 3 = 0)
+        SELECT player_id, ign, nickname FROM pl WHERE player_id IN (SELECT killer_id FROM ev WHERE match_id NOT IN (SELECT * FROM g)) OR player_id IN (SELECT victim_id FROM ev WHERE match_id NOT IN (SELECT * FROM g))
+        OR player_id IN (SELECT player_id FROM bo WHERE match_id NOT IN (SELECT * FROM g)) OR player_id IN (SELECT player_id FROM mp WHERE match_id NOT IN (SELECT * FROM g)) OR ign IN (SELECT name FROM rt) OR player_id % 25 = 0""",
+    "apply_corrections": """SELECT event_id, CASE WHEN event_id % 100 = 0 THEN match_id % 1000 * 15 ELSE killer_id END AS killer_id, victim_id, CASE WHEN event_id % 100 = 0 THEN 'kill' ELSE event_type END AS event_type,
+        CASE WHEN event_id % 100 = 0 THEN weapon WHEN event_id % 50 = 0 THEN 'AKM' ELSE weapon END AS weapon, CASE WHEN event_id % 50 = 0 THEN 1 ELSE reviewed END AS reviewed FROM ev""",
+    "backfill_victim_team": "SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN victim_team END, mp.team) AS victim_team FROM ev LEFT JOIN mp ON mp.match_id = ev.match_id AND mp.player_id = ev.victim_id",
+    "ingest_matches": """SELECT match_id, source_file, recorded_at, coalesce(status, CASE WHEN match_id IN (SELECT match_id FROM ev WHERE flag IS NOT NULL) THEN 'needs_review' ELSE 'processed' END) AS status FROM mb
+        WHERE (source_file, recorded_at) NOT IN (SELECT (source_file, recorded_at) FROM ma WHERE match_id % 4 = 0) QUALIFY row_number() OVER (PARTITION BY source_file, recorded_at ORDER BY match_id) = 1""",
+    "replace_match": """SELECT match_id, source_file, recorded_at, status FROM ma WHERE match_id % 4 = 0 AND (source_file, recorded_at) NOT IN (SELECT (source_file, recorded_at) FROM mb)
+        UNION ALL SELECT match_id, source_file, recorded_at, status FROM mb""",
+    "upsert_stats": """SELECT match_id, round_no, player_id, stat_name, value FROM sb WHERE round_no IS NOT NULL OR batch = (SELECT max(batch) FROM sb z WHERE z.match_id = sb.match_id AND z.round_no IS NULL)
+        QUALIFY row_number() OVER (PARTITION BY match_id, round_no, player_id, stat_name ORDER BY batch DESC) = 1""",
+    "upsert_match_players": "SELECT match_id, player_id, CASE WHEN player_id % 7 <> 0 THEN team WHEN team = 'blue' THEN 'red' ELSE 'blue' END AS team, slot FROM mp",
+    "recover_interrupted": "SELECT match_id, CASE WHEN status = 'live' THEN 'interrupted' ELSE status END AS status FROM ma",
+    "v_events": """SELECT ev.event_id, ev.match_id, recorded_at, round_no, true_ms, feed_ms, round((feed_ms - true_ms) / 1000.0, 2) AS feed_delay_s, event_type, k.ign AS killer, v.ign AS victim, weapon, victim_team, confidence, flag, reviewed
+        FROM ev JOIN ma USING (match_id) LEFT JOIN pl k ON k.player_id = killer_id LEFT JOIN pl v ON v.player_id = victim_id""",
+    "match_counts": f"""SELECT match_id, count(*) FILTER ({OUT}) AS eliminations, count(*) FILTER ({OUT} AND killer_id IS NOT NULL AND victim_id IS NOT NULL AND flag IS NULL) AS named, count(*) FILTER (flag = 'NO_FEED_ROW') AS no_feed_row,
+        count(*) FILTER (flag = 'NO_DROP') AS no_drop, count(*) FILTER (event_type = 'knock') AS knocks, count(*) FILTER (flag IS NOT NULL AND reviewed = 0) AS to_review,
+        (SELECT count(*) FROM ro WHERE ro.match_id = ev.match_id) AS rounds, (SELECT count(DISTINCT player_id) FROM bo WHERE bo.match_id = ev.match_id AND bo.round_no IS NULL) AS board_players,
+        (SELECT count(*) FROM bo WHERE bo.match_id = ev.match_id AND bo.round_no IS NULL AND value IS NULL) AS blank_cells FROM ev GROUP BY match_id""",
+    "match_list": f"""SELECT match_id, recorded_at, source_file, status, (SELECT count(*) FROM ev WHERE ev.match_id = ma.match_id AND {OUT}) AS eliminations,
+        (SELECT count(*) FROM ev WHERE ev.match_id = ma.match_id AND flag IS NOT NULL AND reviewed = 0) AS to_review, (SELECT count(*) FROM mp WHERE mp.match_id = ma.match_id) AS players FROM ma""",
+    "match_list_filter": """SELECT match_id, recorded_at FROM ma WHERE substr(recorded_at, 1, 10) BETWEEN '2024-01-03' AND '2024-01-20'
+        AND match_id IN (SELECT match_id FROM mp JOIN pl USING (player_id) WHERE lower(ign) LIKE '%r\\_2%' ESCAPE '\\' OR lower(nickname) LIKE '%r\\_2%' ESCAPE '\\')""",
+    "to_review": "SELECT event_id FROM ev WHERE flag IS NOT NULL AND reviewed = 0",
+    "board_wide": """SELECT match_id, player_id, max(value) FILTER (stat_name = 'eliminations') AS eliminations, CAST(NULL AS DOUBLE) AS assists, max(value) FILTER (stat_name = 'damage_dealt') AS damage_dealt, CAST(NULL AS DOUBLE) AS damage_taken,
+        max(value) FILTER (stat_name = 'knock_outs') AS knock_outs FROM bo WHERE round_no IS NULL GROUP BY match_id, player_id""",
+    "board_vs_feed": f""", b AS (SELECT match_id, player_id, max(value) FILTER (stat_name = 'eliminations') AS be, max(value) FILTER (stat_name = 'knock_outs') AS bk FROM bo WHERE round_no IS NULL GROUP BY match_id, player_id)
+        SELECT coalesce(pm.match_id, b.match_id) AS match_id, coalesce(pm.player_id, b.player_id) AS player_id, be, bk, eliminations, knocks, {_CHECK} AS "check"
+        FROM pm FULL JOIN b ON pm.match_id = b.match_id AND pm.player_id = b.player_id,
+        LATERAL (SELECT concat_ws('; ', CASE WHEN CAST(be AS BIGINT) <> eliminations THEN 'elims ' || eliminations || ' vs board ' || CAST(be AS BIGINT) END, CASE WHEN CAST(bk AS BIGINT) <> knocks THEN 'knocks ' || knocks || ' vs board ' || CAST(bk AS BIGINT) END) AS d,
+                 concat_ws(' and ', CASE WHEN be IS NULL THEN 'Eliminations' END, CASE WHEN bk IS NULL THEN 'Knock outs' END) AS u)""",
+    "matches_newest_first": "SELECT match_id, recorded_at, row_number() OVER (ORDER BY recorded_at DESC, match_id) AS place FROM ma",
+    "match_timeline": "SELECT match_id, event_id, row_number() OVER (PARTITION BY match_id ORDER BY true_ms, feed_ms, event_id) AS place FROM ev",
+    "scoreboard_order": "SELECT match_id, round_no, player_id, stat_name, row_number() OVER (PARTITION BY match_id ORDER BY round_no NULLS FIRST, 'player_' || player_id, stat_name) AS place FROM bo",
+    "rounds_order": "SELECT match_id, round_no, row_number() OVER (PARTITION BY match_id ORDER BY round_no) AS place FROM ro",
+    "roster_by_team": "SELECT match_id, player_id, row_number() OVER (PARTITION BY match_id ORDER BY team, eliminations DESC, ign) AS place FROM pm",
+    "round_summary": "SELECT match_id, round_no, start_ms, end_ms, blue_score, red_score, CASE WHEN blue_score > red_score THEN 'blue' WHEN red_score > blue_score THEN 'red' END AS leader FROM ro",
+    "round_reconcile": f"""SELECT coalesce(e.match_id, ro.match_id) AS match_id, coalesce(e.round_no, ro.round_no) AS round_no, coalesce(n, 0) AS counted, coalesce(blue_score + red_score, 0) AS deaths, coalesce(n, 0) - coalesce(blue_score + red_score, 0) AS difference
+        FROM (SELECT match_id, round_no, count(*) AS n FROM ev WHERE {OUT} AND round_no IS NOT NULL GROUP BY ALL) e FULL JOIN ro ON ro.match_id = e.match_id AND ro.round_no = e.round_no""",
+    "run_notes": """SELECT match_id, string_agg(note, '; ' ORDER BY note) AS notes FROM (SELECT match_id, count(*) || ' rows are flagged ' || flag AS note FROM ev WHERE flag IS NOT NULL GROUP BY match_id, flag) GROUP BY match_id""",
+    "board_progress": "SELECT mp.match_id, count(*) AS expected, count(b.player_id) AS read, count(*) = count(b.player_id) AS complete FROM mp LEFT JOIN (SELECT DISTINCT match_id, player_id FROM bo WHERE round_no IS NULL) b ON b.match_id = mp.match_id AND b.player_id = mp.player_id GROUP BY mp.match_id",
+    "round_for_event": """SELECT event_id, (SELECT min(round_no) FROM ro WHERE ro.match_id = ev.match_id AND ro.start_ms <= ev.feed_ms AND ev.feed_ms <= ro.end_ms + 6000) AS found_round FROM ev""",
+    "round_asof": """SELECT event_id, coalesce((SELECT max(round_no) FROM ro WHERE ro.match_id = ev.match_id AND ro.start_ms <= ev.feed_ms), 1) AS found_round FROM ev""",
+}

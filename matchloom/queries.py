@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchloom import oracles
-from matchloom.operators import awards, players
+from matchloom.operators import awards, dims, players, rounds
+from matchloom.sources import dim_inputs
 from matchloom.sources.mapping import Tables, load
 
 FIRST_DAY, LAST_DAY = "2024-01-03", "2024-01-20"
@@ -25,6 +27,13 @@ def _matrix(t: Tables) -> DataFrame:
     return players.knock_matrix(_usable(t))
 
 
+def _pruned(t: Tables) -> DataFrame:
+    gone = t.matches.filter("match_id % 1000 % 3 = 0")
+    events, board, members = dims.delete_matches(gone, t.events, t.scoreboard, t.match_players)
+    keep = dim_inputs.roster(t).union(t.players.filter("player_id % 25 = 0").select("ign"))
+    return dims.prune_players(t.players, events, board, members, keep)
+
+
 ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "knock_outcomes": lambda t: players.knock_outcomes(t.events),
     "elim_credit": lambda t: players.elim_credit(t.events),
@@ -47,6 +56,42 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "weapon_class_leaders": lambda t: awards.weapon_class_leaders(_usable(t)),
     "clutch": lambda t: awards.clutch(awards.clutch_moments(t.events, _usable(t), t.match_players, t.matches)),
     "knock_basis": lambda t: awards.knock_basis(t.events, _usable(t), t.match_players, t.scoreboard),
+    "known_names": lambda t: dims.known_names(t.players, t.aliases),
+    "players_list": lambda t: dims.players_list(t.players, t.aliases),
+    "resolve_player": lambda t: dims.resolve_player(dim_inputs.readings(t), t.players, t.aliases),
+    "canonical_name": lambda t: dims.canonical_name(dim_inputs.readings(t), t.players, t.aliases),
+    "roster_expand": lambda t: dims.roster_expand(dim_inputs.roster(t), t.players, t.aliases),
+    "rename_merge_events": lambda t: dims.rename_merge(dim_inputs.renames(t), t.events, t.scoreboard, t.match_players)[0].select("event_id", "killer_id", "victim_id"),
+    "rename_merge_boards": lambda t: dims.rename_merge(dim_inputs.renames(t), t.events, t.scoreboard, t.match_players)[1],
+    "rename_merge_players": lambda t: dims.rename_merge(dim_inputs.renames(t), t.events, t.scoreboard, t.match_players)[2],
+    "delete_match": lambda t: dims.delete_matches(t.matches.filter("match_id % 5 = 0"), t.events)[0].select("event_id", "match_id"),
+    "drop_old_pipeline": lambda t: dims.delete_matches(dims.old_pipeline(t.matches), t.events)[0].select("event_id", "match_id"),
+    "prune_players": _pruned,
+    "apply_corrections": lambda t: dims.apply_corrections(t.events, dim_inputs.corrections(t)).select("event_id", "killer_id", "victim_id", "event_type", "weapon", "reviewed"),
+    "backfill_victim_team": lambda t: dims.backfill_victim_team(t.events.withColumn("victim_team", F.expr("case when event_id % 3 <> 0 then victim_team end")), t.match_players).select("event_id", "victim_team"),
+    "ingest_matches": lambda t: dims.ingest_matches(dim_inputs.match_batch(t), dim_inputs.match_history(t), t.events),
+    "replace_match": lambda t: dims.replace_match(dim_inputs.match_batch(t), dim_inputs.match_history(t)),
+    "upsert_stats": lambda t: dims.upsert_stats(dim_inputs.stat_batches(t)),
+    "upsert_match_players": lambda t: dims.upsert_match_players(dim_inputs.player_batches(t)),
+    "recover_interrupted": lambda t: dims.recover_interrupted(t.matches).select("match_id", "status"),
+    "v_events": lambda t: dims.v_events(t.events, t.matches, t.players),
+    "match_counts": lambda t: dims.match_counts(t.events, t.rounds, t.scoreboard),
+    "match_list": lambda t: dims.match_list(t.matches, t.events, t.match_players),
+    "match_list_filter": lambda t: dims.match_list_filter(t.matches, t.match_players, t.players, FIRST_DAY, LAST_DAY, "R_2"),
+    "to_review": lambda t: dims.to_review(t.events).select("event_id"),
+    "board_wide": lambda t: dims.board_wide(t.scoreboard),
+    "board_vs_feed": lambda t: dims.board_vs_feed(_per_match(t), t.scoreboard),
+    "matches_newest_first": lambda t: dims.in_order(t.matches.select("match_id", "recorded_at"), [F.desc("recorded_at"), "match_id"]),
+    "match_timeline": lambda t: dims.in_order(t.events, ["true_ms", "feed_ms", "event_id"], within=("match_id",)).select("match_id", "event_id", "place"),
+    "scoreboard_order": lambda t: dims.in_order(t.scoreboard.join(t.players, "player_id"), [F.asc_nulls_first("round_no"), "ign", "stat_name"], within=("match_id",)).select("match_id", "round_no", "player_id", "stat_name", "place"),
+    "rounds_order": lambda t: dims.in_order(t.rounds, ["round_no"], within=("match_id",)).select("match_id", "round_no", "place"),
+    "roster_by_team": lambda t: dims.in_order(_per_match(t), ["team", F.desc("eliminations"), "ign"], within=("match_id",)).select("match_id", "player_id", "place"),
+    "round_summary": lambda t: rounds.round_summary(t.rounds),
+    "round_reconcile": lambda t: rounds.round_reconcile(t.events, t.rounds),
+    "run_notes": lambda t: rounds.run_notes(t.events),
+    "board_progress": lambda t: rounds.board_progress(t.match_players, t.scoreboard),
+    "round_for_event": lambda t: rounds.round_for_event(t.events, t.rounds),
+    "round_asof": lambda t: rounds.round_asof(t.events.select("match_id", "event_id", "feed_ms"), t.rounds).select("event_id", "found_round"),
     "role_order": lambda t: awards.role_order(awards.all_roles(t.events, _usable(t), t.match_players, t.matches), t.match_players, t.players),
 }
 
@@ -56,4 +101,4 @@ def _on_folder(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, st
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in ON_TABLES.items()}
-ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()}
+ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_DIMS + select for name, select in oracles.DIM_SELECTS.items()}
