@@ -226,3 +226,52 @@ DIM_SELECTS: dict[str, str] = {
     "round_for_event": """SELECT event_id, (SELECT min(round_no) FROM ro WHERE ro.match_id = ev.match_id AND ro.start_ms <= ev.feed_ms AND ev.feed_ms <= ro.end_ms + 6000) AS found_round FROM ev""",
     "round_asof": """SELECT event_id, coalesce((SELECT max(round_no) FROM ro WHERE ro.match_id = ev.match_id AND ro.start_ms <= ev.feed_ms), 1) AS found_round FROM ev""",
 }
+
+#: The readings of ``sources.readings``.
+BASE_READS = f""",
+gr AS (SELECT match_id, unnest(range(0, 1080001, 500)) AS t_ms FROM ma),
+de AS (SELECT match_id, feed_ms AS t_ms, feed_ms // 72000 AS part FROM ev WHERE {_OUT}),
+cn AS (SELECT match_id, part, t_ms, count(*) AS n FROM de GROUP BY ALL),
+al0 AS (SELECT match_id, t_ms // 72000 AS part, t_ms, 0 AS n, 1 AS g FROM gr UNION ALL SELECT match_id, part, t_ms, n, 0 FROM cn),
+al1 AS (SELECT *, sum(n) OVER (PARTITION BY match_id, part ORDER BY t_ms RANGE UNBOUNDED PRECEDING) AS dead FROM al0),
+rd AS (SELECT match_id, t_ms, CASE WHEN t_ms // 500 % 37 <> 0 THEN greatest(15 - dead, 0) + CASE WHEN t_ms // 500 % 41 = 0 THEN 1 ELSE 0 END END AS value FROM al1 WHERE g = 1),
+-- two equal readings in a row (unread ones skipped) confirm a value
+ru0 AS (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS nx, row_number() OVER w AS i FROM rd WHERE value IS NOT NULL WINDOW w AS (PARTITION BY match_id ORDER BY t_ms)),
+ok AS (SELECT *, CASE WHEN value = p THEN value END AS sure FROM ru0),
+st AS (SELECT *, last_value(sure IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM ok),
+ch AS (SELECT match_id, t_ms, i, was, sure AS value FROM st WHERE sure IS NOT NULL AND sure IS DISTINCT FROM was),
+hm AS (SELECT c.match_id, c.i, c.was, c.value, coalesce(max(s.i) FILTER (s.value = c.was), 0) AS home FROM ch c JOIN st s ON s.match_id = c.match_id AND s.i < c.i GROUP BY ALL),
+cc AS (SELECT h.match_id, CASE WHEN h.was IS NULL THEN (SELECT t_ms FROM st s WHERE s.match_id = h.match_id AND s.i = h.i - 1) ELSE (SELECT t_ms FROM st s WHERE s.match_id = h.match_id AND s.i = h.home + 1) END AS t_ms, was, value,
+              CAST(coalesce(greatest(was - value, 0), 0) AS BIGINT) AS deaths,
+              coalesce(value > was AND value >= max(value) OVER (PARTITION BY h.match_id ORDER BY h.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS is_reset FROM hm h),
+si AS (SELECT match_id, event_id AS line, feed_ms + 250 * i AS t_ms, CASE WHEN (event_id + i) % 5 = 0 THEN 'kill' ELSE event_type END AS etype, CASE WHEN i % 3 <> 1 THEN weapon END AS weapon
+       FROM (SELECT *, unnest(range(0, event_id % 8 + 1)) AS i FROM ev WHERE event_type <> 'other')),
+sc AS (SELECT DISTINCT match_id, feed_ms AS t_ms FROM ev WHERE event_id % 3 = 0)
+"""
+
+
+def _islands(source: str, key: str, gap: int) -> str:
+    opened = f"SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY {key} ORDER BY t_ms) <= {gap} THEN 0 ELSE 1 END AS opens FROM {source}"
+    return f"(SELECT *, sum(opens) OVER (PARTITION BY {key} ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS no FROM ({opened}))"
+
+
+READ_SELECTS: dict[str, str] = {
+    "counter_debounce": "SELECT * FROM cc",
+    "counter_deaths": "SELECT match_id, t_ms, unnest(range(1, deaths + 1)) AS death_no FROM cc WHERE deaths > 0",
+    "board_sessions": f"""SELECT match_id, CAST(no AS BIGINT) AS board_no, min(t_ms) AS start_ms, max(t_ms) AS end_ms, count(*) AS reads,
+        CASE WHEN max(t_ms) - min(t_ms) >= 5000 OR no = max(no) OVER (PARTITION BY match_id) THEN 'match' ELSE 'round' END AS kind FROM {_islands('sc', 'match_id', 2000)} GROUP BY match_id, no""",
+    "sighting_sessions": f"""SELECT match_id, line, CAST(no AS BIGINT) AS session, min(t_ms) AS first_ms, max(t_ms) AS last_ms, count(*) AS seen FROM {_islands('si', 'match_id, line', 1000)}
+        GROUP BY match_id, line, no HAVING max(t_ms) - min(t_ms) >= 500 AND count(*) >= 3""",
+    "majority_type": "SELECT match_id, line, etype FROM si GROUP BY match_id, line, etype QUALIFY row_number() OVER (PARTITION BY match_id, line ORDER BY count(*) DESC, etype = 'kill', etype) = 1",
+    "majority_weapon": "SELECT match_id, line, weapon FROM si WHERE weapon IS NOT NULL GROUP BY match_id, line, weapon QUALIFY row_number() OVER (PARTITION BY match_id, line ORDER BY count(*) DESC, weapon) = 1",
+    "resample": "SELECT match_id, CAST(ceil(t_ms / 1500) AS BIGINT) AS k, min(t_ms) AS t_ms, arg_min(coalesce(value, -1), t_ms) AS value FROM rd GROUP BY match_id, ceil(t_ms / 1500)",
+    "sample_readings": "SELECT match_id, line, t_ms FROM (SELECT DISTINCT match_id, line, t_ms FROM si) QUALIFY row_number() OVER (PARTITION BY match_id, line ORDER BY t_ms) <= 3",
+    "skipped_spans": f"SELECT match_id, CAST(no AS BIGINT) AS span, min(t_ms) AS start_ms, max(t_ms) AS end_ms, max(t_ms) - min(t_ms) AS length_ms FROM {_islands('sc', 'match_id', 1000)} GROUP BY match_id, no",
+    "reads_vs_truth": f"""SELECT match_id, count(*) FILTER (rd.value = 15 - d) AS correct, count(*) FILTER (rd.value IS NULL) AS blank, count(*) FILTER (rd.value <> 15 - d) AS wrong
+        FROM (SELECT ro.match_id, ro.start_ms, ro.start_ms + 10000 AS end_ms, ro.blue_score % 5 AS d FROM ro) t JOIN rd USING (match_id) WHERE t_ms >= start_ms AND t_ms < end_ms GROUP BY match_id""",
+    "late_row_round": """, fd AS (SELECT match_id, t_ms // 72000 + 1 AS r, min(t_ms) AS t FROM cc WHERE deaths > 0 GROUP BY ALL),
+        pc AS (SELECT event_id, ev.match_id, feed_ms, event_type, max(ro.round_no) AS r, max(ro.start_ms) AS s FROM ev LEFT JOIN ro ON ro.match_id = ev.match_id AND ro.start_ms <= ev.feed_ms GROUP BY ALL),
+        lt AS (SELECT event_id, coalesce(pc.r, 1) AS r, coalesce(pc.r >= 2 AND (feed_ms - s <= 8000 OR (feed_ms - s <= 15000 AND event_type IN ('kill', 'eliminated_knocked') AND NOT coalesce(fd.t <= feed_ms + 1000, false))), false) AS late
+               FROM pc LEFT JOIN fd ON fd.match_id = pc.match_id AND fd.r = coalesce(pc.r, 1))
+        SELECT event_id, r - CAST(late AS INTEGER) AS found_round, late FROM lt""",
+}

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom import oracles
-from matchloom.operators import awards, dims, players, rounds
+from matchloom.operators import awards, dims, matching, players, readings, rounds
 from matchloom.sources import dim_inputs
+from matchloom.sources import readings as bronze
 from matchloom.sources.mapping import Tables, load
 
 FIRST_DAY, LAST_DAY = "2024-01-03", "2024-01-20"
@@ -96,9 +97,61 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def _deaths(t: Tables) -> DataFrame:
+    """Deaths on the counter, with the round of their time: match_id, death_id, t_ms, round_no, team (not known from the counter)."""
+    found = readings.counter_deaths(bronze.counter_reads(t))
+    return found.select("match_id", (F.col("t_ms") * 100 + F.col("death_no")).alias("death_id"), "t_ms", F.expr(f"t_ms div {bronze.ROUND_MS} + 1").alias("round_no"), F.lit(None).cast("string").alias("team"))
+
+
+def _placed(t: Tables) -> DataFrame:
+    found = rounds.late_row_round(t.events, t.rounds, _deaths(t))
+    return t.events.drop("round_no").join(found, "event_id").withColumnRenamed("found_round", "round_no")
+
+
+def _aligned(t: Tables) -> DataFrame:
+    return matching.align_elims(_placed(t), _deaths(t))
+
+
+def _truth(t: Tables) -> DataFrame:
+    return t.rounds.select("match_id", "start_ms", (F.col("start_ms") + 10_000).alias("end_ms"), (15 - F.col("blue_score") % 5).alias("value"))
+
+
+ON_READS: dict[str, Callable[[Tables], DataFrame]] = {
+    "counter_debounce": lambda t: readings.counter_changes(bronze.counter_reads(t)),
+    "counter_deaths": lambda t: readings.counter_deaths(bronze.counter_reads(t)),
+    "board_sessions": lambda t: readings.board_sessions(bronze.screen_reads(t)),
+    "sighting_sessions": lambda t: readings.sighting_sessions(bronze.sightings(t), ("match_id", "line")),
+    "majority_type": lambda t: readings.majority_type(bronze.sightings(t)),
+    "majority_weapon": lambda t: readings.majority_weapon(bronze.sightings(t)),
+    "resample": lambda t: readings.resample(bronze.counter_reads(t).withColumn("value", F.coalesce("value", F.lit(-1))), 1500),
+    "sample_readings": lambda t: readings.sample_readings(bronze.sightings(t)),
+    "skipped_spans": lambda t: readings.skipped_spans(bronze.screen_reads(t)),
+    "reads_vs_truth": lambda t: readings.reads_vs_truth(bronze.counter_reads(t), _truth(t)),
+    "late_row_round": lambda t: rounds.late_row_round(t.events, t.rounds, _deaths(t)),
+    "dedupe_events": lambda t: rounds.dedupe_events(t.events),
+    "align_elims": _aligned,
+    "settle_elims": lambda t: matching.unpaired_flags(_placed(t), _aligned(t)),
+    "unclaimed_deaths": lambda t: matching.unclaimed_deaths(_deaths(t), _aligned(t)),
+}
+
+
+def _name_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    parts = bronze.part_names(spark, sf_dir)
+    return bronze.name_reads(parts).withColumn("roster_id", F.lit(0)), bronze.roster(parts).withColumn("roster_id", F.lit(0))
+
+
+def _roster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.roster_match(*_name_reads(spark, sf_dir))
+
+
+def _roster_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.roster_collisions(_name_reads(spark, sf_dir)[0].select(F.col("raw").alias("name")))
+
+
 def _on_folder(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: job(load(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in ON_TABLES.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions}
 ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_DIMS + select for name, select in oracles.DIM_SELECTS.items()}
+ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in oracles.READ_SELECTS.items()}
