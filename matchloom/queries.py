@@ -12,6 +12,7 @@ from matchloom.operators import awards, dims, matching, players, readings, round
 from matchloom.sources import dim_inputs
 from matchloom.sources import readings as bronze
 from matchloom.sources.mapping import Tables, load
+from matchloom.streaming import queries as streaming
 
 FIRST_DAY, LAST_DAY = "2024-01-03", "2024-01-20"
 
@@ -155,3 +156,5 @@ def _on_folder(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, st
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions}
 ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_DIMS + select for name, select in oracles.DIM_SELECTS.items()}
 ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in oracles.READ_SELECTS.items()}
+QUERIES |= streaming.QUERIES
+ORACLE_SQL |= {name: oracles.BASE + select for name, select in streaming.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_READS + select for name, select in streaming.READ_SELECTS.items()}
