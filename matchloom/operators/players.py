@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.match_rules import FEED_LAG_MS, counted_elimination, is_knock, ones, round_key
 
-_LATER = Window.partitionBy("match_id", "rnd", "player_id").orderBy("feed_ms").rangeBetween(1, Window.unboundedFollowing)
-_EARLIER = Window.partitionBy("match_id", "rnd", "victim_id").orderBy("feed_ms").rangeBetween(Window.unboundedPreceding, -1)
-
 
 def knock_outcomes(events: DataFrame) -> DataFrame:
     """Per knock: revived, eliminated or unresolved, and the feed time of the first later sign of life.
@@ -28,7 +25,8 @@ def knock_outcomes(events: DataFrame) -> DataFrame:
         F.struct(F.col("killer_id").alias("player_id"), F.lit(False).alias("dies"), F.col("event_type").isin("knock", "kill").alias("lives"), F.lit(False).alias("asks")),
     )
     shown = keyed.select("event_id", "match_id", "round_no", "rnd", "killer_id", "feed_ms", F.explode(seen).alias("x")).select("*", "x.*").filter("player_id is not null and (dies or lives)")
-    ahead = shown.withColumns({"dies_ms": F.min(F.when(F.col("dies"), F.col("feed_ms"))).over(_LATER), "lives_ms": F.min(F.when(F.col("lives"), F.col("feed_ms"))).over(_LATER)})
+    later = Window.partitionBy("match_id", "rnd", "player_id").orderBy("feed_ms").rangeBetween(1, Window.unboundedFollowing)
+    ahead = shown.withColumns({"dies_ms": F.min(F.when(F.col("dies"), F.col("feed_ms"))).over(later), "lives_ms": F.min(F.when(F.col("lives"), F.col("feed_ms"))).over(later)})
     up = F.col("lives_ms").isNotNull() & (F.col("dies_ms").isNull() | (F.col("lives_ms") < F.col("dies_ms")))
     told = ahead.filter("asks").select(
         F.col("event_id").alias("knock_id"), "match_id", "round_no", F.col("player_id").alias("victim_id"), F.col("killer_id").alias("knocker_id"), "feed_ms",
@@ -51,7 +49,8 @@ def elim_credit(events: DataFrame, outcomes: DataFrame | None = None) -> DataFra
     claims = outcomes.filter("outcome = 'eliminated' and victim_id is not null").select("match_id", "round_no", "victim_id", "feed_ms", claim.alias("claim"), F.lit(None).cast("struct<event_id:bigint,finisher_id:bigint>").alias("elim"))
     elims = events.filter(counted_elimination()).select("match_id", "round_no", "victim_id", "feed_ms", F.struct("event_id", F.col("killer_id").alias("finisher_id")).alias("elim"))
     both = claims.unionByName(elims.filter("victim_id is not null"), allowMissingColumns=True).withColumn("rnd", round_key())
-    named = both.withColumn("claim", F.max("claim").over(_EARLIER)).filter("elim is not null")
+    earlier = Window.partitionBy("match_id", "rnd", "victim_id").orderBy("feed_ms").rangeBetween(Window.unboundedPreceding, -1)
+    named = both.withColumn("claim", F.max("claim").over(earlier)).filter("elim is not null")
     unnamed = elims.filter("victim_id is null").withColumn("claim", F.lit(None).cast(named.schema["claim"].dataType))
     done = named.drop("rnd").unionByName(unnamed)
     return done.select(F.col("elim.event_id").alias("event_id"), "match_id", "round_no", "victim_id", F.col("elim.finisher_id").alias("finisher_id"), F.coalesce("claim.knocker", "elim.finisher_id").alias("credited_id"))
