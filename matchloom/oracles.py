@@ -275,3 +275,54 @@ READ_SELECTS: dict[str, str] = {
                FROM pc LEFT JOIN fd ON fd.match_id = pc.match_id AND fd.r = coalesce(pc.r, 1))
         SELECT event_id, r - CAST(late AS INTEGER) AS found_round, late FROM lt""",
 }
+
+ROW_SELECTS: dict[str, str] = {
+    "row_type": "SELECT event_id, CASE WHEN event_type = 'knock' OR event_id % 10 = 0 THEN 'knock' WHEN event_type = 'eliminated_knocked' THEN 'eliminated_knocked' ELSE 'kill' END AS event_type FROM ev",
+    "weapon_pick": f""", gs AS (SELECT event_id, weapon AS gun, 75 + event_id % 25 AS score FROM ev WHERE weapon <> 'Zone' UNION ALL
+        SELECT event_id, ([{_GUNS}])[list_position([{_GUNS}], weapon) % 27 + 1], 70 + event_id % 19 FROM ev WHERE weapon <> 'Zone')
+        SELECT event_id, CASE WHEN max(score) >= 80 AND max(score) - min(score) >= 5 THEN arg_max(gun, score) END AS weapon FROM gs GROUP BY event_id""",
+    "row_flag": """SELECT event_id, CASE WHEN killer_id IS NULL OR victim_id IS NULL OR killer_id = victim_id THEN 'UNRESOLVED' END AS flag,
+        round(CASE WHEN killer_id IS NOT NULL AND victim_id IS NOT NULL THEN least(event_id % 100, event_id * 7 % 100) ELSE greatest(event_id % 100, event_id * 7 % 100) END / 100.0, 2) AS confidence FROM ev""",
+    "short_row_gate": "SELECT event_id AS line, feed_ms AS first_ms, feed_ms + event_id % 8 * 250 AS last_ms FROM ev WHERE event_id % 8 >= 2 OR (killer_id <> victim_id AND event_id % 3 >= 1 AND event_id % 8 = 1)",
+    "slot_debounce": f""", s0 AS (SELECT match_id, round_no, victim_id AS slot, feed_ms AS t_ms, event_id, 'dead' AS state FROM ev WHERE victim_id IS NOT NULL AND event_type IN ('kill', 'eliminated_knocked') AND round_no IS NOT NULL
+            UNION ALL SELECT match_id, round_no, killer_id, feed_ms, event_id, 'alive' FROM ev WHERE killer_id IS NOT NULL AND round_no IS NOT NULL),
+        s1 AS (SELECT match_id, round_no, slot, t_ms, max(struct_pack(e := event_id, s := state)).s AS state FROM s0 GROUP BY match_id, round_no, slot, t_ms),
+        s2 AS (SELECT *, lag(state) OVER w AS before, lead(state) OVER w AS after FROM s1 WINDOW w AS (PARTITION BY match_id, round_no, slot ORDER BY t_ms))
+        SELECT match_id, round_no, slot, t_ms FROM s2 WHERE state = 'dead' AND before = 'alive' AND (after IS NULL OR after = 'dead')""",
+    "round_winner": """, r0 AS (SELECT e.match_id, e.round_no, feed_ms AS t_ms, max(CASE WHEN event_id % 13 <> 0 THEN e.round_no + CASE WHEN e.match_id % 2 = 0 AND (feed_ms - start_ms) // 9000 >= 5 THEN 1 ELSE 0 END END) AS blue,
+            max(CASE WHEN event_id % 11 <> 0 THEN e.round_no + CASE WHEN e.match_id % 3 = 0 AND (feed_ms - start_ms) // 9000 >= 4 THEN 1 ELSE 0 END END) AS red
+            FROM ev e JOIN ro ON ro.match_id = e.match_id AND ro.round_no = e.round_no GROUP BY ALL),
+        r1 AS (SELECT match_id, round_no, arg_min(blue, t_ms) FILTER (blue IS NOT NULL) AS b0, arg_min(red, t_ms) FILTER (red IS NOT NULL) AS r0 FROM r0 GROUP BY ALL),
+        r2 AS (SELECT match_id, round_no, min(t_ms) FILTER (blue > b0) AS b, min(t_ms) FILTER (red > r1.r0) AS r FROM r0 JOIN r1 USING (match_id, round_no) GROUP BY ALL)
+        SELECT match_id, round_no, CASE WHEN b <= r OR (b IS NOT NULL AND r IS NULL) THEN 'blue' WHEN r IS NOT NULL THEN 'red' END AS winner, least(b, r) AS end_ms FROM r2""",
+    "room_size": """, v AS (SELECT ro.match_id, (SELECT arg_max(value, t_ms) FROM cc WHERE cc.match_id = ro.match_id AND cc.t_ms <= ro.start_ms) AS value FROM ro)
+        SELECT match_id, max(value) AS players, CAST(greatest(2, max(value) // 2) AS BIGINT) AS team_size FROM v GROUP BY match_id""",
+    "layout_gate": """, lr AS (SELECT match_id, t_ms, unnest(['counter', 'score', 'board']) AS landmark, unnest([t_ms // 500 % 37 <> 0, (t_ms // 500 + match_id) % 3 <> 0, (t_ms // 500 * 7 + match_id) % 10 < 4]) AS hit FROM gr),
+        t AS (SELECT *, ntile(20) OVER (PARTITION BY match_id, landmark ORDER BY t_ms) AS tile FROM lr), f AS (SELECT match_id, landmark, tile, arg_min(hit, t_ms) AS hit FROM t GROUP BY ALL),
+        s AS (SELECT match_id, landmark, 100 * count(*) FILTER (hit) / count(*) < CASE landmark WHEN 'counter' THEN 95 WHEN 'score' THEN 60 ELSE 50 END AS fails FROM f GROUP BY match_id, landmark)
+        SELECT match_id, count(*) FILTER (fails) AS failures, count(*) FILTER (fails) <= 1 AND count(*) FILTER (fails AND landmark = 'counter') = 0 AS ok FROM s GROUP BY match_id""",
+    "near_miss_seconds": f"SELECT match_id, count(*) / 2.0 AS seconds FROM ev WHERE {_OUT} AND event_id % 7 = 0 GROUP BY match_id HAVING count(*) >= 3",
+    "match_end": f""", bs AS (SELECT match_id, max(t_ms) AS end_ms FROM {_islands('sc', 'match_id', 2000)} GROUP BY match_id, no),
+        x AS (SELECT event_id, feed_ms, (SELECT max(end_ms) FROM bs WHERE bs.match_id = ev.match_id AND end_ms <= feed_ms) AS board, (SELECT max(t_ms) FROM cc WHERE cc.match_id = ev.match_id AND deaths > 0 AND t_ms <= feed_ms) AS sign FROM ev)
+        SELECT event_id FROM x WHERE feed_ms - board > 25000 AND coalesce(sign < board, true)""",
+    "pair_vote": """, v AS (SELECT event_id AS line, CASE WHEN o % 2 = 0 THEN CASE WHEN o % 7 = 0 THEN victim_id ELSE killer_id END END AS k, 60 + o % 40 AS ks, CASE WHEN o % 3 <> 0 THEN victim_id END AS v, 60 + o * 3 % 40 AS vs
+            FROM (SELECT *, event_id + unnest(range(0, event_id % 6 + 1)) AS o FROM ev WHERE killer_id IS NOT NULL AND victim_id IS NOT NULL)),
+        b AS (SELECT line, k, v FROM v WHERE k IS NOT NULL AND v IS NOT NULL GROUP BY line, k, v QUALIFY row_number() OVER (PARTITION BY line ORDER BY sum(least(ks, vs)) DESC, k, v) = 1),
+        a1 AS (SELECT line, k FROM v WHERE k IS NOT NULL GROUP BY line, k QUALIFY row_number() OVER (PARTITION BY line ORDER BY sum(ks) DESC, k) = 1),
+        a2 AS (SELECT line, v FROM v WHERE v IS NOT NULL GROUP BY line, v QUALIFY row_number() OVER (PARTITION BY line ORDER BY sum(vs) DESC, v) = 1)
+        SELECT line, k AS killer_id, v AS victim_id FROM b UNION ALL
+        SELECT line, CASE WHEN k IS DISTINCT FROM v THEN k END, CASE WHEN k IS DISTINCT FROM v THEN v END FROM a1 FULL JOIN a2 USING (line) WHERE line NOT IN (SELECT line FROM b)""",
+    "stitch_board": """, c AS (SELECT match_id, player_id, stat_name, value + CASE WHEN (player_id + p) % 3 = 0 THEN 1 ELSE 0 END AS value FROM (SELECT *, unnest(range(0, player_id % 4 + 1)) AS p FROM bo WHERE round_no IS NULL))
+        SELECT match_id, player_id, stat_name, value, round(count(*) / sum(count(*)) OVER (PARTITION BY match_id, player_id, stat_name), 2) AS share FROM c GROUP BY match_id, player_id, stat_name, value
+        QUALIFY row_number() OVER (PARTITION BY match_id, player_id, stat_name ORDER BY count(*) DESC, value NULLS LAST) = 1""",
+    "board_vs_truth": """, tr AS (SELECT match_id, player_id, stat_name, v FROM (SELECT match_id, player_id, UNNEST(['eliminations', 'knock_outs']) AS stat_name, UNNEST([finishes, knocks]) AS v FROM pm))
+        SELECT stat_name, count(*) FILTER (value = v) AS correct, count(*) FILTER (value IS NULL) AS blank, count(*) FILTER (value <> v) AS wrong FROM bo JOIN tr USING (match_id, player_id, stat_name) WHERE round_no IS NULL GROUP BY stat_name""",
+    "seen_together_dedupe": """, s AS (SELECT event_id, match_id, killer_id - killer_id % 15 AS k, victim_id - victim_id % 3 AS v, event_type, feed_ms, event_id % 4 AS n FROM ev WHERE event_type <> 'other' AND killer_id IS NOT NULL AND victim_id IS NOT NULL)
+        SELECT DISTINCT a.event_id FROM s a JOIN s b ON a.match_id = b.match_id AND a.k = b.k AND a.v = b.v AND abs(a.feed_ms - b.feed_ms) <= 5000 WHERE a.n = 0 AND b.n > 0
+        AND (a.event_type = b.event_type OR NOT (a.feed_ms // 1000 BETWEEN b.feed_ms // 1000 AND b.feed_ms // 1000 + b.n))""",
+    "all_board_names": "SELECT match_id, player_id FROM mp UNION SELECT match_id, player_id FROM bo WHERE round_no IS NULL",
+    "off_roster": "SELECT match_id, player_id, max(value) AS best FROM bo WHERE round_no IS NULL AND player_id NOT IN (SELECT player_id FROM al) GROUP BY match_id, player_id",
+    "export_all_events": "SELECT ev.event_id, substr(recorded_at, 1, 10) AS day FROM ev JOIN ma USING (match_id) WHERE substr(recorded_at, 1, 10) BETWEEN '2024-01-03' AND '2024-01-20'",
+    "scalar_functions": """SELECT player_id, translate(lower(regexp_replace(ign, '\\s+', '', 'g')), 'ø0', 'oo') AS norm, regexp_replace('*' || ign || '!', '[^\\p{L}\\p{N}_.\\-]', '', 'g') AS clean,
+        lpad(CAST(player_id * 37 // 60 AS VARCHAR), CAST(greatest(2, length(CAST(player_id * 37 // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(player_id * 37 % 60 AS VARCHAR), 2, '0') || '.25' AS mmss, '2024-01-05 10-00-00' AS stamp FROM pl""",
+}

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom import oracles
-from matchloom.operators import awards, dims, matching, players, readings, rounds
-from matchloom.sources import dim_inputs
+from matchloom.functions import names
+from matchloom.jobs import export
+from matchloom.operators import awards, dims, matching, players, readings, rounds, rows
+from matchloom.sources import dim_inputs, row_inputs
 from matchloom.sources import readings as bronze
 from matchloom.sources.mapping import Tables, load
 from matchloom.streaming import queries as streaming
@@ -136,6 +138,39 @@ ON_READS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def _true_cells(t: Tables) -> DataFrame:
+    cells = F.array(*(F.struct(F.lit(stat).alias("stat_name"), F.col(c).alias("true_value")) for stat, c in (("eliminations", "finishes"), ("knock_outs", "knocks"))))
+    return _per_match(t).select("match_id", "player_id", F.explode(cells).alias("x")).select("match_id", "player_id", "x.*")
+
+
+def _scalars(t: Tables) -> DataFrame:
+    stamp = F.translate(names.recorded_at_from_name(F.concat(F.lit("run 2024-01-05_10-00-00 "), "ign")), ":", "-")
+    seconds = (F.col("player_id") * 37 + 0.25).cast("double")
+    return t.players.select("player_id", names.simple_norm("ign").alias("norm"), names.clean_reading(F.concat(F.lit("*"), "ign", F.lit("!"))).alias("clean"), names.mmss(seconds).alias("mmss"), stamp.alias("stamp"))
+
+
+ON_ROWS: dict[str, Callable[[Tables], DataFrame]] = {
+    "row_type": lambda t: row_inputs.icons(t).select("event_id", rows.row_type(F.col("icons")).alias("event_type")),
+    "weapon_pick": lambda t: rows.weapon_pick(row_inputs.gun_scores(t)),
+    "row_flag": lambda t: rows.row_flag(row_inputs.scored_rows(t)),
+    "short_row_gate": lambda t: rows.short_row_gate(row_inputs.lines(t)).select("line", "first_ms", "last_ms"),
+    "slot_debounce": lambda t: rows.slot_deaths(row_inputs.slot_reads(t)),
+    "round_winner": lambda t: rows.round_winner(row_inputs.score_reads(t)),
+    "room_size": lambda t: rows.room_size(readings.counter_changes(bronze.counter_reads(t)), t.rounds),
+    "layout_gate": lambda t: rows.layout_gate(row_inputs.landmark_reads(t), row_inputs.landmark_limits(t.events.sparkSession)),
+    "near_miss_seconds": lambda t: rows.near_miss_seconds(row_inputs.counter_misses(t), 2.0),
+    "match_end": lambda t: rows.match_end(t.events, readings.board_sessions(bronze.screen_reads(t)), readings.counter_deaths(bronze.counter_reads(t))),
+    "pair_vote": lambda t: rows.pair_vote(row_inputs.name_votes(t)),
+    "stitch_board": lambda t: rows.stitch_board(row_inputs.board_cells(t)),
+    "board_vs_truth": lambda t: rows.board_vs_truth(t.scoreboard.filter("round_no is null"), _true_cells(t)),
+    "seen_together_dedupe": lambda t: rows.seen_together_dedupe(row_inputs.screen_rows(t)),
+    "all_board_names": lambda t: t.match_players.select("match_id", "player_id").union(t.scoreboard.filter("round_no is null").select("match_id", "player_id")).distinct(),
+    "off_roster": lambda t: t.scoreboard.filter("round_no is null").join(t.aliases, "player_id", "left_anti").groupBy("match_id", "player_id").agg(F.max("value").alias("best")),
+    "export_all_events": lambda t: export.range_sheets(t, FIRST_DAY, LAST_DAY)["all_events"].select("event_id", F.substring("recorded_at", 1, 10).alias("day")),
+    "scalar_functions": _scalars,
+}
+
+
 def _name_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parts = bronze.part_names(spark, sf_dir)
     return bronze.name_reads(parts).withColumn("roster_id", F.lit(0)), bronze.roster(parts).withColumn("roster_id", F.lit(0))
@@ -153,8 +188,8 @@ def _on_folder(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, st
     return lambda spark, sf_dir: job(load(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS | ON_ROWS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions}
 ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_DIMS + select for name, select in oracles.DIM_SELECTS.items()}
-ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in oracles.READ_SELECTS.items()}
+ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in (oracles.READ_SELECTS | oracles.ROW_SELECTS).items()}
 QUERIES |= streaming.QUERIES
 ORACLE_SQL |= {name: oracles.BASE + select for name, select in streaming.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_READS + select for name, select in streaming.READ_SELECTS.items()}
