@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.match_rules import ELIMINATIONS
-from matchloom.functions.names import fold_name, folded, similarity
+from matchloom.functions.names import clean_reading, fold_name, folded, similarity
 
 AFTER_MS, LAG_MS, LATE_LAG_MS, BACKLOG_MS, TIMELY_MS = 1000, 12_000, 25_000, 3500, 1500
 LEAST, AHEAD = 0.55, 0.15
@@ -103,3 +103,62 @@ def roster_match(reads: DataFrame, rosters: DataFrame) -> DataFrame:
 def roster_collisions(roster: DataFrame) -> DataFrame:
     """Names of a roster that fold to the same string."""
     return roster.select("name").distinct().groupBy(fold_name("name").alias("folded")).agg(F.sort_array(F.collect_list("name")).alias("names")).filter(F.size("names") > 1)
+
+
+TEAMED = "match_id long, death_id long, slot_id long"
+LEAD_MS, SLOT_LAG_MS = 500, 1500
+
+
+def _death_team(deaths: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
+    """Each slot that went grey, in order of time, takes the earliest free death it can belong to."""
+    free = deaths.sort_values(["t_ms", "death_id"]).to_dict("records")
+    out = []
+    for s in slots.sort_values(["t_ms", "slot_id"]).itertuples():
+        death = next((d for d in free if -LEAD_MS <= s.t_ms - d["t_ms"] <= SLOT_LAG_MS), None)
+        if death:
+            free.remove(death)
+            out.append((s.of_match, death["death_id"], s.slot_id))
+    return pd.DataFrame(out, columns=["match_id", "death_id", "slot_id"])
+
+
+def death_team(deaths: DataFrame, slots: DataFrame) -> DataFrame:
+    """deaths: match_id, death_id, t_ms; slots: match_id, slot_id, t_ms. One-to-one: a slot greys from 0.5 s before to 1.5 s after its death."""
+    given = slots.select(F.col("match_id").alias("of_match"), "slot_id", "t_ms")
+    return deaths.select("match_id", "death_id", "t_ms").groupBy("match_id").cogroup(given.groupBy("of_match")).applyInPandas(_death_team, TEAMED)
+
+
+def row_names(reads: DataFrame, rosters: DataFrame) -> DataFrame:
+    """reads: roster_id, read_id, raw (a whole row). Gives read_id, killer, victim.
+
+    Words of four and more characters are looked up in the roster. Of two names found the first is the killer
+    and the last the victim; the same name twice is neither. One name alone has a role only at an end of several words.
+    """
+    words = reads.select("roster_id", "read_id", F.posexplode(F.filter(F.transform(F.split("raw", r"\s+"), lambda x: F.regexp_replace(x, "[^A-Za-z0-9]", "")), lambda x: x != "")).alias("at", "raw"))
+    known = roster_match(words.filter(F.length("raw") >= 4), rosters).filter("name is not null")
+    found = words.join(known, ["roster_id", "raw"], "left").groupBy("read_id").agg(
+        F.min(F.when(F.col("name").isNotNull(), F.struct("at", "name"))).alias("a"), F.max(F.when(F.col("name").isNotNull(), F.struct("at", "name"))).alias("z"), F.max("at").alias("end")
+    )
+    two, same = F.col("a.at") != F.col("z.at"), F.col("a.name") == F.col("z.name")
+    killer = F.when(two & ~same, F.col("a.name")).when(~two & (F.col("a.at") == 0) & (F.col("end") > 0), F.col("a.name"))
+    victim = F.when(two & ~same, F.col("z.name")).when(~two & (F.col("a.at") == F.col("end")) & (F.col("end") > 0), F.col("a.name"))
+    return reads.select("read_id").join(found.select("read_id", killer.alias("killer"), victim.alias("victim")), "read_id", "left")
+
+
+def name_consensus(reads: DataFrame) -> DataFrame:
+    """reads: key, raw. The spelling that two readings and 40 % of them agree on, else the one most like all others; and the share that agrees."""
+
+    def settle(lists: pd.Series) -> pd.DataFrame:
+        out = []
+        for spellings in lists:
+            r = sorted(spellings)
+            count = {x: r.count(x) for x in r}
+            top = max(sorted(count), key=count.get) if r else ""
+            if r and not (count[top] >= 2 and count[top] / len(r) >= 0.4):
+                forms = [folded(x) for x in r]
+                top = max(zip(r, forms, strict=True), key=lambda p: sum(similarity(p[1], f) for f in forms))[0]
+            out.append((top, round(count.get(top, 0) / len(r), 2) if r else 0.0))
+        return pd.DataFrame(out, columns=["name", "share"])
+
+    cleaned = reads.withColumn("raw", clean_reading(F.trim("raw")))
+    lists = cleaned.groupBy("key").agg(F.collect_list(F.when(F.col("raw") != "", F.col("raw"))).alias("raws"))
+    return lists.select("key", F.pandas_udf(settle, "name string, share double")("raws").alias("x")).select("key", "x.*")

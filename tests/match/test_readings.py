@@ -132,3 +132,66 @@ def test_small_functions(spark):
     assert [r.at for r in rows] == ["2026-10-01 20:27:36", "2026-10-01 00:00:01", None]
     assert rows[0].m == "01:15.50" and rows[1].m == "00:00.00"
     assert isinstance(pd.__version__, str)
+
+
+def test_row_names(spark):
+    reads = spark.createDataFrame(
+        [(1, 1, "RGOOxEMPEROR y= => AnoydynelSop"), (1, 2, "ine =P' TheWolverine"), (1, 3, "RGODxEMPEROR =P ~~"), (1, 4, "RGODxEMPEROR =P a1"), (1, 5, "OmkarKurhade"), (1, 6, "x1 OmkarKurhade J"), (1, 7, "KG696969 a KG696969"), (1, 8, "")],
+        "roster_id long, read_id long, raw string",
+    )
+    rosters = spark.createDataFrame([(1, n) for n in ROSTER], "roster_id long, name string")
+    got = {r.read_id: (r.killer, r.victim) for r in matching.row_names(reads, rosters).collect()}
+    assert got[1] == ("RGODxEMPEROR", "Anoydyne15op") and got[2] == (None, "TheWolverine") and got[4] == ("RGODxEMPEROR", None)
+    assert got[5] == got[6] == got[7] == got[8] == (None, None)
+
+
+def test_name_consensus(spark):
+    rows = [(1, "Wolf"), (1, "W0lf"), (1, "Wolf"), (2, "abcd"), (2, "abce"), (2, "xbcd"), (3, " ")]
+    got = {r.key: (r.name, r.share) for r in matching.name_consensus(spark.createDataFrame(rows, "key long, raw string")).collect()}
+    assert got[1] == ("Wolf", 0.67) and got[2][0] == "abcd" and got[3] == ("", 0.0)
+
+
+def test_death_team(spark):
+    d = [(58_125, 1), (58_667, 2), (58_667, 3), (70_250, 4), (80_000, 5), (91_000, 6), (100_000, 7)]
+    s = [(59_167, 11), (59_167, 12), (59_167, 13), (70_000, 14), (82_000, 15), (90_000, 16), (100_400, 17)]
+    got = matching.death_team(spark.createDataFrame([(1, i, t) for t, i in d], "match_id long, death_id long, t_ms long"), spark.createDataFrame([(1, i, t) for t, i in s], "match_id long, slot_id long, t_ms long"))
+    assert {(r.death_id, r.slot_id) for r in got.collect()} == {(1, 11), (2, 12), (3, 13), (4, 14), (7, 17)}
+
+
+def feed(rate, rows):
+    """rows: (from s, to s, y, icons, flicker): sightings at a rate; where flicker, every fifth without icons."""
+    out = []
+    for a, b, y, icons, flicker in rows:
+        frames = range(int(a * rate + 0.999), int(b * rate) + 1)
+        out += [(1, int(f * 1000 / rate), y, 34, [] if flicker and k % 5 == 3 else icons) for k, f in enumerate(frames)]
+    return out
+
+
+def test_tracking_at_any_rate(spark):
+    from matchloom.operators import tracking
+
+    schema = "match_id long, t_ms long, y int, h int, icons array<string>"
+    for rate in (4, 12, 24, 30):
+        one = tracking.track_lines(spark.createDataFrame(feed(rate, [(0.2, 3.7, 438, ["knock", "AKM"], True)]), schema)).collect()
+        assert [(r.icons, r.short) for r in one] == [("AKM+knock", False)]
+        two = tracking.track_lines(spark.createDataFrame(feed(rate, [(0.0, 2.0, 438, ["knock"], False), (2.3, 4.0, 438, ["AKM"], False)]), schema)).collect()
+        assert [r.icons for r in two] == ["knock", "AKM"]
+    short = tracking.track_lines(spark.createDataFrame(feed(24, [(1.0, 1.2, 438, ["knock"], False)]), schema)).collect()
+    assert [r.short for r in short] == [True]
+    assert tracking.track_lines(spark.createDataFrame(feed(24, [(1.0, 1.2, 438, [], False)]), schema)).count() == 0
+    moved = feed(12, [(0.0, 1.0, 438, ["AKM"], False)]) + feed(12, [(1.08, 2.0, 386, ["AKM"], False)])
+    assert [r.seen for r in tracking.track_lines(spark.createDataFrame(moved, schema)).collect()] == [len(moved)]
+
+
+def test_files(spark, tmp_path):
+    from matchloom.sources import files
+
+    (tmp_path / "names.txt").write_text("# roster\n\nA one\n B two \n")
+    (tmp_path / "names.md").write_text("| # | name |\n|---|---|\n| 1 | `Alpha` |\n| x | `Beta` |\n| 12 | `Gamma x` |\n")
+    (tmp_path / "truth.csv").write_text("start_s,end_s,value\n0.5,2,12\n2,3.25,11\n")
+    assert [r.name for r in files.roster_list(spark, str(tmp_path / "names.txt")).collect()] == ["A one", "B two"]
+    assert [r.name for r in files.roster_table(spark, str(tmp_path / "names.md")).collect()] == ["Alpha", "Gamma x"]
+    assert [tuple(r) for r in files.truth_csv(spark, str(tmp_path / "truth.csv")).collect()] == [(0.5, 2.0, 12), (2.0, 3.25, 11)]
+    (tmp_path / "clips").mkdir()
+    (tmp_path / "clips" / "2026-10-01 20-27-36.mkv").write_text("x")
+    assert files.recordings(spark, str(tmp_path / "clips")).first().recorded_at == "2026-10-01 20:27:36"
