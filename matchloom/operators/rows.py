@@ -143,3 +143,51 @@ def seen_together_dedupe(rows: DataFrame, within_ms: int = 5000) -> DataFrame:
     b = named.filter("not short").select("match_id", "killer_id", "victim_id", F.col("event_type").alias("other_type"), F.col("feed_ms").alias("other_ms"), F.col("seen").alias("other_seen"))
     near = a.join(b, ["match_id", "killer_id", "victim_id"]).filter(F.abs(F.col("feed_ms") - F.col("other_ms")) <= within_ms)
     return near.filter((F.col("event_type") == F.col("other_type")) | ~F.arrays_overlap("seen", "other_seen")).select("event_id").distinct()
+
+
+def badge_team(rows: DataFrame, badges: DataFrame, team_size: int, usual_pitch: float = 82.0) -> DataFrame:
+    """rows: match_id, frame, player_id, y; badges: match_id, frame, y, number. Each row's team: that of the nearest badge of its frame within half a team's rows.
+
+    The pitch of the rows is the median step between neighbours; a row out of reach has no team. Badge 1 is blue, 2 red.
+    """
+    down = Window.partitionBy("match_id", "frame").orderBy("y")
+    steps = rows.withColumn("step", F.col("y") - F.lag("y").over(down)).groupBy("match_id", "frame").agg(F.median("step").alias("pitch"))
+    marks = badges.select("match_id", "frame", F.col("y").alias("badge_y"), "number")
+    near = rows.join(marks, ["match_id", "frame"], "left").withColumn("away", F.abs(F.col("y") - F.col("badge_y")))
+    first = Window.partitionBy("match_id", "frame", "player_id").orderBy(F.asc_nulls_last("away"), "badge_y")
+    best = near.withColumn("place", F.row_number().over(first)).filter("place = 1").join(steps, ["match_id", "frame"])
+    held = F.col("away") <= team_size / 2 * F.coalesce("pitch", F.lit(usual_pitch))
+    team = F.when(held & (F.col("number") == 1), "blue").when(held & (F.col("number") == 2), "red")
+    return best.select("match_id", "frame", "player_id", team.alias("team"))
+
+
+def resolve_pending(rows: DataFrame, read: DataFrame, final: bool = False) -> DataFrame:
+    """rows: event_id, killer_id, victim_id, flag; read: event_id, killer, victim (ids read anew against the roster).
+
+    During play only a full pair fills what is missing, at the end single names do too; a row is never made a
+    self-kill; with both names the flag goes.
+    """
+    both = rows.join(read, "event_id", "left")
+    k, v = F.coalesce("killer_id", "killer"), F.coalesce("victim_id", "victim")
+    fits = ~F.coalesce(k == v, F.lit(False)) & (F.lit(final) | (k.isNotNull() & v.isNotNull()))
+    new_k, new_v = F.when(fits, k).otherwise(F.col("killer_id")), F.when(fits, v).otherwise(F.col("victim_id"))
+    done = new_k.isNotNull() & new_v.isNotNull() & (new_k != new_v)
+    flag = F.when((F.col("flag") == "UNRESOLVED") & done, F.lit(None)).otherwise(F.col("flag"))
+    return both.select("event_id", new_k.alias("killer_id"), new_v.alias("victim_id"), flag.alias("flag"))
+
+
+def round_sides(sides: DataFrame, changes: DataFrame, starts: DataFrame) -> DataFrame:
+    """Players per side of a round: the first reading of both sides that adds up to the settled counter while no one has died in the round.
+
+    sides: match_id, t_ms, blue, red; changes: match_id, t_ms, value, deaths (of the counter); starts: match_id, round_no, start_ms, end_ms.
+    One time line per match: the counter's value, the deaths and the starts so far are carried along to each reading.
+    """
+    none = F.lit(None).cast("long")
+    line = Window.partitionBy("match_id").orderBy("t_ms").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    values = changes.select("match_id", "t_ms", F.struct("t_ms", "value").alias("v"), F.when(F.col("deaths") > 0, F.col("t_ms")).alias("died"))
+    begun = starts.select("match_id", F.col("start_ms").alias("t_ms"), F.struct("start_ms", "round_no", "end_ms").alias("s"))
+    asked = sides.select("match_id", "t_ms", F.col("blue").cast("long").alias("blue"), F.col("red").cast("long").alias("red"), F.lit(1).alias("asks"))
+    rows = asked.unionByName(values, allowMissingColumns=True).unionByName(begun, allowMissingColumns=True)
+    known = rows.withColumns({"now": F.max("v").over(line)["value"], "last_death": F.coalesce(F.max("died").over(line), none), "round": F.max("s").over(line)}).filter("asks = 1")
+    fits = (F.col("blue") + F.col("red") == F.col("now")) & (F.col("t_ms") <= F.col("round.end_ms")) & ~F.coalesce(F.col("last_death") >= F.col("round.start_ms"), F.lit(False))
+    return known.filter(fits).groupBy("match_id", F.col("round.round_no").alias("round_no")).agg(F.min_by("blue", "t_ms").alias("blue"), F.min_by("red", "t_ms").alias("red"))

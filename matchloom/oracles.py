@@ -326,3 +326,23 @@ ROW_SELECTS: dict[str, str] = {
     "scalar_functions": """SELECT player_id, translate(lower(regexp_replace(ign, '\\s+', '', 'g')), 'ø0', 'oo') AS norm, regexp_replace('*' || ign || '!', '[^\\p{L}\\p{N}_.\\-]', '', 'g') AS clean,
         lpad(CAST(player_id * 37 // 60 AS VARCHAR), CAST(greatest(2, length(CAST(player_id * 37 // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(player_id * 37 % 60 AS VARCHAR), 2, '0') || '.25' AS mmss, '2024-01-05 10-00-00' AS stamp FROM pl""",
 }
+
+ROW_SELECTS |= {
+    "badge_team": """, r AS (SELECT match_id, f AS frame, player_id, 100 + slot * 80 + slot % 3 - f * 400 AS y FROM mp, (SELECT unnest([0, 1]) AS f) WHERE f = 0 OR slot >= 5),
+        st AS (SELECT match_id, frame, median(y - b) AS pitch FROM (SELECT *, lag(y) OVER (PARTITION BY match_id, frame ORDER BY y) AS b FROM r) GROUP BY ALL),
+        bg AS (SELECT unnest([0, 0, 1]) AS frame, unnest([380, 980, 580]) AS badge_y, unnest([1, 2, 2]) AS number),
+        n AS (SELECT r.*, badge_y, number, abs(y - badge_y) AS away FROM r JOIN bg USING (frame) QUALIFY row_number() OVER (PARTITION BY match_id, frame, player_id ORDER BY abs(y - badge_y), badge_y) = 1)
+        SELECT match_id, frame, player_id, CASE WHEN away <= 4 * coalesce(pitch, 82) THEN CASE number WHEN 1 THEN 'blue' ELSE 'red' END END AS team FROM n JOIN st USING (match_id, frame)""",
+    "resolve_pending": """, p AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN killer_id END AS k0, CASE WHEN event_id % 4 <> 0 THEN victim_id END AS v0,
+            CASE WHEN event_id % 2 = 0 AND event_id % 5 <> 0 THEN killer_id END AS k1, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 14 = 0 THEN killer_id ELSE victim_id END END AS v1 FROM ev),
+        f AS (SELECT *, coalesce(k0, k1) <> coalesce(v0, v1) AS fits FROM p)
+        SELECT event_id, CASE WHEN fits THEN coalesce(k0, k1) ELSE k0 END AS killer_id, CASE WHEN fits THEN coalesce(v0, v1) ELSE v0 END AS victim_id,
+        CASE WHEN k0 IS NOT NULL AND v0 IS NOT NULL THEN NULL WHEN fits THEN NULL ELSE 'UNRESOLVED' END AS flag FROM f""",
+    "round_sides": """, sr AS (SELECT match_id, feed_ms AS t_ms, 8 AS blue, max(CASE WHEN event_id % 5 = 0 THEN 6 ELSE 7 END) AS red FROM ev WHERE event_id % 3 <> 0 GROUP BY match_id, feed_ms),
+        k AS (SELECT sr.*, (SELECT arg_max(value, t_ms) FROM cc WHERE cc.match_id = sr.match_id AND cc.t_ms <= sr.t_ms) AS now, (SELECT max(t_ms) FROM cc WHERE cc.match_id = sr.match_id AND deaths > 0 AND cc.t_ms <= sr.t_ms) AS died,
+                     (SELECT max(start_ms) FROM ro WHERE ro.match_id = sr.match_id AND ro.start_ms <= sr.t_ms) AS s FROM sr)
+        SELECT k.match_id, round_no, CAST(arg_min(blue, t_ms) AS BIGINT) AS blue, CAST(arg_min(red, t_ms) AS BIGINT) AS red FROM k JOIN ro ON ro.match_id = k.match_id AND ro.start_ms = k.s
+        WHERE blue + red = now AND t_ms <= end_ms AND NOT coalesce(died >= start_ms, false) GROUP BY k.match_id, round_no""",
+    "player_lines_order": """, made AS (SELECT match_id, killer_id, count(*) AS n FROM us GROUP BY ALL)
+        SELECT mp.match_id, mp.player_id, row_number() OVER (PARTITION BY mp.match_id ORDER BY team, coalesce(n, 0) DESC, ign) AS place FROM mp JOIN pl USING (player_id) LEFT JOIN made ON made.match_id = mp.match_id AND made.killer_id = mp.player_id""",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchloom import oracles
 from matchloom.functions import names
 from matchloom.jobs import export
-from matchloom.operators import awards, dims, matching, players, readings, rounds, rows
+from matchloom.operators import awards, dims, matching, players, readings, rounds, rows, tracking
 from matchloom.sources import dim_inputs, row_inputs
 from matchloom.sources import readings as bronze
 from matchloom.sources.mapping import Tables, load
@@ -143,6 +143,10 @@ def _true_cells(t: Tables) -> DataFrame:
     return _per_match(t).select("match_id", "player_id", F.explode(cells).alias("x")).select("match_id", "player_id", "x.*")
 
 
+def _grey_slots(t: Tables) -> DataFrame:
+    return rows.slot_deaths(row_inputs.slot_reads(t)).select("match_id", (F.col("t_ms") * 1000 + F.col("slot") % 15).alias("slot_id"), "t_ms")
+
+
 def _scalars(t: Tables) -> DataFrame:
     stamp = F.translate(names.recorded_at_from_name(F.concat(F.lit("run 2024-01-05_10-00-00 "), "ign")), ":", "-")
     seconds = (F.col("player_id") * 37 + 0.25).cast("double")
@@ -168,6 +172,12 @@ ON_ROWS: dict[str, Callable[[Tables], DataFrame]] = {
     "off_roster": lambda t: t.scoreboard.filter("round_no is null").join(t.aliases, "player_id", "left_anti").groupBy("match_id", "player_id").agg(F.max("value").alias("best")),
     "export_all_events": lambda t: export.range_sheets(t, FIRST_DAY, LAST_DAY)["all_events"].select("event_id", F.substring("recorded_at", 1, 10).alias("day")),
     "scalar_functions": _scalars,
+    "badge_team": lambda t: rows.badge_team(row_inputs.board_rows(t), row_inputs.board_badges(t), 8),
+    "resolve_pending": lambda t: rows.resolve_pending(row_inputs.pending_rows(t), row_inputs.read_again(t)),
+    "round_sides": lambda t: rows.round_sides(row_inputs.side_reads(t), readings.counter_changes(bronze.counter_reads(t)), t.rounds),
+    "player_lines_order": lambda t: dims.in_order(players.player_knock_lines(t.events, t.match_players).join(t.players.select("player_id", "ign"), "player_id"), ["team", F.desc("knocks"), F.lower("ign")], within=("match_id",)).select("match_id", "player_id", "place"),
+    "death_team": lambda t: matching.death_team(_deaths(t), _grey_slots(t)),
+    "track_lines": lambda t: tracking.track_lines(row_inputs.feed_sightings(t)),
 }
 
 
@@ -180,6 +190,17 @@ def _roster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.roster_match(*_name_reads(spark, sf_dir))
 
 
+def _row_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads, roster = _name_reads(spark, sf_dir)
+    pair = F.concat(F.translate("raw", " ", ""), F.lit(" => "), F.translate(F.reverse("raw"), " ", ""))
+    return matching.row_names(reads.select("roster_id", "read_id", pair.alias("raw")), roster.select("roster_id", F.translate("name", " ", "").alias("name")))
+
+
+def _name_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads, _ = _name_reads(spark, sf_dir)
+    return matching.name_consensus(reads.select((F.col("read_id") % 50).alias("key"), "raw"))
+
+
 def _roster_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.roster_collisions(_name_reads(spark, sf_dir)[0].select(F.col("raw").alias("name")))
 
@@ -188,7 +209,7 @@ def _on_folder(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, st
     return lambda spark, sf_dir: job(load(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS | ON_ROWS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS | ON_ROWS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions, "row_names": _row_names, "name_consensus": _name_consensus}
 ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_DIMS + select for name, select in oracles.DIM_SELECTS.items()}
 ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in (oracles.READ_SELECTS | oracles.ROW_SELECTS).items()}
 QUERIES |= streaming.QUERIES

@@ -82,3 +82,41 @@ def screen_rows(t: Tables) -> DataFrame:
 
 def counter_misses(t: Tables) -> DataFrame:
     return t.events.filter(counted_elimination() & (F.col("event_id") % 7 == 0)).select("match_id", "feed_ms")
+
+
+def board_rows(t: Tables) -> DataFrame:
+    """match_id, frame, player_id, y: the players of a match down a board, on two scroll positions."""
+    rows = t.match_players.select("match_id", "player_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("frame"), "slot")
+    return rows.filter("frame = 0 or slot >= 5").select("match_id", "frame", "player_id", (100 + F.col("slot") * 80 + F.col("slot") % 3 - F.col("frame") * 400).alias("y"))
+
+
+def board_badges(t: Tables) -> DataFrame:
+    marks = F.array(*(F.struct(F.lit(f).alias("frame"), F.lit(y).alias("y"), F.lit(n).alias("number")) for f, y, n in ((0, 380, 1), (0, 980, 2), (1, 580, 2))))
+    return t.matches.select("match_id", F.explode(marks).alias("x")).select("match_id", "x.*")
+
+
+def pending_rows(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    k, v = F.when(e % 3 != 0, F.col("killer_id")), F.when(e % 4 != 0, F.col("victim_id"))
+    return t.events.select("event_id", k.alias("killer_id"), v.alias("victim_id"), F.when(k.isNull() | v.isNull(), "UNRESOLVED").alias("flag"))
+
+
+def read_again(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    return t.events.filter("event_id % 2 = 0").select("event_id", F.when(e % 5 != 0, F.col("killer_id")).alias("killer"), F.when(e % 14 == 0, F.col("killer_id")).otherwise(F.col("victim_id")).alias("victim"))
+
+
+def side_reads(t: Tables) -> DataFrame:
+    """match_id, t_ms, blue, red: a side count at every third event: right at first, then one short."""
+    n = F.when(F.col("event_id") % 5 == 0, F.lit(14)).otherwise(F.lit(15))
+    blue = F.lit(8)
+    return t.events.filter("event_id % 3 <> 0").groupBy("match_id", F.col("feed_ms").alias("t_ms")).agg(F.max(blue).alias("blue"), F.max(n - blue).alias("red"))
+
+
+def feed_sightings(t: Tables) -> DataFrame:
+    """match_id, t_ms, y, h, icons: each event's row seen up to 8 times, moving up after three, at times without its icons."""
+    seen = t.events.filter("event_type <> 'other'").select("*", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 8).cast("int"))).alias("i"))
+    kind = F.when(F.col("event_type") == "knock", "knock").when(F.col("event_type") == "eliminated_knocked", "tombstone")
+    icons = F.when((F.col("event_id") + F.col("i")) % 6 == 5, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(kind, F.col("weapon"))))
+    y = 438 - 52 * F.floor(F.col("i") / 3) - F.col("event_id") % 3 * 150
+    return seen.select("match_id", (F.col("feed_ms") + 200 * F.col("i")).alias("t_ms"), y.cast("int").alias("y"), F.lit(34).alias("h"), icons.alias("icons"))
