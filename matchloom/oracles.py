@@ -329,10 +329,10 @@ ROW_SELECTS: dict[str, str] = {
 
 ROW_SELECTS |= {
     "badge_team": """, r AS (SELECT match_id, f AS frame, player_id, 100 + slot * 80 + slot % 3 - f * 400 AS y FROM mp, (SELECT unnest([0, 1]) AS f) WHERE f = 0 OR slot >= 5),
-        st AS (SELECT match_id, frame, median(y - b) AS pitch FROM (SELECT *, lag(y) OVER (PARTITION BY match_id, frame ORDER BY y) AS b FROM r) GROUP BY ALL),
+        pit AS (SELECT match_id, frame, median(y - b) AS pitch FROM (SELECT *, lag(y) OVER (PARTITION BY match_id, frame ORDER BY y) AS b FROM r) GROUP BY ALL),
         bg AS (SELECT unnest([0, 0, 1]) AS frame, unnest([380, 980, 580]) AS badge_y, unnest([1, 2, 2]) AS number),
         n AS (SELECT r.*, badge_y, number, abs(y - badge_y) AS away FROM r JOIN bg USING (frame) QUALIFY row_number() OVER (PARTITION BY match_id, frame, player_id ORDER BY abs(y - badge_y), badge_y) = 1)
-        SELECT match_id, frame, player_id, CASE WHEN away <= 4 * coalesce(pitch, 82) THEN CASE number WHEN 1 THEN 'blue' ELSE 'red' END END AS team FROM n JOIN st USING (match_id, frame)""",
+        SELECT match_id, frame, player_id, CASE WHEN away <= 4 * coalesce(pitch, 82) THEN CASE number WHEN 1 THEN 'blue' ELSE 'red' END END AS team FROM n JOIN pit USING (match_id, frame)""",
     "resolve_pending": """, p AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN killer_id END AS k0, CASE WHEN event_id % 4 <> 0 THEN victim_id END AS v0,
             CASE WHEN event_id % 2 = 0 AND event_id % 5 <> 0 THEN killer_id END AS k1, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 14 = 0 THEN killer_id ELSE victim_id END END AS v1 FROM ev),
         f AS (SELECT *, coalesce(k0, k1) <> coalesce(v0, v1) AS fits FROM p)
