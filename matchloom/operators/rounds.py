@@ -81,3 +81,35 @@ def board_progress(match_players: DataFrame, scoreboard: DataFrame) -> DataFrame
     read = scoreboard.filter("round_no is null").select("match_id", "player_id").distinct().withColumn("on", F.lit(1))
     rows = match_players.join(read, ["match_id", "player_id"], "left").groupBy("match_id").agg(F.count("*").alias("expected"), F.count("on").alias("read"))
     return rows.withColumn("complete", F.col("expected") == F.col("read"))
+
+
+def round_segments(live: DataFrame, boards: DataFrame, resets: DataFrame, deaths: DataFrame, rows: DataFrame, rises: DataFrame) -> DataFrame:
+    """match_id, round_no, start_ms, end_ms. All inputs but boards (match_id, end_ms): match_id, t_ms.
+
+    Between two boards' ends lies at most one round. It starts at the first live screen, or at a counter reset
+    that a death, or a row 8 s later, shows to be the start of play, whichever is first; it ends when a score
+    rises, else at the last live screen.
+    """
+    mark = lambda df, kind, t="t_ms": df.select("match_id", F.col(t).alias("t_ms"), F.lit(kind).alias("kind"))
+    line = mark(boards, "board", "end_ms")
+    for df, kind in ((live, "live"), (resets, "reset"), (deaths, "death"), (rows, "row"), (rises, "rise")):
+        line = line.unionByName(mark(df, kind))
+    so_far = Window.partitionBy("match_id").orderBy("t_ms").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    part = Window.partitionBy("match_id", "part")
+    is_ = lambda kind: F.col("kind") == kind
+    parts = line.withColumn("part", F.sum(is_("board").cast("int")).over(so_far)).filter("kind <> 'board'")
+    parts = parts.withColumns({"live_ms": F.min(F.when(is_("live"), F.col("t_ms"))).over(part), "reset_ms": F.min(F.when(is_("reset"), F.col("t_ms"))).over(part)})
+    shows = (is_("death") & (F.col("t_ms") >= F.col("reset_ms"))) | (is_("row") & (F.col("t_ms") >= F.col("reset_ms") + LATE_ROW_MS))
+    proven = F.coalesce(F.max(shows).over(part), F.lit(False))
+    begun = parts.withColumn("start_ms", F.when(proven, F.least("live_ms", "reset_ms")).otherwise(F.col("live_ms"))).filter("start_ms is not null")
+    each = begun.groupBy("match_id", "part", "start_ms").agg(F.min(F.when(is_("rise") & (F.col("t_ms") >= F.col("start_ms")), F.col("t_ms"))).alias("rise"), F.max(F.when(is_("live"), F.col("t_ms"))).alias("gone"))
+    number = F.row_number().over(Window.partitionBy("match_id").orderBy("part"))
+    return each.select("match_id", number.alias("round_no"), "start_ms", F.coalesce("rise", F.greatest("gone", "start_ms")).alias("end_ms"))
+
+
+def missed_rounds(boards: DataFrame, rounds: DataFrame) -> DataFrame:
+    """boards: match_id, board_no, start_ms, end_ms. Boards that no round belongs to: match_id, board_no, and the round they stand for (from the board before, or the start, to the board)."""
+    line = Window.partitionBy("match_id").orderBy("board_no")
+    spans = boards.select("match_id", "board_no", F.coalesce(F.lag("end_ms").over(line), F.lit(0)).alias("from_ms"), F.col("start_ms").alias("to_ms"))
+    held = spans.join(rounds.select("match_id", "start_ms"), "match_id").filter("start_ms >= from_ms and start_ms < to_ms").select("match_id", "board_no").distinct()
+    return spans.join(held, ["match_id", "board_no"], "left_anti").select("match_id", "board_no", F.col("from_ms").alias("start_ms"), F.col("to_ms").alias("end_ms"))

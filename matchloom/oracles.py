@@ -346,3 +346,17 @@ ROW_SELECTS |= {
     "player_lines_order": """, made AS (SELECT match_id, killer_id, count(*) AS n FROM us GROUP BY ALL)
         SELECT mp.match_id, mp.player_id, row_number() OVER (PARTITION BY mp.match_id ORDER BY team, coalesce(n, 0) DESC, ign) AS place FROM mp JOIN pl USING (player_id) LEFT JOIN made ON made.match_id = mp.match_id AND made.killer_id = mp.player_id""",
 }
+
+_BOARDS = f"(SELECT match_id, CAST(no AS BIGINT) AS board_no, min(t_ms) AS start_ms, max(t_ms) AS end_ms FROM {_islands('sc', 'match_id', 2000)} GROUP BY match_id, no)"
+ROW_SELECTS |= {
+    "round_segments": f""", bs AS {_BOARDS},
+        mk AS (SELECT match_id, feed_ms AS t_ms, 'live' AS kind FROM ev WHERE event_id % 3 = 1 UNION ALL SELECT match_id, t_ms, 'reset' FROM cc WHERE is_reset UNION ALL SELECT match_id, t_ms, 'death' FROM cc WHERE deaths > 0
+            UNION ALL SELECT match_id, feed_ms, 'row' FROM ev UNION ALL SELECT match_id, end_ms, 'rise' FROM ro),
+        pt AS (SELECT *, (SELECT count(*) FROM bs WHERE bs.match_id = mk.match_id AND bs.end_ms <= mk.t_ms) AS part FROM mk),
+        lo AS (SELECT match_id, part, min(t_ms) FILTER (kind = 'live') AS l, min(t_ms) FILTER (kind = 'reset') AS r FROM pt GROUP BY match_id, part),
+        sx AS (SELECT match_id, part, CASE WHEN EXISTS (SELECT 1 FROM pt WHERE pt.match_id = lo.match_id AND pt.part = lo.part AND ((kind = 'death' AND t_ms >= r) OR (kind = 'row' AND t_ms >= r + 8000))) THEN least(l, r) ELSE l END AS s FROM lo),
+        en AS (SELECT sx.match_id, sx.part, s, min(t_ms) FILTER (kind = 'rise' AND t_ms >= s) AS rise, max(t_ms) FILTER (kind = 'live') AS gone FROM sx JOIN pt ON pt.match_id = sx.match_id AND pt.part = sx.part WHERE s IS NOT NULL GROUP BY ALL)
+        SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY part) AS round_no, s AS start_ms, coalesce(rise, greatest(gone, s)) AS end_ms FROM en""",
+    "missed_round": f""", bs AS {_BOARDS}, sp AS (SELECT match_id, board_no, coalesce(lag(end_ms) OVER (PARTITION BY match_id ORDER BY board_no), 0) AS f, start_ms AS t FROM bs)
+        SELECT match_id, board_no, f AS start_ms, t AS end_ms FROM sp WHERE NOT EXISTS (SELECT 1 FROM ro WHERE ro.match_id = sp.match_id AND ro.start_ms >= f AND ro.start_ms < t)""",
+}

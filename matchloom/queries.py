@@ -143,6 +143,14 @@ def _true_cells(t: Tables) -> DataFrame:
     return _per_match(t).select("match_id", "player_id", F.explode(cells).alias("x")).select("match_id", "player_id", "x.*")
 
 
+def _segments(t: Tables) -> DataFrame:
+    at = lambda df: df.select("match_id", F.col("feed_ms").alias("t_ms"))
+    changes = readings.counter_changes(bronze.counter_reads(t))
+    boards = readings.board_sessions(bronze.screen_reads(t))
+    rises = t.rounds.select("match_id", F.col("end_ms").alias("t_ms"))
+    return rounds.round_segments(at(t.events.filter("event_id % 3 = 1")), boards, changes.filter("is_reset"), changes.filter("deaths > 0"), at(t.events), rises)
+
+
 def _grey_slots(t: Tables) -> DataFrame:
     return rows.slot_deaths(row_inputs.slot_reads(t)).select("match_id", (F.col("t_ms") * 1000 + F.col("slot") % 15).alias("slot_id"), "t_ms")
 
@@ -176,6 +184,8 @@ ON_ROWS: dict[str, Callable[[Tables], DataFrame]] = {
     "resolve_pending": lambda t: rows.resolve_pending(row_inputs.pending_rows(t), row_inputs.read_again(t)),
     "round_sides": lambda t: rows.round_sides(row_inputs.side_reads(t), readings.counter_changes(bronze.counter_reads(t)), t.rounds),
     "player_lines_order": lambda t: dims.in_order(players.player_knock_lines(t.events, t.match_players).join(t.players.select("player_id", "ign"), "player_id"), ["team", F.desc("knocks"), F.lower("ign")], within=("match_id",)).select("match_id", "player_id", "place"),
+    "round_segments": _segments,
+    "missed_round": lambda t: rounds.missed_rounds(readings.board_sessions(bronze.screen_reads(t)), t.rounds),
     "death_team": lambda t: matching.death_team(_deaths(t), _grey_slots(t)),
     "track_lines": lambda t: tracking.track_lines(row_inputs.feed_sightings(t)),
 }
