@@ -101,17 +101,17 @@ def test_sessions_and_votes(spark):
     assert sorted(r.t_ms for r in readings.sample_readings(s).collect()) == [0, 300, 600]
 
 
-ROSTER = ["RGODxEMPEROR", "Anoydyne15op", "TheWolverine", "OmkarKurhade", "KG696969"]
+ROSTER = ["ROGUExEMPRESSO", "Paradyne15up", "TheNightjar", "OmarKestrelo", "BG696969"]
 
 
 def test_names(spark):
-    reads = spark.createDataFrame([(1, x) for x in ("RGOOxEMPEROR", "AnoydynelSop", "KGGSESE9", "zzz", "", "TheWolver1ne")], "roster_id long, raw string")
+    reads = spark.createDataFrame([(1, x) for x in ("ROGUExENPRE5SO", "ParadynelSup", "BGGSESE9", "zzz", "", "TheN1ghtjar")], "roster_id long, raw string")
     rosters = spark.createDataFrame([(1, n) for n in ROSTER], "roster_id long, name string")
     got = {r.raw: r.name for r in matching.roster_match(reads, rosters).collect()}
-    assert got == {"RGOOxEMPEROR": "RGODxEMPEROR", "AnoydynelSop": "Anoydyne15op", "KGGSESE9": "KG696969", "zzz": None, "": None, "TheWolver1ne": "TheWolverine"}
-    folded = spark.createDataFrame([("RGODxEMPERØR",), ("RGODxEMPEROR",), ("g",), ("q",), ("D",), ("d",), (None,)], "name string").select("name", names.fold_name("name").alias("f")).collect()
+    assert got == {"ROGUExENPRE5SO": "ROGUExEMPRESSO", "ParadynelSup": "Paradyne15up", "BGGSESE9": "BG696969", "zzz": None, "": None, "TheN1ghtjar": "TheNightjar"}
+    folded = spark.createDataFrame([("ROGUExEMPRESSØ",), ("ROGUExEMPRESSO",), ("g",), ("q",), ("D",), ("d",), (None,)], "name string").select("name", names.fold_name("name").alias("f")).collect()
     f = {r.name: r.f for r in folded}
-    assert f["RGODxEMPERØR"] == f["RGODxEMPEROR"] and f["g"] == f["q"] and f["D"] == f["d"] and f[None] == ""
+    assert f["ROGUExEMPRESSØ"] == f["ROGUExEMPRESSO"] and f["g"] == f["q"] and f["D"] == f["d"] and f[None] == ""
 
 
 def test_pairing_prefers_the_timely_death(spark):
@@ -136,12 +136,12 @@ def test_small_functions(spark):
 
 def test_row_names(spark):
     reads = spark.createDataFrame(
-        [(1, 1, "RGOOxEMPEROR y= => AnoydynelSop"), (1, 2, "ine =P' TheWolverine"), (1, 3, "RGODxEMPEROR =P ~~"), (1, 4, "RGODxEMPEROR =P a1"), (1, 5, "OmkarKurhade"), (1, 6, "x1 OmkarKurhade J"), (1, 7, "KG696969 a KG696969"), (1, 8, "")],
+        [(1, 1, "ROGUExENPRE5SO y= => ParadynelSup"), (1, 2, "ine =P' TheNightjar"), (1, 3, "ROGUExEMPRESSO =P ~~"), (1, 4, "ROGUExEMPRESSO =P a1"), (1, 5, "OmarKestrelo"), (1, 6, "x1 OmarKestrelo J"), (1, 7, "BG696969 a BG696969"), (1, 8, "")],
         "roster_id long, read_id long, raw string",
     )
     rosters = spark.createDataFrame([(1, n) for n in ROSTER], "roster_id long, name string")
     got = {r.read_id: (r.killer, r.victim) for r in matching.row_names(reads, rosters).collect()}
-    assert got[1] == ("RGODxEMPEROR", "Anoydyne15op") and got[2] == (None, "TheWolverine") and got[4] == ("RGODxEMPEROR", None)
+    assert got[1] == ("ROGUExEMPRESSO", "Paradyne15up") and got[2] == (None, "TheNightjar") and got[4] == ("ROGUExEMPRESSO", None)
     assert got[5] == got[6] == got[7] == got[8] == (None, None)
 
 
