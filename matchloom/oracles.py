@@ -360,3 +360,12 @@ ROW_SELECTS |= {
     "missed_round": f""", bs AS {_BOARDS}, sp AS (SELECT match_id, board_no, coalesce(lag(end_ms) OVER (PARTITION BY match_id ORDER BY board_no), 0) AS f, start_ms AS t FROM bs)
         SELECT match_id, board_no, f AS start_ms, t AS end_ms FROM sp WHERE NOT EXISTS (SELECT 1 FROM ro WHERE ro.match_id = sp.match_id AND ro.start_ms >= f AND ro.start_ms < t)""",
 }
+
+#: With recursion: each kept row leads to the next one of its key that is more than 5 s later.
+RECURSIVE_SELECTS: dict[str, str] = {
+    "dedupe_events": """, dn AS (SELECT event_id, match_id, killer_id, victim_id, event_type, feed_ms FROM ev WHERE killer_id IS NOT NULL AND victim_id IS NOT NULL),
+        kp AS (SELECT * FROM (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY match_id, killer_id, victim_id, event_type ORDER BY feed_ms, event_id) = 1)
+            UNION ALL SELECT event_id, match_id, killer_id, victim_id, event_type, feed_ms FROM (SELECT d.*, row_number() OVER (PARTITION BY d.match_id, d.killer_id, d.victim_id, d.event_type ORDER BY d.feed_ms, d.event_id) AS n
+                FROM kp JOIN dn d ON d.match_id = kp.match_id AND d.killer_id = kp.killer_id AND d.victim_id = kp.victim_id AND d.event_type = kp.event_type AND d.feed_ms > kp.feed_ms + 5000) WHERE n = 1)
+        SELECT event_id FROM kp""",
+}

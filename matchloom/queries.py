@@ -222,5 +222,6 @@ def _on_folder(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, st
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS | ON_ROWS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions, "row_names": _row_names, "name_consensus": _name_consensus}
 ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_DIMS + select for name, select in oracles.DIM_SELECTS.items()}
 ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in (oracles.READ_SELECTS | oracles.ROW_SELECTS).items()}
+ORACLE_SQL |= {name: oracles.BASE.replace("WITH", "WITH RECURSIVE", 1) + select for name, select in oracles.RECURSIVE_SELECTS.items()}
 QUERIES |= streaming.QUERIES
 ORACLE_SQL |= {name: oracles.BASE + select for name, select in streaming.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_READS + select for name, select in streaming.READ_SELECTS.items()}
