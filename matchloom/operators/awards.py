@@ -164,4 +164,4 @@ def role_order(roles: DataFrame, match_players: DataFrame, players: DataFrame) -
     none = match_players.select("match_id", "player_id").join(roles, ["match_id", "player_id"], "left_anti").select("match_id", "player_id", F.lit("-").alias("role"), F.lit(0).cast("long").alias("n"))
     everyone = counted.unionByName(none).join(match_players.select("match_id", "player_id", "team"), ["match_id", "player_id"], "left").join(players.select("player_id", "ign"), "player_id")
     order = Window.partitionBy("match_id").orderBy(F.col("role") == "-", F.coalesce("team", F.lit("")), F.lower("ign"), F.coalesce(F.try_element_at(place, F.col("role")), F.lit(99)))
-    return everyone.withColumn("place", F.row_number().over(order)).select("match_id", "place", "player_id", "role", "n")
+    return everyone.withColumn("place", F.row_number().over(order).cast("long")).select("match_id", "place", "player_id", "role", "n")

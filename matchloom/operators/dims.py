@@ -186,4 +186,4 @@ def board_vs_feed(per_match: DataFrame, scoreboard: DataFrame) -> DataFrame:
 
 def in_order(rows: DataFrame, by: list, place: str = "place", within: tuple[str, ...] = ()) -> DataFrame:
     """Rows with their place in an order, inside a key if one is given; the place survives where row order does not."""
-    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*within).orderBy(*by)))
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*within).orderBy(*by)).cast("long"))

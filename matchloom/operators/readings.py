@@ -39,7 +39,7 @@ def counter_changes(reads: DataFrame) -> DataFrame:
 
 def counter_deaths(reads: DataFrame) -> DataFrame:
     """match_id, t_ms, death_no (1, 2, ... of deaths at one time)."""
-    return counter_changes(reads).filter("deaths > 0").select("match_id", "t_ms", F.explode(F.sequence(F.lit(1), F.col("deaths").cast("int"))).alias("death_no"))
+    return counter_changes(reads).filter("deaths > 0").select("match_id", "t_ms", F.explode(F.sequence(F.lit(1).cast("long"), F.col("deaths").cast("long"))).alias("death_no"))
 
 
 def board_sessions(detected: DataFrame, gap_ms: int = BOARD_GAP_MS, whole_ms: int = MATCH_BOARD_MS) -> DataFrame:

@@ -103,7 +103,7 @@ def round_segments(live: DataFrame, boards: DataFrame, resets: DataFrame, deaths
     proven = F.coalesce(F.max(shows).over(part), F.lit(False))
     begun = parts.withColumn("start_ms", F.when(proven, F.least("live_ms", "reset_ms")).otherwise(F.col("live_ms"))).filter("start_ms is not null")
     each = begun.groupBy("match_id", "part", "start_ms").agg(F.min(F.when(is_("rise") & (F.col("t_ms") >= F.col("start_ms")), F.col("t_ms"))).alias("rise"), F.max(F.when(is_("live"), F.col("t_ms"))).alias("gone"))
-    number = F.row_number().over(Window.partitionBy("match_id").orderBy("part"))
+    number = F.row_number().over(Window.partitionBy("match_id").orderBy("part")).cast("long")
     return each.select("match_id", number.alias("round_no"), "start_ms", F.coalesce("rise", F.greatest("gone", "start_ms")).alias("end_ms"))
 
 

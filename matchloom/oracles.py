@@ -233,7 +233,7 @@ gr AS (SELECT match_id, unnest(range(0, 1080001, 500)) AS t_ms FROM ma),
 de AS (SELECT match_id, feed_ms AS t_ms, feed_ms // 72000 AS part FROM ev WHERE {_OUT}),
 cn AS (SELECT match_id, part, t_ms, count(*) AS n FROM de GROUP BY ALL),
 al0 AS (SELECT match_id, t_ms // 72000 AS part, t_ms, 0 AS n, 1 AS g FROM gr UNION ALL SELECT match_id, part, t_ms, n, 0 FROM cn),
-al1 AS (SELECT *, sum(n) OVER (PARTITION BY match_id, part ORDER BY t_ms RANGE UNBOUNDED PRECEDING) AS dead FROM al0),
+al1 AS (SELECT *, CAST(sum(n) OVER (PARTITION BY match_id, part ORDER BY t_ms RANGE UNBOUNDED PRECEDING) AS BIGINT) AS dead FROM al0),
 rd AS (SELECT match_id, t_ms, CASE WHEN t_ms // 500 % 37 <> 0 THEN greatest(15 - dead, 0) + CASE WHEN t_ms // 500 % 41 = 0 THEN 1 ELSE 0 END END AS value FROM al1 WHERE g = 1),
 -- two equal readings in a row (unread ones skipped) confirm a value
 ru0 AS (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS nx, row_number() OVER w AS i FROM rd WHERE value IS NOT NULL WINDOW w AS (PARTITION BY match_id ORDER BY t_ms)),
