@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.operators.readings import counter_deaths
 from matchloom.sources import mapping
 from matchloom.sources import readings as bronze
 from matchloom.streaming import jobs
@@ -49,6 +50,43 @@ def stream_match_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.read_upserts(spark, f"{at}/out", ["event_id"], "version")
 
 
-QUERIES = {"stream_counter_deaths": stream_counter_deaths, "stream_match_upserts": stream_match_upserts}
+def _in_thirds(rows: DataFrame, t_ms: str, end: DataFrame | None = None) -> list[DataFrame]:
+    """Rows in three deliveries by time; end: rows of a later time that move the watermark past all others."""
+    third = F.floor(F.col(t_ms) * 3 / (bronze.MATCH_MS + 10_000))
+    return [rows.filter(third == k) for k in range(3)] + ([end, end] if end is not None else [])
+
+
+def stream_sighting_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of sightings, read as a stream: match_id, line, first_ms, last_ms, seen."""
+    seen = bronze.sightings(mapping.load(spark, sf_dir)).select("match_id", "line", "t_ms", F.timestamp_millis("t_ms").alias("ts"))
+    after = spark.range(1).select(F.lit(-1).cast("long").alias("match_id"), F.lit(-1).cast("long").alias("line"), F.lit(10**9).cast("long").alias("t_ms"), F.timestamp_millis(F.lit(10**9)).alias("ts"))
+    found = run_to_end(spark, _in_thirds(seen, "t_ms", after), jobs.sighting_stream)
+    return found.filter("match_id >= 0").select("match_id", "line", F.unix_millis("first").alias("first_ms"), F.unix_millis("last").alias("last_ms"), "seen")
+
+
+def stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eliminations and deaths near each other in one round, joined as two streams: match_id, round_no, event_id, death_id."""
+    t = mapping.load(spark, sf_dir)
+    round_ = lambda c: F.expr(f"{c} div {bronze.ROUND_MS} + 1").alias("round_no")
+    rows = t.events.filter(F.col("event_type").isin("kill", "eliminated_knocked")).select("match_id", round_("feed_ms"), "event_id", F.col("feed_ms").alias("t_ms"), F.timestamp_millis("feed_ms").alias("ts"))
+    died = counter_deaths(bronze.counter_reads(t))
+    deaths = died.select("match_id", round_("t_ms"), (F.col("t_ms") * 100 + F.col("death_no")).alias("death_id"), "t_ms", F.timestamp_millis("t_ms").alias("ts"))
+    at = _folder(spark)
+    for name, df in (("rows", rows), ("deaths", deaths)):
+        for part in _in_thirds(df, "t_ms"):
+            part.drop("t_ms").coalesce(1).write.mode("append").parquet(f"{at}/{name}")
+    read = lambda name, df: spark.readStream.schema(df.drop("t_ms").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/{name}")
+    pairs = jobs.align_stream(read("rows", rows), read("deaths", deaths))
+    pairs.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema(pairs.schema).parquet(f"{at}/out").select("match_id", "round_no", "event_id", "death_id")
+
+
+QUERIES = {"stream_counter_deaths": stream_counter_deaths, "stream_match_upserts": stream_match_upserts, "stream_sighting_sessions": stream_sighting_sessions, "stream_align": stream_align}
 SELECTS = {"stream_match_upserts": "SELECT event_id, match_id, true_ms, 2 AS version FROM ev"}
-READ_SELECTS = {"stream_counter_deaths": "SELECT match_id, t_ms, was, value, deaths FROM cc"}
+READ_SELECTS = {
+    "stream_counter_deaths": "SELECT match_id, t_ms, was, value, deaths FROM cc",
+    "stream_sighting_sessions": "SELECT match_id, line, min(t_ms) AS first_ms, max(t_ms) AS last_ms, count(*) AS seen FROM si GROUP BY match_id, line",
+    "stream_align": """, dt AS (SELECT match_id, t_ms // 72000 + 1 AS round_no, t_ms, unnest(range(1, deaths + 1)) AS n FROM cc WHERE deaths > 0)
+        SELECT ev.match_id, dt.round_no, event_id, dt.t_ms * 100 + n AS death_id FROM ev JOIN dt ON dt.match_id = ev.match_id AND dt.round_no = ev.feed_ms // 72000 + 1
+        WHERE event_type IN ('kill', 'eliminated_knocked') AND dt.t_ms BETWEEN ev.feed_ms - 12000 AND ev.feed_ms + 1000""",
+}
