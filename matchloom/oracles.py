@@ -369,3 +369,24 @@ RECURSIVE_SELECTS: dict[str, str] = {
                 FROM kp JOIN dn d ON d.match_id = kp.match_id AND d.killer_id = kp.killer_id AND d.victim_id = kp.victim_id AND d.event_type = kp.event_type AND d.feed_ms > kp.feed_ms + 5000) WHERE n = 1)
         SELECT event_id FROM kp""",
 }
+
+_GUN_ROLE = " ".join(f"WHEN weapon IN ({', '.join(chr(39) + g + chr(39) for g in CLASSES[c])}) THEN '{r}'" for c, r in (("AR", "AR player"), ("SMG", "SMG player"), ("LMG", "LMG player"), ("Sniper", "Sniper player"), ("Shotgun", "Shotgun specialist")))
+_S = "CASE WHEN {0} = 1 THEN '' ELSE 's' END"
+SELECTS["role_details"] = f""", dn AS (SELECT match_id, victim_id, count(*) AS downs FROM us GROUP BY ALL),
+    gu AS (SELECT match_id, killer_id AS player_id, weapon, count(*) AS c, CASE {_GUN_ROLE} END AS role FROM us WHERE weapon IN ({_GUNS}) GROUP BY ALL),
+    g3 AS (SELECT *, row_number() OVER (PARTITION BY match_id, player_id, role ORDER BY c DESC, weapon) AS i, sum(c) OVER (PARTITION BY match_id, player_id) AS read FROM gu),
+    gt AS (SELECT match_id, player_id, role, CAST(any_value(read) AS BIGINT) AS read, string_agg(weapon || ' x' || c, ', ' ORDER BY i) FILTER (i <= 3) AS guns FROM g3 GROUP BY ALL)
+    SELECT match_id, rs.player_id, 'Rival' AS role, 'Traded knocks with ' || o.ign || ': knocked ' || o.ign || ' ' || knocked || ' time' || {_S.format('knocked')} || ', was knocked by ' || o.ign || ' ' || knocked_by || ' time' || {_S.format('knocked_by')} || '.' AS detail
+      FROM rs JOIN pl o ON o.player_id = rs.opponent_id
+    UNION ALL SELECT dm.match_id, dm.player_id, 'Dominating', 'Knocked ' || o.ign || ' ' || n || ' time' || {_S.format('n')} || ' (' || share || '% of the ' || downs || ' times ' || o.ign || ' was knocked)' || CASE WHEN back > 0 THEN '; ' || o.ign || ' knocked back ' || back || '.' ELSE '; never knocked back.' END
+      FROM dm JOIN pl o ON o.player_id = dm.opponent_id JOIN dn ON dn.match_id = dm.match_id AND dn.victim_id = dm.opponent_id
+    UNION ALL SELECT match_id, player_id, role, n || CASE role WHEN 'Grenadier' THEN ' grenade knock' WHEN 'Driver' THEN ' car knock' ELSE ' Molotov knock' END || {_S.format('n')} || CASE WHEN joint THEN ' (joint most)' ELSE ' (most in the match)' END
+      || CASE role WHEN 'Driver' THEN ', credited to the driver' ELSE '' END || '.' FROM tl
+    UNION ALL SELECT match_id, player_id, role, n || ' knocks with ' || CASE role WHEN 'AR player' THEN 'an AR' WHEN 'SMG player' THEN 'an SMG' WHEN 'LMG player' THEN 'an LMG' WHEN 'Sniper player' THEN 'a sniper rifle' ELSE 'a shotgun' END
+      || ', ' || share || '% of their ' || read || ' with a gun read (' || guns || ').' FROM wl JOIN gt USING (match_id, player_id, role)
+    UNION ALL SELECT match_id, player_id, 'Clutch', 'Round ' || round_no || ': knocked all ' || enemies || ' remaining enemies' || CASE WHEN own_alive IS NULL THEN '' ELSE ' (' || own_alive || ' alive against ' || enemies || ')' END || '.'
+      || CASE WHEN rounds > 1 THEN ' Also in ' || (rounds - 1) || ' other round' || {_S.format('(rounds - 1)')} || '.' ELSE '' END FROM cl"""
+SELECTS["basis_text"] = SELECTS["knock_basis"].replace("SELECT e.match_id, (SELECT count(*)", """SELECT match_id, CASE WHEN source = 'rows' THEN 'Based on ' || knocks_used || ' of ' || knocks_seen || ' knock rows seen (the end-of-match board was not read, so the true total is unknown).'
+    WHEN source = 'board_partial' THEN 'Based on ' || knocks_used || ' knock rows with both names read. The end-of-match board was only partly read (some players or Knock Outs cells missing), so its total of ' || knocks_seen || ' is a lower bound.'
+    WHEN knocks_used > knocks_seen THEN 'Based on ' || knocks_used || ' knock rows with both names read; the end-of-match board counts ' || knocks_seen || ' Knock Outs, so a few rows may be repeats or misreads.'
+    ELSE 'Based on ' || knocks_used || ' of ' || knocks_seen || ' knocks read (' || knocks_seen || ' = Knock Outs on the end-of-match board).' END AS basis FROM (SELECT e.match_id, (SELECT count(*)""", 1) + ")"

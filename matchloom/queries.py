@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchloom import oracles
 from matchloom.functions import names
 from matchloom.jobs import export
-from matchloom.operators import awards, dims, matching, players, readings, rounds, rows, tracking
+from matchloom.operators import awards, dims, matching, players, readings, rounds, rows, tracking, wording
 from matchloom.sources import dim_inputs, row_inputs
 from matchloom.sources import readings as bronze
 from matchloom.sources.mapping import Tables, load
@@ -60,6 +60,8 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "weapon_class_leaders": lambda t: awards.weapon_class_leaders(_usable(t)),
     "clutch": lambda t: awards.clutch(awards.clutch_moments(t.events, _usable(t), t.match_players, t.matches)),
     "knock_basis": lambda t: awards.knock_basis(t.events, _usable(t), t.match_players, t.scoreboard),
+    "role_details": lambda t: wording.role_details(t.events, _usable(t), t.match_players, t.matches, t.players),
+    "basis_text": lambda t: wording.basis_text(awards.knock_basis(t.events, _usable(t), t.match_players, t.scoreboard)),
     "known_names": lambda t: dims.known_names(t.players, t.aliases),
     "players_list": lambda t: dims.players_list(t.players, t.aliases),
     "resolve_player": lambda t: dims.resolve_player(dim_inputs.readings(t), t.players, t.aliases),
