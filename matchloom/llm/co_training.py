@@ -45,8 +45,9 @@ def text_view(text: str, known: dict[str, int]) -> tuple[np.ndarray, int, int]:
     """Distinct buckets of the text's tokens; number of tokens and of distinct tokens."""
     tokens = _TOKEN.findall(text.lower())
     distinct = set(tokens)
-    for t in distinct - known.keys():
-        known[t] = zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS
+    for t in distinct:
+        if t not in known:
+            known[t] = zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS
     return np.fromiter({known[t] for t in distinct}, dtype=np.int32), len(tokens), len(distinct)
 
 
@@ -54,11 +55,11 @@ def metadata_view(source: str, lang: str, text: str, n_tokens: int, n_distinct:
     out = np.zeros(META)
     n = max(1, len(text))
     lines = text.split("\n")
-    letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
     spaces = text.count(" ") + len(lines) - 1
+    symbols, digits = sum(text.count(c) for c in "|#$%&*<>"), sum(text.count(c) for c in "0123456789")
     out[:LAYOUT] = (
-        np.log1p(len(text)) / 10, np.log1p(len(lines)) / 5, np.log1p(len(text) / len(lines)) / 10, np.log1p(n / (1 + spaces)) / 3, letters / n, sum(text.count(c) for c in "|#$%&*<>") / n * 5,
-        sum(text.count(c) for c in "0123456789") / n * 5, n_distinct / max(1, n_tokens), len(set(lines)) / len(lines), text.count(".") / max(1, n_tokens) * 5,
+        np.log1p(len(text)) / 10, np.log1p(len(lines)) / 5, np.log1p(len(text) / len(lines)) / 10, np.log1p(n / (1 + spaces)) / 3, (len(text) - spaces - symbols - digits) / n, symbols / n * 5,
+        digits / n * 5, n_distinct / max(1, n_tokens), len(set(lines)) / len(lines), text.count(".") / max(1, n_tokens) * 5,
     )
     out[LAYOUT + zlib.crc32(source.encode("utf-8", "replace")) % SOURCES] = 0.3
     out[LAYOUT + SOURCES + zlib.crc32(lang.encode("utf-8", "replace")) % LANGS] = 0.3
