@@ -23,6 +23,15 @@ def _usable(t: Tables) -> DataFrame:
     return players.usable_knocks(t.events, t.match_players)
 
 
+def _kept_usable(t: Tables) -> DataFrame:
+    """Usable knocks that nine award rules read: kept in memory and on disk, so that they are worked out once."""
+    return _usable(t).persist()
+
+
+def _roles(t: Tables) -> DataFrame:
+    return awards.role_order(awards.all_roles(t.events, _kept_usable(t), t.match_players, t.matches), t.match_players, t.players)
+
+
 def _per_match(t: Tables) -> DataFrame:
     return players.player_match(t.events, t.match_players, t.players, t.matches, t.scoreboard)
 
@@ -60,7 +69,7 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "weapon_class_leaders": lambda t: awards.weapon_class_leaders(_usable(t)),
     "clutch": lambda t: awards.clutch(awards.clutch_moments(t.events, _usable(t), t.match_players, t.matches)),
     "knock_basis": lambda t: awards.knock_basis(t.events, _usable(t), t.match_players, t.scoreboard),
-    "role_details": lambda t: wording.role_details(t.events, _usable(t), t.match_players, t.matches, t.players),
+    "role_details": lambda t: wording.role_details(t.events, _kept_usable(t), t.match_players, t.matches, t.players),
     "basis_text": lambda t: wording.basis_text(awards.knock_basis(t.events, _usable(t), t.match_players, t.scoreboard)),
     "known_names": lambda t: dims.known_names(t.players, t.aliases),
     "players_list": lambda t: dims.players_list(t.players, t.aliases),
@@ -98,7 +107,7 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "board_progress": lambda t: rounds.board_progress(t.match_players, t.scoreboard),
     "round_for_event": lambda t: rounds.round_for_event(t.events, t.rounds),
     "round_asof": lambda t: rounds.round_asof(t.events.select("match_id", "event_id", "feed_ms"), t.rounds).select("event_id", "found_round"),
-    "role_order": lambda t: awards.role_order(awards.all_roles(t.events, _usable(t), t.match_players, t.matches), t.match_players, t.players),
+    "role_order": _roles,
 }
 
 
