@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import NO_ID, identified, stored, words
@@ -105,9 +105,9 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def hashed_words(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, w (hashes of the words)."""
-    return identified(docs).select("doc_id", "text_hash", F.transform(words(F.col("text")), lambda x: F.xxhash64(F.lit(WINDOW), x)).alias("w"))
+def hashed_words() -> Column:
+    """Hashes of the words of the column text."""
+    return F.transform(words(F.col("text")), lambda x: F.xxhash64(F.lit(WINDOW), x)).alias("w")
 
 
 class Automaton:
@@ -222,15 +222,17 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_places(docs: DataFrame, many: int = MANY_CLASSES) -> DataFrame:
     """doc_id, text_hash, s, mask: segments with repeated windows; bit i of mask is the window at word s + i."""
-    texts = hashed_words(docs)
-    places = texts.mapInPandas(_places, PLACES)
-    again = places.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    texts = identified(docs)
+    places = texts.select("doc_id", "text_hash", hashed_words()).mapInPandas(_places, PLACES)
+    # stored, so that the join deals both sides anew and a very frequent anchor can be split among tasks
+    again = stored(places.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"))
     kept = stored(places.join(again, "anchor", "left_semi"))
     classes = kept.groupBy("anchor", "class").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "text_hash", "s", "n")).alias("x"))
     busy = classes.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > many).select("anchor", F.lit(True).alias("busy"))
     told = classes.join(busy, "anchor", "left").select("anchor", "class", "count", "x.*", F.coalesce("busy", F.lit(False)).alias("busy"))
     wanted = told.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "n", "anchor", "class", "count", "busy")).alias("wanted"))
-    cut = texts.join(wanted, ["doc_id", "text_hash"]).select("w", "wanted").mapInPandas(_cut, CUT)
+    # texts travel as they are: hashes of words hardly compress
+    cut = texts.join(wanted, ["doc_id", "text_hash"]).select(hashed_words(), "wanted").mapInPandas(_cut, CUT)
     shards = cut.repartition("anchor", "route").sortWithinPartitions("anchor", "route", "class", "offset")
     found = shards.mapInPandas(_shards, "anchor long, class long, mask long")
     masks = found.groupBy("anchor", "class").agg(F.bit_or("mask").alias("mask"))
