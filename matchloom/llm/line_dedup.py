@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import NO_ID, identified, real_id
+from matchloom.llm.common import NO_ID, identified, stored
 
 MIN_WORDS = 20
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -64,10 +64,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Windows that occur earlier: doc_id, text_hash, line, last."""
     all_windows = windows(docs, min_words)
     place = F.struct("doc_id", "text_hash", "anchor_line")
-    joined = all_windows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a <> z").select("anchor")
+    # what is aggregated is stored before it is joined: the join then deals both sides anew, and a line that is everywhere can be split among tasks
+    joined = stored(all_windows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a <> z").select("anchor"))
     candidates = all_windows.join(joined, "anchor", "left_semi").select("doc_id", "text_hash", "line", "last", "whole")
     start = F.struct("doc_id", "text_hash", "line")
-    firsts = candidates.groupBy("whole").agg(F.min(start).alias("first"), F.max(start).alias("latest")).filter("first <> latest").select("whole", "first")
+    firsts = stored(candidates.groupBy("whole").agg(F.min(start).alias("first"), F.max(start).alias("latest")).filter("first <> latest").select("whole", "first"))
     return candidates.join(firsts, "whole").filter(start > F.col("first")).select("doc_id", "text_hash", "line", "last")
 
 
