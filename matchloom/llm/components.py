@@ -18,7 +18,8 @@ MOST_ROUNDS = 60
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # a checkpoint between aggregation and join lets the join split the neighbours of a hub among tasks
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).checkpoint()
     return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 

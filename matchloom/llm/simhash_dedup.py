@@ -2,10 +2,10 @@
 
 1. ``fingerprints``: 64 bits per document from its 3-word shingles (mapInPandas, one pass, no shuffle).
 2. Equal fingerprints become one node, named by their smallest doc_id.
-3. Grid range-join: a fingerprint is cut into 16 segments of 4 bits and mapped to their bit counts. The
+3. Grid range-join: a fingerprint is cut into 32 segments of 2 bits and mapped to their bit counts. The
    Manhattan distance of two such vectors is at most their Hamming distance. Vectors at distance 2 or
    less have a grid cell at distance 1 or less from both, so each fingerprint enters its own cell and
-   its 32 neighbours; only cells entered by two or more fingerprints keep candidates.
+   its neighbours (at most 64); only cells entered by two or more fingerprints keep candidates.
 4. Exact test: fingerprints differ in 2 bits or fewer just when some 64-bit word is within one bit of
    both. Each candidate enters its 65 words of that kind; all that meet in a word are linked to the
    smallest node there. So a dense group of n fingerprints makes 65 n rows, never n * n pairs, and its
@@ -31,7 +31,8 @@ from matchloom.llm.common import NO_ID, identified, real_id, stored
 from matchloom.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 64
-SEGMENTS, WIDTH = 16, 4
+SEGMENTS, WIDTH = 32, 2
+LOW_BITS = 0x5555555555555555
 
 
 def fingerprint(text: str) -> int:
@@ -63,25 +64,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _cells(fp: Column) -> Column:
-    """The grid cell of a fingerprint (16 bit counts, 3 bits each) and the cells one step away."""
-    counts = [F.bit_count(F.shiftrightunsigned(fp, WIDTH * j).bitwiseAND(F.lit(15))).cast("long") for j in range(SEGMENTS)]
-    own = counts[0]
-    for j in range(1, SEGMENTS):
-        own = own + F.shiftleft(counts[j], 3 * j)
-    up = [F.when(counts[j] < WIDTH, own + F.lit(1 << 3 * j)) for j in range(SEGMENTS)]
-    down = [F.when(counts[j] > 0, own - F.lit(1 << 3 * j)) for j in range(SEGMENTS)]
-    return F.array_compact(F.array(own, *up, *down))
+    """The grid cell of a fingerprint (bit counts of its segments, two bits each) and the cells one step away."""
+    other = F.shiftrightunsigned(fp, 1)
+    one, two = other.bitwiseXOR(fp).bitwiseAND(F.lit(LOW_BITS)), other.bitwiseAND(fp).bitwiseAND(F.lit(LOW_BITS))
+    own = one.bitwiseOR(F.shiftleft(two, 1))
+    near = []
+    for j in range(SEGMENTS):
+        count = F.shiftrightunsigned(own, WIDTH * j).bitwiseAND(F.lit(3))
+        # from 0 to 1 and back the lower bit of the count changes, from 1 to 2 and back both do
+        near += [F.when(count < 2, own.bitwiseXOR(_long(1 << WIDTH * j))), F.when(count > 0, own.bitwiseXOR(_long(3 << WIDTH * j)))]
+    return F.array_compact(F.array(own, *near))
+
+
+def _long(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
 
 
 def _words_within_one_bit(fp: Column) -> Column:
-    return F.array(fp, *(fp.bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0))) for b in range(BITS)))
+    return F.array(fp, *(fp.bitwiseXOR(_long(1 << b)) for b in range(BITS)))
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes (fp distinct, node) that hold together all that differ in 2 bits or fewer."""
-    cells = nodes.select("fp", "node", F.explode(_cells(F.col("fp"))).alias("cell"))
+    # dealt out before each row becomes 49 on average
+    spread = nodes.select("fp", "node").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    cells = spread.select("fp", "node", F.explode(_cells(F.col("fp"))).alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("fp").alias("f"), F.max("fp").alias("l")).filter("f <> l").select("cell")
-    candidates = cells.join(shared, "cell", "left_semi").select("fp", "node").distinct()
+    candidates = stored(cells.join(shared, "cell", "left_semi").select("fp", "node").distinct())
     near = candidates.select("node", F.explode(_words_within_one_bit(F.col("fp"))).alias("word"))
     hubs = near.groupBy("word").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("word", "hub")
     return near.join(hubs, "word").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -90,7 +99,8 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp, component_id for every row; NO_ID stands for a null doc_id."""
     prints = stored(fingerprints(docs))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    # stored, so that the join below deals both sides anew and a fingerprint of very many copies can be split among tasks
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     # a doc_id on several rows may have several fingerprints: its rows are one document
     several = prints.groupBy("doc_id").agg(F.min("fp").alias("f"), F.max("fp").alias("l")).filter("f <> l").select("doc_id")
     named = prints.join(nodes, "fp")
