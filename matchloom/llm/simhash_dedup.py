@@ -90,7 +90,8 @@ def links(nodes: DataFrame) -> DataFrame:
     spread = nodes.select("fp", "node").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     cells = spread.select("fp", "node", F.explode(_cells(F.col("fp"))).alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("fp").alias("f"), F.max("fp").alias("l")).filter("f <> l").select("cell")
-    candidates = stored(cells.join(shared, "cell", "left_semi").select("fp", "node").distinct())
+    # always a shuffle join: shared cells grow with the corpus, so a broadcast would only do for small ones
+    candidates = stored(cells.join(shared.hint("merge"), "cell", "left_semi").select("fp", "node").distinct())
     near = candidates.select("node", F.explode(_words_within_one_bit(F.col("fp"))).alias("word"))
     hubs = near.groupBy("word").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("word", "hub")
     return near.join(hubs, "word").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
