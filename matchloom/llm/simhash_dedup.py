@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import NO_ID, identified, real_id, stored
 from matchloom.llm.components import components
+from matchloom.llm.near_copies import near_copies
 
 SHINGLE, SEED, BITS = 3, 42, 64
 SEGMENTS, WIDTH = 32, 2
@@ -118,8 +119,9 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; of rows with that doc_id, one."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("_text_hash")).withColumnRenamed("doc_id", "_id")
+    """Of each group of near copies (five-word similarity of 0.8 or more, see near_copies) the row with the smallest (doc_id, text_hash)."""
+    first = near_copies(docs).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    kept = stored(first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_text_hash")))
     rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     once = rows.join(kept, ["_id", "_text_hash"]).withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_text_hash").orderBy("_id")))
     return once.filter("_n = 1").select(*docs.columns)
