@@ -1,7 +1,7 @@
 """Near-duplicates by SimHash, with a segment-popcount grid in front of the exact test.
 
 1. ``fingerprints``: 64 bits per document from its 3-word shingles (mapInPandas, one pass, no shuffle).
-2. Equal fingerprints become one node, named by their smallest doc_id.
+2. Equal fingerprints become one node.
 3. Grid range-join: a fingerprint is cut into 32 segments of 2 bits and mapped to their bit counts. The
    Manhattan distance of two such vectors is at most their Hamming distance. Vectors at distance 2 or
    less have a grid cell at distance 1 or less from both, so each fingerprint enters its own cell and
@@ -10,11 +10,12 @@
    both. Each candidate enters its 65 words of that kind; all that meet in a word are linked to the
    smallest node there. So a dense group of n fingerprints makes 65 n rows, never n * n pairs, and its
    components are exactly those of the full graph of links.
-5. Components over the links.
+5. Components over the links, named by the smallest doc_id of their rows.
 
 Edge cases: a text without words (null, empty) has fingerprint zero and is linked like any other; fewer
-than three words make one shingle; repeated rows share a node; a null doc_id counts as the smallest id
-and stays null in the result; extra columns are not read.
+than three words make one shingle; repeated rows share a node; rows with one doc_id are one document
+whatever their texts; rows without a doc_id are joined by their fingerprints only, and a
+component's id is null only if all its rows are without one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -102,14 +103,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp, component_id for every row; NO_ID stands for a null doc_id."""
     prints = stored(fingerprints(docs))
     # stored, so that the join below deals both sides anew and a fingerprint of very many copies can be split among tasks
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    # a doc_id on several rows may have several fingerprints: its rows are one document
-    several = prints.groupBy("doc_id").agg(F.min("fp").alias("f"), F.max("fp").alias("l")).filter("f <> l").select("doc_id")
-    named = prints.join(nodes, "fp")
-    same = named.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    edges = links(nodes).union(same)
-    found = components(edges)
-    return named.join(found, "node", "left").select("doc_id", "text_hash", "fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = stored(prints.groupBy("fp").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("least")))
+    # a doc_id on several rows may have several fingerprints: its rows are one document; rows without a doc_id are not
+    known = prints.filter(F.col("doc_id") != NO_ID)
+    several = known.groupBy("doc_id").agg(F.min("fp").alias("f"), F.max("fp").alias("l")).filter("f <> l").select("doc_id", "f")
+    same = known.join(several, "doc_id").select(F.col("fp").alias("a"), F.col("f").alias("b"))
+    edges = links(nodes.select("fp", F.col("fp").alias("node"))).union(same)
+    found = stored(components(edges).withColumnRenamed("node", "fp"))
+    ids = found.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("id"))
+    named = stored(nodes.join(found.join(ids, "component").select("fp", "id"), "fp", "left").select("fp", F.coalesce("id", "least", F.lit(NO_ID)).alias("component_id")))
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

@@ -54,3 +54,22 @@ def test_edited_copies_leave(spark):
     base = words(150, 71)
     rows = [(1, base), (2, edited(base, 1, 5)), (3, edited(base, 2, 6)), (4, edited(base, 60, 7)), (5, words(150, 72))]
     assert {r.doc_id for r in simhash_dedup.keep_one(frame(spark, rows)).collect()} == {1, 4, 5}
+
+
+def test_null_and_repeated_ids_do_not_join_texts(spark):
+    near = words(90, 60).split()
+    rows = [(None, words(90, 60 + k)) for k in range(5)] + [(5, " ".join(near)), (6, words(90, 70)), (7, words(90, 71)), (7, words(90, 72))]
+    kept = [(r.doc_id, r.text) for r in simhash_dedup.keep_one(frame(spark, rows)).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [r for r in rows if r[0] != 5]))
+    more = rows + [(20, words(90, 61) + " end"), (21, words(90, 64))]
+    found = simhash_dedup.near_duplicates(frame(spark, [(None if d == 7 else d, t) for d, t in more])).collect()
+    # by the graph of links: rows are together just when fingerprints within 2 bits lead from one to the other
+    groups = {r.fp: {r.fp} for r in found}
+    for a in list(groups):
+        for b in list(groups):
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 2 and groups[a] is not groups[b]:
+                groups[a] |= groups[b]
+                for x in groups[b]:
+                    groups[x] = groups[a]
+    null = -(2**63)
+    assert all(r.component_id == min((x.doc_id for x in found if x.fp in groups[r.fp] and x.doc_id != null), default=null) for r in found)
