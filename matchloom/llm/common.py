@@ -6,8 +6,10 @@ A document row is identified by ``(doc_id, text)``: joins back to documents use
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,18 +41,54 @@ def real_id(column: str = "doc_id") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column)).alias("doc_id")
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df has not: helper columns never stand in for one of the user's."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, stem: str = "key") -> tuple[DataFrame, str]:
+    """docs with one more column, of a fresh name: struct(doc_id, text_hash) as in ``identified``."""
+    name = fresh(docs, stem)
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
+    return docs.withColumn(name, key), name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests, local mode)."""
+    """The folder that all executors share. Only a local session may do without one: it gets a temporary folder."""
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(known)
     return known
 
 
+#: Folders of stored tables by the scratch blocks that are open, innermost last.
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables stored inside: for callers that have written their result by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
