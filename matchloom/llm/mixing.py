@@ -5,13 +5,14 @@ in order of (size, md5 of doc_id, doc_id); the expected copies are summed along
 u_s in [0, 1) is added, and a document is emitted once per integer that its stretch of the sum crosses.
 Order by size makes the sample even over sizes, so the words taken miss the target by a few documents.
 
-The running sum is never taken over a whole source in one task: rows are counted by (source, size),
-large counts are cut into buckets of md5 order of about ``BUCKET`` rows, the running sum runs over these
-counts, and only the rank inside a bucket is a window over documents. The order of buckets is the order
-of documents, so the result does not depend on ``BUCKET``.
+The running sum is never taken over a whole source in one task: narrow rows (texts stay where they are) are
+dealt by ranges of that order and stored with their range; each range sums its own rows, and the few sums of
+ranges give what precedes a range. Equal keys have no part in this: the order ends with a number of the row, so
+a range may begin between two equal rows, and a third of all rows may share a source, size, id and text.
 
 Edge cases: a null text has size 0, a null source is a source of its own (last); a source without words
-has target 0 and takes each document 0 times; rows with one doc_id stand next to each other.
+has target 0 and takes each document 0 times; rows with one doc_id and size stand next to each other, those of one
+text together, and take their shares in turn; extra columns stay. Rows that differ in no column are interchangeable.
 """
 
 from __future__ import annotations
@@ -19,9 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import words
+from matchloom.llm.common import fresh, stored, words
 
-BUCKET = 10_000
 SEED = "mix-1"
 MOST_COPIES = 3
 
@@ -56,52 +56,51 @@ def targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     return shared.select("source", "n_docs", "source_size", target.alias("target"))
 
 
-def copies(rows: DataFrame, seed: str = SEED, bucket: int = BUCKET) -> DataFrame:
-    """rows (doc_id, source, size, more columns) with source_size, target and n_copies (how often the mix takes the row)."""
+def copies(rows: DataFrame, seed: str = SEED) -> DataFrame:
+    """row, doc_id, size, source_size, target and n_copies (how often the mix takes the row) for stored rows (row, doc_id, source, size, same)."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))  # without nulls, so that joins need no null test
-    keyed = rows.withColumns({"_key": key, "_turn": _unit(F.col("doc_id"))})
-    counts = keyed.groupBy("_key", "source", "size").agg(F.count("*").alias("n"))
-    goal = targets(counts.groupBy("_key", "source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("n") * F.col("size")).alias("source_size")))
-    expected = goal.select(
-        key.alias("_key"),
+    keyed = rows.withColumns({"key": key, "turn": _unit(F.col("doc_id"))})
+    sums = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
+    expected = targets(sums).select(
+        key.alias("key"),
         "source_size",
         "target",
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_each"),
-        (_unit(F.concat(F.lit(f"{seed}:"), key)) / F.lit(float(2**32))).alias("_offset"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("each"),
+        (_unit(F.concat(F.lit(f"{seed}:"), key)) / F.lit(float(2**32))).alias("offset"),
     )
-    cells = counts.select("_key", "size", (1 + F.floor(F.col("n") / bucket)).alias("_cut"))
-    dealt = keyed.join(cells, ["_key", "size"]).withColumn("_bucket", F.floor(F.col("_turn") * F.col("_cut") / F.lit(2**32)))
-    before = Window.partitionBy("_key").orderBy("size", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_key", "size", "_bucket").agg(F.count("*").alias("_n")).select("_key", "size", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_key", "size", "_bucket").orderBy("_turn", "doc_id"))
-    ranked = dealt.withColumn("_rank", rank).join(starts, ["_key", "size", "_bucket"]).join(expected, "_key")
-    upto = lambda n: F.floor(F.col("_each") * n + F.col("_offset"))
-    place = F.col("_before") + F.col("_rank")
-    return ranked.select(*rows.columns, "source_size", "target", (upto(place) - upto(place - 1)).cast("long").alias("n_copies"))
+    order = ["size", "turn", "doc_id", "same", "row"]
+    ranged = stored(keyed.select("key", *order).repartitionByRange("key", *order).withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("key", "range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    # a row per range and source; joined on both, so that no join is keyed by a source alone
+    starts = stored(ranges.join(expected, "key"))
+    rank = F.row_number().over(Window.partitionBy("key", "range").orderBy(*order))
+    placed = ranged.withColumn("rank", rank).join(starts, ["key", "range"])
+    upto = lambda n: F.floor(F.col("each") * n + F.col("offset"))
+    place = F.col("before") + F.col("rank")
+    return placed.select("row", "doc_id", "size", "source_size", "target", (upto(place) - upto(place - 1)).cast("long").alias("n_copies"))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("_text_hash"))
+def sized(docs: DataFrame, row: Column) -> DataFrame:
+    """row, doc_id, source, size, same (hash of the text)."""
+    return docs.select(row.alias("row"), "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("same"))
 
 
-def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself: the columns of docs, one row for each copy taken, and copy_no (1, 2, ...).
+def mixed(docs: DataFrame, seed: str = SEED, into: str = "copy_no") -> DataFrame:
+    """The mix itself: the columns of docs, one row for each copy taken, and ``into`` (1, 2, ...), which replaces a column of that name.
 
-    Only narrow rows go through the sampling; texts are shuffled once, for the join with the outcome.
-    Rows with one doc_id, source and text take their shares in turn.
+    Rows are stored with a number, by which the outcome of the sampling finds its text again.
     """
-    same = ["_id", "_source", "_text_hash"]
-    ids = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_source": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))}
-    shares = copies(_sized(docs), seed).withColumns(ids).groupBy(*same).agg(F.sort_array(F.collect_list("n_copies")).alias("_shares"))
-    rows = docs.withColumns({**ids, "_text_hash": F.xxhash64("text")})
-    turn = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*same).orderBy("_text_hash")))
-    taken = turn.join(shares, same).withColumn("_n", F.get("_shares", F.col("_turn") - 1)).filter(F.col("_n") > 0)
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("copy_no"))
+    row, taken = fresh(docs, "row"), fresh(docs, "taken")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    outcome = copies(stored(sized(rows, F.col(row))), seed).filter("n_copies > 0").select(F.col("row").alias(row), F.col("n_copies").alias(taken))
+    return rows.join(outcome, row).withColumn(into, F.explode(F.sequence(F.lit(1), F.col(taken).cast("int")))).drop(row, taken)
 
 
 def mix_report(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken (words)."""
-    return copies(_sized(docs), seed).select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
+    found = copies(stored(sized(docs, F.monotonically_increasing_id())), seed)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
 
 
 ORACLE_SQL = rf"""
