@@ -9,7 +9,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,21 +73,26 @@ def shared_folder(spark: SparkSession) -> str:
 _open: list[list[str]] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    table, path = _written(df)
     if _open:
         _open[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return table
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, the tables stored inside: for callers that have written their result by then."""
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes, at its end, the tables stored inside, but for those that went through the function it gives."""
     _open.append([])
     try:
-        yield
+        yield lambda df: _written(df)[0]
     finally:
         for path in _open.pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)

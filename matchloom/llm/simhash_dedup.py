@@ -3,19 +3,20 @@
 1. ``fingerprints``: 64 bits per document from its 3-word shingles (mapInPandas, one pass, no shuffle).
 2. Equal fingerprints become one node.
 3. Grid range-join: a fingerprint is cut into 32 segments of 2 bits and mapped to their bit counts. The
-   Manhattan distance of two such vectors is at most their Hamming distance. Vectors at distance 2 or
-   less have a grid cell at distance 1 or less from both, so each fingerprint enters its own cell and
-   its neighbours (at most 64); only cells entered by two or more fingerprints keep candidates.
-4. Exact test: fingerprints differ in 2 bits or fewer just when some 64-bit word is within one bit of
-   both. Each candidate enters its 65 words of that kind; all that meet in a word are linked to the
-   smallest node there. So a dense group of n fingerprints makes 65 n rows, never n * n pairs, and its
-   components are exactly those of the full graph of links.
-5. Components over the links, named by the smallest doc_id of their rows.
+   Manhattan distance of two such vectors is at most their Hamming distance. Vectors at distance 2 or less
+   differ in two segments at most, so of 8 blocks of 4 segments they agree in 6: each fingerprint enters the 28
+   cells that are left when two blocks are taken away. Cells of two fingerprints or more give the candidates.
+4. Exact test by the bits that differ: the members of a cell against its smallest member, the hub. Where all are
+   linked to the hub, or there is one other only, the cell is done.
+5. Members of other cells: fingerprints differ in 2 bits or fewer just when some 64-bit word is within one bit
+   of both. Each enters its 65 words of that kind, and all that meet in a word are linked to the smallest there.
+   So a dense cell of n fingerprints makes 65 n rows, never n * n pairs, and components are exact.
+6. Components over the links, named by the smallest doc_id of their rows.
 
 Edge cases: a text without words (null, empty) has fingerprint zero and is linked like any other; fewer
-than three words make one shingle; repeated rows share a node; rows with one doc_id are one document
-whatever their texts; rows without a doc_id are joined by their fingerprints only, and a
-component's id is null only if all its rows are without one; extra columns are not read.
+than three words make one shingle; repeated rows share a node; rows are linked by their fingerprints only, so
+neither a repeated doc_id nor a null one joins different texts; a component's id is null only if all its rows are
+without one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import NO_ID, identified, real_id, stored
+from matchloom.llm.common import NO_ID, fresh, identified, keyed, real_id, stored
 from matchloom.llm.components import components
 from matchloom.llm.near_copies import near_copies
 
 SHINGLE, SEED, BITS = 3, 42, 64
-SEGMENTS, WIDTH = 32, 2
+#: Blocks of four segments of two bits; bits in which linked fingerprints differ at most.
+BLOCKS, FAR = 8, 2
 LOW_BITS = 0x5555555555555555
 
 
@@ -57,25 +59,24 @@ def fingerprint(text: str) -> int:
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        yield pd.DataFrame({"doc_id": rows.doc_id, "text_hash": rows.text_hash, "fp": np.array([fingerprint(t) for t in rows.text], dtype=np.int64)})
+        yield pd.DataFrame({"doc_id": rows.doc_id, "fp": np.array([fingerprint(t) for t in rows.text], dtype=np.int64)})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp."""
-    return identified(docs).mapInPandas(_fingerprints, "doc_id long, text_hash long, fp long")
+    """doc_id, fp."""
+    return identified(docs).select("doc_id", "text").mapInPandas(_fingerprints, "doc_id long, fp long")
 
 
 def _cells(fp: Column) -> Column:
-    """The grid cell of a fingerprint (bit counts of its segments, two bits each) and the cells one step away."""
+    """The bit counts of the segments (two bits each) without two of the blocks, for any two; hashed with their number."""
     other = F.shiftrightunsigned(fp, 1)
     one, two = other.bitwiseXOR(fp).bitwiseAND(F.lit(LOW_BITS)), other.bitwiseAND(fp).bitwiseAND(F.lit(LOW_BITS))
-    own = one.bitwiseOR(F.shiftleft(two, 1))
-    near = []
-    for j in range(SEGMENTS):
-        count = F.shiftrightunsigned(own, WIDTH * j).bitwiseAND(F.lit(3))
-        # from 0 to 1 and back the lower bit of the count changes, from 1 to 2 and back both do
-        near += [F.when(count < 2, own.bitwiseXOR(_long(1 << WIDTH * j))), F.when(count > 0, own.bitwiseXOR(_long(3 << WIDTH * j)))]
-    return F.array_compact(F.array(own, *near))
+    counts = one.bitwiseOR(F.shiftleft(two, 1))
+    size = BITS // BLOCKS
+    block = (1 << size) - 1
+    away = [(i, j) for j in range(BLOCKS) for i in range(j)]
+    masks = [((1 << BITS) - 1) & ~(block << size * i) & ~(block << size * j) for i, j in away]
+    return F.array(*(F.xxhash64(F.lit(k), counts.bitwiseAND(_long(m))) for k, m in enumerate(masks)))
 
 
 def _long(x: int) -> Column:
@@ -87,32 +88,31 @@ def _words_within_one_bit(fp: Column) -> Column:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes (fp distinct, node) that hold together all that differ in 2 bits or fewer."""
-    # dealt out before each row becomes 49 on average
-    spread = nodes.select("fp", "node").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    cells = spread.select("fp", "node", F.explode(_cells(F.col("fp"))).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("f"), F.max("fp").alias("l")).filter("f <> l").select("cell")
+    """Edges (a, b) between fingerprints (fp distinct) that hold together all that differ in 2 bits or fewer."""
+    # dealt out before each row becomes 28
+    spread = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    cells = spread.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).filter("hub <> last").select("cell", "hub")
     # always a shuffle join: shared cells grow with the corpus, so a broadcast would only do for small ones
-    candidates = stored(cells.join(shared.hint("merge"), "cell", "left_semi").select("fp", "node").distinct())
-    near = candidates.select("node", F.explode(_words_within_one_bit(F.col("fp"))).alias("word"))
-    hubs = near.groupBy("word").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("word", "hub")
-    return near.join(hubs, "word").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    members = stored(cells.join(stored(shared).hint("merge"), "cell").withColumn("apart", F.bit_count(F.col("fp").bitwiseXOR(F.col("hub")))))
+    first = members.filter(F.col("apart").between(1, FAR)).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    undone = stored(members.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("most")).filter(F.col("n") > 2).filter(F.col("most") > FAR).select("cell"))
+    left = stored(members.join(undone, "cell", "left_semi").select("fp").distinct())
+    near = left.select("fp", F.explode(_words_within_one_bit(F.col("fp"))).alias("word"))
+    hubs = stored(near.groupBy("word").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).filter("hub <> last").select("word", "hub"))
+    second = near.join(hubs, "word").filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    return first.union(second)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp, component_id for every row; NO_ID stands for a null doc_id."""
+    """doc_id, fp, component_id for every row; NO_ID stands for a null doc_id."""
     prints = stored(fingerprints(docs))
     # stored, so that the join below deals both sides anew and a fingerprint of very many copies can be split among tasks
     nodes = stored(prints.groupBy("fp").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("least")))
-    # a doc_id on several rows may have several fingerprints: its rows are one document; rows without a doc_id are not
-    known = prints.filter(F.col("doc_id") != NO_ID)
-    several = known.groupBy("doc_id").agg(F.min("fp").alias("f"), F.max("fp").alias("l")).filter("f <> l").select("doc_id", "f")
-    same = known.join(several, "doc_id").select(F.col("fp").alias("a"), F.col("f").alias("b"))
-    edges = links(nodes.select("fp", F.col("fp").alias("node"))).union(same)
-    found = stored(components(edges).withColumnRenamed("node", "fp"))
+    found = stored(components(links(nodes)).withColumnRenamed("node", "fp"))
     ids = found.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("id"))
     named = stored(nodes.join(found.join(ids, "component").select("fp", "id"), "fp", "left").select("fp", F.coalesce("id", "least", F.lit(NO_ID)).alias("component_id")))
-    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
@@ -122,9 +122,16 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of near copies (five-word similarity of 0.8 or more, see near_copies) the row with the smallest (doc_id, text_hash)."""
+    """Of each group of near copies (five-word similarity of 0.8 or more, see near_copies) one row, that of the smallest (doc_id, text_hash).
+
+    Of rows that share both, the one whose other columns have the smallest hash stays.
+    """
+    rows, key = keyed(docs)
+    turn = fresh(rows, "turn")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    # repeated rows are thinned out where they are, before they are dealt
+    one = rows.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(turn) == 1).drop(turn)
     first = near_copies(docs).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    kept = stored(first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_text_hash")))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    once = rows.join(kept, ["_id", "_text_hash"]).withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_text_hash").orderBy("_id")))
-    return once.filter("_n = 1").select(*docs.columns)
+    kept = stored(first.select(F.col("k").alias(key)))
+    return one.join(kept.hint("merge"), key, "left_semi").drop(key)
