@@ -26,7 +26,6 @@ document clean; extra columns are ignored by the report and stay in ``clean``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,24 +47,24 @@ SLICE = 1_000_000
 GAP = WINDOW + SLOP + 2
 WORDS_KEPT = 300_000
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Bytes of UTF-8: A-Z lower-cased, all of ASCII but letters and digits a blank, the rest as it is.
+_PLAIN = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 
 
-def tokens(text: str | None) -> list[str]:
-    return _WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower()) if text else []
+def tokens(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split() if text else []
 
 
-def term(word: str) -> int:
+def term(word: bytes) -> int:
     """The hash of a word, as a signed number."""
-    x = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    x = xxhash.xxh64_intdigest(word)
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 class Terms(dict):
     """Hashes of words, kept for the words a worker has seen."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > WORDS_KEPT:
             self.clear()
         self[word] = x = term(word)
@@ -81,10 +80,11 @@ def _segment(docs: list[tuple[int, int, np.ndarray]]) -> dict:
     stream = np.concatenate([w for _, _, w in docs])
     places = np.arange(len(stream)) + np.repeat(bases - (np.cumsum(sizes) - sizes), sizes)
     order = np.argsort(stream, kind="stable")
-    found, counts = np.unique(stream[order], return_counts=True)
+    first = np.flatnonzero(np.diff(stream[order], prepend=stream[order][:1] - 1)) if len(stream) else order
+    found, ends = stream[order][first], np.append(first[1:], len(stream)) if len(stream) else first
     return {
         "doc_ids": [d for d, _, _ in docs], "text_hashes": [h for _, h, _ in docs], "n_words": sizes.astype(np.int32), "bases": bases,
-        "terms": found, "ends": np.cumsum(counts).astype(np.int32), "positions": places[order].astype("<i4").tobytes(),
+        "terms": found, "ends": ends.astype(np.int32), "positions": places[order].astype("<i4").tobytes(),
     }
 
 
@@ -128,7 +128,7 @@ class Windows:
         return Windows(self.terms, self.grid, self.item, self.names, np.argsort(of, axis=1, kind="stable"), counts)
 
 
-def windows(items: list[tuple[str | None, list[str]]]) -> Windows:
+def windows(items: list[tuple[str | None, list[bytes]]]) -> Windows:
     """Distinct windows of (item, words)."""
     numbers: dict[int, int] = {}
     names: dict[str, int] = {}
@@ -157,11 +157,11 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Windows]:
     """The benchmark in blocks of about ``block`` words; at least one."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text is not null")
-    pieces = stored(rows.mapInPandas(_pieces, "item string, at int, words array<string>").withColumn("turn", F.xxhash64("item", "at", "words")))
+    pieces = stored(rows.mapInPandas(_pieces, "item string, at int, words array<binary>").withColumn("turn", F.xxhash64("item", "at", "words")))
     n = max(1, -(-int(pieces.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]) // block))
     for k in range(n):
         part = pieces.filter(F.pmod("turn", F.lit(n)) == k).select("item", "words").distinct().collect()
-        yield windows([(r["item"], r.words) for r in part])
+        yield windows([(r["item"], [bytes(x) for x in r.words]) for r in part])
 
 
 class Segment:

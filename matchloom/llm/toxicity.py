@@ -4,15 +4,19 @@ A word is the mean of the vectors of its character n-grams (and of itself), a wi
 mean of its words, and a linear softmax over two classes reads that mean. Misspellings and unseen
 endings share n-grams with words that were seen. Vectors and softmax are trained jointly in numpy.
 A document is as toxic as its most toxic window of ``WINDOW`` words, so length does not thin out an
-insult; training picks windows of a document the same way (multiple-instance learning).
+insult; training picks windows of a document the same way (multiple-instance learning). A run of word
+characters above ``PIECE`` (texts without spaces, joined words) counts as overlapping pieces of that length, so every
+n-gram of a text is in some word.
 
-The model is fitted on a bounded sample: at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled documents,
-those with the smallest hash of doc_id, outside the held-out third. Scoring reads all documents in one
-pass without a shuffle; since the model is linear, a word's share of the score is one number, which
-each worker keeps for the words it has seen (up to ``WORDS_KEPT``, then it starts anew).
+The model is fitted on a bounded sample, by parameters of ``fit``: at most ``most_toxic`` and ``most_clean`` labelled
+documents outside the held-out third, those with the smallest hash of doc_id, and of either kind as many of these, in
+that order, as have ``most_chars`` characters together. It is calibrated on scores of models that did not see the
+document (three folds). Scoring reads all documents in one pass without a shuffle; since the model is linear, a word's
+share of the score is one number, which each worker keeps for the words it has seen (up to ``WORDS_KEPT``, then it starts anew).
 
 Edge cases: a null or empty text gets the score of a window of no words; labels other than 0 and 1 and
-labels that contradict each other are not used; without labels of both kinds every score is 0.
+labels that contradict each other are not used; of texts under one labelled doc_id the smallest is learnt; without
+labels of both kinds every score is 0; extra columns stay, but for one named as ``into``, which is replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +30,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_TOXIC, MOST_CLEAN = 3000, 5000
-WINDOW = 8
-BUCKET_BITS, DIM, GRAMS, LONGEST = 17, 8, (3, 4, 5, 6), 60
+from matchloom.llm.common import stored
+
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 3000, 5000, 12_000_000
+WINDOW = 2
+BUCKET_BITS, DIM, GRAMS = 17, 8, (3, 4, 5, 6)
+#: Code points of a piece of a long word, and of its overlap with the next.
+PIECE, OVERLAP = 30, 8
 BUCKETS = 1 << BUCKET_BITS
 ROUNDS, BATCH, RATE = 8, 64, 0.2
 MORE_WINDOWS = 12_000
-SMALL = 1500
+FOLDS = 3
 WORDS_KEPT = 300_000
 #: Words whose n-grams are worked out at a time.
 PART = 20_000
@@ -43,7 +51,10 @@ _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    if found and max(map(len, found)) > PIECE:
+        found = [w[at : at + PIECE] for w in found for at in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
+    return found
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +62,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     All words lie in one row of code points; a hash of n of these is that of n - 1 and one more, for all places at once.
     """
-    marked = [f"<{w[:LONGEST]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     sizes = np.array([len(m) for m in marked], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -66,7 +77,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 found.append(h[ok] + np.uint64(n))
                 of.append(owner[: len(h)][ok])
         place = (np.arange(len(points)) - np.repeat(starts, sizes)).astype(np.uint64)
-        found.append(np.add.reduceat(points * np.cumprod(np.full(LONGEST + 3, _FACTOR))[place.astype(np.int64)], starts))
+        found.append(np.add.reduceat(points * np.cumprod(np.full(int(sizes.max()), _FACTOR))[place.astype(np.int64)], starts))
         of.append(np.arange(len(words)))
         mixed = np.concatenate(found) * _MIX
     return ((mixed ^ (mixed >> np.uint64(29))) * _MIX >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), np.concatenate(of).astype(np.int32)
@@ -188,7 +199,7 @@ def _vectors(docs: list[np.ndarray], y: np.ndarray, use: np.ndarray, sizes: np.n
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model | None:
-    """Fits the model and calibrates it on documents it was not trained on: a fifth kept back, or three folds of a small sample."""
+    """Fits the model to all, and calibrates it on the scores that models of the other folds give."""
     if len(set(labels.tolist())) < 2:
         return None
     known: dict[str, int] = {}
@@ -199,18 +210,15 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model | None:
     starts = np.cumsum(sizes) - sizes
     del known
     y = labels.astype(np.float64)
-    small = len(docs) < SMALL
-    fold = np.random.default_rng(seed).integers(3 if small else 5, size=len(docs))
+    fold = np.random.default_rng(seed).integers(FOLDS, size=len(docs))
     full = np.array([len(d) > 0 for d in docs])
     best = np.zeros(len(docs))
-    for k in range(3 if small else 1):
-        buckets, shares = _vectors(docs, y, np.flatnonzero(full & (fold != k)), sizes, starts, flat, seed)
+    for k in range(FOLDS):
+        _, shares = _vectors(docs, y, np.flatnonzero(full & (fold != k)), sizes, starts, flat, seed)
         for i in np.flatnonzero(fold == k):
             best[i] = best_window(shares[docs[i]])[1]
-    if small:
-        buckets, _ = _vectors(docs, y, np.flatnonzero(full), sizes, starts, flat, seed)
-    held = np.ones(len(docs), bool) if small else fold == 0
-    return Model(buckets, *calibrate(best[held], y[held]))
+    buckets, _ = _vectors(docs, y, np.flatnonzero(full), sizes, starts, flat, seed)
+    return Model(buckets, *calibrate(best, y))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -232,26 +240,41 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", most_of_1: int = MOST_TOXIC, most_of_0: int = MOST_CLEAN) -> DataFrame:
-    """(text, label) of the bounded sample; the ids are few enough to be broadcast, so texts don't move."""
+def chosen(labels: DataFrame, column: str, most_of_1: int, most_of_0: int) -> DataFrame:
+    """doc_id, label: at most so many labelled documents of either kind, outside the held-out third; few enough to be broadcast."""
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     given = given.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     agreed = given.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
-    turn = [F.xxhash64(F.lit(11), F.col("doc_id")), F.col("doc_id")]
-    chosen = agreed.filter("label = 1").orderBy(*turn).limit(most_of_1).union(agreed.filter("label = 0").orderBy(*turn).limit(most_of_0))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).orderBy("doc_id")
+    return agreed.filter("label = 1").orderBy(*_turn()).limit(most_of_1).union(agreed.filter("label = 0").orderBy(*_turn()).limit(most_of_0))
+
 
+def _turn() -> list[Column]:
+    return [F.xxhash64(F.lit(11), F.col("doc_id")), F.col("doc_id")]
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    rows = sample(docs, labels).select("text", "label").toPandas()
+
+def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> DataFrame:
+    """text, label of the bounded sample; documents that would exceed most_chars are passed over."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    few = F.broadcast(chosen(labels, "toxic", most_toxic, most_clean))
+    # texts stay where they are until the sample is known
+    rows = stored(texts.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")))
+    room, ids = {0: most_chars, 1: most_chars}, []
+    for r in rows.select("doc_id", "label", F.length("text").alias("n")).orderBy(*_turn()).collect():
+        if r.n <= room[r.label]:
+            room[r.label] -= r.n
+            ids.append((r.doc_id,))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id", "left_semi").orderBy("doc_id").select("text", "label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> Model | None:
+    rows = sample(docs, labels, most_toxic, most_clean, most_chars).toPandas()
     return train(rows.text.tolist(), rows.label.to_numpy()) if len(rows) else None
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs with _score."""
+def score(docs: DataFrame, model: Model | None, into: str = "score") -> DataFrame:
+    """All columns of docs with the score."""
     if model is None:
-        return docs.withColumn("_score", F.lit(0.0))
+        return docs.withColumn(into, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the corpus
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -261,24 +284,24 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             for at in range(0, len(texts), 200):
                 docs_words = [tokens(t) for t in texts.iloc[at : at + 200]]
                 new = [w for w in {w for words in docs_words for w in words} if w not in known]
-                for k in range(0, len(new), 20_000):
+                for k in range(0, len(new), PART):
                     part = new[k : k + PART]
                     known.update(zip(part, m.word_shares(part).tolist(), strict=True))
                 for i, words in enumerate(docs_words):
-                    best[at + i] = best_window(np.array([known[w] for w in words]))[1] if words else 0.0
+                    best[at + i] = best_window(np.fromiter(map(known.__getitem__, words), dtype=float, count=len(words)))[1] if words else 0.0
                 if len(known) > WORDS_KEPT:
                     known = {}
             yield pd.Series(m.probability(best))
 
-    return docs.withColumn("_score", F.pandas_udf(scores, "double")("text"))
+    return docs.withColumn(into, F.pandas_udf(scores, "double")("text"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs with _score and _toxic."""
-    return score(docs, fit(docs, labels)).withColumn("_toxic", F.col("_score") >= threshold)
+def toxicity(docs: DataFrame, labels: DataFrame, into: str = "toxicity") -> DataFrame:
+    """All columns of docs with the score of a model fitted to the labels; documents of THRESHOLD and more are rejected."""
+    return score(docs, fit(docs, labels), into)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    scored = toxicity(docs.select("doc_id", "text"), labels)
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_toxic").cast("int").alias("predicted"))
+    scored = toxicity(docs.select("doc_id", "text"), labels, "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
