@@ -1,18 +1,22 @@
 r"""Quality by co-training of a text view and a page-metadata view.
 
-The text view is a logistic regression over hashed tokens of the text; the metadata view one over source,
-language, length and layout. Both start from the same labelled documents. In each of ``ROUNDS`` rounds each
-view labels the documents of an unlabelled pool of which it is sure, as many of either class as the labelled
-ones suggest, and these join the training rows of the other view. Then each view is calibrated on labelled
-documents kept back from it, and a document's score is the mean of the two calibrated log-odds.
-
-Fitting takes bounded samples, by hash of doc_id: at most ``MOST_LABELLED`` labelled documents outside the
-held-out third, and a pool of ``POOL`` unlabelled ones (co-training draws its pseudo-labels from such a pool).
-Scoring reads every whole document once, without a shuffle.
-
-Edge cases: null text, source or language count as empty; labels other than 0 and 1, and contradictory ones,
-are not used; without labels of both classes every score is 0.5 and every document is kept; extra columns
-are ignored.
+The text view weighs hashed tokens of the text by their log-odds between the classes; the metadata view is a linear
+discriminant over source, language, length and layout. Both are functions of sums: documents of a class that hold a
+token, and first and second moments of the metadata. So a round of co-training is one pass over the corpus: on the
+executors each view scores every unlabelled document, and where it is sure (``SURE``) it hands the document with its
+label to the other view, as one more summand. The sums come together by a Spark aggregation; their size does not depend
+on the corpus. The pseudo-labelled documents of a class weigh as much as all labelled ones together and in their
+proportion, so no class takes over, however many there are. After ``ROUNDS`` rounds a document's score is the mean of
+the two calibrated log-odds.
+
+Only labels are sampled: at most ``most_labelled`` (a parameter of ``fit``) labelled documents outside the held-out third,
+those with the smallest hash of doc_id; a fifth of them is kept back to calibrate both views anew in each round. What
+the views read of a document is worked out once and stored; every document takes part in every round.
+
+Edge cases: null text, source or language count as empty; labels other than 0 and 1, and contradictory ones, are
+not used; of texts under one labelled doc_id the smallest (text, source, language) is learnt, the other rows of that id
+count as labelled too; documents without an id are unlabelled; without labels of both classes every score is 0.5 and
+every document is kept; extra columns stay, but for one named as ``into``, which is replaced.
 """
 
 from __future__ import annotations
@@ -20,17 +24,18 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.toxicity import calibrate, held_out
+from matchloom.llm.common import fresh, stored
+from matchloom.llm.toxicity import calibrate, chosen, held_out
 
-MOST_LABELLED, POOL = 6000, 6000
-ROUNDS, GROW, SURE = 3, 300, 0.95
+MOST_LABELLED = 6000
+ROUNDS, SURE = 3, 0.95
 BUCKETS = 1 << 15
 KEEP = 0.3
 WORDS_KEPT = 400_000
@@ -39,20 +44,21 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 LAYOUT = 10
 SOURCES, LANGS = 32, 16
 META = LAYOUT + SOURCES + LANGS
+WIDE = META + LAYOUT + 1
 
 
 def text_view(text: str, known: dict[str, int]) -> tuple[np.ndarray, int, int]:
-    """Distinct buckets of the text's tokens; number of tokens and of distinct tokens."""
+    """Distinct buckets of the text's tokens, in order; number of tokens and of distinct tokens."""
     tokens = _TOKEN.findall(text.lower())
     distinct = set(tokens)
     for t in distinct:
         if t not in known:
             known[t] = zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS
-    return np.fromiter({known[t] for t in distinct}, dtype=np.int32), len(tokens), len(distinct)
+    return np.array(sorted({known[t] for t in distinct}), dtype=np.int32), len(tokens), len(distinct)
 
 
 def metadata_view(source: str, lang: str, text: str, n_tokens: int, n_distinct: int) -> np.ndarray:
-    out = np.zeros(META)
+    out = np.zeros(META, dtype=np.float32)
     n = max(1, len(text))
     lines = text.split("\n")
     spaces = text.count(" ") + len(lines) - 1
@@ -66,107 +72,97 @@ def metadata_view(source: str, lang: str, text: str, n_tokens: int, n_distinct:
     return out
 
 
-class TextModel:
-    """Logistic regression over bags of buckets, each bag of length one; trained with Adagrad."""
-
-    def __init__(self) -> None:
-        self.w, self.b, self.slope, self.offset = np.zeros(BUCKETS), 0.0, 1.0, 0.0
-
-    def raw(self, bags: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.w[x].sum() / np.sqrt(max(1, len(x))) for x in bags]) + self.b
-
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 6, seed: int = 5) -> None:
-        rng = np.random.default_rng(seed)
-        self.w, self.b, seen, seen_b = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-2), 1e-2
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(order), 32):
-                rows = order[at : at + 32]
-                n = np.array([len(bags[i]) for i in rows])
-                ids = np.concatenate([bags[i] for i in rows])
-                value = np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)
-                z = np.bincount(np.repeat(np.arange(len(rows)), n), self.w[ids] * value, len(rows)) + self.b
-                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / len(rows)
-                distinct, back = np.unique(ids, return_inverse=True)
-                slope = np.bincount(back, np.repeat(error, n) * value, len(distinct))
-                seen[distinct] += slope**2
-                self.w[distinct] -= 0.3 * slope / np.sqrt(seen[distinct])
-                seen_b += error.sum() ** 2
-                self.b -= 0.1 * error.sum() / np.sqrt(seen_b)
-
-
-class MetadataModel:
-    """Logistic regression over dense features and their squares, by Newton steps."""
-
-    def __init__(self) -> None:
-        self.w, self.slope, self.offset = np.zeros(2 * META + 1), 1.0, 0.0
-
-    @staticmethod
-    def _wide(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x, x**2, np.ones((len(x), 1))], 1)
-
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return self._wide(x) @ self.w
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        u = self._wide(x)
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-        self.w = np.zeros(u.shape[1])
-        for _ in range(15):
-            p = 1 / (1 + np.exp(-np.clip(u @ self.w, -30, 30)))
-            h = (u * (weight * p * (1 - p))[:, None]).T @ u + 0.05 * np.eye(u.shape[1])
-            step = np.linalg.solve(h, u.T @ (weight * (p - y)) + 0.05 * self.w)
-            self.w = self.w - step * min(1.0, 5 / (1e-9 + np.abs(step).max()))
+@dataclass
+class Sums:
+    """What a view needs to know of the documents of both classes."""
+
+    docs: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    buckets: np.ndarray = field(default_factory=lambda: np.zeros((2, BUCKETS)))
+    first: np.ndarray = field(default_factory=lambda: np.zeros((2, WIDE)))
+    second: np.ndarray = field(default_factory=lambda: np.zeros((WIDE, WIDE)))
+
+    def add_texts(self, bags: list[np.ndarray], y: np.ndarray) -> None:
+        for label in (0, 1):
+            own = [b for b, v in zip(bags, y, strict=True) if v == label]
+            self.docs[label] += len(own)
+            if own:
+                self.buckets[label] += np.bincount(np.concatenate(own), minlength=BUCKETS)
+
+    def add_metadata(self, x: np.ndarray, y: np.ndarray) -> None:
+        for label in (0, 1):
+            own = wide(x[y == label])
+            self.docs[label] += len(own)
+            self.first[label] += own.sum(0)
+            self.second += own.T @ own
+
+    def scaled(self, by: np.ndarray, parts: list[np.ndarray]) -> Sums:
+        """Each class times its weight; parts are the second moments of the classes."""
+        return Sums(self.docs * by, self.buckets * by[:, None], self.first * by[:, None], parts[0] * by[0] + parts[1] * by[1])
+
+    def plus(self, other: Sums) -> Sums:
+        return Sums(self.docs + other.docs, self.buckets + other.buckets, self.first + other.first, self.second + other.second)
+
+
+def wide(x: np.ndarray) -> np.ndarray:
+    """Metadata, the squares of the layout, and one."""
+    x = np.asarray(x, dtype=np.float64).reshape(-1, META)
+    return np.concatenate([x, x[:, :LAYOUT] ** 2, np.ones((len(x), 1))], 1)
+
+
+@dataclass
+class View:
+    """A linear score, with its calibration."""
+
+    w: np.ndarray
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def log_odds(self, raw: np.ndarray) -> np.ndarray:
+        return self.slope * raw + self.offset
+
+
+def text_weights(sums: Sums) -> np.ndarray:
+    """Smoothed log-odds of a bucket over its standard error where it is rare."""
+    n = sums.docs[:, None] + 1
+    c = sums.buckets + 0.5
+    odds = np.log(c[1] / (n[1] - c[1] + 1)) - np.log(c[0] / (n[0] - c[0] + 1))
+    return odds * (1 - 1 / (1 + sums.buckets.sum(0)))
+
+
+def metadata_weights(sums: Sums) -> np.ndarray:
+    """Linear discriminant: the difference of the classes' means over their common spread."""
+    n = sums.docs
+    mean = sums.first / np.maximum(n, 1e-9)[:, None]
+    spread = (sums.second - sum(n[k] * np.outer(mean[k], mean[k]) for k in (0, 1))) / max(1.0, n.sum())
+    return np.linalg.solve(spread + 1e-4 * np.eye(WIDE), mean[1] - mean[0])
+
+
+def raw_texts(w: np.ndarray, bags: list[np.ndarray]) -> np.ndarray:
+    return np.array([w[x].sum() / np.sqrt(max(1, len(x))) for x in bags])
 
 
 @dataclass
 class CoModel:
-    text: TextModel
-    meta: MetadataModel
+    text: View
+    meta: View
     grown: list[tuple[int, int]]
 
     def log_odds(self, bags: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.text.slope * self.text.raw(bags) + self.text.offset, self.meta.slope * self.meta.raw(x) + self.meta.offset
+        return self.text.log_odds(raw_texts(self.text.w, bags)), self.meta.log_odds(wide(x) @ self.meta.w)
 
 
-def co_train(bags: list[np.ndarray], x: np.ndarray, y: np.ndarray, pool_bags: list[np.ndarray], pool_x: np.ndarray, seed: int = 3) -> CoModel | None:
-    """y: labels of the labelled documents; a fifth of these is kept back for calibration."""
-    back = np.random.default_rng(seed).random(len(y)) < 0.2
-    if len(set(y[~back].tolist())) < 2:
-        return None
-    use = np.flatnonzero(~back)
-    share = y[use].mean()
-    text, meta, grown = TextModel(), MetadataModel(), []
-    given = {"text": ([], []), "meta": ([], [])}  # pool rows and labels that a view was given by the other
-    free = np.ones(len(pool_bags), bool)
-    for turn in range(ROUNDS + 1):
-        rows, labels = given["text"]
-        text.fit([bags[i] for i in use] + [pool_bags[i] for i in rows], np.concatenate([y[use], np.array(labels)]))
-        rows, labels = given["meta"]
-        meta.fit(np.concatenate([x[use], pool_x[rows]]) if rows else x[use], np.concatenate([y[use], np.array(labels)]))
-        if turn == ROUNDS or not free.any():
-            break
-        sizes = []
-        for z, other in ((text.raw(pool_bags), "meta"), (meta.raw(pool_x), "text")):
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            for label, most in ((1, GROW * share), (0, GROW * (1 - share))):
-                sure = np.where(free, p if label else 1 - p, 0)
-                best = np.argsort(-sure, kind="stable")[: max(1, int(most))]
-                best = best[sure[best] >= SURE]
-                free[best] = False
-                given[other][0].extend(best.tolist())
-                given[other][1].extend([label] * len(best))
-            sizes.append(len(given[other][0]))
-        grown.append(tuple(sizes))
-    held = back if len(set(y[back].tolist())) == 2 else np.ones(len(y), bool)
-    text.slope, text.offset = calibrate(text.raw([bags[i] for i in np.flatnonzero(held)]), y[held])
-    meta.slope, meta.offset = calibrate(meta.raw(x[held]), y[held])
-    return CoModel(text, meta, grown)
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _sure(z: np.ndarray) -> np.ndarray:
+    """1 and 0 where the view is sure, else -1."""
+    p = _probability(z)
+    return np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1))
 
 
 def _views(rows: pd.DataFrame, known: dict[str, int]) -> tuple[list[np.ndarray], np.ndarray]:
-    bags, x = [], np.zeros((len(rows), META))
+    bags, x = [], np.zeros((len(rows), META), dtype=np.float32)
     for i, (text, source, lang) in enumerate(zip(rows.text, rows.source, rows.lang, strict=True)):
         bag, n, distinct = text_view(text, known)
         bags.append(bag)
@@ -176,51 +172,133 @@ def _views(rows: pd.DataFrame, known: dict[str, int]) -> tuple[list[np.ndarray],
     return bags, x
 
 
-def _read(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "source", "lang")))
+FEATURES = "bag binary, meta binary"
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> CoModel | None:
-    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    agreed = given.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
-    turn = [F.xxhash64(F.lit(23), F.col("doc_id")), F.col("doc_id")]
-    labelled = agreed.filter("label = other").filter(~held_out()).orderBy(*turn).limit(MOST_LABELLED).select("doc_id", "label")
-    pool = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").join(agreed, "doc_id", "left_anti").distinct().orderBy(*turn).limit(POOL)
-    chosen = labelled.unionByName(pool.withColumn("label", F.lit(-1)))  # bounded, so it may be broadcast and texts stay where they are
-    rows = _read(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").mapInPandas(_featurised, "label int, bag array<int>, meta array<double>").toPandas()
-    if not len(rows):
+def _features(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    known: dict[str, int] = {}
+    for text, source, lang in batches:
+        bags, x = _views(pd.DataFrame({"text": text, "source": source, "lang": lang}), known)
+        yield pd.DataFrame({"bag": [b.astype("<u2").tobytes() for b in bags], "meta": [r.astype("<f4").tobytes() for r in x]})
+
+
+def _of_features(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    return [np.frombuffer(b, dtype="<u2").astype(np.int32) for b in rows.bag], np.frombuffer(b"".join(rows.meta), dtype="<f4").reshape(-1, META)
+
+
+def featurised(docs: DataFrame, into: str) -> DataFrame:
+    """All columns of docs, and what the views read of a document."""
+    run = F.pandas_udf(_features, FEATURES)
+    return docs.withColumn(into, run(*(F.coalesce(c, F.lit("")) for c in ("text", "source", "lang"))))
+
+
+SUM = "view string, label int, at int, n double"
+
+
+def _summed(model: CoModel):  # noqa: ANN202
+    """A task's documents on which a view is sure, summed up for the other view, as sparse rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text, meta, second = Sums(), Sums(), np.zeros((2, WIDE, WIDE))
+        for rows in batches:
+            bags, x = _of_features(rows)
+            if not len(bags):
+                continue
+            of_text, of_meta = model.log_odds(bags, x)
+            text.add_texts(bags, _sure(of_meta))
+            label = _sure(of_text)
+            for k in (0, 1):
+                own = wide(x[label == k])
+                meta.docs[k] += len(own)
+                meta.first[k] += own.sum(0)
+                second[k] += own.T @ own
+        for view, table in (("text docs", text.docs[:, None]), ("meta docs", meta.docs[:, None]), ("buckets", text.buckets), ("first", meta.first), ("second", second.reshape(2, -1))):
+            label, at = np.nonzero(table)
+            yield pd.DataFrame({"view": view, "label": label, "at": at, "n": table[label, at]})
+
+    return run
+
+
+def exchange(features: DataFrame, model: CoModel) -> tuple[Sums, Sums, np.ndarray]:
+    """Over all unlabelled documents: sums for the text view, sums for the metadata view, second moments by class."""
+    rows = features.mapInPandas(_summed(model), SUM).groupBy("view", "label", "at").agg(F.sum("n").alias("n")).toPandas()
+    text, meta, second = Sums(), Sums(), np.zeros((2, WIDE * WIDE))
+    for view, table in (("text docs", text.docs[:, None]), ("meta docs", meta.docs[:, None]), ("buckets", text.buckets), ("first", meta.first), ("second", second)):
+        own = rows[rows["view"] == view]
+        table[own["label"], own["at"]] = own["n"]
+    return text, meta, second.reshape(2, WIDE, WIDE)
+
+
+def _fitted(seed_text: Sums, seed_meta: Sums, given: tuple[Sums, Sums, np.ndarray] | None, held: tuple[list[np.ndarray], np.ndarray, np.ndarray], grown: list[tuple[int, int]]) -> CoModel:
+    if given is not None:
+        text, meta, second = given
+        weight = lambda seed, more: seed.docs / np.maximum(more.docs, seed.docs)  # noqa: E731  at most as much as the labelled ones
+        seed_text = seed_text.plus(text.scaled(weight(seed_text, text), [text.second, text.second]))
+        seed_meta = seed_meta.plus(meta.scaled(weight(seed_meta, meta), list(second)))
+        grown = [*grown, (int(text.docs.sum()), int(meta.docs.sum()))]
+    bags, x, y = held
+    of_text, of_meta = View(text_weights(seed_text)), View(metadata_weights(seed_meta))
+    of_text.slope, of_text.offset = calibrate(raw_texts(of_text.w, bags), y)
+    of_meta.slope, of_meta.offset = calibrate(wide(x) @ of_meta.w, y)
+    return CoModel(of_text, of_meta, grown)
+
+
+def fit(features: DataFrame, into: str, labels: DataFrame, most_labelled: int = MOST_LABELLED, rounds: int = ROUNDS, seed: int = 3) -> CoModel | None:
+    """features: stored rows with doc_id and the column of ``featurised``."""
+    rows = features.select(F.col("doc_id").cast("long").alias("doc_id"), f"{into}.*")
+    # half of the bound for either class, at least; few enough to be broadcast, so features stay where they are
+    few = chosen(labels, "quality", most_labelled // 2, most_labelled - most_labelled // 2)
+    known = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct("bag", "meta")).alias("f"), F.first("label").alias("label"))
+    given = known.orderBy("doc_id").select("f.*", "label").toPandas()
+    if not len(given):
         return None
-    bags, x, y = [np.asarray(b, dtype=np.int32) for b in rows.bag], np.array(rows.meta.tolist()), rows.label.to_numpy()
-    known, rest = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    return co_train([bags[i] for i in known], x[known], y[known].astype(float), [bags[i] for i in rest], x[rest])
-
+    bags, x = _of_features(given)
+    y = given["label"].to_numpy()
+    back = np.random.default_rng(seed).random(len(y)) < 0.2
+    if len(set(y[~back].tolist())) < 2:
+        return None
+    use = np.flatnonzero(~back)
+    held = np.flatnonzero(back) if len(set(y[back].tolist())) == 2 else np.arange(len(y))
+    seed_text, seed_meta = Sums(), Sums()
+    seed_text.add_texts([bags[i] for i in use], y[use])
+    seed_meta.add_metadata(x[use], y[use])
+    back_rows = [bags[i] for i in held], x[held], y[held].astype(float)
+    model = _fitted(seed_text, seed_meta, None, back_rows, [])
+    labelled = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    unlabelled = stored(rows.join(labelled, "doc_id", "left_anti").select("bag", "meta"))
+    for _ in range(rounds):
+        model = _fitted(seed_text, seed_meta, exchange(unlabelled, model), back_rows, model.grown)
+    return model
+
+
+def scored(features: DataFrame, into: str, model: CoModel | None) -> DataFrame:
+    """All columns of features, ``into`` replaced by text_score, meta_score, score."""
+    if model is None:
+        half = F.lit(0.5)
+        return features.withColumn(into, F.struct(half.alias("text_score"), half.alias("meta_score"), half.alias("score")))
+    sent = features.sparkSession.sparkContext.broadcast(model)  # of one size, whatever the corpus
 
-def _featurised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
-    for rows in batches:
-        bags, x = _views(rows, known)
-        yield pd.DataFrame({"label": rows.label, "bag": bags, "meta": list(x)})
+    def scores(rows: pd.DataFrame) -> pd.DataFrame:
+        bags, x = _of_features(rows)
+        a, b = sent.value.log_odds(bags, x)
+        return pd.DataFrame({"text_score": _probability(a), "meta_score": _probability(b), "score": _probability((a + b) / 2)})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from map(scores, batches)
 
-def score(docs: DataFrame, model: CoModel | None) -> DataFrame:
-    """All columns of docs with _quality: text_score, meta_score, score."""
-    if model is None:
-        half = F.lit(0.5)
-        return docs.withColumn("_quality", F.struct(half.alias("text_score"), half.alias("meta_score"), half.alias("score")))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return features.withColumn(into, F.pandas_udf(run, "text_score double, meta_score double, score double")(into))
 
-    def scores(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        for text, source, lang in batches:
-            bags, x = _views(pd.DataFrame({"text": text, "source": source, "lang": lang}), known)
-            a, b = sent.value.log_odds(bags, x)
-            yield pd.DataFrame({k: 1 / (1 + np.exp(-np.clip(z, -30, 30))) for k, z in (("text_score", a), ("meta_score", b), ("score", (a + b) / 2))})
 
-    run = F.pandas_udf(scores, "text_score double, meta_score double, score double")
-    return docs.withColumn("_quality", run(*(F.coalesce(c, F.lit("")) for c in ("text", "source", "lang"))))
+def co_training(docs: DataFrame, labels: DataFrame, into: str = "quality", most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """All columns of docs with ``into``: text_score, meta_score, score (of quality 1)."""
+    features = stored(featurised(docs, into))
+    return scored(features, into, fit(features, into, labels, most_labelled))
 
 
 def co_training_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, text_score, meta_score, score (of quality 1), predicted, kept."""
-    rows = score(docs.select("doc_id", "text", "source", "lang"), fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "_quality.*")
+    found = "found"
+    # texts are not stored again: only their features are read from here on
+    features = stored(featurised(docs.select("doc_id", "text", "source", "lang"), found).select("doc_id", found))
+    rows = scored(features, found, fit(features, found, labels)).select("doc_id", held_out().alias("held_out"), f"{found}.*")
     return rows.withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "kept": F.col("score") >= KEEP})

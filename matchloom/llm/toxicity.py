@@ -52,9 +52,13 @@ _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 def tokens(text: str | None) -> list[str]:
     found = _WORD.findall(text.lower()) if text else []
-    if found and max(map(len, found)) > PIECE:
-        found = [w[at : at + PIECE] for w in found for at in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
-    return found
+    if not any(len(w) > PIECE for w in found):
+        return found
+    return [x for w in found for x in ((w,) if len(w) <= PIECE else _pieces(w))]
+
+
+def _pieces(word: str) -> list[str]:
+    return [word[at : at + PIECE] for at in range(0, len(word) - OVERLAP, PIECE - OVERLAP)]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

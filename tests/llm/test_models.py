@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from matchloom.llm import co_training, toxicity
+from matchloom.llm.common import stored
 from tests.llm.data import AWKWARD, frame, words
 
 BAD = ("grobnik", "fruzzle", "skamwort")
@@ -71,6 +73,29 @@ def test_toxicity_edge_cases(spark, toxic):
     assert toxicity.toxicity_report(frame(spark, []), labels).count() == 0
 
 
+def test_toxicity_by_hand(spark, toxic):
+    """The score is the model's, word by word and window by window; of long words all n-grams take part."""
+    docs, labels, rows, _ = toxic
+    model = toxicity.fit(docs, labels)
+
+    def share(word):
+        buckets, _ = toxicity.grams([word])
+        return sum(model.shares[b] for b in buckets) / len(buckets)
+
+    glued = "x" * 150 + "grobnik" + "y" * 500
+    odd = [(1, "quiet words here"), (2, f"see {rows[0][1]} and " + "long" * 200), (3, glued), (4, "x" * 657), (5, None), (6, "one")]
+    for r in toxicity.score(frame(spark, odd), model, "label").collect():
+        w = toxicity.tokens(r.text)
+        n = min(toxicity.WINDOW, len(w))
+        best = max((sum(share(x) for x in w[i : i + n]) / n for i in range(len(w) - n + 1)), default=0.0) if w else 0.0
+        assert abs(r.label - 1 / (1 + np.exp(-(model.slope * best + model.offset)))) < 1e-6
+    assert "".join(toxicity.tokens(glued)).count("grobnik") >= 1 and all(len(x) <= toxicity.PIECE for x in toxicity.tokens(glued))
+    found = {r.doc_id: r.label for r in toxicity.score(frame(spark, odd), model, "label").collect()}
+    assert found[3] > 2 * found[4]
+    few = toxicity.sample(docs, labels, most_toxic=5, most_clean=7, most_chars=1500).collect()
+    assert 0 < sum(r.label for r in few) <= 5 and all(sum(len(r.text) for r in few if r.label == k) <= 1500 for k in (0, 1))
+
+
 def quality_rows():
     r = random.Random(2)
     rows, labels = [], []
@@ -83,6 +108,42 @@ def quality_rows():
     return rows, labels
 
 
+def _by_hand(model, rows):
+    bags, x = co_training._views(pd.DataFrame({"text": [t for _, t in rows], "source": "s0", "lang": "en"}), {})
+    text = [sum(model.text.w[k] for k in b) / max(1, len(b)) ** 0.5 for b in bags]
+    meta = [sum(w * v for w, v in zip(model.meta.w, [*r, *(v * v for v in r[: co_training.LAYOUT]), 1.0], strict=True)) for r in x.astype(float)]
+    return (model.text, np.array(text)), (model.meta, np.array(meta))
+
+
+def test_exchange_sums_all_unlabelled_documents(spark):
+    """The sums that a round brings to a view are those of a plain loop over every document."""
+    rows, given = quality_rows()
+    docs, labels = frame(spark, rows).repartition(3), spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    features = stored(co_training.featurised(docs, "f"))
+    model = co_training.fit(features, "f", labels)
+    text, meta, second = co_training.exchange(features.select("f.*"), model)
+    bags, x = co_training._views(pd.DataFrame({"text": [t for _, t in rows], "source": "s0", "lang": "en"}), {})
+    want = np.zeros((2, co_training.BUCKETS)), np.zeros((2, co_training.WIDE))
+    p = [1 / (1 + np.exp(-v.log_odds(raw))) for v, raw in _by_hand(model, rows)]
+    for i in range(len(rows)):
+        for k, q in ((1, p[1][i]), (0, 1 - p[1][i])):
+            if q >= co_training.SURE:
+                want[0][k][bags[i]] += 1
+        for k, q in ((1, p[0][i]), (0, 1 - p[0][i])):
+            if q >= co_training.SURE:
+                want[1][k] += co_training.wide(x[i])[0]
+    assert np.array_equal(text.buckets, want[0]) and np.allclose(meta.first, want[1]) and second.shape == (2, co_training.WIDE, co_training.WIDE)
+
+
+def test_repeated_ids_do_not_change_the_model(spark):
+    rows, given = quality_rows()
+    labels = spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    twice = rows + [(d, "z other text " + t) for d, t in rows[:40]]
+    # sums of numbers differ in their last digits with the order of the tasks
+    a, b = (sorted((r.doc_id, round(r.text_score, 9), round(r.meta_score, 9), r.kept) for r in co_training.co_training_report(frame(spark, twice).repartition(n), labels).collect()) for n in (2, 5))
+    assert a == b
+
+
 def test_co_training(spark):
     rows, given = quality_rows()
     docs, labels = frame(spark, rows), spark.createDataFrame(given, "doc_id long, quality int, toxic int")
@@ -90,8 +151,13 @@ def test_co_training(spark):
     assert len(got) == len(rows)
     right = [r.predicted == int(r.doc_id % 5 != 0) for r in got if r.held_out]
     assert np.mean(right) > 0.97
-    model = co_training.fit(docs, labels)
-    assert model.grown and model.grown[-1] > (0, 0)
+    features = stored(co_training.featurised(docs, "f"))
+    model = co_training.fit(features, "f", labels)
+    assert len(model.grown) == co_training.ROUNDS and min(model.grown[-1]) > 0
+    # the outcome is that of a plain loop over the documents
+    z = [co_training.View.log_odds(v, raw) for v, raw in _by_hand(model, rows)]
+    for r, a, b in zip(sorted(got), z[0], z[1], strict=True):
+        assert abs(r.text_score - 1 / (1 + np.exp(-a))) < 1e-6 and abs(r.meta_score - 1 / (1 + np.exp(-b))) < 1e-6 and abs(r.score - 1 / (1 + np.exp(-(a + b) / 2))) < 1e-6
     odd = frame(spark, AWKWARD)
     assert co_training.co_training_report(odd, labels).count() == len(AWKWARD)
     empty = co_training.co_training_report(odd, labels.limit(0)).collect()
