@@ -9,8 +9,9 @@ in order, with their places, so no task ever sees more than the children of one
 hashes differ; records are compared only inside ranges that differ.
 
 Edge cases: a null payload is empty; a record that one replica lacks is reported as missing or extra; several
-records at one place are hashed together and reported as one, with their number; equal replicas, empty ones
-included, give no row; a null page_id is a record of file -1; extra columns are ignored.
+records at one place are hashed together (their number and sums of their hashes, so no list of them is ever gathered)
+and reported as one; equal replicas, empty ones included, give no row; records without a page_id have files of
+their own, below 0, by their digest, so these files stay small as well; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,20 +33,36 @@ def _parents() -> list[tuple[Column, Column]]:
     return [(f, F.floor(r / RANGE)), (f, F.floor(r / FAN)), (f, zero), (up, zero), (up, zero), (up, zero), (zero, zero)]
 
 
+def _body() -> Column:
+    return F.concat_ws("\n", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+
+
+def digests(pages: DataFrame) -> DataFrame:
+    """page (what tells records apart), f (file), page_id, length, digest."""
+    p = F.col("page_id").cast("long")
+    rows = pages.select(p.alias("page_id"), (F.octet_length(_body()) + HEADER).cast("long").alias("length"), F.sha2(_body().cast("binary"), 256).alias("digest"))
+    spread = -1 - F.conv(F.substring("digest", 1, 6), 16, 10).cast("long")
+    page = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("digest "), "digest"))
+    return rows.select(page.alias("page"), F.coalesce(F.floor(F.col("page_id") / RECORDS_PER_FILE), spread).alias("f"), "page_id", "length", "digest")
+
+
+def together() -> Column:
+    """The hash of all records at a place: of one its digest, of several their number and sums, in any order."""
+    half = lambda seed: F.sum(F.xxhash64(F.lit(seed), "digest").cast("decimal(38,0)")).cast("string")
+    n = F.count("*")
+    return F.when(n == 1, F.min("digest")).otherwise(F.sha2(F.concat_ws(",", n.cast("string"), half(1), half(2)).cast("binary"), 256))
+
+
 def records(pages: DataFrame) -> DataFrame:
-    """f (file), r (offset), length, page_id, digest, from pages in order of page_id; the place of a record is where the archive was first written."""
-    body = F.concat_ws("\n", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
-    key = F.coalesce(F.col("page_id").cast("long"), F.lit(-1).cast("long"))
-    rows = pages.select(
-        key.alias("page_id"), F.floor(key / RECORDS_PER_FILE).alias("f"), (F.octet_length(body) + HEADER).cast("long").alias("length"), F.sha2(body.cast("binary"), 256).alias("digest")
-    )
-    before = Window.partitionBy("f").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("f", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")).alias("r"), "length", "page_id", "digest")
+    """page, page_id, f (file), r (offset), hash: one row per place, which is where the archive was first written, in order of page_id."""
+    once = digests(pages).groupBy("page", "f", "page_id").agg(F.sum("length").alias("length"), together().alias("hash"))
+    before = Window.partitionBy("f").orderBy("page_id", "page").rowsBetween(Window.unboundedPreceding, -1)
+    return once.select("page", "page_id", "f", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")).alias("r"), "hash")
 
 
 def leaves(rows: DataFrame) -> DataFrame:
-    """One row per replica and place: replica, f, r, hash."""
-    return rows.groupBy("replica", "f", "r").agg(F.array_join(F.sort_array(F.collect_list("digest")), ",").alias("hash"))
+    """One row per replica and place: replica, f, r, hash, from rows (replica, f, r, digest)."""
+    return rows.groupBy("replica", "f", "r").agg(together().alias("hash"))
 
 
 def above(level: DataFrame, f: Column, r: Column) -> DataFrame:
@@ -56,12 +73,12 @@ def above(level: DataFrame, f: Column, r: Column) -> DataFrame:
     return nodes.select("replica", "f", "r", F.sha2(text.cast("binary"), 256).alias("hash"))
 
 
-def trees(rows: DataFrame) -> list[DataFrame]:
+def trees(lowest: DataFrame) -> list[DataFrame]:
     """The levels of the trees of replicas a and b, leaves first, as tables of (replica, f, r, hash).
 
     Leaves and files are stored, so that the way down reads them instead of hashing again.
     """
-    levels = [stored(leaves(rows))]
+    levels = [stored(lowest)]
     for k, (f, r) in enumerate(_parents()):
         up = above(levels[-1], f, r)
         levels.append(stored(up) if k == 2 else up)
@@ -80,9 +97,9 @@ def below(level: DataFrame, parents: DataFrame, step: tuple[Column, Column]) ->
     return placed.join(parents.select(F.col("f").alias("pf"), F.col("r").alias("pr")), ["pf", "pr"], "left_semi")
 
 
-def audit(rows: DataFrame) -> DataFrame:
-    """rows: replica (a or b), f, r, digest. Gives f, r, kind (changed, missing from b, extra in b), hash_a, hash_b where b departs from a."""
-    levels, steps = trees(rows), _parents()
+def audit(lowest: DataFrame) -> DataFrame:
+    """lowest: the leaves of replicas a and b, see ``leaves``. Gives f, r, kind (changed, missing from b, extra in b), hash_a, hash_b where b departs from a."""
+    levels, steps = trees(lowest), _parents()
     bad = differing(levels[-1])
     for k in range(len(steps) - 1, -1, -1):
         bad = differing(below(levels[k], bad, steps[k]))
@@ -100,13 +117,11 @@ def decayed(pages: DataFrame) -> DataFrame:
 def audit_report(pages: DataFrame) -> DataFrame:
     """Audits a decayed replica of pages against pages: page_id, file, start (offset), kind, digest_a, digest_b."""
     first = stored(records(pages))
-    places = first.groupBy("page_id").agg(F.min("f").alias("f"), F.min("r").alias("r"))
-    # the replica keeps the places under which its records were written
-    digest = F.sha2(F.concat_ws("\n", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).cast("binary"), 256)
-    now = decayed(pages).select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1).cast("long")).alias("page_id"), digest.alias("digest"))
-    original = first.select("page_id", "digest").join(places, "page_id").select(F.lit("a").alias("replica"), "f", "r", "digest")
-    replica = now.join(places, "page_id").select(F.lit("b").alias("replica"), "f", "r", "digest")
-    found = audit(original.union(replica)).join(places, ["f", "r"])
+    now = digests(decayed(pages)).groupBy("page").agg(together().alias("hash"))
+    # the replica keeps the places under which its records were written; both sides have one row per page
+    original = first.select(F.lit("a").alias("replica"), "f", "r", "hash")
+    replica = now.join(first.select("page", "f", "r"), "page").select(F.lit("b").alias("replica"), "f", "r", "hash")
+    found = audit(original.union(replica)).join(first.select("f", "r", "page_id"), ["f", "r"])
     return found.select("page_id", F.col("f").alias("file"), F.col("r").alias("start"), "kind", F.col("hash_a").alias("digest_a"), F.col("hash_b").alias("digest_b"))
 
 

@@ -10,7 +10,8 @@ window over ``SCOPE`` characters before and after a part says which roles occur
 weak parts and all three roles take part in the shuffle.
 
 Spans count code points, end exclusive. Edge cases: a null text is empty; repeated rows are judged alike;
-a weak part that overlaps a base span is not reported again; extra columns are ignored.
+a weak part that overlaps a base span is not reported again; spans may be of any length (of a URL's scheme the last
+21 characters count); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ ROLES = ("identifier", "secret", "endpoint")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_NAME = re.compile(r"""\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})""", re.IGNORECASE | re.ASCII)
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])")
-_HOST = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{3,200}|\b(?:host(?:name)?|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{3,200}|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])""", re.ASCII)
+_NAME = re.compile(r"""\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.IGNORECASE | re.ASCII)
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_HOST = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{3,}|\b(?:host(?:name)?|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{3,}|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])""", re.ASCII)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -112,8 +113,10 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     found = stored(identified(docs).mapInPandas(_scan, FOUND))
     all_spans = F.concat("base", F.coalesce("linked", F.array().cast(f"array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>")))
     rank = F.create_map(*(F.lit(x) for pair in zip(KINDS, range(len(KINDS)), strict=True) for x in pair))
+    # stored, so that a document which is repeated very often can be split among tasks
+    links = stored(linked(found, scope))
     ordered = F.transform(F.sort_array(F.transform(all_spans, lambda x: F.struct(x["s"], rank[x["kind"]].alias("k"), x["e"], x["kind"]))), lambda x: F.struct(x["kind"], x["s"], x["e"]))
-    return found.drop("parts").join(linked(found, scope), ["doc_id", "text_hash"], "left").withColumn("spans", ordered).drop("base", "linked")
+    return found.drop("parts").join(links, ["doc_id", "text_hash"], "left").withColumn("spans", ordered).drop("base", "linked")
 
 
 def secrets_report(docs: DataFrame) -> DataFrame:

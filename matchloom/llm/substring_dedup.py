@@ -14,15 +14,16 @@ routed to the one shard where all its equals go:
    with occurrences weighted by class counts, and each class streams through it for matching statistics:
    at each word, the longest stretch ending there that occurs twice or more. Stretches of WINDOW words and
    more are the maximal repeated spans.
-   Where an anchor has very many classes (a frequent phrase between ever-changing neighbours), its segments
-   are cut into single windows, which are routed by a hash of the whole window; so no shard grows with the
-   frequency of a phrase.
+   Where an anchor has very many classes (a frequent phrase between ever-changing neighbours), no shard could
+   hold them. Its segments are cut into single windows, and the windows' hashes are counted by a Spark
+   aggregation, which adds up before it shuffles; so nothing grows with the frequency of a phrase.
 5. The spans go back to the places of their class, and the words under them leave the documents.
 
 Words are compared by a 64-bit hash, seeded apart from the hash of windows.
 
 Edge cases: null and empty texts have no words; documents under WINDOW words lose nothing; a repeated row
-(same doc_id and text) is a second occurrence, so all its windows go; extra columns stay.
+(same doc_id and text) is a second occurrence, so all its windows go; extra columns stay, but for one named as
+``into``, which is replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import NO_ID, identified, stored, words
+from matchloom.llm.common import fresh, identified, keyed, stored, words
 
 WINDOW = 35
 ANCHOR = 8
@@ -169,73 +170,87 @@ class Automaton:
         return out
 
 
-CUT = "anchor long, route long, class long, offset int, count long, w array<long>"
+CUT = "anchor long, class long, offset int, count long, window long, w array<long>"
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words of the examples; those of busy anchors window by window, each with a route of its own."""
+    """The words of the examples; of busy anchors the hash of each window instead."""
     for rows in batches:
         out = []
         for w, wanted in zip(rows.w, rows.wanted, strict=True):
             w = np.asarray(w, dtype=np.int64)
             for x in wanted:
                 part = w[x["s"] : x["s"] + x["n"]]
-                if not x["busy"]:
-                    out.append((x["anchor"], 0, x["class"], 0, x["count"], part))
-                    continue
-                for i in range(len(part) - WINDOW + 1):
-                    one = part[i : i + WINDOW]
-                    out.append((x["anchor"], _route(one), x["class"], i, x["count"], one))
-        yield pd.DataFrame(out, columns=["anchor", "route", "class", "offset", "count", "w"])
+                if x["busy"]:
+                    out += [(x["anchor"], x["class"], i, x["count"], _hash(part[i : i + WINDOW]), None) for i in range(len(part) - WINDOW + 1)]
+                else:
+                    out.append((x["anchor"], x["class"], 0, x["count"], None, part))
+        table = pd.DataFrame(out, columns=["anchor", "class", "offset", "count", "window", "w"])
+        yield table.astype({"window": "Int64"})
 
 
-def _route(window: np.ndarray) -> int:
+def _hash(window: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(window.tobytes()) >> 1
 
 
-def _repeated(members: list[tuple]) -> Iterator[tuple[int, int, int]]:
-    """(anchor, class, mask) of the classes (anchor, class, offset, count, w) of one anchor and route."""
+def _repeated(members: list[tuple]) -> Iterator[tuple]:
+    """(anchor, class, mask) of the classes (anchor, class, count, w) of one anchor."""
     automaton = Automaton()
-    for _, _, _, count, w in members:
+    for _, _, count, w in members:
         automaton.add(w, count)
     automaton.close()
-    for anchor, kind, offset, _, w in members:
+    for anchor, kind, _, w in members:
         ends = automaton.repeated_ends(w, WINDOW)
         if ends:
-            yield anchor, kind, sum(1 << (e - WINDOW + offset) for e in ends)
+            yield anchor, kind, sum(1 << (e - WINDOW) for e in ends), None, None, None
+
+
+FOUND_SPANS = "anchor long, class long, mask long, offset int, count long, window long"
 
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of (anchor, route, class, offset): one automaton at a time."""
-    here, members, out = None, [], []
+    """Rows in order of (anchor, class, offset): one automaton at a time; windows of busy anchors go through, once each."""
+    here, last, members, out = None, None, [], []
+    columns = ["anchor", "class", "mask", "offset", "count", "window"]
+    table = lambda found: pd.DataFrame(found, columns=columns).astype({c: "Int64" for c in columns})
     for rows in batches:
-        for anchor, route, kind, offset, count, w in zip(rows.anchor, rows.route, rows["class"], rows.offset, rows["count"], rows.w, strict=True):
-            if (anchor, route) != here:
+        for anchor, kind, offset, count, window, w in zip(rows.anchor, rows["class"], rows.offset, rows["count"], rows.window.astype("Int64"), rows.w, strict=True):
+            if anchor != here:
                 out += _repeated(members)
-                here, members = (anchor, route), []
-            if not members or members[-1][1:3] != (kind, offset):  # a repeated row brings the same example again
-                members.append((anchor, kind, offset, count, w.tolist()))
-        yield pd.DataFrame(out, columns=["anchor", "class", "mask"])
+                here, members = anchor, []
+            if (anchor, kind, offset) == last:  # a repeated row brings the same example again
+                continue
+            last = anchor, kind, offset
+            if w is None:
+                out.append((anchor, kind, None, offset, count, window))
+            else:
+                members.append((anchor, kind, count, w.tolist()))
+        yield table(out)
         out = []
-    yield pd.DataFrame(list(_repeated(members)), columns=["anchor", "class", "mask"])
+    yield table(list(_repeated(members)))
 
 
 def repeated_places(docs: DataFrame, many: int = MANY_CLASSES) -> DataFrame:
     """doc_id, text_hash, s, mask: segments with repeated windows; bit i of mask is the window at word s + i."""
     texts = identified(docs)
     places = texts.select("doc_id", "text_hash", hashed_words()).mapInPandas(_places, PLACES)
-    # stored, so that the join deals both sides anew and a very frequent anchor can be split among tasks
+    # what is aggregated is stored before it is joined: the join then deals both sides anew, and a very frequent key can be split
     again = stored(places.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"))
     kept = stored(places.join(again, "anchor", "left_semi"))
-    classes = kept.groupBy("anchor", "class").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "text_hash", "s", "n")).alias("x"))
-    busy = classes.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > many).select("anchor", F.lit(True).alias("busy"))
+    classes = stored(kept.groupBy("anchor", "class").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "text_hash", "s", "n")).alias("x")))
+    busy = stored(classes.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > many).select("anchor", F.lit(True).alias("busy")))
     told = classes.join(busy, "anchor", "left").select("anchor", "class", "count", "x.*", F.coalesce("busy", F.lit(False)).alias("busy"))
     wanted = told.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "n", "anchor", "class", "count", "busy")).alias("wanted"))
     # texts travel as they are: hashes of words hardly compress
     cut = texts.join(wanted, ["doc_id", "text_hash"]).select(hashed_words(), "wanted").mapInPandas(_cut, CUT)
-    shards = cut.repartition("anchor", "route").sortWithinPartitions("anchor", "route", "class", "offset")
-    found = shards.mapInPandas(_shards, "anchor long, class long, mask long")
-    masks = found.groupBy("anchor", "class").agg(F.bit_or("mask").alias("mask"))
+    # a busy anchor is dealt by its classes, any other goes to one task
+    turn = F.when(F.col("w").isNull(), F.col("class")).otherwise(F.col("anchor"))
+    shards = cut.withColumn("turn", turn).repartition("turn").sortWithinPartitions("turn", "anchor", "class", "offset").drop("turn")
+    found = stored(shards.mapInPandas(_shards, FOUND_SPANS))
+    windows = found.filter("window is not null")
+    twice = stored(windows.groupBy("window").agg(F.sum("count").alias("c")).filter("c > 1").select("window"))
+    of_windows = windows.join(twice, "window").select("anchor", "class", F.expr("shiftleft(1L, offset)").alias("mask"))
+    masks = stored(found.filter("mask is not null").select("anchor", "class", "mask").union(of_windows).groupBy("anchor", "class").agg(F.bit_or("mask").alias("mask")))
     return kept.join(masks, ["anchor", "class"]).select("doc_id", "text_hash", "s", "mask")
 
 
@@ -266,19 +281,19 @@ def _without(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kept", "n_words", "n_removed", "spans"])
 
 
-def substring_dedup(docs: DataFrame, many: int = MANY_CLASSES) -> DataFrame:
-    """All columns of docs with _found: kept (words that stay, joined by a space), n_words, n_removed, spans (of words removed)."""
-    marks = repeated_places(docs, many).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "mask")).alias("_marks"))
-    marks = marks.withColumnsRenamed({"doc_id": "_id", "text_hash": "_text_hash"})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text_hash": F.xxhash64(text)})
-    return rows.join(marks, ["_id", "_text_hash"], "left").select(*docs.columns, F.pandas_udf(_without, FOUND)(text, "_marks").alias("_found"))
+def substring_dedup(docs: DataFrame, many: int = MANY_CLASSES, into: str = "substring_dedup") -> DataFrame:
+    """All columns of docs with ``into``: kept (words that stay, joined by a space), n_words, n_removed, spans (of words removed)."""
+    rows, key = keyed(docs)
+    marks = fresh(rows, "marks")
+    # stored, so that a row which is repeated very often can be split among tasks
+    found = stored(repeated_places(docs, many).groupBy(F.struct("doc_id", "text_hash").alias(key)).agg(F.collect_list(F.struct("s", "mask")).alias(marks)))
+    return rows.join(found, key, "left").withColumn(into, F.pandas_udf(_without, FOUND)(F.coalesce("text", F.lit("")), marks)).drop(key, marks)
 
 
 def substring_dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    rows = substring_dedup(docs.select("doc_id", "text"))
-    return rows.select("doc_id", "_found.n_words", "_found.n_removed", F.sha2(F.col("_found.kept").cast("binary"), 256).alias("kept_sha256"))
+    rows = substring_dedup(docs.select("doc_id", "text"), into="found")
+    return rows.select("doc_id", "found.n_words", "found.n_removed", F.sha2(F.col("found.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = rf"""
