@@ -89,11 +89,19 @@ def stored(df: DataFrame) -> DataFrame:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Removes, at its end, the tables stored inside, but for those that went through the function it gives."""
+    """Removes, at its end, the tables stored inside, but for those that went through the function it gives; these belong to the block around it."""
     _open.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        table, path = _written(df)
+        if len(_open) > 1:
+            _open[-2].append(path)
+        return table
+
     try:
-        yield lambda df: _written(df)[0]
+        yield keep
     finally:
         for path in _open.pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        spark._jvm.System.gc()  # Spark drops the shuffle files of tables that nothing refers to any more

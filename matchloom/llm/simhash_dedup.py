@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import NO_ID, fresh, identified, keyed, real_id, stored
+from matchloom.llm.common import NO_ID, fresh, identified, keyed, real_id, scratch, stored
 from matchloom.llm.components import components
 from matchloom.llm.near_copies import near_copies
 
@@ -132,6 +132,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
     # repeated rows are thinned out where they are, before they are dealt
     one = rows.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(turn) == 1).drop(turn)
-    first = near_copies(docs).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    kept = stored(first.select(F.col("k").alias(key)))
+    with scratch(docs.sparkSession) as keep:
+        first = near_copies(docs).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+        kept = keep(first.select(F.col("k").alias(key)))
     return one.join(kept.hint("merge"), key, "left_semi").drop(key)

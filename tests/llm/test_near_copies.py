@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from matchloom.llm import near_copies, simhash_dedup
 from tests.llm.data import AWKWARD, frame, words
 
@@ -73,3 +75,12 @@ def test_null_and_repeated_ids_do_not_join_texts(spark):
                     groups[x] = groups[a]
     null = -(2**63)
     assert all(r.component_id == min((x.doc_id for x in found if x.fp in groups[r.fp] and x.doc_id != null), default=null) for r in found)
+
+
+def test_signatures_are_a_lower_bound():
+    r = random.Random(3)
+    for n in (0, 1, 7, 300, 4000):
+        a = {r.getrandbits(63) for _ in range(n)}
+        b = set(list(a)[n // 5 :]) | {r.getrandbits(63) for _ in range(n // 4)}
+        x, y = (near_copies.signature(np.array(sorted(s), dtype=np.int64)) for s in (a, b))
+        assert sum((int(p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y, strict=True)) <= len(a ^ b)
