@@ -13,7 +13,7 @@ def match_sheets(t: Tables) -> dict[str, DataFrame]:
     """scoreboard, highlights, players, head_to_head, events; every one with match_id."""
     per_match = players.player_match(t.events, t.match_players, t.players, t.matches, t.scoreboard)
     usable = players.usable_knocks(t.events, t.match_players)
-    roles = awards.role_order(awards.all_roles(t.events, usable, t.match_players, t.matches), t.match_players, t.players)
+    roles = awards.role_order(awards.all_roles(t.events, usable, t.match_players, t.matches, t.players), t.match_players, t.players)
     return {
         "scoreboard": dims.board_vs_feed(per_match, t.scoreboard),
         "highlights": roles,

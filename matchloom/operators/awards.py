@@ -18,40 +18,45 @@ CLUTCH_LEAST = 2
 ROLES = ("Dominating", "Rival", "Grenadier", "Molotov specialist", "Driver", "Shotgun specialist", "AR player", "SMG player", "LMG player", "Sniper player", "Clutch")
 
 
+def _named(rows: DataFrame, players: DataFrame, *ids: str) -> DataFrame:
+    """rows with the name of each of these players as <column>_name; ties are ordered by it ('' if unknown)."""
+    for c in ids:
+        names = players.select(F.col("player_id").alias(c), F.col("ign").alias(f"{c}_name"))
+        rows = rows.join(names, c, "left").withColumn(f"{c}_name", F.coalesce(f"{c}_name", F.lit("")))
+    return rows
+
+
 def _first_times(usable: DataFrame) -> DataFrame:
     return usable.groupBy("match_id", "killer_id", "victim_id").agg(F.count("*").alias("n"), F.min(F.struct("true_ms", "feed_ms", "event_id")).alias("first"))
 
 
-def rival_pairs(usable: DataFrame) -> DataFrame:
-    """Per match the three pairs that traded knocks most evenly: x knocked y a times, y knocked x b times; x knocked first."""
+def rival_pairs(usable: DataFrame, players: DataFrame) -> DataFrame:
+    """Per match the three pairs that traded knocks most evenly: x knocked y a times, y knocked x b times; x knocked first. Ties go by name."""
     pairs = _first_times(usable)
     other = pairs.select("match_id", F.col("victim_id").alias("killer_id"), F.col("killer_id").alias("victim_id"), F.col("n").alias("b"), F.col("first").alias("answer"))
-    traded = pairs.join(other, ["match_id", "killer_id", "victim_id"]).filter("first < answer")
-    # names order like 'player_<id>'
-    name = lambda c: F.concat(F.lit("player_"), F.col(c).cast("string"))
-    order = Window.partitionBy("match_id").orderBy(F.least("n", "b").desc(), (F.col("n") + F.col("b")).desc(), name("killer_id"), name("victim_id"))
+    traded = _named(pairs.join(other, ["match_id", "killer_id", "victim_id"]).filter("first < answer"), players, "killer_id", "victim_id")
+    order = Window.partitionBy("match_id").orderBy(F.least("n", "b").desc(), (F.col("n") + F.col("b")).desc(), "killer_id_name", "victim_id_name", "killer_id", "victim_id")
     return traded.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TOP_PAIRS).select("match_id", F.col("killer_id").alias("x"), F.col("victim_id").alias("y"), F.col("n").alias("a"), "b", "place")
 
 
-def rivals(usable: DataFrame) -> DataFrame:
+def rivals(usable: DataFrame, players: DataFrame) -> DataFrame:
     """Both sides of each rival pair: match_id, player_id, opponent_id, knocked, knocked_by."""
     sides = F.array(
         F.struct(F.col("x").alias("player_id"), F.col("y").alias("opponent_id"), F.col("a").alias("knocked"), F.col("b").alias("knocked_by")),
         F.struct(F.col("y").alias("player_id"), F.col("x").alias("opponent_id"), F.col("b").alias("knocked"), F.col("a").alias("knocked_by")),
     )
-    return rival_pairs(usable).select("match_id", F.explode(sides).alias("s")).select("match_id", "s.*")
+    return rival_pairs(usable, players).select("match_id", F.explode(sides).alias("s")).select("match_id", "s.*")
 
 
-def dominating(usable: DataFrame) -> DataFrame:
+def dominating(usable: DataFrame, players: DataFrame) -> DataFrame:
     """Per match the three greatest leads, rival pairs left out: match_id, player_id, opponent_id, n, back, share (percent of the victim's knockdowns)."""
     matrix = pair_reverse(usable.groupBy("match_id", "killer_id", "victim_id").agg(F.count("*").alias("n")))
     # every direction of a matched pair, and all knocks on the victim, from the same grouping key
     downs = Window.partitionBy("match_id", "victim_id")
     counted = matrix.withColumn("downs", F.sum("n").over(downs))
-    apart = rivals(usable).select("match_id", F.col("player_id").alias("killer_id"), F.col("opponent_id").alias("victim_id"))
-    leads = counted.filter("n > back").join(apart, ["match_id", "killer_id", "victim_id"], "left_anti")
-    name = lambda c: F.concat(F.lit("player_"), F.col(c).cast("string"))
-    order = Window.partitionBy("match_id").orderBy((F.col("n") - F.col("back")).desc(), F.col("n").desc(), name("killer_id"), name("victim_id"))
+    apart = rivals(usable, players).select("match_id", F.col("player_id").alias("killer_id"), F.col("opponent_id").alias("victim_id"))
+    leads = _named(counted.filter("n > back").join(apart, ["match_id", "killer_id", "victim_id"], "left_anti"), players, "killer_id", "victim_id")
+    order = Window.partitionBy("match_id").orderBy((F.col("n") - F.col("back")).desc(), F.col("n").desc(), "killer_id_name", "victim_id_name", "killer_id", "victim_id")
     share = F.bround(100 * F.col("n") / F.col("downs"), 0).cast("long")
     return leads.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TOP_PAIRS).select(
         "match_id", F.col("killer_id").alias("player_id"), F.col("victim_id").alias("opponent_id"), "n", "back", share.alias("share")
@@ -79,11 +84,10 @@ def weapon_class_counts(usable: DataFrame) -> DataFrame:
     return n.withColumn("read", F.sum("n").over(Window.partitionBy("match_id", "player_id")))
 
 
-def weapon_class_leaders(usable: DataFrame) -> DataFrame:
-    """Per match and class one player with the most knocks, then the greater share: match_id, player_id, role, n, share."""
-    counts = weapon_class_counts(usable).filter(F.col("class").isin(*CLASS_ROLES) & (F.col("n") >= CLASS_LEAST))
-    name = F.concat(F.lit("player_"), F.col("player_id").cast("string"))
-    order = Window.partitionBy("match_id", "class").orderBy(F.col("n").desc(), (F.col("n") / F.col("read")).desc(), name)
+def weapon_class_leaders(usable: DataFrame, players: DataFrame) -> DataFrame:
+    """Per match and class one player with the most knocks, then the greater share, then the name: match_id, player_id, role, n, share."""
+    counts = _named(weapon_class_counts(usable).filter(F.col("class").isin(*CLASS_ROLES) & (F.col("n") >= CLASS_LEAST)), players, "player_id")
+    order = Window.partitionBy("match_id", "class").orderBy(F.col("n").desc(), (F.col("n") / F.col("read")).desc(), "player_id_name", "player_id")
     roles = F.create_map(*(F.lit(x) for pair in CLASS_ROLES.items() for x in pair))
     share = F.bround(100 * F.col("n") / F.col("read"), 0).cast("long")
     return counts.withColumn("place", F.row_number().over(order)).filter("place = 1").select("match_id", "player_id", roles[F.col("class")].alias("role"), "n", share.alias("share"))
@@ -118,15 +122,15 @@ def clutch_moments(events: DataFrame, usable: DataFrame, match_players: DataFram
     return best.select("match_id", "round_no", F.col("killer_id").alias("player_id"), F.col("enemy_max").alias("enemies"), F.when(F.col("d_none_now") == 0, F.col("own_max")).alias("own_alive"), "size")
 
 
-def clutch(moments: DataFrame) -> DataFrame:
+def clutch(moments: DataFrame, players: DataFrame) -> DataFrame:
     """One clutch per match: most enemies, then fewest of the own side, then the name; with the number of the player's clutch rounds."""
     # no one of the own side alive counts like an unknown number: as the whole side
     own = F.when(F.coalesce("own_alive", F.lit(0)) == 0, F.col("size")).otherwise(F.col("own_alive"))
-    name = F.concat(F.lit("player_"), F.col("player_id").cast("string"))
     per_player = Window.partitionBy("match_id", "player_id")
     each = moments.withColumns({"own": own, "rounds": F.count("*").over(per_player)})
     each = each.withColumn("p", F.row_number().over(per_player.orderBy(F.col("enemies").desc(), "own", "round_no"))).filter("p = 1")
-    best = each.withColumn("q", F.row_number().over(Window.partitionBy("match_id").orderBy(F.col("enemies").desc(), "own", name))).filter("q = 1")
+    order = Window.partitionBy("match_id").orderBy(F.col("enemies").desc(), "own", "player_id_name", "player_id")
+    best = _named(each, players, "player_id").withColumn("q", F.row_number().over(order)).filter("q = 1")
     return best.select("match_id", "player_id", "round_no", "enemies", "own_alive", "rounds")
 
 
@@ -142,14 +146,14 @@ def knock_basis(events: DataFrame, usable: DataFrame, match_players: DataFrame,
     return joined.select("match_id", F.coalesce("used", F.lit(0)).alias("knocks_used"), F.coalesce("board", "rows").alias("knocks_seen"), source.alias("source"))
 
 
-def all_roles(events: DataFrame, usable: DataFrame, match_players: DataFrame, matches: DataFrame) -> DataFrame:
+def all_roles(events: DataFrame, usable: DataFrame, match_players: DataFrame, matches: DataFrame, players: DataFrame) -> DataFrame:
     """match_id, player_id, role of every award."""
     parts = [
-        rivals(usable).select("match_id", "player_id", F.lit("Rival").alias("role")),
-        dominating(usable).select("match_id", "player_id", F.lit("Dominating").alias("role")),
+        rivals(usable, players).select("match_id", "player_id", F.lit("Rival").alias("role")),
+        dominating(usable, players).select("match_id", "player_id", F.lit("Dominating").alias("role")),
         throwable_leaders(usable).select("match_id", "player_id", "role"),
-        weapon_class_leaders(usable).select("match_id", "player_id", "role"),
-        clutch(clutch_moments(events, usable, match_players, matches)).select("match_id", "player_id", F.lit("Clutch").alias("role")),
+        weapon_class_leaders(usable, players).select("match_id", "player_id", "role"),
+        clutch(clutch_moments(events, usable, match_players, matches), players).select("match_id", "player_id", F.lit("Clutch").alias("role")),
     ]
     out = parts[0]
     for p in parts[1:]:

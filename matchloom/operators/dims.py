@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.match_rules import counted_elimination, is_knock, ones
@@ -185,5 +185,16 @@ def board_vs_feed(per_match: DataFrame, scoreboard: DataFrame) -> DataFrame:
 
 
 def in_order(rows: DataFrame, by: list, place: str = "place", within: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with their place in an order, inside a key if one is given; the place survives where row order does not."""
+    """Rows with their place in an order inside a key; the place survives where row order does not."""
     return rows.withColumn(place, F.row_number().over(Window.partitionBy(*within).orderBy(*by)).cast("long"))
+
+
+def in_total_order(rows: DataFrame, by: list, coarse: Column, down: bool = False, place: str = "place") -> DataFrame:
+    """Rows with their place in one order of all. coarse rises (or falls, ``down``) along that order: rows are ranked inside
+    one value of it, and what all values before hold is added, so only one count per value meets in a task."""
+    ranged = rows.withColumn("_coarse", coarse)
+    order = F.col("_coarse").desc() if down else F.col("_coarse").asc()
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_coarse").agg(F.count("*").alias("n")).select("_coarse", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    ranked = in_order(ranged, by, place, ("_coarse",)).join(starts, "_coarse")
+    return ranked.withColumn(place, F.col(place) + F.col("_before")).drop("_coarse", "_before")

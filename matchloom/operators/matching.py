@@ -145,20 +145,23 @@ def row_names(reads: DataFrame, rosters: DataFrame) -> DataFrame:
 
 
 def name_consensus(reads: DataFrame) -> DataFrame:
-    """reads: key, raw. The spelling that two readings and 40 % of them agree on, else the one most like all others; and the share that agrees."""
+    """reads: key, raw. The spelling that two readings and 40 % of them agree on, else the one most like all others; and the share that agrees.
+
+    Equal spellings are counted before anything is gathered, so a list is as long as a key has different ones.
+    """
 
     def settle(lists: pd.Series) -> pd.DataFrame:
         out = []
         for spellings in lists:
-            r = sorted(spellings)
-            count = {x: r.count(x) for x in r}
-            top = max(sorted(count), key=count.get) if r else ""
-            if r and not (count[top] >= 2 and count[top] / len(r) >= 0.4):
-                forms = [folded(x) for x in r]
-                top = max(zip(r, forms, strict=True), key=lambda p: sum(similarity(p[1], f) for f in forms))[0]
-            out.append((top, round(count.get(top, 0) / len(r), 2) if r else 0.0))
+            count = {x["raw"]: x["n"] for x in sorted(spellings, key=lambda x: x["raw"])}
+            total = sum(count.values())
+            top = max(count, key=count.get) if count else ""
+            if count and not (count[top] >= 2 and count[top] / total >= 0.4):
+                forms = [(folded(x), n) for x, n in count.items()]
+                top = max(count, key=lambda x: sum(n * similarity(folded(x), f) for f, n in forms))
+            out.append((top, round(count.get(top, 0) / total, 2) if total else 0.0))
         return pd.DataFrame(out, columns=["name", "share"])
 
-    cleaned = reads.withColumn("raw", clean_reading(F.trim("raw")))
-    lists = cleaned.groupBy("key").agg(F.collect_list(F.when(F.col("raw") != "", F.col("raw"))).alias("raws"))
+    counts = reads.groupBy("key", clean_reading(F.trim("raw")).alias("raw")).agg(F.count("*").alias("n"))
+    lists = counts.groupBy("key").agg(F.collect_list(F.when(F.col("raw") != "", F.struct("raw", "n"))).alias("raws"))
     return lists.select("key", F.pandas_udf(settle, "name string, share double")("raws").alias("x")).select("key", "x.*")

@@ -65,11 +65,11 @@ def clutch_text(best: DataFrame) -> DataFrame:
 def role_details(events: DataFrame, usable: DataFrame, match_players: DataFrame, matches: DataFrame, players: DataFrame) -> DataFrame:
     """match_id, player_id, role, detail of every award."""
     parts = [
-        rival_text(awards.rivals(usable), players),
-        dominating_text(awards.dominating(usable), usable, players),
+        rival_text(awards.rivals(usable, players), players),
+        dominating_text(awards.dominating(usable, players), usable, players),
         throwable_text(awards.throwable_leaders(usable)),
-        class_text(awards.weapon_class_leaders(usable), usable),
-        clutch_text(awards.clutch(awards.clutch_moments(events, usable, match_players, matches))),
+        class_text(awards.weapon_class_leaders(usable, players), usable),
+        clutch_text(awards.clutch(awards.clutch_moments(events, usable, match_players, matches), players)),
     ]
     out = parts[0]
     for p in parts[1:]:

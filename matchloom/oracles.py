@@ -70,22 +70,23 @@ pm AS (SELECT mp.match_id, ma.recorded_at, mp.player_id, pl.ign, pl.nickname, mp
        FROM mp JOIN ma USING (match_id) JOIN pl USING (player_id) LEFT JOIN pm0 ON pm0.match_id = mp.match_id AND pm0.player_id = mp.player_id LEFT JOIN bv ON bv.match_id = mp.match_id AND bv.player_id = mp.player_id),
 us AS (SELECT e.*, k.team AS killer_team, v.team AS victim_team_known FROM ev e JOIN mp k ON k.match_id = e.match_id AND k.player_id = e.killer_id JOIN mp v ON v.match_id = e.match_id AND v.player_id = e.victim_id
        WHERE event_type = 'knock' AND killer_id <> victim_id AND weapon IS DISTINCT FROM 'Zone' AND k.team <> v.team),
-kx AS (SELECT match_id, killer_id, victim_id, count(*) AS n, min(struct_pack(t := true_ms, f := feed_ms, i := event_id)) AS first FROM us GROUP BY ALL),
+kx AS (SELECT match_id, killer_id, victim_id, any_value(k.ign) AS kn, any_value(v.ign) AS vn, count(*) AS n, min(struct_pack(t := true_ms, f := feed_ms, i := event_id)) AS first
+       FROM us JOIN pl k ON k.player_id = killer_id JOIN pl v ON v.player_id = victim_id GROUP BY match_id, killer_id, victim_id),
 pr AS (SELECT x.*, coalesce(y.n, 0) AS back, y.first AS answer FROM kx x LEFT JOIN kx y ON x.match_id = y.match_id AND x.killer_id = y.victim_id AND x.victim_id = y.killer_id),
-rv AS (SELECT match_id, killer_id AS x, victim_id AS y, n AS a, back AS b, row_number() OVER (PARTITION BY match_id ORDER BY least(n, back) DESC, n + back DESC, 'player_' || killer_id, 'player_' || victim_id) AS place
+rv AS (SELECT match_id, killer_id AS x, victim_id AS y, n AS a, back AS b, row_number() OVER (PARTITION BY match_id ORDER BY least(n, back) DESC, n + back DESC, kn, vn) AS place
        FROM pr WHERE back > 0 AND first < answer QUALIFY place <= 3),
 rs AS (SELECT match_id, x AS player_id, y AS opponent_id, a AS knocked, b AS knocked_by FROM rv UNION ALL SELECT match_id, y, x, b, a FROM rv),
 dm AS (SELECT match_id, killer_id AS player_id, victim_id AS opponent_id, n, back, CAST(round_even(100 * n / (SELECT sum(z.n) FROM kx z WHERE z.match_id = pr.match_id AND z.victim_id = pr.victim_id), 0) AS BIGINT) AS share
        FROM pr ANTI JOIN rs ON rs.match_id = pr.match_id AND rs.player_id = pr.killer_id AND rs.opponent_id = pr.victim_id WHERE n > back
-       QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY n - back DESC, n DESC, 'player_' || killer_id, 'player_' || victim_id) <= 3),
+       QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY n - back DESC, n DESC, kn, vn) <= 3),
 tl AS (SELECT match_id, killer_id AS player_id, CASE weapon WHEN 'Grenade' THEN 'Grenadier' WHEN 'Molotov' THEN 'Molotov specialist' ELSE 'Driver' END AS role, n,
               count(*) OVER (PARTITION BY match_id, weapon) > 1 AS joint
        FROM (SELECT match_id, killer_id, weapon, count(*) AS n, max(count(*)) OVER (PARTITION BY match_id, weapon) AS top FROM us WHERE weapon IN ('Grenade', 'Molotov', 'Car') GROUP BY match_id, killer_id, weapon)
        WHERE n = top AND n >= CASE weapon WHEN 'Car' THEN 1 ELSE 2 END),
 wc AS (SELECT match_id, killer_id AS player_id, class, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY match_id, killer_id) AS BIGINT) AS read
        FROM (SELECT *, CASE {_CLASS_OF} END AS class FROM us) WHERE class IS NOT NULL GROUP BY match_id, killer_id, class),
-wl AS (SELECT match_id, player_id, CASE class WHEN 'Shotgun' THEN 'Shotgun specialist' ELSE class || ' player' END AS role, n, CAST(round_even(100 * n / read, 0) AS BIGINT) AS share FROM wc
-       WHERE class IN ('AR', 'SMG', 'LMG', 'Sniper', 'Shotgun') AND n >= 3 QUALIFY row_number() OVER (PARTITION BY match_id, class ORDER BY n DESC, n / read DESC, 'player_' || player_id) = 1),
+wl AS (SELECT match_id, player_id, CASE class WHEN 'Shotgun' THEN 'Shotgun specialist' ELSE class || ' player' END AS role, n, CAST(round_even(100 * n / read, 0) AS BIGINT) AS share FROM wc JOIN pl USING (player_id)
+       WHERE class IN ('AR', 'SMG', 'LMG', 'Sniper', 'Shotgun') AND n >= 3 QUALIFY row_number() OVER (PARTITION BY match_id, class ORDER BY n DESC, n / read DESC, ign) = 1),
 dd AS (SELECT e.match_id, round_no, true_ms, coalesce(v.team, victim_team) AS team FROM ev e LEFT JOIN mp v ON v.match_id = e.match_id AND v.player_id = e.victim_id WHERE {_OUT} AND round_no IS NOT NULL),
 cm0 AS (SELECT k.event_id, k.match_id, k.round_no, k.killer_id, k.true_ms, k.feed_ms,
                3 - (SELECT count(*) FROM dd WHERE dd.match_id = k.match_id AND dd.round_no = k.round_no AND dd.team = k.killer_team AND dd.true_ms <= k.true_ms - 3500) AS own_max,
@@ -98,7 +99,7 @@ cm AS (SELECT match_id, round_no, killer_id AS player_id, enemy_max AS enemies,
        WHERE enemy_max >= 2 AND own_max <= enemy_min AND victims >= enemy_max QUALIFY row_number() OVER (PARTITION BY match_id, round_no, killer_id ORDER BY enemy_max DESC, true_ms, feed_ms, event_id) = 1),
 cl0 AS (SELECT *, CASE WHEN coalesce(own_alive, 0) = 0 THEN 3 ELSE own_alive END AS own, count(*) OVER (PARTITION BY match_id, player_id) AS rounds FROM cm),
 cl1 AS (SELECT * FROM cl0 QUALIFY row_number() OVER (PARTITION BY match_id, player_id ORDER BY enemies DESC, own, round_no) = 1),
-cl AS (SELECT match_id, player_id, round_no, enemies, own_alive, rounds FROM cl1 QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY enemies DESC, own, 'player_' || player_id) = 1),
+cl AS (SELECT match_id, player_id, round_no, enemies, own_alive, rounds FROM cl1 JOIN pl USING (player_id) QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY enemies DESC, own, ign) = 1),
 ar AS (SELECT match_id, player_id, 'Rival' AS role FROM rs UNION ALL SELECT match_id, player_id, 'Dominating' FROM dm UNION ALL SELECT match_id, player_id, role FROM tl UNION ALL SELECT match_id, player_id, role FROM wl
        UNION ALL SELECT match_id, player_id, 'Clutch' FROM cl)
 """
@@ -370,6 +371,8 @@ RECURSIVE_SELECTS: dict[str, str] = {
         SELECT event_id FROM kp""",
 }
 
+RECURSIVE_SELECTS["stream_dedupe"] = RECURSIVE_SELECTS["dedupe_events"]
+
 _GUN_ROLE = " ".join(f"WHEN weapon IN ({', '.join(chr(39) + g + chr(39) for g in CLASSES[c])}) THEN '{r}'" for c, r in (("AR", "AR player"), ("SMG", "SMG player"), ("LMG", "LMG player"), ("Sniper", "Sniper player"), ("Shotgun", "Shotgun specialist")))
 _S = "CASE WHEN {0} = 1 THEN '' ELSE 's' END"
 SELECTS["role_details"] = f""", dn AS (SELECT match_id, victim_id, count(*) AS downs FROM us GROUP BY ALL),
@@ -390,3 +393,15 @@ SELECTS["basis_text"] = SELECTS["knock_basis"].replace("SELECT e.match_id, (SELE
     WHEN source = 'board_partial' THEN 'Based on ' || knocks_used || ' knock rows with both names read. The end-of-match board was only partly read (some players or Knock Outs cells missing), so its total of ' || knocks_seen || ' is a lower bound.'
     WHEN knocks_used > knocks_seen THEN 'Based on ' || knocks_used || ' knock rows with both names read; the end-of-match board counts ' || knocks_seen || ' Knock Outs, so a few rows may be repeats or misreads.'
     ELSE 'Based on ' || knocks_used || ' of ' || knocks_seen || ' knocks read (' || knocks_seen || ' = Knock Outs on the end-of-match board).' END AS basis FROM (SELECT e.match_id, (SELECT count(*)""", 1) + ")"
+
+_IN_RANGE = "substr(recorded_at, 1, 10) BETWEEN '2024-01-03' AND '2024-01-20'"
+SELECTS["export_player_totals"] = SELECTS["range_player_totals"]
+SELECTS["export_player_per_match"] = f"SELECT match_id, player_id, eliminations, knocks, deaths FROM pm WHERE {_IN_RANGE}"
+SELECTS["export_match_players"] = SELECTS["player_knock_lines"]
+SELECTS["export_match_head_to_head"] = SELECTS["head_to_head"]
+SELECTS["export_match_highlights"] = SELECTS["role_order"]
+DIM_SELECTS["export_match_events"] = DIM_SELECTS["v_events"]
+DIM_SELECTS["export_match_scoreboard"] = DIM_SELECTS["board_vs_feed"]
+DIM_SELECTS["export_matches"] = f"SELECT match_id, recorded_at, eliminations, to_review, players FROM ({DIM_SELECTS['match_list']}) WHERE {_IN_RANGE}"
+DIM_SELECTS["delete_match_children"] = "SELECT match_id, player_id FROM mp WHERE match_id NOT IN (SELECT match_id FROM ma WHERE match_id % 5 = 0)"
+DIM_SELECTS["delete_match_boards"] = "SELECT match_id, round_no, player_id, stat_name, value FROM bo WHERE match_id NOT IN (SELECT match_id FROM ma WHERE match_id % 5 = 0)"

@@ -29,7 +29,7 @@ def _kept_usable(t: Tables) -> DataFrame:
 
 
 def _roles(t: Tables) -> DataFrame:
-    return awards.role_order(awards.all_roles(t.events, _kept_usable(t), t.match_players, t.matches), t.match_players, t.players)
+    return awards.role_order(awards.all_roles(t.events, _kept_usable(t), t.match_players, t.matches, t.players), t.match_players, t.players)
 
 
 def _per_match(t: Tables) -> DataFrame:
@@ -62,12 +62,12 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "opponent_rankings": lambda t: players.opponent_rankings(_matrix(t), t.players),
     "hidden_death_doubt": lambda t: players.hidden_death_doubt(t.events, players.knock_outcomes(t.events), t.match_players),
     "player_knock_lines": lambda t: players.player_knock_lines(t.events, t.match_players),
-    "rivals": lambda t: awards.rivals(_usable(t)),
-    "dominating": lambda t: awards.dominating(_usable(t)),
+    "rivals": lambda t: awards.rivals(_usable(t), t.players),
+    "dominating": lambda t: awards.dominating(_usable(t), t.players),
     "throwable_leaders": lambda t: awards.throwable_leaders(_usable(t)),
     "weapon_class_counts": lambda t: awards.weapon_class_counts(_usable(t)),
-    "weapon_class_leaders": lambda t: awards.weapon_class_leaders(_usable(t)),
-    "clutch": lambda t: awards.clutch(awards.clutch_moments(t.events, _usable(t), t.match_players, t.matches)),
+    "weapon_class_leaders": lambda t: awards.weapon_class_leaders(_usable(t), t.players),
+    "clutch": lambda t: awards.clutch(awards.clutch_moments(t.events, _usable(t), t.match_players, t.matches), t.players),
     "knock_basis": lambda t: awards.knock_basis(t.events, _usable(t), t.match_players, t.scoreboard),
     "role_details": lambda t: wording.role_details(t.events, _kept_usable(t), t.match_players, t.matches, t.players),
     "basis_text": lambda t: wording.basis_text(awards.knock_basis(t.events, _usable(t), t.match_players, t.scoreboard)),
@@ -96,7 +96,7 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "to_review": lambda t: dims.to_review(t.events).select("event_id"),
     "board_wide": lambda t: dims.board_wide(t.scoreboard),
     "board_vs_feed": lambda t: dims.board_vs_feed(_per_match(t), t.scoreboard),
-    "matches_newest_first": lambda t: dims.in_order(t.matches.select("match_id", "recorded_at"), [F.desc("recorded_at"), "match_id"]),
+    "matches_newest_first": lambda t: dims.in_total_order(t.matches.select("match_id", "recorded_at"), [F.desc("recorded_at"), "match_id"], F.substring("recorded_at", 1, 10), down=True),
     "match_timeline": lambda t: dims.in_order(t.events, ["true_ms", "feed_ms", "event_id"], within=("match_id",)).select("match_id", "event_id", "place"),
     "scoreboard_order": lambda t: dims.in_order(t.scoreboard.join(t.players, "player_id"), [F.asc_nulls_first("round_no"), "ign", "stat_name"], within=("match_id",)).select("match_id", "round_no", "player_id", "stat_name", "place"),
     "rounds_order": lambda t: dims.in_order(t.rounds, ["round_no"], within=("match_id",)).select("match_id", "round_no", "place"),
@@ -117,13 +117,20 @@ def _deaths(t: Tables) -> DataFrame:
     return found.select("match_id", (F.col("t_ms") * 100 + F.col("death_no")).alias("death_id"), "t_ms", F.expr(f"t_ms div {bronze.ROUND_MS} + 1").alias("round_no"), F.lit(None).cast("string").alias("team"))
 
 
+def _deaths_with_team(t: Tables) -> DataFrame:
+    """Deaths with the team of the slot that went grey with them, where one did; the pairing of rows and deaths heeds it."""
+    deaths = _deaths(t).drop("team")
+    side = F.when(F.col("slot_id") % 1000 < 8, "blue").otherwise("red")
+    return deaths.join(matching.death_team(deaths, _grey_slots(t)).select("match_id", "death_id", side.alias("team")), ["match_id", "death_id"], "left")
+
+
 def _placed(t: Tables) -> DataFrame:
     found = rounds.late_row_round(t.events, t.rounds, _deaths(t))
     return t.events.drop("round_no").join(found, "event_id").withColumnRenamed("found_round", "round_no")
 
 
 def _aligned(t: Tables) -> DataFrame:
-    return matching.align_elims(_placed(t), _deaths(t))
+    return matching.align_elims(_placed(t), _deaths_with_team(t))
 
 
 def _truth(t: Tables) -> DataFrame:
@@ -145,7 +152,7 @@ ON_READS: dict[str, Callable[[Tables], DataFrame]] = {
     "dedupe_events": lambda t: rounds.dedupe_events(t.events),
     "align_elims": _aligned,
     "settle_elims": lambda t: matching.unpaired_flags(_placed(t), _aligned(t)),
-    "unclaimed_deaths": lambda t: matching.unclaimed_deaths(_deaths(t), _aligned(t)),
+    "unclaimed_deaths": lambda t: matching.unclaimed_deaths(_deaths_with_team(t), _aligned(t)),
 }
 
 
@@ -190,6 +197,16 @@ ON_ROWS: dict[str, Callable[[Tables], DataFrame]] = {
     "all_board_names": lambda t: t.match_players.select("match_id", "player_id").union(t.scoreboard.filter("round_no is null").select("match_id", "player_id")).distinct(),
     "off_roster": lambda t: t.scoreboard.filter("round_no is null").join(t.aliases, "player_id", "left_anti").groupBy("match_id", "player_id").agg(F.max("value").alias("best")),
     "export_all_events": lambda t: export.range_sheets(t, FIRST_DAY, LAST_DAY)["all_events"].select("event_id", F.substring("recorded_at", 1, 10).alias("day")),
+    "export_matches": lambda t: export.range_sheets(t, FIRST_DAY, LAST_DAY)["matches"].select("match_id", "recorded_at", "eliminations", "to_review", "players"),
+    "export_player_per_match": lambda t: export.range_sheets(t, FIRST_DAY, LAST_DAY)["player_per_match"].select("match_id", "player_id", "eliminations", "knocks", "deaths"),
+    "export_player_totals": lambda t: export.range_sheets(t, FIRST_DAY, LAST_DAY)["player_totals"],
+    "export_match_events": lambda t: export.match_sheets(t)["events"],
+    "export_match_players": lambda t: export.match_sheets(t)["players"],
+    "export_match_scoreboard": lambda t: export.match_sheets(t)["scoreboard"],
+    "export_match_highlights": lambda t: export.match_sheets(t)["highlights"],
+    "export_match_head_to_head": lambda t: export.match_sheets(t)["head_to_head"],
+    "delete_match_children": lambda t: dims.delete_matches(t.matches.filter("match_id % 5 = 0"), t.match_players)[0].select("match_id", "player_id"),
+    "delete_match_boards": lambda t: dims.delete_matches(t.matches.filter("match_id % 5 = 0"), t.scoreboard)[0].select("match_id", "round_no", "player_id", "stat_name", "value"),
     "scalar_functions": _scalars,
     "badge_team": lambda t: rows.badge_team(row_inputs.board_rows(t), row_inputs.board_badges(t), 8),
     "resolve_pending": lambda t: rows.resolve_pending(row_inputs.pending_rows(t), row_inputs.read_again(t)),
@@ -202,9 +219,16 @@ ON_ROWS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+#: Names of a room's roster; readings belong to the room of their part.
+ROOM = 40
+
+
 def _name_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Readings and rosters by room: part keys are dealt to rooms of ROOM parts, so a roster stays small at any size."""
     parts = bronze.part_names(spark, sf_dir)
-    return bronze.name_reads(parts).withColumn("roster_id", F.lit(0)), bronze.roster(parts).withColumn("roster_id", F.lit(0))
+    room = F.expr(f"p_partkey div {ROOM}")
+    reads = bronze.name_reads(parts).withColumn("roster_id", F.expr(f"read_id div {ROOM}"))
+    return reads, parts.select(F.col("p_name").alias("name"), room.alias("roster_id")).distinct()
 
 
 def _roster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,12 +238,12 @@ def _roster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _row_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads, roster = _name_reads(spark, sf_dir)
     pair = F.concat(F.translate("raw", " ", ""), F.lit(" => "), F.translate(F.reverse("raw"), " ", ""))
-    return matching.row_names(reads.select("roster_id", "read_id", pair.alias("raw")), roster.select("roster_id", F.translate("name", " ", "").alias("name")))
+    return matching.row_names(reads.select("roster_id", "read_id", pair.alias("raw")), roster.select("roster_id", F.translate("name", " ", "").alias("name")).distinct())
 
 
 def _name_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads, _ = _name_reads(spark, sf_dir)
-    return matching.name_consensus(reads.select((F.col("read_id") % 50).alias("key"), "raw"))
+    return matching.name_consensus(reads.select(F.expr("read_id div 5").alias("key"), "raw"))
 
 
 def _roster_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,28 @@ def sighting_stream(sightings: DataFrame) -> DataFrame:
     return bursts.select("match_id", "line", F.col("session_window.start").alias("first"), "last", "seen")
 
 
+DEDUPE_OUT = "match_id long, event_id long"
+DEDUPE_MS = 5000
+
+
+def _kept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows more than 5 s after the last one kept; the state of a key is that time."""
+    last = state.get[0] if state.exists else None
+    kept = []
+    for t, event_id in sorted((t, e) for rows in batches for t, e in zip(rows.feed_ms, rows.event_id, strict=True)):
+        if last is None or t - last > DEDUPE_MS:
+            last = int(t)
+            kept.append(int(event_id))
+    state.update((last,))
+    yield pd.DataFrame({"match_id": [key[0]] * len(kept), "event_id": kept}, dtype="int64")
+
+
+def anchored_dedupe_stream(events: DataFrame) -> DataFrame:
+    """Rows with both names, less those within 5 s of the last KEPT one of the same killer, victim and type: what the batch job keeps, if deliveries come in order of time."""
+    named = events.filter("killer_id is not null and victim_id is not null")
+    return named.groupBy("match_id", "killer_id", "victim_id", "event_type").applyInPandasWithState(_kept, DEDUPE_OUT, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
 COUNTER_OUT = "match_id long, t_ms long, was long, value long, deaths long"
 COUNTER_STATE = "value long, left_ms long, pending long, since_ms long, last_ms long"
 

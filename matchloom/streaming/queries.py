@@ -16,20 +16,23 @@ from matchloom.streaming import jobs
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both see it."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder where driver and executors both see it; only a local session may do without a shared one."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-stream-")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def run_to_end(spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Writes the parts one after another, streams them through job in that order, and reads what it wrote."""
+    """Delivers the parts one after another, each in as many files as it has tasks, streams what is there through job after each, and reads what it wrote."""
     at = _folder(spark)
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    query = job(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/out")
-    query.awaitTermination()
-    return spark.read.schema(job(stream).schema).parquet(f"{at}/out")
+        part.write.mode("append").parquet(f"{at}/in")
+        result = job(spark.readStream.schema(part.schema).parquet(f"{at}/in"))
+        result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{at}/out")
 
 
 def stream_counter_deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,17 +75,35 @@ def stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     died = counter_deaths(bronze.counter_reads(t))
     deaths = died.select("match_id", round_("t_ms"), (F.col("t_ms") * 100 + F.col("death_no")).alias("death_id"), "t_ms", F.timestamp_millis("t_ms").alias("ts"))
     at = _folder(spark)
-    for name, df in (("rows", rows), ("deaths", deaths)):
-        for part in _in_thirds(df, "t_ms"):
-            part.drop("t_ms").coalesce(1).write.mode("append").parquet(f"{at}/{name}")
-    read = lambda name, df: spark.readStream.schema(df.drop("t_ms").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/{name}")
-    pairs = jobs.align_stream(read("rows", rows), read("deaths", deaths))
-    pairs.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    read = lambda name, df: spark.readStream.schema(df.drop("t_ms").schema).parquet(f"{at}/{name}")
+    for row_part, death_part in zip(_in_thirds(rows, "t_ms"), _in_thirds(deaths, "t_ms"), strict=True):
+        row_part.drop("t_ms").write.mode("append").parquet(f"{at}/rows")
+        death_part.drop("t_ms").write.mode("append").parquet(f"{at}/deaths")
+        pairs = jobs.align_stream(read("rows", rows), read("deaths", deaths))
+        pairs.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     return spark.read.schema(pairs.schema).parquet(f"{at}/out").select("match_id", "round_no", "event_id", "death_id")
 
 
-QUERIES = {"stream_counter_deaths": stream_counter_deaths, "stream_match_upserts": stream_match_upserts, "stream_sighting_sessions": stream_sighting_sessions, "stream_align": stream_align}
-SELECTS = {"stream_match_upserts": "SELECT event_id, match_id, true_ms, 2 AS version FROM ev"}
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events less those within 5 s of the last kept one of their key, read as a stream: event_id."""
+    rows = mapping.load(spark, sf_dir).events.select("match_id", "event_id", "killer_id", "victim_id", "event_type", "feed_ms")
+    return run_to_end(spark, _in_thirds(rows, "feed_ms"), jobs.anchored_dedupe_stream).select("event_id")
+
+
+def stream_match_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last sign of life of each match, once it has been silent for 25 s of event time: match_id, last_ms."""
+    signs = mapping.load(spark, sf_dir).events.select("match_id", "feed_ms", F.timestamp_millis("feed_ms").alias("ts"))
+    after = spark.range(1).select(F.lit(-1).cast("long").alias("match_id"), F.lit(10**9).cast("long").alias("feed_ms"), F.timestamp_millis(F.lit(10**9)).alias("ts"))
+    found = run_to_end(spark, _in_thirds(signs, "feed_ms", after), jobs.match_end_stream)
+    # a match that was silent for long in between is told more than once
+    return found.filter("match_id >= 0").groupBy("match_id").agg(F.max(F.unix_millis("last_sign")).alias("last_ms"))
+
+
+QUERIES = {"stream_counter_deaths": stream_counter_deaths, "stream_match_upserts": stream_match_upserts, "stream_sighting_sessions": stream_sighting_sessions, "stream_align": stream_align, "stream_dedupe": stream_dedupe, "stream_match_end": stream_match_end}
+SELECTS = {
+    "stream_match_upserts": "SELECT event_id, match_id, true_ms, 2 AS version FROM ev",
+    "stream_match_end": "SELECT match_id, max(feed_ms) AS last_ms FROM ev GROUP BY match_id",
+}
 READ_SELECTS = {
     "stream_counter_deaths": "SELECT match_id, t_ms, was, value, deaths FROM cc",
     "stream_sighting_sessions": "SELECT match_id, line, min(t_ms) AS first_ms, max(t_ms) AS last_ms, count(*) AS seen FROM si GROUP BY match_id, line",

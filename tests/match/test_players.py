@@ -84,20 +84,32 @@ def knocks(k, v, n, start=0, weapon=None, rnd=1):
 TEAM = (*range(1, 7), *range(101, 107))
 
 
+def names(spark):
+    """Names that order the other way round than the ids do."""
+    return spark.createDataFrame([(i, f"p{500 - i}") for i in TEAM], "player_id long, ign string")
+
+
+def test_ties_go_by_name(spark):
+    rows = [r for k in (1, 2, 3, 4) for r in knocks(k, 100 + k, 2) + knocks(100 + k, k, 2, 50)]
+    assert {r.x for r in awards.rival_pairs(usable(spark, rows, *TEAM), names(spark)).collect()} == {4, 3, 2}
+    rows = [r for k in (1, 2) for r in knocks(k, 101, 4, weapon="AKM")]
+    assert [r.player_id for r in awards.weapon_class_leaders(usable(spark, rows, *TEAM), names(spark)).collect()] == [2]
+
+
 def test_rivals_and_dominating(spark):
     rows = knocks(1, 101, 9) + knocks(2, 102, 7) + knocks(3, 103, 5) + knocks(4, 104, 2) + knocks(6, 106, 3) + knocks(106, 6, 3, 50) + knocks(5, 105, 4) + knocks(105, 5, 4, 50)
     u = usable(spark, rows, *TEAM)
-    assert {r.player_id for r in awards.dominating(u).collect()} == {1, 2, 3}
-    assert {(r.share, r.back) for r in awards.dominating(u).collect()} == {(100, 0)}
-    assert {r.player_id for r in awards.rivals(u).collect()} == {5, 105, 6, 106}
+    assert {r.player_id for r in awards.dominating(u, names(spark)).collect()} == {1, 2, 3}
+    assert {(r.share, r.back) for r in awards.dominating(u, names(spark)).collect()} == {(100, 0)}
+    assert {r.player_id for r in awards.rivals(u, names(spark)).collect()} == {5, 105, 6, 106}
 
 
 def test_top_three_pairs_only(spark):
     rows = knocks(1, 101, 10) + knocks(101, 1, 1, 90) + knocks(2, 102, 3) + knocks(102, 2, 3, 90) + knocks(3, 103, 1) + knocks(103, 3, 1, 90)
-    assert {(r.x, r.y) for r in awards.rival_pairs(usable(spark, rows, *TEAM)).collect()} == {(1, 101), (2, 102), (3, 103)}
-    assert awards.dominating(usable(spark, rows, *TEAM)).count() == 0
+    assert {(r.x, r.y) for r in awards.rival_pairs(usable(spark, rows, *TEAM), names(spark)).collect()} == {(1, 101), (2, 102), (3, 103)}
+    assert awards.dominating(usable(spark, rows, *TEAM), names(spark)).count() == 0
     rows += knocks(4, 104, 2) + knocks(104, 4, 1, 90)
-    assert {(r.x, r.y) for r in awards.rival_pairs(usable(spark, rows, *TEAM)).collect()} == {(1, 101), (2, 102), (4, 104)}
+    assert {(r.x, r.y) for r in awards.rival_pairs(usable(spark, rows, *TEAM), names(spark)).collect()} == {(1, 101), (2, 102), (4, 104)}
 
 
 def test_weapon_roles(spark):
@@ -105,7 +117,7 @@ def test_weapon_roles(spark):
     got = {(r.player_id, r.role, r.n) for r in awards.throwable_leaders(usable(spark, rows, *TEAM)).collect()}
     assert got == {(1, "Grenadier", 3), (103, "Molotov specialist", 2), (1, "Driver", 2)}
     rows = knocks(1, 101, 6, weapon="AKM") + knocks(1, 101, 1, weapon="P90") + knocks(6, 101, 9, weapon="M416") + knocks(6, 101, 11, weapon="UMP45") + knocks(5, 101, 3, weapon="P90") + knocks(3, 101, 3, weapon="DBS") + knocks(4, 101, 2, weapon="AWM")
-    got = {(r.player_id, r.role, r.share) for r in awards.weapon_class_leaders(usable(spark, rows, *TEAM)).collect()}
+    got = {(r.player_id, r.role, r.share) for r in awards.weapon_class_leaders(usable(spark, rows, *TEAM), names(spark)).collect()}
     assert got == {(6, "AR player", 45), (6, "SMG player", 55), (3, "Shotgun specialist", 100)}
 
 
@@ -118,7 +130,7 @@ def clutch(spark, rows, size):
     ids = (*range(1, 1 + 6), *range(101, 107))
     mp, ev = members(spark, *ids), events(spark, rows)
     ma = spark.createDataFrame([(1, size)], "match_id long, team_size int")
-    return [(r.player_id, r.enemies, r.own_alive) for r in awards.clutch(awards.clutch_moments(ev, players.usable_knocks(ev, mp), mp, ma)).collect()]
+    return [(r.player_id, r.enemies, r.own_alive) for r in awards.clutch(awards.clutch_moments(ev, players.usable_knocks(ev, mp), mp, ma), names(spark)).collect()]
 
 
 def test_clutch(spark):
