@@ -322,7 +322,7 @@ ROW_SELECTS: dict[str, str] = {
         SELECT DISTINCT a.event_id FROM s a JOIN s b ON a.match_id = b.match_id AND a.k = b.k AND a.v = b.v AND abs(a.feed_ms - b.feed_ms) <= 5000 WHERE a.n = 0 AND b.n > 0
         AND (a.event_type = b.event_type OR NOT (a.feed_ms // 1000 BETWEEN b.feed_ms // 1000 AND b.feed_ms // 1000 + b.n))""",
     "all_board_names": "SELECT match_id, player_id FROM mp UNION SELECT match_id, player_id FROM bo WHERE round_no IS NULL",
-    "off_roster": "SELECT match_id, player_id, max(value) AS best FROM bo WHERE round_no IS NULL AND player_id NOT IN (SELECT player_id FROM al) GROUP BY match_id, player_id",
+    "board_without_alias": "SELECT match_id, player_id, max(value) AS best FROM bo WHERE round_no IS NULL AND player_id NOT IN (SELECT player_id FROM al) GROUP BY match_id, player_id",
     "export_all_events": "SELECT ev.event_id, substr(recorded_at, 1, 10) AS day FROM ev JOIN ma USING (match_id) WHERE substr(recorded_at, 1, 10) BETWEEN '2024-01-03' AND '2024-01-20'",
     "scalar_functions": """SELECT player_id, translate(lower(regexp_replace(ign, '\\s+', '', 'g')), 'ø0', 'oo') AS norm, regexp_replace('*' || ign || '!', '[^\\p{L}\\p{N}_.\\-]', '', 'g') AS clean,
         lpad(CAST(player_id * 37 // 60 AS VARCHAR), CAST(greatest(2, length(CAST(player_id * 37 // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(player_id * 37 % 60 AS VARCHAR), 2, '0') || '.25' AS mmss, '2024-01-05 10-00-00' AS stamp FROM pl""",

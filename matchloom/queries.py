@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchloom import oracles
 from matchloom.functions import names
 from matchloom.jobs import export
-from matchloom.operators import awards, dims, matching, players, readings, rounds, rows, tracking, wording
+from matchloom.operators import awards, boards, dims, matching, players, readings, rounds, rows, tracking, wording
 from matchloom.sources import dim_inputs, row_inputs
 from matchloom.sources import readings as bronze
 from matchloom.sources.mapping import Tables, load
@@ -195,7 +195,10 @@ ON_ROWS: dict[str, Callable[[Tables], DataFrame]] = {
     "board_vs_truth": lambda t: rows.board_vs_truth(t.scoreboard.filter("round_no is null"), _true_cells(t)),
     "seen_together_dedupe": lambda t: rows.seen_together_dedupe(row_inputs.screen_rows(t)),
     "all_board_names": lambda t: t.match_players.select("match_id", "player_id").union(t.scoreboard.filter("round_no is null").select("match_id", "player_id")).distinct(),
-    "off_roster": lambda t: t.scoreboard.filter("round_no is null").join(t.aliases, "player_id", "left_anti").groupBy("match_id", "player_id").agg(F.max("value").alias("best")),
+    "board_without_alias": lambda t: t.scoreboard.filter("round_no is null").join(t.aliases, "player_id", "left_anti").groupBy("match_id", "player_id").agg(F.max("value").alias("best")),
+    "board_players": lambda t: boards.board_players(boards.board_entries(row_inputs.board_reads(t))),
+    "board_stats": lambda t: boards.board_stats(boards.board_entries(row_inputs.board_reads(t))),
+    "off_roster": lambda t: boards.off_roster(boards.board_players(boards.board_entries(row_inputs.board_reads(t)))),
     "export_all_events": lambda t: export.range_sheets(t, FIRST_DAY, LAST_DAY)["all_events"].select("event_id", F.substring("recorded_at", 1, 10).alias("day")),
     "export_matches": lambda t: export.range_sheets(t, FIRST_DAY, LAST_DAY)["matches"].select("match_id", "recorded_at", "eliminations", "to_review", "players"),
     "export_player_per_match": lambda t: export.range_sheets(t, FIRST_DAY, LAST_DAY)["player_per_match"].select("match_id", "player_id", "eliminations", "knocks", "deaths"),

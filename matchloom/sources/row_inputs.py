@@ -72,6 +72,19 @@ def board_cells(t: Tables) -> DataFrame:
     return seen.select("match_id", "player_id", "stat_name", "at", (F.col("value") + F.when((F.col("player_id") + F.col("at")) % 3 == 0, 1).otherwise(0)).alias("value"))
 
 
+def board_reads(t: Tables) -> DataFrame:
+    """Rows of boards as read at one to four scroll positions: two thirds of the players are listed, some not surely; names are misread by position."""
+    one = t.scoreboard.groupBy("match_id", F.coalesce("round_no", F.lit(0)).cast("long").alias("board"), "player_id").agg(F.sort_array(F.collect_list(F.struct("stat_name", "value"))).alias("stats"))
+    seen = one.select("*", F.substring(F.md5(F.col("player_id").cast("string")), 1, 8).alias("true"), F.explode(F.sequence(F.lit(0), (F.col("player_id") % 4).cast("int"))).alias("p"))
+    odd = (F.col("player_id") + F.col("p")) % 3
+    raw = F.when(odd == 0, F.col("true")).when(odd == 1, F.translate("true", "60b", "bo8")).otherwise(F.expr("substring(true, 2)"))
+    listed = F.col("player_id") % 3 != 0
+    return seen.select(
+        "match_id", "board", (F.col("p") * 1000 + F.col("player_id") % 1000).cast("long").alias("at"), raw.alias("raw"), F.when(listed, F.col("true")).alias("name"),
+        F.when(listed, 70 + (F.col("player_id") * 7 + F.col("p") * 11) % 30).otherwise(0).cast("int").alias("conf"), F.when(odd != 2, F.col("player_id") % 2).alias("team"), "stats",
+    )
+
+
 def screen_rows(t: Tables) -> DataFrame:
     n = F.col("event_id") % 4
     return t.events.filter("event_type <> 'other'").select(
