@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import co_training, decontamination, line_dedup, merkle_audit, mixing, quality_rules, secrets, simhash_dedup, substring_dedup, toxicity
+from matchloom.llm import bpe, co_training, decontamination, fill_in_middle, filter_audit, line_dedup, merkle_audit, mixing, quality_rules, secrets, simhash_dedup, substring_dedup, toxicity
 from matchloom.llm.common import table
 
 
@@ -50,6 +50,20 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle_report(table(spark, sf_dir, "documents"))
+
+
+def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.bpe_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_audit": _merkle,
     "op2_co_training": _co_training,
@@ -61,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": _mixing,
     "op9_secrets": _secrets,
     "op10_decontamination": _decontamination,
+    "op11_filter_audit": _filter_audit,
+    "op12_fill_in_middle": _fill_in_middle,
+    "op13_bpe": _bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -70,4 +87,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
