@@ -113,3 +113,41 @@ def missed_rounds(boards: DataFrame, rounds: DataFrame) -> DataFrame:
     spans = boards.select("match_id", "board_no", F.coalesce(F.lag("end_ms").over(line), F.lit(0)).alias("from_ms"), F.col("start_ms").alias("to_ms"))
     held = spans.join(rounds.select("match_id", "start_ms"), "match_id").filter("start_ms >= from_ms and start_ms < to_ms").select("match_id", "board_no").distinct()
     return spans.join(held, ["match_id", "board_no"], "left_anti").select("match_id", "board_no", F.col("from_ms").alias("start_ms"), F.col("to_ms").alias("end_ms"))
+
+
+def unseen_rounds(boards: DataFrame, resets: DataFrame, rounds: DataFrame) -> DataFrame:
+    """match_id, start_ms, end_ms: the rounds that only a board (match_id, start_ms, end_ms, kind) tells of.
+
+    A round board before which no round has started since the board before stands for such a round. It runs from the
+    last counter reset (match_id, t_ms) since that board, or where there is none from that board's end, to the board.
+    What was last before each board is read off one time line per match.
+    """
+    line = Window.partitionBy("match_id").orderBy("t_ms")
+    spans = boards.select("match_id", F.col("start_ms").alias("t_ms"), F.coalesce(F.lag("end_ms").over(Window.partitionBy("match_id").orderBy("start_ms")), F.lit(0)).alias("from_ms"), (F.col("kind") == "round").alias("asked"))
+    marks = spans.unionByName(rounds.select("match_id", F.col("start_ms").alias("t_ms"), F.col("start_ms").alias("begun")), allowMissingColumns=True)
+    marks = marks.unionByName(resets.select("match_id", "t_ms", F.col("t_ms").alias("reset")), allowMissingColumns=True)
+    before = line.rangeBetween(Window.unboundedPreceding, -1)
+    seen = marks.withColumns({"begun": F.max("begun").over(before), "reset": F.max("reset").over(before)}).filter("asked and coalesce(begun < from_ms, true)")
+    return seen.select("match_id", F.greatest("from_ms", "reset").alias("start_ms"), F.col("t_ms").alias("end_ms"))
+
+
+def with_unseen_rounds(rounds: DataFrame, unseen: DataFrame) -> DataFrame:
+    """rounds and the unseen ones (as of ``unseen_rounds``) numbered anew in order of their starts; by_board tells which are which, was is the number before."""
+    both = rounds.withColumn("by_board", F.lit(0)).unionByName(unseen.withColumn("by_board", F.lit(1)), allowMissingColumns=True)
+    so_far = Window.partitionBy("match_id").orderBy("start_ms", "by_board").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.coalesce(F.max("round_no").over(so_far), F.lit(0)) + F.sum("by_board").over(so_far)
+    return both.withColumns({"was": F.col("round_no"), "round_no": number.cast("long"), "by_board": F.col("by_board") == 1})
+
+
+def moved_rows(rows: DataFrame, at: str, numbered: DataFrame) -> DataFrame:
+    """rows (match_id, round_no, the time column ``at``, ...) with round_no as the rounds are numbered anew.
+
+    A range update: rows from the start of an unseen round to the next start go into it, also those without a round; the
+    others keep their round under its new number. Starts and rows are one time line per match, starts first among equals.
+    """
+    marks = numbered.select("match_id", F.col("start_ms").alias(at), F.struct("start_ms", "by_board", "round_no").alias("_mark"), F.col("by_board").cast("int").alias("_shift"), F.lit(0).alias("_row"))
+    line = Window.partitionBy("match_id").orderBy(at, "_row").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.withColumn("_row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    seen = both.withColumns({"_mark": F.max("_mark").over(line), "_shift": F.coalesce(F.sum("_shift").over(line), F.lit(0))}).filter("_row = 1")
+    placed = F.when(F.col("_mark.by_board"), F.col("_mark.round_no")).otherwise(F.col("round_no") + F.col("_shift"))
+    return seen.withColumn("round_no", placed.cast("long")).select(*rows.columns)

@@ -405,3 +405,19 @@ DIM_SELECTS["export_match_scoreboard"] = DIM_SELECTS["board_vs_feed"]
 DIM_SELECTS["export_matches"] = f"SELECT match_id, recorded_at, eliminations, to_review, players FROM ({DIM_SELECTS['match_list']}) WHERE {_IN_RANGE}"
 DIM_SELECTS["delete_match_children"] = "SELECT match_id, player_id FROM mp WHERE match_id NOT IN (SELECT match_id FROM ma WHERE match_id % 5 = 0)"
 DIM_SELECTS["delete_match_boards"] = "SELECT match_id, round_no, player_id, stat_name, value FROM bo WHERE match_id NOT IN (SELECT match_id FROM ma WHERE match_id % 5 = 0)"
+
+_UNSEEN = f""", bk AS (SELECT match_id, start_ms AS t, kind, coalesce(lag(end_ms) OVER (PARTITION BY match_id ORDER BY start_ms), 0) AS f FROM ({READ_SELECTS['board_sessions']})),
+    mi AS (SELECT match_id, coalesce((SELECT max(t_ms) FROM cc WHERE cc.match_id = bk.match_id AND is_reset AND t_ms >= f AND t_ms < t), f) AS s, t AS e FROM bk
+           WHERE kind = 'round' AND NOT EXISTS (SELECT 1 FROM ro WHERE ro.match_id = bk.match_id AND ro.start_ms >= f AND ro.start_ms < t)),
+    mn AS (SELECT match_id, s, e, coalesce((SELECT max(round_no) FROM ro WHERE ro.match_id = mi.match_id AND ro.start_ms <= mi.s), 0) + (SELECT count(*) FROM mi o WHERE o.match_id = mi.match_id AND o.s <= mi.s) AS no FROM mi)
+"""
+#: The number of a row by its time: inside an unseen round its number, else the old one and the unseen rounds before it.
+_MOVED = """CASE WHEN (SELECT max(s) FROM mn WHERE mn.match_id = x.match_id AND s <= x.at) > coalesce((SELECT max(start_ms) FROM ro WHERE ro.match_id = x.match_id AND start_ms <= x.at), -1)
+    THEN (SELECT arg_max(no, s) FROM mn WHERE mn.match_id = x.match_id AND s <= x.at) ELSE x.round_no + (SELECT count(*) FROM mn WHERE mn.match_id = x.match_id AND s <= x.at) END AS round_no"""
+ROW_SELECTS |= {
+    "missed_round_rounds": _UNSEEN + """SELECT match_id, round_no + (SELECT count(*) FROM mn WHERE mn.match_id = ro.match_id AND s < start_ms) AS round_no, start_ms, end_ms, false AS by_board, blue_score, red_score FROM ro
+        UNION ALL SELECT match_id, no, s, e, true, NULL, NULL FROM mn""",
+    "missed_round_events": f"{_UNSEEN} SELECT event_id, match_id, {_MOVED} FROM (SELECT *, feed_ms AS at FROM ev) x",
+    "missed_round_deaths": f"""{_UNSEEN}, dt AS (SELECT match_id, t_ms, t_ms // 72000 + 1 AS round_no, t_ms AS at, unnest(range(1, deaths + 1)) AS n FROM cc WHERE deaths > 0)
+        SELECT match_id, t_ms * 100 + n AS death_id, t_ms, {_MOVED} FROM dt x""",
+}

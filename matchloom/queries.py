@@ -169,6 +169,11 @@ def _segments(t: Tables) -> DataFrame:
     return rounds.round_segments(at(t.events.filter("event_id % 3 = 1")), boards, changes.filter("is_reset"), changes.filter("deaths > 0"), at(t.events), rises)
 
 
+def _rounds_found(t: Tables) -> DataFrame:
+    resets = readings.counter_changes(bronze.counter_reads(t)).filter("is_reset").select("match_id", "t_ms")
+    return rounds.with_unseen_rounds(t.rounds, rounds.unseen_rounds(readings.board_sessions(bronze.screen_reads(t)), resets, t.rounds))
+
+
 def _grey_slots(t: Tables) -> DataFrame:
     return rows.slot_deaths(row_inputs.slot_reads(t)).select("match_id", (F.col("t_ms") * 1000 + F.col("slot") % 15).alias("slot_id"), "t_ms")
 
@@ -217,6 +222,9 @@ ON_ROWS: dict[str, Callable[[Tables], DataFrame]] = {
     "player_lines_order": lambda t: dims.in_order(players.player_knock_lines(t.events, t.match_players).join(t.players.select("player_id", "ign"), "player_id"), ["team", F.desc("knocks"), F.lower("ign")], within=("match_id",)).select("match_id", "player_id", "place"),
     "round_segments": _segments,
     "missed_round": lambda t: rounds.missed_rounds(readings.board_sessions(bronze.screen_reads(t)), t.rounds),
+    "missed_round_rounds": lambda t: _rounds_found(t).select("match_id", "round_no", "start_ms", "end_ms", "by_board", "blue_score", "red_score"),
+    "missed_round_events": lambda t: rounds.moved_rows(t.events, "feed_ms", _rounds_found(t)).select("event_id", "match_id", "round_no"),
+    "missed_round_deaths": lambda t: rounds.moved_rows(_deaths(t), "t_ms", _rounds_found(t)).select("match_id", "death_id", "t_ms", "round_no"),
     "death_team": lambda t: matching.death_team(_deaths(t), _grey_slots(t)),
     "track_lines": lambda t: tracking.track_lines(row_inputs.feed_sightings(t)),
 }
