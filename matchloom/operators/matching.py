@@ -1,56 +1,107 @@
 """One-to-one pairing of eliminations with deaths, and names with a roster.
 
-The pairing depends on order and learns teams as it goes, so it is a small helper run per match on sorted
-rows; a match has a few hundred. Spark groups the matches and spreads them.
+The pairing depends on order and learns teams as it goes, so it is a small fold (``folds``) over the sorted rows of a
+match; a match has a few hundred. Spark groups the matches and spreads them.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.match_rules import ELIMINATIONS
 from matchloom.functions.names import clean_reading, fold_name, folded, similarity
+from matchloom.operators.folds import AFTER_MS, LateRows, Pairing, teams_of
 
-AFTER_MS, LAG_MS, LATE_LAG_MS, BACKLOG_MS, TIMELY_MS = 1000, 12_000, 25_000, 3500, 1500
 LEAST, AHEAD = 0.55, 0.15
 
-ALIGNED = "match_id long, event_id long, death_id long, t_ms long, settled boolean"
-
-
-def _align(rows: pd.DataFrame, deaths: pd.DataFrame) -> pd.DataFrame:
-    """Pairs the rows of one match, in order of the feed; then gives what is left the oldest free death of its round."""
-    free = {rnd: part.sort_values(["t_ms", "death_id"]).to_dict("records") for rnd, part in deaths.groupby("round_no")}
-    team_of: dict[int, str] = {}
-    out, rest = [], []
-
-    def take(row: dict, death: dict, settled: bool) -> None:
-        free[row["round_no"]].remove(death)
-        if row["named"] and death["team"] and row["victim_id"] >= 0:
-            team_of.setdefault(row["victim_id"], death["team"])
-        out.append((row["match_id"], row["event_id"], death["death_id"], death["t_ms"], settled))
-
-    ordered = rows.sort_values(["feed_ms", "event_id"]).to_dict("records")
-    for row in ordered:
-        age = {d["death_id"]: row["feed_ms"] - d["t_ms"] for d in free.get(row["round_no"], [])}
-        team = team_of.get(row["victim_id"]) if row["victim_id"] >= 0 else None
-        most = LATE_LAG_MS if row["late"] else LAG_MS
-        fits = [d for d in free.get(row["round_no"], []) if -AFTER_MS <= age[d["death_id"]] <= most and not (team and d["team"] and d["team"] != team)]
-        if not row["named"] or not fits:
-            rest.append(row)
-            continue
-        pick = fits[0]
-        if age[pick["death_id"]] > BACKLOG_MS:
-            timely = [d for d in fits if age[d["death_id"]] <= TIMELY_MS]
-            before = [d for d in timely if age[d["death_id"]] >= 0]
-            pick = (before or timely or [pick])[-1]
-        take(row, pick, False)
-    for row in rest:
-        fits = [d for d in free.get(row["round_no"], []) if -AFTER_MS <= row["feed_ms"] - d["t_ms"] <= LATE_LAG_MS]
-        if fits:
-            take(row, fits[0], True)
-    return pd.DataFrame(out, columns=["match_id", "event_id", "death_id", "t_ms", "settled"])
+#: What the fold over a match says: team (a slot that greyed with a death), pair and settled (a row and its death), no_drop (a row without one), no_row (a death without one).
+SETTLED = "match_id long, kind string, event_id long, death_id long, t_ms long, round_no long, team string, slot_id long"
+_RECORD = {"kind": "string", "t_ms": "long", "id": "long", "round_no": "long", "team": "string", "victim_id": "long", "named": "boolean", "late": "boolean"}
+
+
+def _settle(records: pd.DataFrame) -> pd.DataFrame:
+    """One match: teams of deaths, rounds of rows (where starts of rounds are given), pairs, and what is left of both."""
+    match_id = int(records.match_id.iloc[0])
+    kinds = {kind: part.sort_values(["t_ms", "id"]).to_dict("records") for kind, part in records.groupby("kind")}
+    at = lambda r: (int(r["t_ms"]), int(r["id"]))
+    deaths = {int(d["id"]): d for d in kinds.get("death", [])}
+    slots = {int(s["id"]): s for s in kinds.get("slot", [])}
+    out = []
+    for death_id, slot_id in teams_of([at(d) for d in deaths.values()], [at(s) for s in slots.values()]):
+        deaths[death_id]["team"] = slots[slot_id]["team"]
+        out.append((match_id, "team", None, death_id, deaths[death_id]["t_ms"], None, slots[slot_id]["team"], slot_id))
+    placing, fold = LateRows(), Pairing()
+    for s in kinds.get("start", []):
+        placing.start(int(s["t_ms"]), int(s["round_no"]))
+    for d in deaths.values():
+        placing.death(int(d["t_ms"]), int(d["round_no"]))
+    line = [(int(d["t_ms"]), 0, k, d) for k, d in deaths.items()] + [(int(r["t_ms"]) + AFTER_MS, 1, int(r["id"]), r) for r in kinds.get("row", [])]
+    found = []
+    for due, is_row, key, r in sorted(line, key=lambda x: x[:3]):
+        found += fold.passed(due)
+        if is_row:
+            no, late = placing.row(int(r["t_ms"]), True) if "start" in kinds else (int(r["round_no"]), bool(r["late"]))
+            found += fold.row(int(r["t_ms"]), key, no, int(r["victim_id"]) if r["victim_id"] >= 0 else None, bool(r["named"]), late)
+        else:
+            fold.death(due, key, int(r["round_no"]), r["team"])
+    for kind, event_id, death_id, t_ms in found + fold.passed(float("inf")):
+        death = deaths.get(death_id, {})
+        out.append((match_id, kind, event_id, death_id, t_ms, death.get("round_no"), death.get("team"), None))
+    frame = pd.DataFrame(out, columns=["match_id", "kind", "event_id", "death_id", "t_ms", "round_no", "team", "slot_id"])
+    return frame.astype({c: "Int64" for c in ("event_id", "death_id", "t_ms", "round_no", "slot_id")})
+
+
+def _records(rows: DataFrame | None, deaths: DataFrame, slots: DataFrame | None = None, rounds: DataFrame | None = None) -> DataFrame:
+    def shaped(df: DataFrame, kind: str, **columns: Column | str) -> DataFrame:
+        given = {"kind": F.lit(kind)} | columns
+        return df.select("match_id", *(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in _RECORD.items()))
+
+    team = F.col("team") if "team" in deaths.columns else F.lit(None)
+    line = shaped(deaths, "death", t_ms=F.col("t_ms"), id=F.col("death_id"), round_no=F.coalesce("round_no", F.lit(-1)) if "round_no" in deaths.columns else F.lit(-1), team=team)
+    if rows is not None:
+        named = F.col("killer_id").isNotNull() | F.col("victim_id").isNotNull()
+        given = {"round_no": F.col("round_no"), "late": F.col("late")} if rounds is None else {}
+        asked = rows.filter(F.col("event_type").isin(*ELIMINATIONS))
+        asked = asked.filter("round_no is not null") if rounds is None else asked
+        line = line.unionByName(shaped(asked, "row", t_ms=F.col("feed_ms"), id=F.col("event_id"), victim_id=F.coalesce("victim_id", F.lit(-1)), named=named, **given))
+    if slots is not None:
+        side = F.col("team") if "team" in slots.columns else F.lit(None)
+        line = line.unionByName(shaped(slots, "slot", t_ms=F.col("t_ms"), id=F.col("slot_id"), team=side))
+    if rounds is not None:
+        line = line.unionByName(shaped(rounds, "start", t_ms=F.col("start_ms"), id=F.col("round_no"), round_no=F.col("round_no")))
+    return line
+
+
+def settle(events: DataFrame, rounds: DataFrame, deaths: DataFrame, slots: DataFrame) -> DataFrame:
+    """All that depends on the order of rows and deaths, in one pass over each match (columns of ``SETTLED``).
+
+    events: match_id, event_id, feed_ms, event_type, killer_id, victim_id; rounds: match_id, round_no, start_ms; deaths:
+    match_id, death_id, t_ms, round_no; slots: match_id, slot_id, t_ms, team, the slots that went grey. A match is one
+    group of a few hundred records.
+    """
+    return _records(events, deaths, slots, rounds).groupBy("match_id").applyInPandas(_settle, SETTLED)
+
+
+def pairs(settled: DataFrame) -> DataFrame:
+    """match_id, event_id, death_id, t_ms, settled (paired only at the end)."""
+    return settled.filter("kind in ('pair', 'settled')").select("match_id", "event_id", "death_id", "t_ms", (F.col("kind") == "settled").alias("settled"))
+
+
+def no_drop(settled: DataFrame) -> DataFrame:
+    """event_id, flag: eliminations that found no death; they are not counted."""
+    return settled.filter("kind = 'no_drop'").select("event_id", F.lit("NO_DROP").alias("flag"))
+
+
+def no_feed_row(settled: DataFrame) -> DataFrame:
+    """Deaths that no row claimed, as events without names."""
+    return _nameless(settled.filter("kind = 'no_row'"))
+
+
+def death_teams(settled: DataFrame) -> DataFrame:
+    """match_id, death_id, slot_id."""
+    return settled.filter("kind = 'team'").select("match_id", "death_id", "slot_id")
 
 
 def align_elims(rows: DataFrame, deaths: DataFrame) -> DataFrame:
@@ -58,13 +109,7 @@ def align_elims(rows: DataFrame, deaths: DataFrame) -> DataFrame:
 
     match_id, event_id, death_id, t_ms, settled (paired only at the end). Rows and deaths without a pair are absent.
     """
-    asked = rows.filter(F.col("event_type").isin(*ELIMINATIONS) & F.col("round_no").isNotNull()).select(
-        "match_id", "event_id", "feed_ms", F.col("round_no").cast("long").alias("round_no"), F.coalesce("victim_id", F.lit(-1)).alias("victim_id"), (F.col("killer_id").isNotNull() | F.col("victim_id").isNotNull()).alias("named"), "late"
-    )
-    given = deaths.select("match_id", "death_id", "t_ms", F.col("round_no").cast("long").alias("round_no"), "team")
-    # both sides may come from one table; a new name keeps their columns apart
-    given = given.select(F.col("match_id").alias("of_match"), "death_id", "t_ms", "round_no", "team")
-    return asked.groupBy("match_id").cogroup(given.groupBy("of_match")).applyInPandas(_align, ALIGNED)
+    return pairs(_records(rows, deaths).groupBy("match_id").applyInPandas(_settle, SETTLED))
 
 
 def unpaired_flags(rows: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -72,11 +117,14 @@ def unpaired_flags(rows: DataFrame, aligned: DataFrame) -> DataFrame:
     return rows.filter(F.col("event_type").isin(*ELIMINATIONS) & F.col("round_no").isNotNull()).join(aligned, "event_id", "left_anti").select("event_id", F.lit("NO_DROP").alias("flag"))
 
 
+def _nameless(deaths: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("long")
+    return deaths.select("match_id", "death_id", "round_no", F.col("t_ms").alias("true_ms"), F.lit("kill").alias("event_type"), none.alias("killer_id"), none.alias("victim_id"), F.col("team").alias("victim_team"), F.lit("NO_FEED_ROW").alias("flag"))
+
+
 def unclaimed_deaths(deaths: DataFrame, aligned: DataFrame) -> DataFrame:
     """Deaths that no row claimed, as events without names."""
-    left = deaths.join(aligned.select("match_id", "death_id"), ["match_id", "death_id"], "left_anti")
-    none = F.lit(None).cast("long")
-    return left.select("match_id", "death_id", "round_no", F.col("t_ms").alias("true_ms"), F.lit("kill").alias("event_type"), none.alias("killer_id"), none.alias("victim_id"), F.col("team").alias("victim_team"), F.lit("NO_FEED_ROW").alias("flag"))
+    return _nameless(deaths.join(aligned.select("match_id", "death_id"), ["match_id", "death_id"], "left_anti"))
 
 
 def roster_match(reads: DataFrame, rosters: DataFrame) -> DataFrame:
@@ -105,26 +153,9 @@ def roster_collisions(roster: DataFrame) -> DataFrame:
     return roster.select("name").distinct().groupBy(fold_name("name").alias("folded")).agg(F.sort_array(F.collect_list("name")).alias("names")).filter(F.size("names") > 1)
 
 
-TEAMED = "match_id long, death_id long, slot_id long"
-LEAD_MS, SLOT_LAG_MS = 500, 1500
-
-
-def _death_team(deaths: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
-    """Each slot that went grey, in order of time, takes the earliest free death it can belong to."""
-    free = deaths.sort_values(["t_ms", "death_id"]).to_dict("records")
-    out = []
-    for s in slots.sort_values(["t_ms", "slot_id"]).itertuples():
-        death = next((d for d in free if -LEAD_MS <= s.t_ms - d["t_ms"] <= SLOT_LAG_MS), None)
-        if death:
-            free.remove(death)
-            out.append((s.of_match, death["death_id"], s.slot_id))
-    return pd.DataFrame(out, columns=["match_id", "death_id", "slot_id"])
-
-
 def death_team(deaths: DataFrame, slots: DataFrame) -> DataFrame:
     """deaths: match_id, death_id, t_ms; slots: match_id, slot_id, t_ms. One-to-one: a slot greys from 0.5 s before to 1.5 s after its death."""
-    given = slots.select(F.col("match_id").alias("of_match"), "slot_id", "t_ms")
-    return deaths.select("match_id", "death_id", "t_ms").groupBy("match_id").cogroup(given.groupBy("of_match")).applyInPandas(_death_team, TEAMED)
+    return death_teams(_records(None, deaths.select("match_id", "death_id", "t_ms"), slots.select("match_id", "slot_id", "t_ms")).groupBy("match_id").applyInPandas(_settle, SETTLED))
 
 
 def row_names(reads: DataFrame, rosters: DataFrame) -> DataFrame:

@@ -421,3 +421,46 @@ ROW_SELECTS |= {
     "missed_round_deaths": f"""{_UNSEEN}, dt AS (SELECT match_id, t_ms, t_ms // 72000 + 1 AS round_no, t_ms AS at, unnest(range(1, deaths + 1)) AS n FROM cc WHERE deaths > 0)
         SELECT match_id, t_ms * 100 + n AS death_id, t_ms, {_MOVED} FROM dt x""",
 }
+
+def _nested(select: str) -> str:
+    """A select of this module as a subquery, with the tables it defines for itself."""
+    return f"(WITH {select.lstrip(', ')})" if select.lstrip().startswith(",") else f"({select})"
+
+
+#: Greedy pairs, one step per record of a match: what is used so far, and the teams learnt, travel along as lists.
+_GREEDY = f""", dl AS MATERIALIZED (SELECT match_id, t_ms * 100 + n AS id, t_ms AS t, t_ms // 72000 + 1 AS r FROM (SELECT match_id, t_ms, unnest(range(1, deaths + 1)) AS n FROM cc WHERE deaths > 0)),
+    dls AS MATERIALIZED (SELECT match_id, list(struct_pack(id := id, t := t) ORDER BY t, id) AS ds FROM dl GROUP BY match_id),
+    gs AS MATERIALIZED (SELECT match_id, t_ms * 1000 + slot % 15 AS slot_id, t_ms AS h, row_number() OVER (PARTITION BY match_id ORDER BY t_ms, t_ms * 1000 + slot % 15) AS i FROM {_nested(ROW_SELECTS['slot_debounce'])}),
+    tm(match_id, i, used, slot_id, id) AS (SELECT match_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM dls
+        UNION ALL SELECT match_id, i, CASE WHEN id IS NULL THEN used ELSE list_append(used, id) END, slot_id, id FROM (
+            SELECT tm.match_id, gs.i, tm.used, gs.slot_id, list_filter(ds, lambda d: NOT list_contains(tm.used, d.id) AND h - d.t BETWEEN -500 AND 1500)[1].id AS id
+            FROM tm JOIN gs ON gs.match_id = tm.match_id AND gs.i = tm.i + 1 JOIN dls ON dls.match_id = tm.match_id)),
+    td AS MATERIALIZED (SELECT match_id, id, slot_id, CASE WHEN slot_id % 1000 < 8 THEN 'blue' ELSE 'red' END AS team FROM tm WHERE id IS NOT NULL),
+    dr AS MATERIALIZED (SELECT dl.match_id, r, list(struct_pack(id := dl.id, t := t, team := team) ORDER BY t, dl.id) AS ds FROM dl LEFT JOIN td ON td.match_id = dl.match_id AND td.id = dl.id GROUP BY dl.match_id, r),
+    er AS MATERIALIZED (SELECT match_id, ev.event_id, feed_ms AS f, victim_id AS v, killer_id IS NOT NULL OR victim_id IS NOT NULL AS named, late, found_round AS r,
+               row_number() OVER (PARTITION BY match_id ORDER BY feed_ms, ev.event_id) AS i FROM ev JOIN {_nested(READ_SELECTS['late_row_round'])} USING (event_id) WHERE event_type IN ('kill', 'eliminated_knocked')),
+    pa(match_id, i, used, teams, event_id, id, t) AS (
+        SELECT DISTINCT match_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS STRUCT(v BIGINT, team VARCHAR)[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM er
+        UNION ALL SELECT match_id, i, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.id) END,
+            CASE WHEN pick.team IS NOT NULL AND v IS NOT NULL AND team IS NULL THEN list_append(teams, struct_pack(v := v, team := pick.team)) ELSE teams END, event_id, pick.id, pick.t FROM (
+            SELECT *, CASE WHEN f - fits[1].t <= 3500 THEN fits[1] ELSE coalesce(list_filter(fits, lambda d: d.t = list_max(list_transform(list_filter(fits, lambda e: f - e.t BETWEEN 0 AND 1500), lambda e: e.t)))[1],
+                list_filter(fits, lambda d: d.t = list_max(list_transform(list_filter(fits, lambda e: f - e.t <= 1500), lambda e: e.t)))[1], fits[1]) END AS pick FROM (
+            SELECT *, CASE WHEN named THEN list_filter(ds, lambda d: NOT list_contains(used, d.id) AND f - d.t BETWEEN -1000 AND CASE WHEN late THEN 25000 ELSE 12000 END AND (team IS NULL OR d.team IS NULL OR d.team = team)) END AS fits FROM (
+            SELECT pa.match_id, er.i, used, teams, er.event_id, f, v, named, late, ds, list_filter(teams, lambda x: x.v = er.v)[1].team AS team
+            FROM pa JOIN er ON er.match_id = pa.match_id AND er.i = pa.i + 1 LEFT JOIN dr ON dr.match_id = er.match_id AND dr.r = er.r)))),
+    us0 AS MATERIALIZED (SELECT match_id, arg_max(used, i) AS used FROM pa GROUP BY match_id),
+    re AS MATERIALIZED (SELECT er.match_id, er.event_id, f, r, row_number() OVER (PARTITION BY er.match_id ORDER BY f, er.event_id) AS i FROM er JOIN pa USING (event_id) WHERE pa.id IS NULL),
+    se(match_id, i, used, event_id, id, t) AS (SELECT match_id, CAST(0 AS BIGINT), used, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM us0
+        UNION ALL SELECT match_id, i, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.id) END, event_id, pick.id, pick.t FROM (
+            SELECT se.match_id, re.i, used, re.event_id, list_filter(ds, lambda d: NOT list_contains(used, d.id) AND f - d.t BETWEEN -1000 AND 25000)[1] AS pick
+            FROM se JOIN re ON re.match_id = se.match_id AND re.i = se.i + 1 LEFT JOIN dr ON dr.match_id = re.match_id AND dr.r = re.r)),
+    pq AS MATERIALIZED (SELECT match_id, event_id, id, t, false AS settled FROM pa WHERE id IS NOT NULL UNION ALL SELECT match_id, event_id, id, t, true FROM se WHERE id IS NOT NULL)
+"""
+#: On top of ``BASE_READS``.
+GREEDY_SELECTS: dict[str, str] = {
+    "death_team": _GREEDY + "SELECT match_id, id AS death_id, slot_id FROM td",
+    "align_elims": _GREEDY + "SELECT match_id, event_id, id AS death_id, t AS t_ms, settled FROM pq",
+    "settle_elims": _GREEDY + "SELECT event_id, 'NO_DROP' AS flag FROM er WHERE event_id NOT IN (SELECT event_id FROM pq)",
+    "unclaimed_deaths": _GREEDY + """SELECT dl.match_id, dl.id AS death_id, r AS round_no, dl.t AS true_ms, 'kill' AS event_type, CAST(NULL AS BIGINT) AS killer_id, CAST(NULL AS BIGINT) AS victim_id, team AS victim_team, 'NO_FEED_ROW' AS flag
+        FROM dl LEFT JOIN td ON td.match_id = dl.match_id AND td.id = dl.id WHERE (dl.match_id, dl.id) NOT IN (SELECT (match_id, id) FROM pq)""",
+}

@@ -117,20 +117,9 @@ def _deaths(t: Tables) -> DataFrame:
     return found.select("match_id", (F.col("t_ms") * 100 + F.col("death_no")).alias("death_id"), "t_ms", F.expr(f"t_ms div {bronze.ROUND_MS} + 1").alias("round_no"), F.lit(None).cast("string").alias("team"))
 
 
-def _deaths_with_team(t: Tables) -> DataFrame:
-    """Deaths with the team of the slot that went grey with them, where one did; the pairing of rows and deaths heeds it."""
-    deaths = _deaths(t).drop("team")
-    side = F.when(F.col("slot_id") % 1000 < 8, "blue").otherwise("red")
-    return deaths.join(matching.death_team(deaths, _grey_slots(t)).select("match_id", "death_id", side.alias("team")), ["match_id", "death_id"], "left")
-
-
-def _placed(t: Tables) -> DataFrame:
-    found = rounds.late_row_round(t.events, t.rounds, _deaths(t))
-    return t.events.drop("round_no").join(found, "event_id").withColumnRenamed("found_round", "round_no")
-
-
-def _aligned(t: Tables) -> DataFrame:
-    return matching.align_elims(_placed(t), _deaths_with_team(t))
+def _settled(t: Tables) -> DataFrame:
+    """Rows, rounds, deaths and grey slots of each match in one pass."""
+    return matching.settle(t.events, t.rounds, _deaths(t).drop("team"), _grey_slots(t).withColumn("team", F.when(F.col("slot_id") % 1000 < 8, "blue").otherwise("red")))
 
 
 def _truth(t: Tables) -> DataFrame:
@@ -150,9 +139,9 @@ ON_READS: dict[str, Callable[[Tables], DataFrame]] = {
     "reads_vs_truth": lambda t: readings.reads_vs_truth(bronze.counter_reads(t), _truth(t)),
     "late_row_round": lambda t: rounds.late_row_round(t.events, t.rounds, _deaths(t)),
     "dedupe_events": lambda t: rounds.dedupe_events(t.events),
-    "align_elims": _aligned,
-    "settle_elims": lambda t: matching.unpaired_flags(_placed(t), _aligned(t)),
-    "unclaimed_deaths": lambda t: matching.unclaimed_deaths(_deaths_with_team(t), _aligned(t)),
+    "align_elims": lambda t: matching.pairs(_settled(t)),
+    "settle_elims": lambda t: matching.no_drop(_settled(t)),
+    "unclaimed_deaths": lambda t: matching.no_feed_row(_settled(t)),
 }
 
 
@@ -225,7 +214,7 @@ ON_ROWS: dict[str, Callable[[Tables], DataFrame]] = {
     "missed_round_rounds": lambda t: _rounds_found(t).select("match_id", "round_no", "start_ms", "end_ms", "by_board", "blue_score", "red_score"),
     "missed_round_events": lambda t: rounds.moved_rows(t.events, "feed_ms", _rounds_found(t)).select("event_id", "match_id", "round_no"),
     "missed_round_deaths": lambda t: rounds.moved_rows(_deaths(t), "t_ms", _rounds_found(t)).select("match_id", "death_id", "t_ms", "round_no"),
-    "death_team": lambda t: matching.death_team(_deaths(t), _grey_slots(t)),
+    "death_team": lambda t: matching.death_teams(_settled(t)),
     "track_lines": lambda t: tracking.track_lines(row_inputs.feed_sightings(t)),
 }
 
@@ -269,5 +258,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder
 ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_DIMS + select for name, select in oracles.DIM_SELECTS.items()}
 ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in (oracles.READ_SELECTS | oracles.ROW_SELECTS).items()}
 ORACLE_SQL |= {name: oracles.BASE.replace("WITH", "WITH RECURSIVE", 1) + select for name, select in oracles.RECURSIVE_SELECTS.items()}
+ORACLE_SQL |= {name: (oracles.BASE + oracles.BASE_READS).replace("WITH", "WITH RECURSIVE", 1) + select for name, select in oracles.GREEDY_SELECTS.items()}
 QUERIES |= streaming.QUERIES
 ORACLE_SQL |= {name: oracles.BASE + select for name, select in streaming.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_READS + select for name, select in streaming.READ_SELECTS.items()}
