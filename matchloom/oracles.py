@@ -464,3 +464,4 @@ GREEDY_SELECTS: dict[str, str] = {
     "unclaimed_deaths": _GREEDY + """SELECT dl.match_id, dl.id AS death_id, r AS round_no, dl.t AS true_ms, 'kill' AS event_type, CAST(NULL AS BIGINT) AS killer_id, CAST(NULL AS BIGINT) AS victim_id, team AS victim_team, 'NO_FEED_ROW' AS flag
         FROM dl LEFT JOIN td ON td.match_id = dl.match_id AND td.id = dl.id WHERE (dl.match_id, dl.id) NOT IN (SELECT (match_id, id) FROM pq)""",
 }
+GREEDY_SELECTS["stream_align"] = GREEDY_SELECTS["align_elims"]

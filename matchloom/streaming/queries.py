@@ -9,10 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom import oracles
+from matchloom.operators.matching import death_team, pairs
 from matchloom.operators.readings import counter_deaths
-from matchloom.sources import mapping
+from matchloom.operators.rounds import late_row_round
+from matchloom.operators.rows import slot_deaths
+from matchloom.sources import mapping, row_inputs
 from matchloom.sources import readings as bronze
 from matchloom.streaming import jobs
+from matchloom.streaming.ordered import records, state_store
 
 
 def _folder(spark: SparkSession) -> str:
@@ -67,7 +72,7 @@ def stream_sighting_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("match_id >= 0").select("match_id", "line", F.unix_millis("first").alias("first_ms"), F.unix_millis("last").alias("last_ms"), "seen")
 
 
-def stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eliminations and deaths near each other in one round, joined as two streams: match_id, round_no, event_id, death_id."""
     t = mapping.load(spark, sf_dir)
     round_ = lambda c: F.expr(f"{c} div {bronze.ROUND_MS} + 1").alias("round_no")
@@ -84,10 +89,47 @@ def stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(pairs.schema).parquet(f"{at}/out").select("match_id", "round_no", "event_id", "death_id")
 
 
+def _delivered(parts: list[DataFrame]) -> list[DataFrame]:
+    """Records in three deliveries; each comes up to 16 s late, so they are out of order within deliveries and across them."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    late = whole.withColumn("comes", F.col("due_ms") + F.pmod(F.xxhash64("key", "id", "rank"), F.lit(3)) * 8000)
+    third = F.floor(F.col("comes") * 3 / (bronze.MATCH_MS + 30_000))
+    end = records(whole.sparkSession.range(1).selectExpr("-1L as match_id", "1000000000L as at", "0L as id"), "match_id", "at", 0, "id").select(*whole.columns)
+    return [late.filter(third == k).select(*whole.columns) for k in range(3)] + [end, end]
+
+
+def run_folds(spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    with state_store(spark):
+        return run_to_end(spark, _delivered(parts), job)
+
+
+def _death_rows(t: mapping.Tables) -> DataFrame:
+    return counter_deaths(bronze.counter_reads(t)).select("match_id", (F.col("t_ms") * 100 + F.col("death_no")).alias("death_id"), "t_ms", F.expr(f"t_ms div {bronze.ROUND_MS} + 1").alias("round_no"))
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round of each row, told a second after it: event_id, found_round, late."""
+    t = mapping.load(spark, sf_dir)
+    found = run_folds(spark, jobs.late_row_records(t.events, t.rounds, _death_rows(t)), jobs.late_row_stream)
+    return found.select("event_id", F.col("found_round").cast("int").alias("found_round"), "late")
+
+
+def stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eliminations and deaths of a round paired one to one as they come: match_id, event_id, death_id, t_ms, settled."""
+    t = mapping.load(spark, sf_dir)
+    deaths = _death_rows(t)
+    greys = slot_deaths(row_inputs.slot_reads(t)).select("match_id", (F.col("t_ms") * 1000 + F.col("slot") % 15).alias("slot_id"), "t_ms")
+    side = F.when(F.col("slot_id") % 1000 < 8, "blue").otherwise("red").alias("team")
+    teamed = deaths.join(death_team(deaths, greys).select("match_id", "death_id", side), ["match_id", "death_id"], "left")
+    placed = t.events.drop("round_no").join(late_row_round(t.events, t.rounds, deaths).withColumnRenamed("found_round", "round_no"), "event_id")
+    return pairs(run_folds(spark, jobs.pair_records(placed, teamed), jobs.pair_stream))
+
+
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events less those within 5 s of the last kept one of their key, read as a stream: event_id."""
-    rows = mapping.load(spark, sf_dir).events.select("match_id", "event_id", "killer_id", "victim_id", "event_type", "feed_ms")
-    return run_to_end(spark, _in_thirds(rows, "feed_ms"), jobs.anchored_dedupe_stream).select("event_id")
+    return run_folds(spark, [jobs.anchored_dedupe_records(mapping.load(spark, sf_dir).events)], jobs.anchored_dedupe_stream).select("event_id")
 
 
 def stream_match_end(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,15 +141,16 @@ def stream_match_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("match_id >= 0").groupBy("match_id").agg(F.max(F.unix_millis("last_sign")).alias("last_ms"))
 
 
-QUERIES = {"stream_counter_deaths": stream_counter_deaths, "stream_match_upserts": stream_match_upserts, "stream_sighting_sessions": stream_sighting_sessions, "stream_align": stream_align, "stream_dedupe": stream_dedupe, "stream_match_end": stream_match_end}
+QUERIES = {"stream_counter_deaths": stream_counter_deaths, "stream_match_upserts": stream_match_upserts, "stream_sighting_sessions": stream_sighting_sessions, "stream_align": stream_align, "stream_candidate_pairs": stream_candidate_pairs, "stream_late_rows": stream_late_rows, "stream_dedupe": stream_dedupe, "stream_match_end": stream_match_end}
 SELECTS = {
     "stream_match_upserts": "SELECT event_id, match_id, true_ms, 2 AS version FROM ev",
     "stream_match_end": "SELECT match_id, max(feed_ms) AS last_ms FROM ev GROUP BY match_id",
 }
 READ_SELECTS = {
+    "stream_late_rows": oracles.READ_SELECTS["late_row_round"],
     "stream_counter_deaths": "SELECT match_id, t_ms, was, value, deaths FROM cc",
     "stream_sighting_sessions": "SELECT match_id, line, min(t_ms) AS first_ms, max(t_ms) AS last_ms, count(*) AS seen FROM si GROUP BY match_id, line",
-    "stream_align": """, dt AS (SELECT match_id, t_ms // 72000 + 1 AS round_no, t_ms, unnest(range(1, deaths + 1)) AS n FROM cc WHERE deaths > 0)
+    "stream_candidate_pairs": """, dt AS (SELECT match_id, t_ms // 72000 + 1 AS round_no, t_ms, unnest(range(1, deaths + 1)) AS n FROM cc WHERE deaths > 0)
         SELECT ev.match_id, dt.round_no, event_id, dt.t_ms * 100 + n AS death_id FROM ev JOIN dt ON dt.match_id = ev.match_id AND dt.round_no = ev.feed_ms // 72000 + 1
         WHERE event_type IN ('kill', 'eliminated_knocked') AND dt.t_ms BETWEEN ev.feed_ms - 12000 AND ev.feed_ms + 1000""",
 }
