@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding, by a trie of the distinct words of a task.
 
 A text is cut at its added tokens and then into words as the tokenizer's file says. The words that a task has not met
-yet go into a trie. A depth-first walk carries along the path, byte by byte, the *last token* of the encoding of the
+yet make a trie. A depth-first walk carries along the path, byte by byte, the *last token* of the encoding of the
 prefix that ends there: the longest token that ends the prefix and can follow the last token of what is before it. Two
 tokens can follow one another if encoding their bytes together gives just these two; a sequence of tokens is the
 encoding of its bytes if and only if all its neighbours can. So the state of a shared prefix is worked out once for all
@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the cut of this kind of tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII.
+ASCII_PATTERN = PATTERN.replace(r"\s\p{L}\p{N}", r"\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
 #: A tokenizer's file is sent to all executors; a larger one is refused.
 MAX_FILE = 64 * 2**20
 #: Characters of texts cut at a time; words remembered, and their code points at most; pairs of tokens remembered.
-SECTION, WORDS, WORD_CHARS, PAIRS = 400_000, 300_000, 40, 1_000_000
+SECTION, WORDS, WORD_CHARS, PAIRS = 2_000_000, 300_000, 40, 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,29 +61,33 @@ def _recent() -> re.Pattern:
     return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]")
 
 
+def _latin(text: str) -> bool:
+    """Whether a text has code points below 256 only."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Trie:
-    """Distinct byte strings; an edge holds the bytes up to the next fork or end."""
-
-    def __init__(self) -> None:
-        self.root: list = [{}, None]  # edges by first byte: (bytes, node); the word that ends here
-
-    def insert(self, key: bytes, word: str) -> None:
-        node, at = self.root, 0
-        while at < len(key):
-            edge = node[0].get(key[at])
-            if edge is None:
-                node[0][key[at]] = (key[at:], [{}, word])
-                return
-            label, child = edge
-            n, most = 1, min(len(label), len(key) - at)
-            while n < most and label[n] == key[at + n]:
-                n += 1
-            if n < len(label):
-                fork = [{label[n]: (label[n:], child)}, None]
-                node[0][key[at]] = (label[:n], fork)
-                child = fork
-            node, at = child, at + n
-        node[1] = word
+    """Distinct byte strings as a trie, held as its depth-first walk: the strings in order, and how much of the path to
+    each is that of the one before. An edge is what a string has beyond that."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.keys = sorted((w.encode(), w) for w in words)
+
+    def walk(self) -> Iterator[tuple[int, bytes, str]]:
+        """For each string, in depth-first order: the depth of its fork off the path so far, the bytes below it, the word."""
+        before = b""
+        for key, word in self.keys:
+            depth, most = 0, min(len(before), len(key))
+            if before[: most // 2] == key[: most // 2]:
+                depth = most // 2
+            while depth < most and before[depth] == key[depth]:
+                depth += 1
+            yield depth, key[depth:], word
+            before = key
 
 
 class Tokenizer:
@@ -107,14 +113,14 @@ class Tokenizer:
         for k, pair in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in part) for part in (pair.split(" ") if isinstance(pair, str) else pair))
             self.rank.setdefault((ids[a], ids[b]), (k, ids[a + b]))
-        ends: dict[bytes, set[int]] = {}
-        for token in ids:
-            ends.setdefault(token[-2:], set()).add(len(token))
-        #: Lengths of the tokens that end in two given bytes, longest first.
-        self.lengths = {end: sorted(sizes | {1}, reverse=True) for end, sizes in ends.items()}
-        self.cut = regex.compile(PATTERN).findall
+        # states of the walk: the longest end of the path that begins a token; they are numbered as they are met
+        self.begins = {token[:n] for token in ids for n in range(len(token) + 1)}
+        self.state_of = {b"": 0}
+        self.path_of, self.ending, self.after = [b""], [()], {}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
+        self.cut, self.cut_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
         self.split = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")").split if added else lambda text: [text]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.library = None
 
@@ -131,43 +137,58 @@ class Tokenizer:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether b can come after a; a is -1 at the start."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged((self.bytes_of[a] if a >= 0 else b"") + self.bytes_of[b]) == ([a, b] if a >= 0 else [b])
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.merged((self.bytes_of[a] if a >= 0 else b"") + self.bytes_of[b]) == ([a, b] if a >= 0 else [b])
+        self.pairs[a + 1 << 32 | b] = found
         return found
 
-    def last(self, path: bytearray, states: list[int]) -> int:
-        """The last token of the encoding of path; states has those of all shorter prefixes."""
-        end = len(path)
-        for n in self.lengths.get(bytes(path[-2:]), (1,)):
-            if n <= end:
-                token = self.ids.get(bytes(path[end - n :]))
-                if token is not None and self.follows(states[end - n - 1] if n < end else -1, token):
-                    return token
-        raise ValueError(f"no token ends {bytes(path[-16:])!r}")
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte, and in ``ending`` the tokens that end there, longest first, with their lengths."""
+        path = self.path_of[state] + bytes((byte,))
+        while path not in self.begins:
+            path = path[1:]
+        new = self.state_of.get(path)
+        if new is None:
+            new = self.state_of[path] = len(self.path_of)
+            self.path_of.append(path)
+            ends = ((self.ids.get(path[-n:]), n) for n in range(len(path), 0, -1))
+            self.ending.append(tuple((token, n) for token, n in ends if token is not None))
+        self.after[state << 8 | byte] = new
+        return new
 
     def encodings(self, trie: Trie) -> Iterator[tuple[str, bytes]]:
-        """Each word of the trie with its packed ids, depth first."""
-        path, states = bytearray(), []
-        ahead = [(0, b"", trie.root)]
-        while ahead:
-            depth, label, (edges, word) = ahead.pop()
-            del path[depth:], states[depth:]
+        """Each word of the trie with its packed ids, depth first. The path keeps, per byte, the state and the last token."""
+        states, lasts = [0], [-1]
+        after, ending, pairs, packed = self.after, self.ending, self.pairs, self.packed
+        length = [len(x) for x in self.bytes_of]
+        for depth, label, word in trie.walk():
+            del states[depth + 1 :], lasts[depth + 1 :]
+            state = states[-1]
             for byte in label:
-                path.append(byte)
-                states.append(self.last(path, states))
-            if word is not None:
-                row, end = [], len(path)
-                while end:
-                    row.append(states[end - 1])
-                    end -= len(self.bytes_of[row[-1]])
-                yield word, np.array(row[::-1], dtype="<u4").tobytes()
-            ahead += ((len(path), *edge) for edge in edges.values())
+                new = after.get(state << 8 | byte)
+                state = self.step(state, byte) if new is None else new
+                for token, n in ending[state]:
+                    a = lasts[-n]
+                    fits = pairs.get(a + 1 << 32 | token)
+                    if self.follows(a, token) if fits is None else fits:
+                        break
+                else:
+                    raise ValueError(f"no token ends {self.path_of[state]!r}")
+                states.append(state)
+                lasts.append(token)
+            row, end = [], len(lasts) - 1
+            while end:
+                token = lasts[end]
+                row.append(packed[token])
+                end -= length[token]
+            row.reverse()
+            yield word, b"".join(row)
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or not _recent().search(text):
+        if text.isascii():
+            return self.cut_ascii(text)
+        if _latin(text) or not _recent().search(text):
             return self.cut(text)
         if self.library is None:
             import tokenizers
@@ -181,10 +202,7 @@ class Tokenizer:
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
             new = set().union(*pieces)
-        trie = Trie()
-        for word in new:
-            trie.insert(word.encode(), word)
-        here = dict(self.encodings(trie))
+        here = dict(self.encodings(Trie(new)))
         self.known.update((w, v) for w, v in here.items() if len(w) <= WORD_CHARS)
         long = {w: v for w, v in here.items() if len(w) > WORD_CHARS}
         find = (lambda w: long.get(w) or self.known[w]) if long else self.known.__getitem__

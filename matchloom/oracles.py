@@ -465,3 +465,14 @@ GREEDY_SELECTS: dict[str, str] = {
         FROM dl LEFT JOIN td ON td.match_id = dl.match_id AND td.id = dl.id WHERE (dl.match_id, dl.id) NOT IN (SELECT (match_id, id) FROM pq)""",
 }
 GREEDY_SELECTS["stream_align"] = GREEDY_SELECTS["align_elims"]
+
+#: Matches after the imports, with the number they have then.
+_HISTORY = """, hi AS (SELECT match_id, CASE WHEN match_id % 6 = 0 THEN match_id + 1000000 ELSE match_id END AS id, match_id % 6 = 0 AS anew, match_id % 2 <> 0 AS second, source_file, recorded_at, CASE WHEN match_id % 3 <> 0 THEN status END AS status
+        FROM ma WHERE match_id % 2 = 0 OR match_id % 5 = 0),
+    he AS (SELECT event_id, ev.match_id, id, CASE WHEN second THEN 'AGAIN' ELSE flag END AS flag FROM ev JOIN hi ON hi.match_id = ev.match_id WHERE NOT anew OR event_id % 2 = 0)
+"""
+DIM_SELECTS |= {
+    "ingest_history_matches": _HISTORY + "SELECT id AS match_id, source_file, recorded_at, coalesce(status, CASE WHEN match_id IN (SELECT match_id FROM he WHERE flag IS NOT NULL) THEN 'needs_review' ELSE 'processed' END) AS status FROM hi",
+    "ingest_history_events": _HISTORY + "SELECT event_id, id AS match_id, flag FROM he",
+    "ingest_history_players": _HISTORY + "SELECT id AS match_id, player_id, team FROM mp JOIN hi ON hi.match_id = mp.match_id",
+}

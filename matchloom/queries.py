@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from matchloom import oracles
 from matchloom.functions import names
-from matchloom.jobs import export
+from matchloom.jobs import export, ingest
 from matchloom.operators import awards, boards, dims, matching, players, readings, rounds, rows, tracking, wording
 from matchloom.sources import dim_inputs, row_inputs
 from matchloom.sources import readings as bronze
 from matchloom.sources.mapping import Tables, load
+from matchloom.sources.store import TableStore
 from matchloom.streaming import queries as streaming
 
 FIRST_DAY, LAST_DAY = "2024-01-03", "2024-01-20"
@@ -250,6 +251,28 @@ def _roster_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.roster_collisions(_name_reads(spark, sf_dir)[0].select(F.col("raw").alias("name")))
 
 
+def _imported(table: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A table of a history on disk after three imports: even matches; known recordings again (left alone) with new ones; some replaced by a new reading under a new id."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = load(spark, sf_dir)
+        store = TableStore(spark, streaming.new_folder(spark))
+        given = t.matches.select("match_id", "source_file", "recorded_at", F.when(F.col("match_id") % 3 != 0, F.col("status")).alias("status"))
+        events = t.events.select("event_id", "match_id", "feed_ms", "event_type", "flag")
+
+        def some(rule: str, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+            return {"matches": given.filter(rule), "events": change(events.filter(rule)), "match_players": t.match_players.filter(rule)}
+
+        ingest.import_matches(store, 1, some("match_id % 2 = 0"))
+        ingest.import_matches(store, 1, some("match_id % 2 = 1"))  # the batch is there already
+        ingest.import_matches(store, 2, some("match_id % 4 = 0 or match_id % 5 = 0", lambda df: df.withColumn("flag", F.lit("AGAIN"))))
+        again = some("match_id % 6 = 0", lambda df: df.filter("event_id % 2 = 0"))
+        ingest.import_matches(store, 3, {n: df.withColumn("match_id", F.col("match_id") + 1_000_000) for n, df in again.items()}, replace=True)
+        return ingest.history(store)[table].select(*columns)
+
+    return query
+
+
 def _on_folder(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: job(load(spark, sf_dir))
 
@@ -259,5 +282,6 @@ ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in or
 ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in (oracles.READ_SELECTS | oracles.ROW_SELECTS).items()}
 ORACLE_SQL |= {name: oracles.BASE.replace("WITH", "WITH RECURSIVE", 1) + select for name, select in oracles.RECURSIVE_SELECTS.items()}
 ORACLE_SQL |= {name: (oracles.BASE + oracles.BASE_READS).replace("WITH", "WITH RECURSIVE", 1) + select for name, select in oracles.GREEDY_SELECTS.items()}
+QUERIES |= {"ingest_history_matches": _imported("matches", "match_id", "source_file", "recorded_at", "status"), "ingest_history_events": _imported("events", "event_id", "match_id", "flag"), "ingest_history_players": _imported("match_players", "match_id", "player_id", "team")}
 QUERIES |= streaming.QUERIES
 ORACLE_SQL |= {name: oracles.BASE + select for name, select in streaming.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_READS + select for name, select in streaming.READ_SELECTS.items()}

@@ -16,11 +16,12 @@ from matchloom.operators.rounds import late_row_round
 from matchloom.operators.rows import slot_deaths
 from matchloom.sources import mapping, row_inputs
 from matchloom.sources import readings as bronze
-from matchloom.streaming import jobs
+from matchloom.sources.store import TableStore
+from matchloom.streaming import jobs, live
 from matchloom.streaming.ordered import records, state_store
 
 
-def _folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder where driver and executors both see it; only a local session may do without a shared one."""
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
@@ -32,7 +33,7 @@ def _folder(spark: SparkSession) -> str:
 
 def run_to_end(spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Delivers the parts one after another, each in as many files as it has tasks, streams what is there through job after each, and reads what it wrote."""
-    at = _folder(spark)
+    at = new_folder(spark)
     for part in parts:
         part.write.mode("append").parquet(f"{at}/in")
         result = job(spark.readStream.schema(part.schema).parquet(f"{at}/in"))
@@ -51,7 +52,7 @@ def stream_match_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written live and improved later: the last version of each. event_id, match_id, true_ms, version."""
     ev = mapping.load(spark, sf_dir).events
     versions = ev.select("event_id", "match_id", F.col("feed_ms").alias("true_ms"), F.lit(1).alias("version")).union(ev.select("event_id", "match_id", "true_ms", F.lit(2)))
-    at = _folder(spark)
+    at = new_folder(spark)
     versions.repartition(4).write.parquet(f"{at}/in")
     stream = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     stream.writeStream.foreachBatch(jobs.match_upserts(f"{at}/out", ["event_id"], "version")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
@@ -79,7 +80,7 @@ def stream_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.events.filter(F.col("event_type").isin("kill", "eliminated_knocked")).select("match_id", round_("feed_ms"), "event_id", F.col("feed_ms").alias("t_ms"), F.timestamp_millis("feed_ms").alias("ts"))
     died = counter_deaths(bronze.counter_reads(t))
     deaths = died.select("match_id", round_("t_ms"), (F.col("t_ms") * 100 + F.col("death_no")).alias("death_id"), "t_ms", F.timestamp_millis("t_ms").alias("ts"))
-    at = _folder(spark)
+    at = new_folder(spark)
     read = lambda name, df: spark.readStream.schema(df.drop("t_ms").schema).parquet(f"{at}/{name}")
     for row_part, death_part in zip(_in_thirds(rows, "t_ms"), _in_thirds(deaths, "t_ms"), strict=True):
         row_part.drop("t_ms").write.mode("append").parquet(f"{at}/rows")
@@ -141,11 +142,62 @@ def stream_match_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("match_id >= 0").groupBy("match_id").agg(F.max(F.unix_millis("last_sign")).alias("last_ms"))
 
 
+def _changes(t: mapping.Tables) -> DataFrame:
+    """The given matches as a log of changes: rounds started twice, times improved, rows moved and flagged, boards read twice, players told again."""
+    def said(rows: DataFrame, op: str, seq: str, **fields: str) -> DataFrame:
+        return rows.select("match_id", F.expr(seq).cast("long").alias("seq"), F.lit(op).alias("op"), *(F.expr(e).alias(c) for c, e in fields.items()))
+
+    by_name = lambda *names: {n: n for n in names}
+    m, r, e, p, b = t.matches, t.rounds, t.events, t.match_players, t.scoreboard
+    log = [
+        said(m, "begin", "1", **by_name("recorded_at", "source_file")), said(m.filter("match_id % 9 <> 0"), "finish", "3000000", status="case when match_id % 4 = 1 then 'failed' end"),
+        said(p, "player", "2", **by_name("player_id", "team", "slot")), said(p.filter("player_id % 7 = 0"), "player", "3", player_id="player_id", team="case when team = 'blue' then 'red' else 'blue' end"),
+        said(r, "start_round", "10 + round_no", **by_name("round_no", "start_ms")), said(r, "start_round", "40 + round_no", round_no="round_no", start_ms="start_ms + 5"),
+        said(r, "end_round", "70 + round_no", **by_name("round_no", "end_ms", "blue_score", "red_score")),
+        said(e, "event", "1000 + feed_ms", true_ms="feed_ms", time_source="'feed'", **by_name("event_id", "round_no", "feed_ms", "event_type", "killer_id", "victim_id", "weapon", "victim_team", "confidence", "flag")),
+        said(e.filter("true_ms <> feed_ms"), "time", "1500 + feed_ms", event_id="event_id", true_ms="true_ms", time_source="'counter'"),
+        said(e.filter("event_id % 10 = 0"), "move", "2000000", event_id="event_id", round_no="coalesce(round_no, 0) + 1"), said(e.filter("event_id % 31 = 0"), "flag", "2100000", event_id="event_id", flag="'NO_DROP'"),
+        said(b.filter("round_no is not null"), "stat", "2200000 + round_no", **by_name("round_no", "player_id", "stat_name", "value")),
+        said(b.filter("round_no is null"), "stat", "2300000", player_id="player_id", stat_name="stat_name", value="value + 1"),
+        said(b.filter("round_no is null and match_id % 5 = 0 and player_id % 2 = 0"), "stat", "2400000", **by_name("player_id", "stat_name", "value")),
+    ]
+    whole = empty = t.events.sparkSession.createDataFrame([], live.CHANGE)
+    for part in log:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole.select(*empty.columns)
+
+
+def _live(table: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = new_folder(spark)
+        # in four files of any order, one a batch: what was said late may come first
+        _changes(mapping.load(spark, sf_dir)).repartition(4, F.xxhash64("seq", "event_id", "player_id")).write.parquet(f"{at}/in")
+        stream = spark.readStream.schema(live.CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        stream.writeStream.foreachBatch(live.live_sink(f"{at}/live")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+        store = TableStore(spark, f"{at}/live")
+        store.compact()
+        return live.live_tables(store)[table].select(*columns) if columns else live.live_tables(store)[table]
+
+    return query
+
+
 QUERIES = {"stream_counter_deaths": stream_counter_deaths, "stream_match_upserts": stream_match_upserts, "stream_sighting_sessions": stream_sighting_sessions, "stream_align": stream_align, "stream_candidate_pairs": stream_candidate_pairs, "stream_late_rows": stream_late_rows, "stream_dedupe": stream_dedupe, "stream_match_end": stream_match_end}
+QUERIES |= {"live_match_matches": _live("matches"), "live_match_rounds": _live("rounds", "match_id", "round_no", "start_ms", "end_ms", "blue_score", "red_score"), "live_match_players": _live("match_players"), "live_match_events": _live("events"), "live_match_boards": _live("scoreboard")}
 SELECTS = {
     "stream_match_upserts": "SELECT event_id, match_id, true_ms, 2 AS version FROM ev",
     "stream_match_end": "SELECT match_id, max(feed_ms) AS last_ms FROM ev GROUP BY match_id",
 }
+SELECTS |= {
+    "live_match_matches": """SELECT match_id, recorded_at, source_file, CASE WHEN match_id % 9 = 0 THEN 'live' WHEN match_id % 4 = 1 THEN 'failed'
+        WHEN match_id IN (SELECT match_id FROM ev WHERE flag IS NOT NULL OR event_id % 31 = 0) THEN 'needs_review' ELSE 'processed' END AS status,
+        CASE WHEN match_id % 9 <> 0 THEN (SELECT count(*) FROM ro WHERE ro.match_id = ma.match_id) END AS rounds_played FROM ma""",
+    "live_match_rounds": "SELECT match_id, round_no, start_ms, end_ms, blue_score, red_score FROM ro",
+    "live_match_players": "SELECT match_id, player_id, CASE WHEN player_id % 7 <> 0 THEN team WHEN team = 'blue' THEN 'red' ELSE 'blue' END AS team, slot FROM mp",
+    "live_match_events": """SELECT match_id, event_id, CASE WHEN event_id % 10 = 0 THEN coalesce(round_no, 0) + 1 ELSE round_no END AS round_no, true_ms, CASE WHEN true_ms <> feed_ms THEN 'counter' ELSE 'feed' END AS time_source,
+        feed_ms, event_type, killer_id, victim_id, weapon, victim_team, confidence, CASE WHEN event_id % 31 = 0 THEN 'NO_DROP' ELSE flag END AS flag FROM ev""",
+    "live_match_boards": """SELECT match_id, round_no, player_id, stat_name, value FROM bo WHERE round_no IS NOT NULL OR (match_id % 5 = 0 AND player_id % 2 = 0)
+        UNION ALL SELECT match_id, round_no, player_id, stat_name, value + 1 FROM bo o WHERE round_no IS NULL AND NOT (match_id % 5 = 0 AND EXISTS (SELECT 1 FROM bo x WHERE x.match_id = o.match_id AND x.round_no IS NULL AND x.player_id % 2 = 0))""",
+}
 READ_SELECTS = {
     "stream_late_rows": oracles.READ_SELECTS["late_row_round"],
     "stream_counter_deaths": "SELECT match_id, t_ms, was, value, deaths FROM cc",
