@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the cut of this kind of tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts of ASCII.
-ASCII_PATTERN = PATTERN.replace(r"\s\p{L}\p{N}", r"\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+#: The same for code points below 256, with their white space, letters and numbers by name.
+_SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: A tokenizer's file is sent to all executors; a larger one is refused.
 MAX_FILE = 64 * 2**20
 #: Characters of texts cut at a time; words remembered, and their code points at most; pairs of tokens remembered.
-SECTION, WORDS, WORD_CHARS, PAIRS = 2_000_000, 300_000, 40, 1_000_000
+SECTION, WORDS, WORD_CHARS, PAIRS = 2_000_000, 600_000, 40, 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -75,12 +77,13 @@ class Trie:
     each is that of the one before. An edge is what a string has beyond that."""
 
     def __init__(self, words: Iterable[str]) -> None:
-        self.keys = sorted((w.encode(), w) for w in words)
+        self.words = sorted(words)  # code points are ordered as their UTF-8 bytes are
 
     def walk(self) -> Iterator[tuple[int, bytes, str]]:
         """For each string, in depth-first order: the depth of its fork off the path so far, the bytes below it, the word."""
         before = b""
-        for key, word in self.keys:
+        for word in self.words:
+            key = word.encode()
             depth, most = 0, min(len(before), len(key))
             if before[: most // 2] == key[: most // 2]:
                 depth = most // 2
@@ -113,12 +116,16 @@ class Tokenizer:
         for k, pair in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in part) for part in (pair.split(" ") if isinstance(pair, str) else pair))
             self.rank.setdefault((ids[a], ids[b]), (k, ids[a + b]))
+        self.made = {new: (k, *pair) for pair, (k, new) in reversed(self.rank.items())}
+        # whether each merge comes after those of its parts, as it does where merges were learnt one by one
+        self.rising = all(k > max(self.made.get(a, (-1,))[0], self.made.get(b, (-1,))[0]) for k, a, b in self.made.values())
+        self.edges: tuple[dict, dict] = ({}, {})
         # states of the walk: the longest end of the path that begins a token; they are numbered as they are met
         self.begins = {token[:n] for token in ids for n in range(len(token) + 1)}
         self.state_of = {b"": 0}
         self.path_of, self.ending, self.after = [b""], [()], {}
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
-        self.cut, self.cut_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
+        self.cut, self.cut_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         self.split = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")").split if added else lambda text: [text]
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
@@ -135,11 +142,35 @@ class Tokenizer:
             row[i : i + 2] = [self.rank[row[i], row[i + 1]][1]]
         return row
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """What stands at one end of a token (0 left, 1 right) while it is merged, from its byte up, each with the rank of the merge that takes it."""
+        found = self.edges[side].get(token)
+        if found is None:
+            up: list[tuple[int, float]] = [(token, math.inf)]
+            while (made := self.made.get(up[-1][0])) is not None:
+                up.append((made[1 + side], made[0]))
+            found = self.edges[side][token] = up[::-1]
+        return found
+
     def follows(self, a: int, b: int) -> bool:
-        """Whether b can come after a; a is -1 at the start."""
+        """Whether b can come after a; a is -1 at the start.
+
+        While both are merged, the two at the border change; b cannot follow if a merge across the border comes before those
+        that take either of them away from it. Of equal merges the leftmost comes first.
+        """
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        found = self.merged((self.bytes_of[a] if a >= 0 else b"") + self.bytes_of[b]) == ([a, b] if a >= 0 else [b])
+        if a < 0 or not self.rising:
+            found = self.merged((self.bytes_of[a] if a >= 0 else b"") + self.bytes_of[b]) == ([a, b] if a >= 0 else [b])
+        else:
+            left, right, i, k = self._edge(a, 1), self._edge(b, 0), 0, 0
+            while True:
+                (x, gone), (y, also) = left[i], right[k]
+                across = self.rank.get((x, y))
+                found = across is None or across[0] >= gone or across[0] > also
+                if not found or gone == also == math.inf:
+                    break
+                i, k = (i + 1, k) if gone <= also else (i, k + 1)
         self.pairs[a + 1 << 32 | b] = found
         return found
 
@@ -186,9 +217,9 @@ class Tokenizer:
             yield word, b"".join(row)
 
     def words(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.cut_ascii(text)
-        if _latin(text) or not _recent().search(text):
+        if text.isascii() or _latin(text):
+            return self.cut_latin(text)
+        if not _recent().search(text):
             return self.cut(text)
         if self.library is None:
             import tokenizers
@@ -198,10 +229,12 @@ class Tokenizer:
 
     def _encoded(self, pieces: list[list[str]]) -> list[bytes]:
         """Packed ids of lists of words."""
-        new = set().union(*pieces).difference(self.known)
+        met = set().union(*pieces)
+        new = met.difference(self.known)
         if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = set().union(*pieces)
+            # what these texts have stays, as words that are met often do
+            self.known = {w: self.known[w] for w in met.difference(new)} if len(met) < WORDS else {}
+            new = met.difference(self.known)
         here = dict(self.encodings(Trie(new)))
         self.known.update((w, v) for w, v in here.items() if len(w) <= WORD_CHARS)
         long = {w: v for w, v in here.items() if len(w) > WORD_CHARS}

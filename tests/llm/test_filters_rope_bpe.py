@@ -182,20 +182,32 @@ def test_bpe_of_any_text(own, library, text):
 
 def test_bpe_shares_prefixes(own):
     """Bytes walked: the distinct prefixes of all words, however many have them."""
-    calls, last = [], own.last
-    trie = bpe.Trie()
-    keys = ["interview", "interviewer", "internal", "inter", "zebra", "interview"]
-    for k in keys:
-        trie.insert(k.encode(), k)
-    own.last = lambda path, states: calls.append(bytes(path)) or last(path, states)
-    try:
-        found = dict(own.encodings(trie))
-    finally:
-        own.last = last
-    assert sorted(calls) == sorted({k.encode()[: i + 1] for k in keys for i in range(len(k))})
+    keys = ["interview", "interviewer", "internal", "inter", "zebra", "été", "éta"]
+    trie, path, walked = bpe.Trie(keys), b"", []
+    for depth, label, word in trie.walk():
+        path = path[:depth] + label
+        walked += [path[: depth + k + 1] for k in range(len(label))]
+        assert path == word.encode()
+    assert sorted(walked) == sorted({k.encode()[: i + 1] for k in keys for i in range(len(k.encode()))})
+    found = dict(own.encodings(trie))
     assert all(found[k] == struct.pack(f"<{len(ids := own.merged(k.encode()))}I", *ids) for k in keys)
 
 
+def test_bpe_neighbours_by_their_merges(own):
+    """The quick test of a pair is that of merging its bytes."""
+    r = random.Random(2)
+    tokens = [t for t in range(256, 50_000, 7)] + list(range(256))
+    pairs = [(r.choice(tokens), r.choice(tokens)) for _ in range(20_000)] + [(t, t) for t in tokens] + [own.made[t][1:] for t in range(300, 3000)]
+    ends = [own.merged(own.bytes_of[a] + own.bytes_of[b]) == [a, b] for a, b in pairs]
+    assert own.rising and [own.follows(a, b) for a, b in pairs] == ends and 0 < sum(ends) < len(ends)
+
+
+def test_bpe_latin_cut_is_the_general_one(own):
+    for c in map(chr, range(256)):
+        for text in (f"a{c}1{c} {c}!{c}\t{c}b", f" {c}{c} {c}'s{c} x", f"{c}  {c}"):
+            assert own.cut_latin(text) == own.cut(text)
+
+
 def test_bpe_sections_and_bounds(own, library, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS", 50)
     monkeypatch.setattr(bpe, "PAIRS", 50)
