@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.match_rules import counted_elimination, is_knock, ones
 from matchloom.functions.names import simple_norm
+from matchloom.sources.scratch import written
 
 
 def known_names(players: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -30,6 +31,27 @@ def resolve_player(names: DataFrame, players: DataFrame, aliases: DataFrame) ->
     return found.select("name", F.coalesce("by_name", "by_alias", "by_norm").alias("player_id"), tier.alias("tier"))
 
 
+def admit_players(names: DataFrame, players: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """players and aliases with what some names add, and name, player_id, tier for each name that is not blank.
+
+    Names that nobody has become players; of several that are alike but for white space, case and 0 the smallest one does and the others become its
+    aliases, as does every name that was found by likeness. New ids follow the highest one without gaps, in order of a hash of the name: ids inside
+    one value of a 12-bit hash are counted in one task, and what the values before hold is added, so no task numbers all. A second run finds all names.
+    """
+    found = resolve_player(names.filter("name <> ''"), players, aliases)
+    new = found.filter("tier = 'new'").select("name", simple_norm("name").alias("norm"))
+    firsts = new.groupBy("norm").agg(F.min("name").alias("ign"))
+    numbered = in_total_order(firsts, ["ign"], F.substring(F.md5("ign"), 1, 3))
+    top = players.agg(F.coalesce(F.max("player_id"), F.lit(0))).scalar()
+    admitted = numbered.select((top + F.col("place")).alias("player_id"), "ign", "norm")
+    ids = new.join(admitted, "norm").select("name", F.col("player_id").alias("new_id"), (F.col("name") != F.col("ign")).alias("also"))
+    placed = found.join(ids, "name", "left").select("name", F.coalesce("player_id", "new_id").alias("player_id"), "tier", ((F.col("tier") == "norm") | F.coalesce("also", F.lit(False))).alias("is_alias"))
+    nickname = [F.lit(None).cast(t).alias(c) for c, t in players.dtypes if c not in ("player_id", "ign")]
+    everyone = players.unionByName(admitted.select(F.col("player_id").cast(dict(players.dtypes)["player_id"]).alias("player_id"), "ign", *nickname))
+    spellings = aliases.select("alias", "player_id").union(placed.filter("is_alias").select("name", "player_id"))
+    return everyone, spellings, placed.select("name", "player_id", "tier")
+
+
 def canonical_name(names: DataFrame, players: DataFrame, aliases: DataFrame) -> DataFrame:
     """name -> the player's own name where it is an alias, else itself."""
     known = aliases.join(players.select("player_id", "ign"), "player_id").select(F.col("alias").alias("name"), "ign")
@@ -56,7 +78,60 @@ def rename_merge(renames: DataFrame, events: DataFrame, scoreboard: DataFrame, m
         first = Window.partitionBy(*key, "player_id").orderBy(F.col("own").desc(), "was")
         return named.withColumn("place", F.row_number().over(first)).filter("place = 1").select(*rows.columns)
 
-    return moved, merged(scoreboard, "match_id", "round_no", "stat_name"), merged(match_players, "match_id")
+    return moved.select(*events.columns), merged(scoreboard, "match_id", "round_no", "stat_name"), merged(match_players, "match_id")
+
+
+def _last_names(renames: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """renames: old, new, one row per old; held: old, names that somebody has. Where each old name that somebody has, or gets on the way, ends (old, new, steps), and the old names that run into a circle.
+
+    Each round looks up where the new names lead by then, so a chain of n renames takes log n rounds; what still leads on after that goes round in circles.
+    """
+    reach = written(renames.select("old", "new", F.lit(1).cast("long").alias("steps")))
+    met = held.select("old")
+    for _ in range(reach.count().bit_length() + 1):
+        met = written(met.union(reach.join(met, "old", "left_semi").select("new")).distinct())
+        further = reach.select(F.col("old").alias("new"), F.col("new").alias("last"), F.col("steps").alias("more"))
+        joined = reach.join(further, "new", "left")
+        if joined.filter("last is not null").isEmpty():
+            break
+        reach = written(joined.select("old", F.coalesce("last", "new").alias("new"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    circles = reach.join(reach.select(F.col("old").alias("new")), "new", "left_semi").select("old")
+    return reach.join(circles, "old", "left_anti").join(met, "old", "left_semi"), circles
+
+
+def rename_players(renames: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """renames: old, new (names). tables: players, aliases, events, scoreboard, match_players; gives them after the renames, and ``refused``: old, new, reason.
+
+    A chain of renames leads to its last name. If a player has that name, those renamed to it are merged into it, else the one fewest renames away
+    (then of smallest id) takes the name and the others are merged into it. Rows move along; where both have a row, the one that was there stays. The
+    old names become aliases, aliases of merged players move, and merged players go. Refused: circles, a second new name of one old name (the
+    smallest one holds), and names that no player has nor gets by a rename.
+    """
+    asked = renames.filter("old is not null and new is not null").select("old", "new").distinct()
+    one = asked.groupBy("old").agg(F.min("new").alias("new"))
+    players = tables["players"]
+    holders = players.select(F.col("ign").alias("old"), "player_id")
+    ends, circles = _last_names(one, holders)
+    moving = ends.join(holders, "old").select("player_id", "old", "new", "steps")
+    # names on the way of a player's renames are nobody's by now, but become aliases as well
+    owner = players.select(F.col("ign").alias("new"), F.col("player_id").alias("owner"))
+    nearest = moving.groupBy("new").agg(F.min(F.struct("steps", "player_id")).alias("x")).select("new", F.col("x.player_id").alias("heir"))
+    target = nearest.join(owner, "new", "left").select("new", F.coalesce("owner", "heir").alias("to_id"), F.col("owner").isNull().alias("plain"))
+    goals = written(ends.join(target, "new").select("old", "new", "to_id", "plain"))
+    ids = written(moving.join(target, "new").filter("player_id <> to_id").select(F.col("player_id").alias("old_id"), F.col("to_id").alias("new_id")))
+    events, scoreboard, match_players = rename_merge(ids, tables["events"], tables["scoreboard"], tables["match_players"])
+    named = goals.filter("plain").select(F.col("to_id").alias("player_id"), F.col("new").alias("name")).distinct()
+    left = players.join(ids.select(F.col("old_id").alias("player_id")), "player_id", "left_anti").join(named, "player_id", "left").withColumn("ign", F.coalesce("name", "ign")).select(*players.columns)
+    known = tables["aliases"]
+    kept = known.join(ids.withColumnRenamed("old_id", "player_id"), "player_id", "left").select("alias", F.coalesce("new_id", "player_id").alias("player_id"))
+    added = goals.select(F.col("old").alias("alias"), F.col("to_id").alias("player_id")).join(known.select("alias"), "alias", "left_anti")
+    reasons = [
+        asked.join(one, ["old", "new"], "left_anti").withColumn("reason", F.lit("renamed twice")),
+        one.join(circles, "old", "left_semi").withColumn("reason", F.lit("circle")),
+        one.join(circles, "old", "left_anti").join(ends.select("old"), "old", "left_anti").withColumn("reason", F.lit("unknown")),
+    ]
+    refused = reasons[0].unionByName(reasons[1]).unionByName(reasons[2])
+    return {"players": left, "aliases": kept.union(added), "events": events, "scoreboard": scoreboard, "match_players": match_players, "refused": refused}
 
 
 def prune_players(players: DataFrame, events: DataFrame, scoreboard: DataFrame, match_players: DataFrame, keep: DataFrame) -> DataFrame:

@@ -476,3 +476,48 @@ DIM_SELECTS |= {
     "ingest_history_events": _HISTORY + "SELECT event_id, id AS match_id, flag FROM he",
     "ingest_history_players": _HISTORY + "SELECT id AS match_id, player_id, team FROM mp JOIN hi ON hi.match_id = mp.match_id",
 }
+
+#: New players: the smallest of the new names that are alike, numbered in order of a part of their hash.
+_ADMIT = f""", nr AS (SELECT name FROM nm UNION ALL SELECT 'GHOST _' || player_id FROM pl WHERE player_id % 14 = 2 UNION ALL SELECT 'fresh_' || player_id FROM pl WHERE player_id % 20 = 1),
+    rs0 AS (SELECT * FROM {_RESOLVE.format('nr')}),
+    nw AS (SELECT min(name) AS ign, {_NORM.format('name')} AS norm FROM rs0 WHERE tier = 'new' GROUP BY norm),
+    nn AS (SELECT ign, norm, (SELECT max(player_id) FROM pl) + row_number() OVER (ORDER BY md5(ign)[1:3], ign) AS player_id FROM nw),
+    rn AS (SELECT name, coalesce(rs0.player_id, nn.player_id) AS player_id, tier, tier = 'norm' OR (tier = 'new' AND name <> nn.ign) AS also FROM rs0 LEFT JOIN nn ON tier = 'new' AND nn.norm = {_NORM.format('name')})
+"""
+_RENAMED = """, im AS (SELECT player_id AS o, player_id - 1 AS n FROM pl WHERE player_id % 15 = 14 AND player_id - 1 IN (SELECT player_id FROM pl)),
+    to_id AS (SELECT player_id, coalesce((SELECT n FROM im WHERE o = player_id), player_id) AS id FROM pl)
+"""
+_FAULTY = """, fe0 AS (SELECT * REPLACE (CASE WHEN event_id % 40 = 0 THEN 'knocked' ELSE event_type END AS event_type, CASE WHEN event_id % 60 = 0 THEN killer_id + 1000000 ELSE killer_id END AS killer_id,
+        CASE WHEN event_id % 70 = 0 THEN NULL WHEN event_id % 71 = 0 THEN -1 ELSE match_id END AS match_id) FROM ev),
+    fe AS (SELECT * FROM fe0 UNION ALL SELECT * FROM fe0 WHERE event_id % 50 = 0),
+    fm0 AS (SELECT match_id, source_file, recorded_at, CASE WHEN match_id % 6 = 0 THEN 'done' WHEN match_id % 10 = 3 THEN NULL ELSE status END AS status FROM ma),
+    fm AS (SELECT * FROM fm0 UNION ALL SELECT match_id + 5000000, source_file, recorded_at, status FROM fm0 WHERE match_id % 8 = 0),
+    fp AS (SELECT player_id, ign FROM pl UNION ALL SELECT player_id + 7000000, ign FROM pl WHERE player_id % 30 = 7),
+    fa AS (SELECT alias, player_id FROM al UNION ALL SELECT alias, -5 FROM al WHERE player_id % 9 = 0),
+    fq AS (SELECT match_id, player_id FROM mp UNION ALL SELECT match_id, player_id FROM mp WHERE player_id % 44 = 0),
+    fr AS (SELECT match_id, round_no FROM ro UNION ALL SELECT match_id, round_no FROM ro WHERE round_no = 1 AND match_id % 4 = 0),
+    fs AS (SELECT match_id, round_no, player_id, stat_name FROM bo UNION ALL SELECT match_id, round_no, player_id, stat_name FROM bo WHERE player_id % 33 = 0 AND stat_name = 'knock_outs')
+"""
+DIM_SELECTS |= {
+    "admit_players_players": _ADMIT + "SELECT player_id, ign, nickname FROM pl UNION ALL SELECT player_id, ign, NULL FROM nn",
+    "admit_players_aliases": _ADMIT + "SELECT alias, player_id FROM al UNION ALL SELECT name, player_id FROM rn WHERE also",
+    "admit_players_names": _ADMIT + "SELECT name, player_id, tier FROM rn",
+    "rename_players_players": _RENAMED + "SELECT player_id, CASE player_id % 15 WHEN 13 THEN 'champ_' || player_id WHEN 14 THEN 'player_' || (player_id - 1) ELSE ign END AS ign, nickname FROM pl WHERE player_id NOT IN (SELECT o FROM im)",
+    "rename_players_aliases": _RENAMED + "SELECT alias, id AS player_id FROM al JOIN to_id USING (player_id) UNION ALL SELECT ign, id FROM pl JOIN to_id USING (player_id) WHERE player_id % 15 >= 13",
+    "rename_players_events": _RENAMED + "SELECT event_id, k.id AS killer_id, v.id AS victim_id FROM ev LEFT JOIN to_id k ON k.player_id = killer_id LEFT JOIN to_id v ON v.player_id = victim_id",
+    "rename_players_boards": _RENAMED + """SELECT match_id, round_no, id AS player_id, stat_name, value FROM bo JOIN to_id USING (player_id)
+        QUALIFY row_number() OVER (PARTITION BY match_id, round_no, stat_name, id ORDER BY player_id) = 1""",
+    "rename_players_members": _RENAMED + "SELECT match_id, id AS player_id, team, slot FROM mp JOIN to_id USING (player_id) QUALIFY row_number() OVER (PARTITION BY match_id, id ORDER BY player_id) = 1",
+    "rename_players_refused": "SELECT 'player_' || player_id AS old, 'loop_' || player_id AS new, 'circle' AS reason FROM pl WHERE player_id % 15 = 5 UNION ALL SELECT 'loop_' || player_id, 'player_' || player_id, 'circle' FROM pl WHERE player_id % 15 = 5 UNION ALL SELECT 'nobody_' || player_id, 'player_' || player_id, 'unknown' FROM pl WHERE player_id % 15 = 2",
+    "read_tables": _FAULTY + " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS n FROM {c}" for n, c in (("matches", "fm"), ("players", "fp"), ("player_aliases", "fa"), ("match_players", "fq"), ("rounds", "fr"), ("events", "fe"), ("scoreboard_stats", "fs"))),
+    "read_tables_broken": _FAULTY + """SELECT 'events' AS "table", CAST(event_id AS VARCHAR) AS key, 'no match_id' AS reason FROM fe WHERE match_id IS NULL UNION ALL SELECT 'events', CAST(event_id AS VARCHAR), 'unknown event_type' FROM fe WHERE event_type = 'knocked'
+        UNION ALL SELECT 'events', CAST(event_id AS VARCHAR), 'event_id not unique' FROM fe GROUP BY event_id HAVING count(*) > 1 UNION ALL SELECT 'events', CAST(event_id AS VARCHAR), 'match_id is not in matches' FROM fe WHERE match_id = -1
+        UNION ALL SELECT 'events', CAST(event_id AS VARCHAR), 'killer_id is not in players' FROM fe WHERE killer_id NOT IN (SELECT player_id FROM fp)
+        UNION ALL SELECT 'matches', CAST(match_id AS VARCHAR), 'no status' FROM fm WHERE status IS NULL UNION ALL SELECT 'matches', CAST(match_id AS VARCHAR), 'unknown status' FROM fm WHERE status = 'done'
+        UNION ALL SELECT 'matches', source_file || '/' || recorded_at, 'source_file and recorded_at not unique' FROM fm GROUP BY source_file, recorded_at HAVING count(*) > 1
+        UNION ALL SELECT 'players', ign, 'ign not unique' FROM fp GROUP BY ign HAVING count(*) > 1 UNION ALL SELECT 'player_aliases', alias, 'alias not unique' FROM fa GROUP BY alias HAVING count(*) > 1
+        UNION ALL SELECT 'player_aliases', alias, 'player_id is not in players' FROM fa WHERE player_id = -5
+        UNION ALL SELECT 'match_players', match_id || '/' || player_id, 'match_id and player_id not unique' FROM fq GROUP BY match_id, player_id HAVING count(*) > 1
+        UNION ALL SELECT 'rounds', match_id || '/' || round_no, 'match_id and round_no not unique' FROM fr GROUP BY match_id, round_no HAVING count(*) > 1
+        UNION ALL SELECT 'scoreboard_stats', match_id || '/' || coalesce(CAST(round_no AS VARCHAR), '-') || '/' || player_id || '/' || stat_name, 'match_id and round_no and player_id and stat_name not unique' FROM fs GROUP BY match_id, round_no, player_id, stat_name HAVING count(*) > 1""",
+}

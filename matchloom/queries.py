@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from matchloom import oracles
 from matchloom.functions import names
 from matchloom.jobs import export, ingest
 from matchloom.operators import awards, boards, dims, matching, players, readings, rounds, rows, tracking, wording
-from matchloom.sources import dim_inputs, row_inputs
+from matchloom.sources import dim_inputs, row_inputs, silver
 from matchloom.sources import readings as bronze
 from matchloom.sources.mapping import Tables, load
+from matchloom.sources.scratch import new_folder
 from matchloom.sources.store import TableStore
 from matchloom.streaming import queries as streaming
 
@@ -251,12 +253,53 @@ def _roster_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.roster_collisions(_name_reads(spark, sf_dir)[0].select(F.col("raw").alias("name")))
 
 
+def _renamed(table: str, *columns: str) -> Callable[[Tables], DataFrame]:
+    def query(t: Tables) -> DataFrame:
+        tables = {"players": t.players, "aliases": t.aliases, "events": t.events, "scoreboard": t.scoreboard, "match_players": t.match_players}
+        found = dims.rename_players(dim_inputs.name_changes(t), tables)[table]
+        return found.select(*columns) if columns else found
+
+    return query
+
+
+def _broken(t: Tables) -> DataFrame:
+    """Tables with faults, written, read back and checked."""
+    spark = t.events.sparkSession
+    at = new_folder(spark)
+    silver.write_tables(dim_inputs.faulty(t), at)
+    return silver.broken_rows(silver.read_tables(spark, at))
+
+
+def _sizes(t: Tables) -> DataFrame:
+    """Rows of the seven tables after writing and reading."""
+    spark = t.events.sparkSession
+    at = new_folder(spark)
+    silver.write_tables(dim_inputs.faulty(t), at)
+    counts = [rows.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, rows in silver.read_tables(spark, at).items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+ON_DIMS: dict[str, Callable[[Tables], DataFrame]] = {
+    "admit_players_players": lambda t: dims.admit_players(dim_inputs.new_readings(t), t.players, t.aliases)[0],
+    "admit_players_aliases": lambda t: dims.admit_players(dim_inputs.new_readings(t), t.players, t.aliases)[1],
+    "admit_players_names": lambda t: dims.admit_players(dim_inputs.new_readings(t), t.players, t.aliases)[2],
+    "rename_players_players": _renamed("players"),
+    "rename_players_aliases": _renamed("aliases"),
+    "rename_players_events": _renamed("events", "event_id", "killer_id", "victim_id"),
+    "rename_players_boards": _renamed("scoreboard"),
+    "rename_players_members": _renamed("match_players"),
+    "rename_players_refused": _renamed("refused"),
+    "read_tables": _sizes,
+    "read_tables_broken": _broken,
+}
+
+
 def _imported(table: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
     """A table of a history on disk after three imports: even matches; known recordings again (left alone) with new ones; some replaced by a new reading under a new id."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = load(spark, sf_dir)
-        store = TableStore(spark, streaming.new_folder(spark))
+        store = TableStore(spark, new_folder(spark))
         given = t.matches.select("match_id", "source_file", "recorded_at", F.when(F.col("match_id") % 3 != 0, F.col("status")).alias("status"))
         events = t.events.select("event_id", "match_id", "feed_ms", "event_type", "flag")
 
@@ -277,7 +320,7 @@ def _on_folder(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, st
     return lambda spark, sf_dir: job(load(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS | ON_ROWS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions, "row_names": _row_names, "name_consensus": _name_consensus}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS | ON_ROWS | ON_DIMS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions, "row_names": _row_names, "name_consensus": _name_consensus}
 ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_DIMS + select for name, select in oracles.DIM_SELECTS.items()}
 ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in (oracles.READ_SELECTS | oracles.ROW_SELECTS).items()}
 ORACLE_SQL |= {name: oracles.BASE.replace("WITH", "WITH RECURSIVE", 1) + select for name, select in oracles.RECURSIVE_SELECTS.items()}

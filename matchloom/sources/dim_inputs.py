@@ -53,3 +53,33 @@ def match_batch(t: Tables) -> DataFrame:
 
 def match_history(t: Tables) -> DataFrame:
     return t.matches.filter("match_id % 4 = 0").select("match_id", "source_file", "recorded_at", "status")
+
+
+def new_readings(t: Tables) -> DataFrame:
+    """name: the readings, and others that are like the new ones among them but for case and spaces; one is blank."""
+    p = t.players
+    return readings(t).union(p.filter("player_id % 14 = 2").selectExpr(f"concat('GHOST _', {_TEXT})")).union(p.filter("player_id % 20 = 1").selectExpr(f"concat('fresh_', {_TEXT})")).union(p.filter("player_id % 40 = 1").selectExpr("''"))
+
+
+def name_changes(t: Tables) -> DataFrame:
+    """old, new: chains of two, plain renames, circles, names that nobody has."""
+    p = t.players
+    named = lambda stem, back=0: f"concat('{stem}_', cast(player_id - {back} as string))"
+    rules = ((14, named("player"), named("player", 1)), (13, named("player"), named("champ")), (5, named("player"), named("loop")), (5, named("loop"), named("player")), (2, named("nobody"), named("player")))
+    out = p.limit(0).selectExpr("ign as old", "ign as new")
+    for slot, old, new in rules:
+        out = out.union(p.filter(f"player_id % 15 = {slot}").selectExpr(old, new))
+    return out
+
+
+def faulty(t: Tables) -> dict[str, DataFrame]:
+    """The silver tables with rows that break a rule of each kind."""
+    e = t.events
+    wrong = {"event_type": "case when event_id % 40 = 0 then 'knocked' else event_type end", "killer_id": "case when event_id % 60 = 0 then killer_id + 1000000 else killer_id end", "match_id": "case when event_id % 70 = 0 then null when event_id % 71 = 0 then -1 else match_id end"}
+    events = e.withColumns({c: F.expr(x) for c, x in wrong.items()})
+    matches = t.matches.withColumn("status", F.expr("case when match_id % 6 = 0 then 'done' when match_id % 10 = 3 then null else status end"))
+    return {
+        "matches": matches.union(matches.filter("match_id % 8 = 0").withColumn("match_id", F.col("match_id") + 5_000_000)), "players": t.players.union(t.players.filter("player_id % 30 = 7").withColumn("player_id", F.col("player_id") + 7_000_000)),
+        "player_aliases": t.aliases.union(t.aliases.filter("player_id % 9 = 0").withColumn("player_id", F.lit(-5).cast("long"))), "match_players": t.match_players.union(t.match_players.filter("player_id % 44 = 0")),
+        "rounds": t.rounds.union(t.rounds.filter("round_no = 1 and match_id % 4 = 0")), "events": events.union(events.filter("event_id % 50 = 0")), "scoreboard_stats": t.scoreboard.union(t.scoreboard.filter("player_id % 33 = 0 and stat_name = 'knock_outs'")),
+    }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,21 +14,12 @@ from matchloom.operators.rounds import late_row_round
 from matchloom.operators.rows import slot_deaths
 from matchloom.sources import mapping, row_inputs
 from matchloom.sources import readings as bronze
+from matchloom.sources.scratch import new_folder
 from matchloom.sources.store import TableStore
 from matchloom.streaming import jobs, live
 from matchloom.streaming.ordered import records, state_store
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both see it; only a local session may do without a shared one."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def run_to_end(spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Delivers the parts one after another, each in as many files as it has tasks, streams what is there through job after each, and reads what it wrote."""
     at = new_folder(spark)
