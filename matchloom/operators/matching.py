@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.match_rules import ELIMINATIONS
-from matchloom.functions.names import clean_reading, fold_name, folded, similarity
+from matchloom.functions.names import clean_reading, fold_name, folded, seq_ratio, similarity
 from matchloom.operators.folds import AFTER_MS, LateRows, Pairing, teams_of
 
 LEAST, AHEAD = 0.55, 0.15
@@ -127,25 +127,47 @@ def unclaimed_deaths(deaths: DataFrame, aligned: DataFrame) -> DataFrame:
     return _nameless(deaths.join(aligned.select("match_id", "death_id"), ["match_id", "death_id"], "left_anti"))
 
 
+def _signed(rows: DataFrame, name: str, *key: str) -> DataFrame:
+    """Distinct names with their folded form and its letters, each with its count so far: what two forms share of these is what they share at most."""
+    rows = rows.select(*key, name).distinct().withColumn("form", fold_name(name))
+    letters = F.filter(F.split("form", ""), lambda c: c != "")
+    return rows.withColumn("letters", F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda d: d == c)).cast("string"))))
+
+
+def bounded_pairs(reads: DataFrame, rosters: DataFrame) -> DataFrame:
+    """roster_id, raw, name, form, name_form, bound: readings and names of their roster, with the most that their similarity can be, where that is LEAST - AHEAD or more.
+
+    The similarity of two strings is at most twice the letters they share, in any order, by the letters they have. That is worked out by
+    built-in functions. A roster is what one room holds, as rows.
+    """
+    asked = _signed(reads, "raw", "roster_id").filter("form <> ''")
+    known = _signed(rosters, "name", "roster_id").select("roster_id", "name", F.col("form").alias("name_form"), F.col("letters").alias("name_letters"))
+    bound = 2 * F.size(F.array_intersect("letters", "name_letters")) / (F.size("letters") + F.size("name_letters"))
+    both = asked.join(known, "roster_id").withColumn("bound", bound).filter(F.col("bound") >= LEAST - AHEAD - 1e-9)
+    return both.select("roster_id", "raw", "name", "form", "name_form", "bound")
+
+
+def scored_pairs(reads: DataFrame, rosters: DataFrame) -> DataFrame:
+    """roster_id, raw, name, score, for all pairs that can decide: those that may be like enough, and then those that may stand in the way of the best of these."""
+    pairs = bounded_pairs(reads, rosters)
+    likely = pairs.filter(F.col("bound") >= LEAST - 1e-9).withColumn("score", seq_ratio("form", "name_form")).select("roster_id", "raw", "name", "score")
+    best = likely.groupBy("roster_id", "raw").agg(F.max("score").alias("best")).filter(F.col("best") >= LEAST)
+    rivals = pairs.filter(F.col("bound") < LEAST - 1e-9).join(best, ["roster_id", "raw"]).filter(F.col("bound") > F.col("best") - AHEAD - 1e-9)
+    return likely.unionByName(rivals.withColumn("score", seq_ratio("form", "name_form")).select("roster_id", "raw", "name", "score"))
+
+
 def roster_match(reads: DataFrame, rosters: DataFrame) -> DataFrame:
     """reads: roster_id, raw; rosters: roster_id, name. Gives roster_id, raw, name, score.
 
     The name of the roster most like the reading, if like enough and clearly ahead of the second; else null
-    and 0. Distinct readings only. A roster is what one room holds, so its names travel as one array.
+    and 0. Distinct readings only. A ratio is worked out only for names that may be it or stand in its way.
     """
-    names = rosters.select("roster_id", "name").distinct().groupBy("roster_id").agg(F.sort_array(F.collect_list("name"), asc=False).alias("names"))
-    asked = reads.select("roster_id", "raw").distinct().join(names, "roster_id", "left")
-
-    def best(raws: pd.Series, rosters: pd.Series) -> pd.DataFrame:
-        out = []
-        for raw, roster in zip(raws, rosters, strict=True):
-            a, options = folded(raw), [] if roster is None else list(roster)
-            scored = sorted(((similarity(a, folded(n)), n) for n in options), reverse=True) if a else []
-            clear = scored and scored[0][0] >= LEAST and (len(scored) < 2 or scored[0][0] - scored[1][0] >= AHEAD)
-            out.append((scored[0][1], round(scored[0][0], 2)) if clear else (None, 0.0))
-        return pd.DataFrame(out, columns=["name", "score"])
-
-    return asked.select("roster_id", "raw", F.pandas_udf(best, "name string, score double")("raw", "names").alias("x")).select("roster_id", "raw", "x.*")
+    scored = scored_pairs(reads, rosters)
+    top = scored.groupBy("roster_id", "raw").agg(F.sort_array(F.collect_list(F.struct("score", "name")), asc=False).alias("top"))
+    first, second = F.get("top", F.lit(0)), F.coalesce(F.get("top", F.lit(1))["score"], F.lit(-1.0))
+    clear = (first["score"] >= LEAST) & ((second < 0) | (first["score"] - second >= AHEAD))
+    found = top.filter(clear).select("roster_id", "raw", first["name"].alias("name"), F.round(first["score"], 2).alias("score"))
+    return reads.select("roster_id", "raw").distinct().join(found, ["roster_id", "raw"], "left").select("roster_id", "raw", "name", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def roster_collisions(roster: DataFrame) -> DataFrame:

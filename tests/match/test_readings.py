@@ -195,3 +195,22 @@ def test_files(spark, tmp_path):
     (tmp_path / "clips").mkdir()
     (tmp_path / "clips" / "2026-10-01 20-27-36.mkv").write_text("x")
     assert files.recordings(spark, str(tmp_path / "clips")).first().recorded_at == "2026-10-01 20:27:36"
+
+
+def test_roster_match_is_that_of_all_pairs(spark):
+    r = random.Random(4)
+    rosters = [(k, "".join(r.choice("abcdeox0l1Z") for _ in range(r.randint(3, 12)))) for k in (1, 2, 3) for _ in range(40)]
+    garbled = lambda n: "".join(c if r.random() < 0.8 else r.choice("abqz0") for c in n if r.random() < 0.9)
+    reads = [(k, garbled(n)) for k, n in rosters for _ in range(3)] + [(9, "nobody"), (1, ""), (1, None), (2, "??")]
+    a, b = spark.createDataFrame(reads, "roster_id long, raw string"), spark.createDataFrame(rosters, "roster_id long, name string")
+    want, ratios = {}, 0
+    for k, raw in set(reads):
+        form, names_of = names.folded(raw), {n for j, n in rosters if j == k}
+        scored = sorted(((names.similarity(form, names.folded(n)), n) for n in names_of), reverse=True) if form else []
+        ratios += len(scored)
+        clear = scored and scored[0][0] >= matching.LEAST and (len(scored) < 2 or scored[0][0] - scored[1][0] >= matching.AHEAD)
+        want[k, raw] = (scored[0][1], round(scored[0][0], 2)) if clear else (None, 0.0)
+    got = {(x.roster_id, x.raw): (x.name, x.score) for x in matching.roster_match(a, b).collect()}
+    assert got == want and sum(n is not None for n, _ in want.values()) > 50
+    # ratios worked out, of those of all pairs
+    assert matching.scored_pairs(a, b).count() < ratios / 3
