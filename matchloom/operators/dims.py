@@ -10,6 +10,10 @@ from matchloom.functions.names import simple_norm
 from matchloom.sources.scratch import written
 
 
+#: Tables whose rows belong to a match.
+MATCH_TABLES = ("matches", "events", "rounds", "scoreboard", "match_players")
+
+
 def known_names(players: DataFrame, aliases: DataFrame) -> DataFrame:
     """Every spelling that is known."""
     return players.select(F.col("ign").alias("name")).union(aliases.select(F.col("alias").alias("name"))).distinct()
@@ -141,6 +145,26 @@ def prune_players(players: DataFrame, events: DataFrame, scoreboard: DataFrame,
     return players.join(used, "player_id", "left_semi")
 
 
+def prune_aliases(aliases: DataFrame, players: DataFrame) -> DataFrame:
+    """Aliases of the players that are left."""
+    return aliases.join(players.select("player_id"), "player_id", "left_semi").select(*aliases.columns)
+
+
+def drop_old_matches(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """matches, events, rounds, scoreboard, match_players, players, aliases without what a 0.1 version made: its matches, all that hangs off them, and the names that nothing else refers to."""
+    gone = old_pipeline(tables["matches"])
+    left = dict(zip(MATCH_TABLES, delete_matches(gone, *(tables[n] for n in MATCH_TABLES)), strict=True))
+    nobody = tables["players"].limit(0).select(F.col("ign").alias("name"))
+    players = prune_players(tables["players"], left["events"], left["scoreboard"], left["match_players"], nobody)
+    return left | {"players": players, "aliases": prune_aliases(tables["aliases"], players)}
+
+
+def upsert_nicknames(players: DataFrame, told: DataFrame) -> DataFrame:
+    """told: player_id, nickname, batch. A player's nickname is the first one told, where they have none."""
+    first = told.filter("nickname <> ''").groupBy("player_id").agg(F.min_by("nickname", F.struct("batch", "nickname")).alias("told"))
+    return players.join(first, "player_id", "left").withColumn("nickname", F.coalesce("nickname", "told")).select(*players.columns)
+
+
 def delete_matches(gone: DataFrame, *tables: DataFrame) -> list[DataFrame]:
     """The tables without the rows of the matches in gone (match_id)."""
     return [t.join(gone.select("match_id").distinct(), "match_id", "left_anti") for t in tables]
@@ -267,9 +291,18 @@ def in_order(rows: DataFrame, by: list, place: str = "place", within: tuple[str,
 def in_total_order(rows: DataFrame, by: list, coarse: Column, down: bool = False, place: str = "place") -> DataFrame:
     """Rows with their place in one order of all. coarse rises (or falls, ``down``) along that order: rows are ranked inside
     one value of it, and what all values before hold is added, so only one count per value meets in a task."""
-    ranged = rows.withColumn("_coarse", coarse)
-    order = F.col("_coarse").desc() if down else F.col("_coarse").asc()
+    value, ahead = _free(rows, "coarse"), _free(rows, "before")
+    ranged = rows.withColumn(value, coarse)
+    order = F.col(value).desc() if down else F.col(value).asc()
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_coarse").agg(F.count("*").alias("n")).select("_coarse", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    ranked = in_order(ranged, by, place, ("_coarse",)).join(starts, "_coarse")
-    return ranked.withColumn(place, F.col(place) + F.col("_before")).drop("_coarse", "_before")
+    starts = ranged.groupBy(value).agg(F.count("*").alias("n")).select(value, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(ahead))
+    ranked = in_order(ranged, by, place, (value,)).join(starts, value)
+    return ranked.withColumn(place, F.col(place) + F.col(ahead)).drop(value, ahead)
+
+
+def _free(rows: DataFrame, stem: str) -> str:
+    """A column name that rows have not."""
+    name = f"_{stem}"
+    while name in rows.columns:
+        name += "_"
+    return name

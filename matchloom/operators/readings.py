@@ -100,6 +100,13 @@ def skipped_spans(times: DataFrame, gap_ms: int = 1000) -> DataFrame:
     return numbered.groupBy("match_id", "span").agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms")).withColumn("length_ms", F.col("end_ms") - F.col("start_ms"))
 
 
+def skipped_summary(spans: DataFrame, last_seen: DataFrame, slack_ms: int = 1000) -> DataFrame:
+    """spans: ``skipped_spans``; last_seen: match_id, last_ms (of the recording). match_id, spans, skipped_ms, reaches_end: one span that goes on to the end of the recording means that the match was over; else rows are missing."""
+    each = spans.groupBy("match_id").agg(F.count("*").alias("spans"), F.sum("length_ms").alias("skipped_ms"), F.max("end_ms").alias("end_ms"))
+    reaches = (F.col("spans") == 1) & (F.col("end_ms") >= F.col("last_ms") - slack_ms)
+    return each.join(last_seen, "match_id").select("match_id", "spans", "skipped_ms", reaches.alias("reaches_end"))
+
+
 def reads_vs_truth(reads: DataFrame, truth: DataFrame) -> DataFrame:
     """Readings inside intervals of known value (match_id, start_ms, end_ms, value): correct, blank, wrong per match."""
     inside = reads.alias("r").join(truth.alias("t"), (F.col("r.match_id") == F.col("t.match_id")) & (F.col("r.t_ms") >= F.col("t.start_ms")) & (F.col("r.t_ms") < F.col("t.end_ms")))

@@ -22,6 +22,13 @@ def weapon_pick(scores: DataFrame) -> DataFrame:
     return two.select("event_id", F.when(ok, F.col("gun")).alias("weapon"))
 
 
+def row_weapon(icons: Column, icon_scores: Column, knock_weapon: Column) -> Column:
+    """The gun of a feed row: of a knock row the one that the gun library named, else its first gun icon (``weapon_...``) if that is sure; a later one does not stand in."""
+    first = F.get(F.filter(icons, lambda i: i.startswith("weapon_")), F.lit(0))
+    sure = F.coalesce(F.try_element_at(icon_scores, first), F.lit(0)) >= SURE
+    return F.when(F.array_contains(icons, "icon_knock"), knock_weapon).when(sure, F.substring(first, 8, 1000))
+
+
 def row_flag(rows: DataFrame) -> DataFrame:
     """rows: event_id, killer_id, victim_id, killer_score, victim_score. A row needs two different names; its confidence is the lower score, or the only one."""
     both = F.col("killer_id").isNotNull() & F.col("victim_id").isNotNull()
@@ -74,7 +81,7 @@ def layout_gate(reads: DataFrame, limits: DataFrame, samples: int = 20) -> DataF
     first = Window.partitionBy("match_id", "landmark", "tile").orderBy("t_ms")
     chosen = tiles.withColumn("place", F.row_number().over(first)).filter("place = 1")
     share = chosen.groupBy("match_id", "landmark").agg((100 * F.sum(F.col("hit").cast("int")) / F.count("*")).alias("share"))
-    judged = share.join(F.broadcast(limits), "landmark").withColumn("fails", F.col("share") < F.col("least"))
+    judged = share.join(limits, "landmark").withColumn("fails", F.col("share") < F.col("least"))
     return judged.groupBy("match_id").agg(F.sum(F.col("fails").cast("int")).alias("failures"), ((F.sum(F.col("fails").cast("int")) <= 1) & (F.sum((F.col("fails") & F.col("critical")).cast("int")) == 0)).alias("ok"))
 
 

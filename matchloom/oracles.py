@@ -521,3 +521,16 @@ DIM_SELECTS |= {
         UNION ALL SELECT 'rounds', match_id || '/' || round_no, 'match_id and round_no not unique' FROM fr GROUP BY match_id, round_no HAVING count(*) > 1
         UNION ALL SELECT 'scoreboard_stats', match_id || '/' || coalesce(CAST(round_no AS VARCHAR), '-') || '/' || player_id || '/' || stat_name, 'match_id and round_no and player_id and stat_name not unique' FROM fs GROUP BY match_id, round_no, player_id, stat_name HAVING count(*) > 1""",
 }
+
+_OLD = """, om AS (SELECT match_id FROM ma WHERE pipeline_version LIKE '0.1%'), oe AS (SELECT * FROM ev WHERE match_id NOT IN (SELECT match_id FROM om)), ob AS (SELECT * FROM bo WHERE match_id NOT IN (SELECT match_id FROM om)),
+    oq AS (SELECT * FROM mp WHERE match_id NOT IN (SELECT match_id FROM om)), op AS (SELECT * FROM pl WHERE player_id IN (SELECT killer_id FROM oe UNION SELECT victim_id FROM oe UNION SELECT player_id FROM ob UNION SELECT player_id FROM oq))
+"""
+DIM_SELECTS |= {
+    "drop_old_members": _OLD + "SELECT match_id, player_id FROM oq", "drop_old_boards": _OLD + "SELECT match_id, round_no, player_id, stat_name, value FROM ob", "drop_old_rounds": _OLD + "SELECT match_id, round_no FROM ro WHERE match_id NOT IN (SELECT match_id FROM om)",
+    "drop_old_players": _OLD + "SELECT * FROM op", "drop_old_aliases": _OLD + "SELECT alias, player_id FROM al WHERE player_id IN (SELECT player_id FROM op)",
+    "upsert_nicknames": "SELECT player_id, ign, coalesce(nickname, CASE WHEN player_id % 3 = 1 THEN CASE WHEN player_id % 2 = 0 THEN 'then_' ELSE 'first_' END || player_id END) AS nickname FROM pl",
+    "row_weapon": """, gi AS (SELECT event_id, weapon, event_id % 9 = 0 OR event_id % 7 = 0 AS knock, CASE WHEN weapon IS NOT NULL AND weapon <> 'Zone' THEN weapon WHEN event_id % 3 = 0 THEN 'Car' END AS gun FROM ev)
+        SELECT event_id, CASE WHEN knock THEN CASE WHEN event_id % 4 <> 0 THEN weapon END WHEN 70 + (event_id + length('weapon_' || gun)) % 25 >= 80 THEN gun END AS weapon FROM gi""",
+}
+READ_SELECTS["skipped_summary"] = f""", sp AS (SELECT match_id, no, min(t_ms) AS a, max(t_ms) AS z FROM {_islands('sc', 'match_id', 60000)} GROUP BY match_id, no)
+    SELECT match_id, count(*) AS spans, CAST(sum(z - a) AS BIGINT) AS skipped_ms, count(*) = 1 AND max(z) >= (SELECT max(feed_ms) FROM ev WHERE ev.match_id = sp.match_id) - 1000 AS reaches_end FROM sp GROUP BY match_id"""

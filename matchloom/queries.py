@@ -15,7 +15,7 @@ from matchloom.operators import awards, boards, dims, matching, players, reading
 from matchloom.sources import dim_inputs, row_inputs, silver
 from matchloom.sources import readings as bronze
 from matchloom.sources.mapping import Tables, load
-from matchloom.sources.scratch import new_folder
+from matchloom.sources.scratch import new_folder, written
 from matchloom.sources.store import TableStore
 from matchloom.streaming import queries as streaming
 
@@ -27,8 +27,8 @@ def _usable(t: Tables) -> DataFrame:
 
 
 def _kept_usable(t: Tables) -> DataFrame:
-    """Usable knocks that nine award rules read: kept in memory and on disk, so that they are worked out once."""
-    return _usable(t).persist()
+    """Usable knocks that nine award rules read: written once."""
+    return written(_usable(t))
 
 
 def _roles(t: Tables) -> DataFrame:
@@ -279,6 +279,14 @@ def _sizes(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def _without_old(t: Tables) -> dict[str, DataFrame]:
+    return dims.drop_old_matches({"matches": t.matches, "events": t.events, "rounds": t.rounds, "scoreboard": t.scoreboard, "match_players": t.match_players, "players": t.players, "aliases": t.aliases})
+
+
+def _last_seen(t: Tables) -> DataFrame:
+    return t.events.groupBy("match_id").agg(F.max("feed_ms").alias("last_ms"))
+
+
 ON_DIMS: dict[str, Callable[[Tables], DataFrame]] = {
     "admit_players_players": lambda t: dims.admit_players(dim_inputs.new_readings(t), t.players, t.aliases)[0],
     "admit_players_aliases": lambda t: dims.admit_players(dim_inputs.new_readings(t), t.players, t.aliases)[1],
@@ -289,6 +297,14 @@ ON_DIMS: dict[str, Callable[[Tables], DataFrame]] = {
     "rename_players_boards": _renamed("scoreboard"),
     "rename_players_members": _renamed("match_players"),
     "rename_players_refused": _renamed("refused"),
+    "drop_old_members": lambda t: _without_old(t)["match_players"].select("match_id", "player_id"),
+    "drop_old_boards": lambda t: _without_old(t)["scoreboard"],
+    "drop_old_rounds": lambda t: _without_old(t)["rounds"].select("match_id", "round_no"),
+    "drop_old_players": lambda t: _without_old(t)["players"],
+    "drop_old_aliases": lambda t: _without_old(t)["aliases"],
+    "upsert_nicknames": lambda t: dims.upsert_nicknames(t.players, dim_inputs.nicknames(t)),
+    "row_weapon": lambda t: row_inputs.feed_icons(t).select("event_id", rows.row_weapon(F.col("icons"), F.col("scores"), F.col("knock_weapon")).alias("weapon")),
+    "skipped_summary": lambda t: readings.skipped_summary(readings.skipped_spans(bronze.screen_reads(t), 60_000), _last_seen(t)),
     "read_tables": _sizes,
     "read_tables_broken": _broken,
 }

@@ -83,3 +83,9 @@ def faulty(t: Tables) -> dict[str, DataFrame]:
         "player_aliases": t.aliases.union(t.aliases.filter("player_id % 9 = 0").withColumn("player_id", F.lit(-5).cast("long"))), "match_players": t.match_players.union(t.match_players.filter("player_id % 44 = 0")),
         "rounds": t.rounds.union(t.rounds.filter("round_no = 1 and match_id % 4 = 0")), "events": events.union(events.filter("event_id % 50 = 0")), "scoreboard_stats": t.scoreboard.union(t.scoreboard.filter("player_id % 33 = 0 and stat_name = 'knock_outs'")),
     }
+
+
+def nicknames(t: Tables) -> DataFrame:
+    """player_id, nickname, batch: some players are told twice, some with a blank first."""
+    p = t.players.filter("player_id % 3 = 1")
+    return p.selectExpr("player_id", "case when player_id % 2 = 0 then '' else concat('first_', player_id) end", "1").union(p.selectExpr("player_id", "concat('then_', player_id)", "2")).toDF("player_id", "nickname", "batch")

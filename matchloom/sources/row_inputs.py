@@ -133,3 +133,13 @@ def feed_sightings(t: Tables) -> DataFrame:
     icons = F.when((F.col("event_id") + F.col("i")) % 6 == 5, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(kind, F.col("weapon"))))
     y = 438 - 52 * F.floor(F.col("i") / 3) - F.col("event_id") % 3 * 150
     return seen.select("match_id", (F.col("feed_ms") + 200 * F.col("i")).alias("t_ms"), y.cast("int").alias("y"), F.lit(34).alias("h"), icons.alias("icons"))
+
+
+def feed_icons(t: Tables) -> DataFrame:
+    """event_id, icons, scores (hundredths by icon), knock_weapon: rows with up to two gun icons, some with a knock icon before or after them."""
+    e, known = F.col("event_id"), F.col("weapon").isNotNull() & (F.col("weapon") != "Zone")
+    gun = F.when(known, F.concat(F.lit("weapon_"), F.col("weapon")))
+    icons = F.array_compact(F.array(F.when(e % 9 == 0, "icon_knock"), F.when(e % 2 == 0, "tombstone"), gun, F.when(e % 3 == 0, "weapon_Car"), F.when(e % 7 == 0, "icon_knock")))
+    # a list of pairs first: one icon may stand twice in a row, the score of its first place counts
+    pairs = F.transform(F.array_distinct(icons), lambda i: F.struct(i, (70 + (e + F.length(i)) % 25).cast("int")))
+    return t.events.select("event_id", icons.alias("icons"), F.map_from_entries(pairs).alias("scores"), F.when(e % 4 != 0, F.col("weapon")).alias("knock_weapon"))
