@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from matchloom.functions.names import folded
 from matchloom.functions.weapons import CLASSES, GUNS
 
 _GUNS = ", ".join(f"'{g}'" for g in GUNS)
@@ -534,3 +535,25 @@ DIM_SELECTS |= {
 }
 READ_SELECTS["skipped_summary"] = f""", sp AS (SELECT match_id, no, min(t_ms) AS a, max(t_ms) AS z FROM {_islands('sc', 'match_id', 60000)} GROUP BY match_id, no)
     SELECT match_id, count(*) AS spans, CAST(sum(z - a) AS BIGINT) AS skipped_ms, count(*) = 1 AND max(z) >= (SELECT max(feed_ms) FROM ev WHERE ev.match_id = sp.match_id) - 1000 AS reaches_end FROM sp GROUP BY match_id"""
+
+#: Letters and digits, and the class that each is folded to.
+_ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_FOLD = f"translate(regexp_replace(coalesce({{0}}, ''), '[^A-Za-z0-9]', '', 'g'), '{_ALNUM}', '{''.join(folded(c) for c in _ALNUM)}')"
+#: Names of parts as readings and rosters (``sources.readings``).
+_READS = """WITH RECURSIVE pn AS (SELECT p_partkey, p_name, p_partkey // 40 AS room FROM part),
+    nr AS (SELECT p_partkey AS read_id, room, CASE p_partkey % 3 WHEN 0 THEN translate(p_name, 'ois', '015') WHEN 1 THEN translate(substr(p_name, 2), 'o', '0') ELSE translate(substr(p_name, 3, length(p_name) - 3), 'e', 'x') END AS raw FROM pn)
+"""
+#: Similarity of a and b in pairs pq(x, a, b): the longest run they share (the first of equals), then the same to its left and to its right.
+_RATIO = """, sg(x, a, b, n) AS (SELECT x, a, b, 0 FROM pq UNION ALL SELECT x, s.a, s.b, s.n FROM (
+        SELECT x, unnest([struct_pack(a := a[:i - 1], b := b[:strpos(b, a[i:i + k - 1]) - 1], n := k), struct_pack(a := a[i + k:], b := b[strpos(b, a[i:i + k - 1]) + k:], n := 0)]) AS s FROM (
+        SELECT x, a, b, -best.k AS k, best.i AS i FROM (SELECT x, a, b, min(struct_pack(k := -k, i := i)) AS best FROM (
+            SELECT x, a, b, i, unnest(range(1, least(length(a) - i + 1, length(b)) + 1)) AS k FROM (SELECT x, a, b, unnest(range(1, length(a) + 1)) AS i FROM sg WHERE a <> '' AND b <> '')) WHERE contains(b, a[i:i + k - 1]) GROUP BY x, a, b)))),
+    ra AS (SELECT pq.x, 2.0 * m / (length(a) + length(b)) AS score FROM pq JOIN (SELECT x, sum(n) AS m FROM sg GROUP BY x) USING (x))
+"""
+#: Without the tables of matches.
+NAME_SELECTS: dict[str, str] = {
+    "roster_match": f"""{_READS}, rr AS (SELECT DISTINCT room, raw, {_FOLD.format('raw')} AS form FROM nr), rk AS (SELECT DISTINCT room, p_name AS name, {_FOLD.format('p_name')} AS form FROM pn),
+        pq AS (SELECT row_number() OVER () AS x, rr.room, raw, name, rr.form AS a, rk.form AS b FROM rr JOIN rk USING (room) WHERE rr.form <> '')
+        {_RATIO}, rd AS (SELECT room, raw, name, score, row_number() OVER w AS place, lead(score) OVER w AS second FROM pq JOIN ra USING (x) WINDOW w AS (PARTITION BY room, raw ORDER BY score DESC, name DESC))
+        SELECT rr.room AS roster_id, rr.raw, name, coalesce(round(score, 2), 0.0) AS score FROM rr LEFT JOIN rd ON rd.room = rr.room AND rd.raw = rr.raw AND place = 1 AND score >= 0.55 AND (second IS NULL OR score - second >= 0.15)""",
+}

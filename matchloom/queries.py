@@ -341,6 +341,7 @@ ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in or
 ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in (oracles.READ_SELECTS | oracles.ROW_SELECTS).items()}
 ORACLE_SQL |= {name: oracles.BASE.replace("WITH", "WITH RECURSIVE", 1) + select for name, select in oracles.RECURSIVE_SELECTS.items()}
 ORACLE_SQL |= {name: (oracles.BASE + oracles.BASE_READS).replace("WITH", "WITH RECURSIVE", 1) + select for name, select in oracles.GREEDY_SELECTS.items()}
+ORACLE_SQL |= oracles.NAME_SELECTS
 QUERIES |= {"ingest_history_matches": _imported("matches", "match_id", "source_file", "recorded_at", "status"), "ingest_history_events": _imported("events", "event_id", "match_id", "flag"), "ingest_history_players": _imported("match_players", "match_id", "player_id", "team")}
 QUERIES |= streaming.QUERIES
 ORACLE_SQL |= {name: oracles.BASE + select for name, select in streaming.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_READS + select for name, select in streaming.READ_SELECTS.items()}
