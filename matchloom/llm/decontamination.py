@@ -264,11 +264,11 @@ def frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
     return counts
 
 
-MATCHES = "part int, row long, doc_id long, text_hash long, n_words long, hits array<int>, items array<string>, near_items array<string>"
+MATCHES = "part int, segment long, row long, doc_id long, text_hash long, n_words long, hits array<int>, items array<string>, near_items array<string>"
 
 
 def search(index: DataFrame, q: Windows, proximity: bool = True, part: int = 0) -> DataFrame:
-    """Per document: part and row (its place in the index), n_words, positions of words in phrase matches, items with phrase and with proximity matches."""
+    """Per document: part (of the benchmark), segment and row (its place in the index), n_words, positions of words in phrase matches, items with phrase and with proximity matches."""
     sent = index.sparkSession.sparkContext.broadcast(q)
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,7 +290,7 @@ def search(index: DataFrame, q: Windows, proximity: bool = True, part: int = 0)
                 docs, none = range(len(bases)), np.zeros(0, dtype=np.int32)
                 yield pd.DataFrame(
                     {
-                        "part": part, "row": row.segment + np.arange(len(bases)), "doc_id": row.doc_ids, "text_hash": row.text_hashes, "n_words": np.asarray(row.n_words, dtype=np.int64),
+                        "part": part, "segment": row.segment, "row": np.arange(len(bases)), "doc_id": row.doc_ids, "text_hash": row.text_hashes, "n_words": np.asarray(row.n_words, dtype=np.int64),
                         "hits": [np.unique(np.concatenate(hits[d])).astype(np.int32) if d in hits else none for d in docs],
                         "items": [sorted(items.get(d, ())) for d in docs], "near_items": [sorted(near.get(d, ())) for d in docs],
                     }
@@ -302,20 +302,20 @@ def search(index: DataFrame, q: Windows, proximity: bool = True, part: int = 0)
 def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, proximity: bool = True) -> DataFrame:
     """doc_id, text_hash, n_words, hits, items, near_items: one row per document, over all blocks of the benchmark."""
     index = stored(build_index(docs))
-    # a segment's number leaves room for the numbers of its documents
-    index = index.withColumn("segment", F.monotonically_increasing_id() * F.lit(1 << 20))
+    # a document is known by its segment and its place in it: the number of a segment has that of its partition in its upper bits, so nothing is added to it
+    index = index.withColumn("segment", F.monotonically_increasing_id())
     found = []
     for k, q in enumerate(blocks(benchmark, block)):
         counts = frequencies(index, q.terms) if len(q.terms) else np.zeros(0, dtype=np.int64)
         found.append(search(index, q.rank(counts), proximity, k))
     if len(found) == 1:
-        return found[0].drop("part", "row")
+        return found[0].drop("part", "segment", "row")
     both = found[0]
     for more in found[1:]:
         both = both.unionByName(more)
     # the rows of one document, one of each block
     merge = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return both.groupBy("row", "doc_id", "text_hash", "n_words").agg(merge("hits"), merge("items"), merge("near_items")).drop("row")
+    return both.groupBy("segment", "row", "doc_id", "text_hash", "n_words").agg(merge("hits"), merge("items"), merge("near_items")).drop("segment", "row")
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
