@@ -175,9 +175,13 @@ CUT = "anchor long, class long, offset int, count long, window long, w array<lon
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The words of the examples; of busy anchors the hash of each window instead."""
+    seen: set[tuple[int, int]] = set()
     for rows in batches:
         out = []
-        for w, wanted in zip(rows.w, rows.wanted, strict=True):
+        for key, w, wanted in zip(zip(rows.doc_id, rows.text_hash, strict=True), rows.w, rows.wanted, strict=True):
+            if key in seen:  # a repeated row has the same examples
+                continue
+            seen.add(key)
             w = np.asarray(w, dtype=np.int64)
             for x in wanted:
                 part = w[x["s"] : x["s"] + x["n"]]
@@ -242,7 +246,7 @@ def repeated_places(docs: DataFrame, many: int = MANY_CLASSES) -> DataFrame:
     told = classes.join(busy, "anchor", "left").select("anchor", "class", "count", "x.*", F.coalesce("busy", F.lit(False)).alias("busy"))
     wanted = told.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "n", "anchor", "class", "count", "busy")).alias("wanted"))
     # texts travel as they are: hashes of words hardly compress
-    cut = texts.join(wanted, ["doc_id", "text_hash"]).select(hashed_words(), "wanted").mapInPandas(_cut, CUT)
+    cut = texts.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", hashed_words(), "wanted").mapInPandas(_cut, CUT)
     # a busy anchor is dealt by its classes, any other goes to one task
     turn = F.when(F.col("w").isNull(), F.col("class")).otherwise(F.col("anchor"))
     shards = cut.withColumn("turn", turn).repartition("turn").sortWithinPartitions("turn", "anchor", "class", "offset").drop("turn")
@@ -285,8 +289,8 @@ def substring_dedup(docs: DataFrame, many: int = MANY_CLASSES, into: str = "subs
     """All columns of docs with ``into``: kept (words that stay, joined by a space), n_words, n_removed, spans (of words removed)."""
     rows, key = keyed(docs)
     marks = fresh(rows, "marks")
-    # stored, so that a row which is repeated very often can be split among tasks
-    found = stored(repeated_places(docs, many).groupBy(F.struct("doc_id", "text_hash").alias(key)).agg(F.collect_list(F.struct("s", "mask")).alias(marks)))
+    # a set, since all copies of a row have the same places; stored, so that a row which is repeated very often can be split among tasks
+    found = stored(repeated_places(docs, many).groupBy(F.struct("doc_id", "text_hash").alias(key)).agg(F.collect_set(F.struct("s", "mask")).alias(marks)))
     return rows.join(found, key, "left").withColumn(into, F.pandas_udf(_without, FOUND)(F.coalesce("text", F.lit("")), marks)).drop(key, marks)
 
 
