@@ -34,15 +34,14 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import fresh, identified, keyed, stored
 
 MIN_WORDS = 20
-HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _places(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line (number in the text), h, n (words): lines with a word, once per document."""
-    lines = identified(docs).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line", "value")).filter(F.col("value").rlike(HAS_WORD))
-    n = F.regexp_count("value", F.lit(r"[^\x20\x09-\x0D]+"))
-    hashed = lines.select("doc_id", "text_hash", "line", F.xxhash64("value").alias("h"), n.alias("n"))
-    return hashed.repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "line"])
+    # one row a document, so that its copies are put together where they lie and none but one per task travels
+    hashed = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n")))
+    whole = identified(docs).select("doc_id", "text_hash", F.filter(hashed, lambda x: x["n"] > 0).alias("lines"))
+    return whole.groupBy("doc_id", "text_hash").agg(F.first("lines").alias("lines")).select("doc_id", "text_hash", F.inline("lines"))
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -83,10 +82,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     all_windows = stored(windows(docs, min_words))
     # what is aggregated is stored before it is joined: the join then deals both sides anew, and a line that is everywhere can be split among tasks
     joined = stored(all_windows.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("z")).filter("a <> z").select("anchor"))
-    candidates = stored(extended(all_windows.join(joined, "anchor", "left_semi")))
+    # both joins deal their sides by key at every size, so that nothing is broadcast that grows with the corpus
+    candidates = stored(extended(all_windows.join(joined.hint("merge"), "anchor", "left_semi")))
     start = F.struct("doc_id", "text_hash", "line")
     firsts = stored(candidates.groupBy("whole").agg(F.min(start).alias("first"), F.max(start).alias("latest")).filter("first <> latest").select("whole", "first"))
-    return candidates.join(firsts, "whole").filter(start > F.col("first")).select("doc_id", "text_hash", "line", "last")
+    return candidates.join(firsts.hint("merge"), "whole").filter(start > F.col("first")).select("doc_id", "text_hash", "line", "last")
 
 
 def runs(repeated: DataFrame) -> DataFrame:
@@ -112,9 +112,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, into: str = "line_de
     found = runs(repeats(docs, min_words))
     rows, key = keyed(docs)
     gone = fresh(rows, "runs")
-    # stored, so that a row which is repeated very often can be split among tasks
+    # stored, so that a row which is repeated very often can be split among tasks; texts are dealt by key at every size, since the runs grow with them
     named = stored(found.select(F.struct("doc_id", "text_hash").alias(key), F.col("runs").alias(gone)))
-    joined = rows.join(named, key, "left")
+    joined = rows.join(named.hint("merge"), key, "left")
     before, after = fresh(joined, "lines"), fresh(joined, "kept")
     split = joined.withColumn(before, F.split("text", "\n"))
     kept = split.withColumn(after, F.when(F.col(gone).isNull(), F.col(before)).otherwise(_without(F.col(before), F.col(gone))))

@@ -379,3 +379,33 @@ def test_columns_named_as_helpers_stay(spark):
         assert got and made.columns[: len(docs.columns)] == docs.columns
         for row in got:
             assert all(row[name] == f"{i} {'none' if row.doc_id is None else row.doc_id}" for i, name in enumerate(HELPERS))
+
+
+def test_substring_dedup_of_thousands_of_equal_rows(spark):
+    """Places of a repeated row are told once, however many copies there are."""
+    text = words(200, 77)
+    for ids in ([7] * 5000, range(5000)):
+        docs = frame(spark, [(i, text) for i in ids] + [(9999, words(80, 78))]).repartition(8)
+        got = Counter((r.found.n_words, r.found.n_removed) for r in substring_dedup.substring_dedup(docs.select("doc_id", "text"), into="found").select("found").collect())
+        assert got == {(200, 200): 5000, (80, 0): 1}
+
+
+def test_line_dedup_of_thousands_of_equal_rows(spark):
+    """Rows of one document are one place: nothing goes from them; of equal documents all but the first lose their lines."""
+    text = "\n".join(words(9, 80 + k) for k in range(12))
+    same = line_dedup.line_dedup(frame(spark, [(7, text)] * 5000).repartition(8), into="found")
+    assert same.filter("found.n_removed > 0").count() == 0 and same.count() == 5000
+    apart = line_dedup.line_dedup(frame(spark, [(i, text) for i in range(2000)]).repartition(8), into="found")
+    assert {(r.n, r["count"]) for r in apart.groupBy(F.col("found.n_removed").alias("n")).count().collect()} == {(0, 1), (12, 1999)}
+
+
+def test_decontamination_with_many_partitions_of_the_index(spark):
+    """Segments are told apart by two numbers: none overflows, however many partitions the index has."""
+    item = words(14, 90)
+    docs = frame(spark, [(d, words(12, 1000 + d) + (" " + item if d % 100 == 3 else "")) for d in range(1200)]).repartition(1100)
+    bench = spark.createDataFrame([("a", item), ("b", words(15, 92))], "item_id string, text string")
+    index = decontamination.build_index(docs).withColumn("segment", F.monotonically_increasing_id())
+    assert index.filter("segment >= 1024L * 8589934592L").count() > 0
+    for block in (decontamination.BLOCK, 14):  # one block, and one for each item
+        got = decontamination.matches(docs, bench, block=block).filter(F.size("hits") > 0).select("doc_id", "items").collect()
+        assert sorted(r.doc_id for r in got) == [d for d in range(1200) if d % 100 == 3] and all(r.items == ["a"] for r in got)
