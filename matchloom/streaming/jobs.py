@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchloom.functions.match_rules import ELIMINATIONS
 from matchloom.operators import folds
-from matchloom.streaming.ordered import IDLE_MS, Fold, folded_stream, records
+from matchloom.streaming.ordered import IDLE_MS, ORIGIN_MS, Fold, folded_stream, records
 
 #: A row may come this much after its round has ended, and a death be claimed this late.
 LATE = "25 seconds"
@@ -153,7 +153,7 @@ def _counter(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             out.append((key[0], since if value is None else left, value, v, max((value or v) - v, 0)))
             value, left = v, None
     state.update((value, left, pending, since, last))
-    state.setTimeoutTimestamp(max(last + IDLE_MS, state.getCurrentWatermarkMs() + 1))
+    state.setTimeoutTimestamp(max(last + ORIGIN_MS + IDLE_MS, state.getCurrentWatermarkMs() + 1))
     if out:
         yield pd.DataFrame(out, columns=["match_id", "t_ms", "was", "value", "deaths"]).astype({"was": "Int64"})
 
@@ -163,7 +163,7 @@ def counter_stream(reads: DataFrame) -> DataFrame:
 
     Readings of a delivery are sorted; one that is older than another of an earlier delivery is left out, as an unread one.
     """
-    timed = reads.withColumn("ts", F.timestamp_millis("t_ms")).withWatermark("ts", LATE)
+    timed = reads.withColumn("ts", F.timestamp_millis(F.col("t_ms") + ORIGIN_MS)).withWatermark("ts", LATE)
     return timed.groupBy("match_id").applyInPandasWithState(_counter, COUNTER_OUT, COUNTER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
