@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,6 +54,23 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isupper() for c in token) and any(c.islower() for c in token)
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Sorted spans with those that overlap put together."""
+    out: list[list[int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _meets(taken: list[list[int]], s: int, e: int) -> bool:
+    """Whether a span overlaps one of some spans apart: of those that begin before its end only the last can."""
+    k = bisect_left(taken, [e])
+    return k > 0 and taken[k - 1][1] > s
+
+
 def parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, bool]]:
     """(role, start, end, weak): base spans take part with their role, weak ones wait for the others."""
     roles = {"assign": "secret", "access": "identifier", "hex": "secret"}
@@ -68,7 +86,8 @@ def parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, i
     values += [("secret", m.start(), m.end(), True) for m in _TOKEN.finditer(text) if _mixed(m[0])]
     if not values and not any(p[0] == "secret" for p in strong):
         return []
-    free = [p for p in hosts + names + values if not any(s < p[2] and p[1] < e for _, s, e, _ in strong)]
+    taken = _joined(sorted((s, e) for _, s, e, _ in strong))
+    free = [p for p in hosts + names + values if not _meets(taken, p[1], p[2])]
     return sorted({*strong, *free}, key=lambda p: (p[1], p[2], p[0])) if free else []
 
 
