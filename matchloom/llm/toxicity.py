@@ -4,9 +4,9 @@ A word is the mean of the vectors of its character n-grams (and of itself), a wi
 mean of its words, and a linear softmax over two classes reads that mean. Misspellings and unseen
 endings share n-grams with words that were seen. Vectors and softmax are trained jointly in numpy.
 A document is as toxic as its most toxic window of ``WINDOW`` words, so length does not thin out an
-insult; training picks windows of a document the same way (multiple-instance learning). A run of word
-characters above ``PIECE`` (texts without spaces, joined words) counts as overlapping pieces of that length, so every
-n-gram of a text is in some word.
+insult; training picks windows of a document the same way (multiple-instance learning). In the same way a long run of
+word characters (texts without spaces, joined words) is a row of overlapping stretches of ``STRETCH`` code points: each has
+its n-grams of the word as it stands, and the vector of the whole word. Only the ends of the word itself are marked as ends.
 
 The model is fitted on a bounded sample, by parameters of ``fit``: at most ``most_toxic`` and ``most_clean`` labelled
 documents outside the held-out third, those with the smallest hash of doc_id, and of either kind as many of these, in
@@ -35,8 +35,8 @@ from matchloom.llm.common import stored
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 3000, 5000, 12_000_000
 WINDOW = 2
 BUCKET_BITS, DIM, GRAMS = 17, 8, (3, 4, 5, 6)
-#: Code points of a piece of a long word, and of its overlap with the next.
-PIECE, OVERLAP = 30, 8
+#: Code points of a stretch of a long word, and of its overlap with the next, which is longer than an n-gram.
+STRETCH, OVERLAP = 32, 8
 BUCKETS = 1 << BUCKET_BITS
 ROUNDS, BATCH, RATE = 8, 64, 0.2
 MORE_WINDOWS = 12_000
@@ -51,23 +51,39 @@ _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens(text: str | None) -> list[str]:
-    found = _WORD.findall(text.lower()) if text else []
-    if not any(len(w) > PIECE for w in found):
+    """The words of a text with their ends marked; of a long word its stretches, each followed by the hash of the word."""
+    found = [f"<{w}>" for w in _WORD.findall(text.lower())] if text else []
+    if all(len(w) <= STRETCH for w in found):
         return found
-    return [x for w in found for x in ((w,) if len(w) <= PIECE else _pieces(w))]
+    return [x for w in found for x in ((w,) if len(w) <= STRETCH else _stretches(w))]
 
 
-def _pieces(word: str) -> list[str]:
-    return [word[at : at + PIECE] for at in range(0, len(word) - OVERLAP, PIECE - OVERLAP)]
+def _stretches(word: str) -> list[str]:
+    whole = f"\n{_hash(word):016x}"
+    return [word[at : at + STRETCH] + whole for at in range(0, len(word) - OVERLAP, STRETCH - OVERLAP)]
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _hash(word: str) -> int:
+    """The sum of code points by powers of the factor, a part at a time."""
+    total, powers = 0, np.cumprod(np.full(min(len(word), PART), _FACTOR))
+    for at in range(0, len(word), PART):
+        points = _points(word[at : at + PART])
+        total += int((points * powers[: len(points)]).sum()) * pow(int(_FACTOR), at, 1 << 64)
+    return total % (1 << 64)
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of the words and of the words themselves, and which word each belongs to.
+    """Buckets of the n-grams of the words (as ``tokens`` gives them) and of the words themselves, and which word each belongs to.
 
     All words lie in one row of code points; a hash of n of these is that of n - 1 and one more, for all places at once.
     """
-    marked = [f"<{w}>" for w in words]
-    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    parts = [w.partition("\n") for w in words]
+    marked = [p[0] for p in parts]
+    points = _points("".join(marked))
     sizes = np.array([len(m) for m in marked], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -80,8 +96,12 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 ok = room[: len(h)] >= n
                 found.append(h[ok] + np.uint64(n))
                 of.append(owner[: len(h)][ok])
-        place = (np.arange(len(points)) - np.repeat(starts, sizes)).astype(np.uint64)
-        found.append(np.add.reduceat(points * np.cumprod(np.full(int(sizes.max()), _FACTOR))[place.astype(np.int64)], starts))
+        place = np.arange(len(points)) - np.repeat(starts, sizes)
+        whole = np.add.reduceat(points * np.cumprod(np.full(int(sizes.max()), _FACTOR))[place], starts)
+        for i, p in enumerate(parts):
+            if p[2]:
+                whole[i] = int(p[2], 16)
+        found.append(whole)
         of.append(np.arange(len(words)))
         mixed = np.concatenate(found) * _MIX
     return ((mixed ^ (mixed >> np.uint64(29))) * _MIX >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), np.concatenate(of).astype(np.int32)
@@ -125,12 +145,13 @@ def best_window(shares: np.ndarray) -> tuple[int, float]:
     return at, float(means[at])
 
 
-def _vectors(docs: list[np.ndarray], y: np.ndarray, use: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Trains on the documents of use; gives what each bucket adds to the log-odds, and each known word's share."""
+def _vectors(docs: list[np.ndarray], y: np.ndarray, use: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Trains on the documents of use from a first share of each bucket; gives what each bucket adds to the log-odds, and each known word's share."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.02, (BUCKETS, DIM))
     softmax = rng.normal(0, 0.1, (DIM, 2))
     bias = np.zeros(2)
+    dims = np.arange(DIM)
     seen_v, seen_s, seen_b = np.full(BUCKETS, 1e-3), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
 
     def word_shares() -> np.ndarray:
@@ -141,6 +162,10 @@ def _vectors(docs: list[np.ndarray], y: np.ndarray, use: np.ndarray, sizes: np.n
             out[at : at + PART] = np.add.reduceat(per_bucket[flat[s[0] : s[-1] + n[-1]]], s - s[0]) / n
         return out
 
+    def sums(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the rows of each place, in one count."""
+        return np.bincount((place[:, None] * DIM + dims).ravel(), rows.ravel(), n * DIM).reshape(n, DIM)
+
     def step(picked: list[np.ndarray], truth: np.ndarray, weight: np.ndarray) -> None:
         nonlocal softmax, bias
         lengths = np.array([len(p) for p in picked])
@@ -150,17 +175,14 @@ def _vectors(docs: list[np.ndarray], y: np.ndarray, use: np.ndarray, sizes: np.n
         grams = np.repeat(starts[w] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
         ids, of = flat[grams], np.repeat(owner, n)
         each = np.repeat(1.0 / (n * lengths[owner]), n)
-        mean = np.zeros((len(picked), DIM))
-        values = vectors[ids] * each[:, None]
-        for k in range(DIM):
-            mean[:, k] = np.bincount(of, values[:, k], len(picked))
+        mean = sums(of, vectors[ids] * each[:, None], len(picked))
         z = mean @ softmax + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         error = (p - np.stack([1 - truth, truth], 1)) * weight[:, None] / len(truth)
         slope_s, slope_b, back_v = mean.T @ error, error.sum(0), error @ softmax.T
         distinct, inverse = np.unique(ids, return_inverse=True)
-        slope_v = np.stack([np.bincount(inverse, back_v[of, k] * each, len(distinct)) for k in range(DIM)], 1)
+        slope_v = sums(inverse, back_v[of] * each[:, None], len(distinct))
         seen_v[distinct] += (slope_v**2).mean(1)
         vectors[distinct] -= RATE * slope_v / np.sqrt(seen_v[distinct])[:, None]
         seen_s.__iadd__(slope_s**2)
@@ -168,19 +190,7 @@ def _vectors(docs: list[np.ndarray], y: np.ndarray, use: np.ndarray, sizes: np.n
         softmax -= 0.1 * slope_s / np.sqrt(seen_s)
         bias -= 0.1 * slope_b / np.sqrt(seen_b)
 
-    def first_shares() -> np.ndarray:
-        """Log-odds over their standard error, by the number of documents that hold a bucket: the start of the first dimension."""
-        count = np.zeros((2, BUCKETS))
-        for i in use:
-            w = np.unique(docs[i])
-            n = sizes[w]
-            held = np.unique(flat[np.repeat(starts[w] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())])
-            count[int(y[i]), held] += 1
-        of_0, of_1 = (1 - y[use]).sum(), y[use].sum()
-        odds = np.log((count[1] + 0.5) / (of_1 + 1)) - np.log((count[0] + 0.5) / (of_0 + 1))
-        return odds / np.sqrt(1 / (count[1] + 0.5) + 1 / (count[0] + 0.5)) * (count.sum(0) > 1)
-
-    vectors[:, 0] = first_shares() / 2
+    vectors[:, 0] = first / 2
     softmax[0] = -1, 1
     more = int(np.clip(MORE_WINDOWS / max(1, len(use)), 0, 10))
     for _ in range(ROUNDS):
@@ -202,6 +212,24 @@ def _vectors(docs: list[np.ndarray], y: np.ndarray, use: np.ndarray, sizes: np.n
     return vectors @ (softmax[:, 1] - softmax[:, 0]), word_shares()
 
 
+def _holders(docs: list[np.ndarray], y: np.ndarray, fold: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """How many documents of each fold and label hold a bucket."""
+    count = np.zeros((FOLDS, 2, BUCKETS))
+    for d, label, k in zip(docs, y.astype(int), fold, strict=True):
+        if len(d):
+            w = np.unique(d)
+            n = sizes[w]
+            held = np.unique(flat[np.repeat(starts[w] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())])
+            count[k, label, held] += 1
+    return count
+
+
+def _first_shares(count: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-odds over their standard error, by the number of documents of either label that hold a bucket: the start of the first dimension."""
+    odds = np.log((count[1] + 0.5) / (y.sum() + 1)) - np.log((count[0] + 0.5) / ((1 - y).sum() + 1))
+    return odds / np.sqrt(1 / (count[1] + 0.5) + 1 / (count[0] + 0.5)) * (count.sum(0) > 1)
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model | None:
     """Fits the model to all, and calibrates it on the scores that models of the other folds give."""
     if len(set(labels.tolist())) < 2:
@@ -216,12 +244,17 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model | None:
     y = labels.astype(np.float64)
     fold = np.random.default_rng(seed).integers(FOLDS, size=len(docs))
     full = np.array([len(d) > 0 for d in docs])
+    held = _holders(docs, y, fold, sizes, starts, flat)
     best = np.zeros(len(docs))
+
+    def trained(use: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _vectors(docs, y, use, sizes, starts, flat, _first_shares(count, y[use]), seed)
+
     for k in range(FOLDS):
-        _, shares = _vectors(docs, y, np.flatnonzero(full & (fold != k)), sizes, starts, flat, seed)
+        _, shares = trained(np.flatnonzero(full & (fold != k)), held.sum(0) - held[k])
         for i in np.flatnonzero(fold == k):
             best[i] = best_window(shares[docs[i]])[1]
-    buckets, _ = _vectors(docs, y, np.flatnonzero(full), sizes, starts, flat, seed)
+    buckets, _ = trained(np.flatnonzero(full), held.sum(0))
     return Model(buckets, *calibrate(best, y))
 
 

@@ -89,13 +89,49 @@ def test_toxicity_by_hand(spark, toxic):
         n = min(toxicity.WINDOW, len(w))
         best = max((sum(share(x) for x in w[i : i + n]) / n for i in range(len(w) - n + 1)), default=0.0) if w else 0.0
         assert abs(r.label - 1 / (1 + np.exp(-(model.slope * best + model.offset)))) < 1e-6
-    assert "".join(toxicity.tokens(glued)).count("grobnik") >= 1 and all(len(x) <= toxicity.PIECE for x in toxicity.tokens(glued))
+    assert "".join(toxicity.tokens(glued)).count("grobnik") >= 1
     found = {r.doc_id: r.label for r in toxicity.score(frame(spark, odd), model, "label").collect()}
     assert found[3] > 2 * found[4]
     few = toxicity.sample(docs, labels, most_toxic=5, most_clean=7, most_chars=1500).collect()
     assert 0 < sum(r.label for r in few) <= 5 and all(sum(len(r.text) for r in few if r.label == k) <= 1500 for k in (0, 1))
 
 
+def _hash(points):
+    h = 0
+    for x in reversed(points):
+        h = (h + x) * int(toxicity._FACTOR) % (1 << 64)
+    return h
+
+
+def test_stretches_of_a_long_word():
+    """Of a long word every n-gram is in a stretch, none is added, and each stretch has the vector of the whole word."""
+
+    def by_hand(marked):
+        n_grams = {(n, marked[i : i + n]) for n in toxicity.GRAMS for i in range(len(marked) - n + 1)}
+        return n_grams
+
+    def bucket(h):
+        m = h * int(toxicity._MIX) % (1 << 64)
+        return ((m ^ (m >> 29)) * int(toxicity._MIX) % (1 << 64)) >> (64 - toxicity.BUCKET_BITS)
+
+    def of_gram(n, g):
+        h = ord(g[0])
+        for x in g[1:]:
+            h = (h * int(toxicity._FACTOR) + ord(x)) % (1 << 64)
+        return bucket((h + n) % (1 << 64))
+
+    r = random.Random(5)
+    for size in (1, 2, 29, 30, 31, 32, 54, 55, 56, 57, 300, 70_000):
+        word = "".join(r.choice("abcdefgh\u00e9\u4e2d") for _ in range(size))
+        marked = f"<{word}>"
+        found = toxicity.tokens(word)
+        assert (len(found) == 1) == (size <= 30) and all(len(x) <= toxicity.STRETCH + 17 for x in found)
+        buckets, of = toxicity.grams(found)
+        whole = bucket(_hash([ord(c) for c in marked]))
+        assert set(buckets.tolist()) == {of_gram(*x) for x in by_hand(marked)} | {whole}
+        assert all(whole in buckets[of == k] for k in range(min(len(found), 50)))
+
+
 def quality_rows():
     r = random.Random(2)
     rows, labels = [], []
