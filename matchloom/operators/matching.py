@@ -211,7 +211,7 @@ def name_consensus(reads: DataFrame) -> DataFrame:
             top = max(count, key=count.get) if count else ""
             if count and not (count[top] >= 2 and count[top] / total >= 0.4):
                 forms = [(folded(x), n) for x, n in count.items()]
-                top = max(count, key=lambda x: sum(n * similarity(folded(x), f) for f, n in forms))
+                top = max(count, key=lambda x: round(sum(n * similarity(folded(x), f) for f, n in forms), 9))  # of equals the first
             out.append((top, round(count.get(top, 0) / total, 2) if total else 0.0))
         return pd.DataFrame(out, columns=["name", "share"])
 

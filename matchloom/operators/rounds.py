@@ -11,10 +11,14 @@ LATE_ROW_MS, LATE_ELIM_MS, COUNTER_AFTER_MS, AFTER_END_MS, DEDUPE_MS = 8000, 15_
 
 
 def round_for_event(events: DataFrame, rounds: DataFrame, slack_ms: int = AFTER_END_MS) -> DataFrame:
-    """event_id, found_round: the first round whose span, and 6 s more, holds the event. Equi-join on the match; a match has few rounds."""
-    spans = rounds.select("match_id", F.col("round_no").alias("r"), "start_ms", "end_ms")
-    inside = (F.col("feed_ms") >= F.col("start_ms")) & (F.col("feed_ms") <= F.col("end_ms") + slack_ms)
-    return events.select("event_id", "match_id", "feed_ms").join(spans, "match_id", "left").groupBy("event_id").agg(F.min(F.when(inside, F.col("r"))).alias("found_round"))
+    """event_id, found_round: the first round whose span, and 6 s more, holds the event.
+
+    A match has few rounds: they go to its events as one array, so no event is multiplied by them.
+    """
+    spans = rounds.groupBy("match_id").agg(F.collect_list(F.struct(F.col("round_no").alias("r"), "start_ms", "end_ms")).alias("spans"))
+    inside = lambda x: (F.col("feed_ms") >= x["start_ms"]) & (F.col("feed_ms") <= x["end_ms"] + slack_ms)
+    found = F.array_min(F.transform(F.filter("spans", inside), lambda x: x["r"]))
+    return events.select("event_id", "match_id", "feed_ms").join(spans, "match_id", "left").select("event_id", found.alias("found_round"))
 
 
 def round_asof(rows: DataFrame, rounds: DataFrame) -> DataFrame:

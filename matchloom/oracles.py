@@ -556,4 +556,22 @@ NAME_SELECTS: dict[str, str] = {
         pq AS (SELECT row_number() OVER () AS x, rr.room, raw, name, rr.form AS a, rk.form AS b FROM rr JOIN rk USING (room) WHERE rr.form <> '')
         {_RATIO}, rd AS (SELECT room, raw, name, score, row_number() OVER w AS place, lead(score) OVER w AS second FROM pq JOIN ra USING (x) WINDOW w AS (PARTITION BY room, raw ORDER BY score DESC, name DESC))
         SELECT rr.room AS roster_id, rr.raw, name, coalesce(round(score, 2), 0.0) AS score FROM rr LEFT JOIN rd ON rd.room = rr.room AND rd.raw = rr.raw AND place = 1 AND score >= 0.55 AND (second IS NULL OR score - second >= 0.15)""",
+    "roster_collisions": f"{_READS}SELECT {_FOLD.format('raw')} AS folded, string_agg(raw, '|' ORDER BY raw) AS names FROM (SELECT DISTINCT raw FROM nr) GROUP BY 1 HAVING count(*) > 1",
+    "fold_name": f"{_READS}SELECT read_id, raw, {_FOLD.format('raw')} AS folded FROM nr",
+    "ratio": f"""{_READS}, pq AS (SELECT read_id AS x, {_FOLD.format('raw')} AS a, {_FOLD.format('p_name')} AS b FROM nr JOIN pn ON p_partkey = read_id)
+        {_RATIO} SELECT x AS read_id, a AS folded, b AS name_folded, score FROM pq JOIN ra USING (x)""",
+    "row_names": f"""{_READS}, wl AS (SELECT room, read_id, [w FOR w IN [regexp_replace(v, '[^A-Za-z0-9]', '', 'g') FOR v IN regexp_split_to_array(translate(raw, ' ', '') || ' => ' || translate(reverse(raw), ' ', ''), '\\s+')] IF w <> ''] AS ws FROM nr),
+        wo AS (SELECT room, read_id, unnest(ws) AS raw, unnest(range(len(ws))) AS spot FROM wl), rr AS (SELECT DISTINCT room, raw, {_FOLD.format('raw')} AS form FROM wo WHERE length(raw) >= 4),
+        rk AS (SELECT DISTINCT room, translate(p_name, ' ', '') AS name FROM pn), pq AS (SELECT row_number() OVER () AS x, room, raw, name, form AS a, {_FOLD.format('name')} AS b FROM rr JOIN rk USING (room) WHERE form <> '')
+        {_RATIO}, rd AS (SELECT room, raw, name, score, row_number() OVER w AS place, lead(score) OVER w AS second FROM pq JOIN ra USING (x) WINDOW w AS (PARTITION BY room, raw ORDER BY score DESC, name DESC)),
+        fo AS (SELECT read_id, max(spot) AS z, min(struct_pack(spot := spot, name := name)) FILTER (name IS NOT NULL) AS f, max(struct_pack(spot := spot, name := name)) FILTER (name IS NOT NULL) AS l
+            FROM wo LEFT JOIN (SELECT room, raw, name FROM rd WHERE place = 1 AND score >= 0.55 AND (second IS NULL OR score - second >= 0.15)) USING (room, raw) GROUP BY read_id)
+        SELECT nr.read_id, CASE WHEN f.spot <> l.spot THEN CASE WHEN f.name <> l.name THEN f.name END WHEN f.spot = 0 AND z > 0 THEN f.name END AS killer,
+            CASE WHEN f.spot <> l.spot THEN CASE WHEN f.name <> l.name THEN l.name END WHEN f.spot = z AND z > 0 THEN f.name END AS victim FROM nr LEFT JOIN fo USING (read_id)""",
+    "name_consensus": f"""{_READS}, nc AS (SELECT read_id // 5 AS key, regexp_replace(trim(raw), '[^\\p{{L}}\\p{{N}}_.\\-]', '', 'g') AS raw, count(*) AS n FROM nr GROUP BY ALL),
+        nt AS (SELECT *, {_FOLD.format('raw')} AS form, sum(n) OVER (PARTITION BY key) AS total FROM nc WHERE raw <> ''),
+        pq AS (SELECT row_number() OVER () AS x, p.key, p.raw, q.n, p.form AS a, q.form AS b FROM nt p JOIN nt q USING (key))
+        {_RATIO}, li AS (SELECT key, raw, round(sum(n * score), 9) AS alike FROM pq JOIN ra USING (x) GROUP BY key, raw),
+        pk AS (SELECT *, n >= 2 AND n / total >= 0.4 AS agreed FROM nt JOIN li USING (key, raw) QUALIFY row_number() OVER (PARTITION BY key ORDER BY CASE WHEN n >= 2 AND n / total >= 0.4 THEN n ELSE 0 END DESC, alike DESC, raw) = 1)
+        SELECT key, coalesce(raw, '') AS name, coalesce(round(n / total, 2), 0.0) AS share FROM (SELECT DISTINCT key FROM nc) LEFT JOIN pk USING (key)""",
 }

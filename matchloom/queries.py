@@ -250,7 +250,19 @@ def _name_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _roster_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.roster_collisions(_name_reads(spark, sf_dir)[0].select(F.col("raw").alias("name")))
+    found = matching.roster_collisions(_name_reads(spark, sf_dir)[0].select(F.col("raw").alias("name")))
+    return found.select("folded", F.array_join("names", "|").alias("names"))
+
+
+def _fold_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_reads(spark, sf_dir)[0].select("read_id", "raw", names.fold_name("raw").alias("folded"))
+
+
+def _ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reading against the name that it is a reading of."""
+    known = bronze.part_names(spark, sf_dir).select(F.col("p_partkey").alias("read_id"), names.fold_name("p_name").alias("name_folded"))
+    reads = _name_reads(spark, sf_dir)[0].select("read_id", names.fold_name("raw").alias("folded"))
+    return reads.join(known, "read_id").withColumn("score", names.seq_ratio("folded", "name_folded"))
 
 
 def _renamed(table: str, *columns: str) -> Callable[[Tables], DataFrame]:
@@ -336,7 +348,7 @@ def _on_folder(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, st
     return lambda spark, sf_dir: job(load(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS | ON_ROWS | ON_DIMS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions, "row_names": _row_names, "name_consensus": _name_consensus}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_folder(job) for name, job in (ON_TABLES | ON_READS | ON_ROWS | ON_DIMS).items()} | {"roster_match": _roster_match, "roster_collisions": _roster_collisions, "row_names": _row_names, "name_consensus": _name_consensus, "fold_name": _fold_name, "ratio": _ratio}
 ORACLE_SQL: dict[str, str] = {name: oracles.BASE + select for name, select in oracles.SELECTS.items()} | {name: oracles.BASE + oracles.BASE_DIMS + select for name, select in oracles.DIM_SELECTS.items()}
 ORACLE_SQL |= {name: oracles.BASE + oracles.BASE_READS + select for name, select in (oracles.READ_SELECTS | oracles.ROW_SELECTS).items()}
 ORACLE_SQL |= {name: oracles.BASE.replace("WITH", "WITH RECURSIVE", 1) + select for name, select in oracles.RECURSIVE_SELECTS.items()}
