@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
 
@@ -35,6 +36,12 @@ def similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _known_similarity(a: str, b: str) -> float:
+    """Rooms share names, so a task meets the same pairs again and again."""
+    return similarity(a, b)
+
+
 def fold_name(column: str | Column) -> Column:
     def fold(names: pd.Series) -> pd.Series:
         return names.map(folded)
@@ -46,7 +53,7 @@ def seq_ratio(a: str | Column, b: str | Column) -> Column:
     """Similarity of two folded names, 0 to 1."""
 
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([_known_similarity(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return F.pandas_udf(ratio, "double")(a, b)
 

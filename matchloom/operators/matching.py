@@ -7,7 +7,7 @@ match; a match has a few hundred. Spark groups the matches and spreads them.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.match_rules import ELIMINATIONS
@@ -127,33 +127,56 @@ def unclaimed_deaths(deaths: DataFrame, aligned: DataFrame) -> DataFrame:
     return _nameless(deaths.join(aligned.select("match_id", "death_id"), ["match_id", "death_id"], "left_anti"))
 
 
-def _signed(rows: DataFrame, name: str, *key: str) -> DataFrame:
-    """Distinct names with their folded form and its letters, each with its count so far: what two forms share of these is what they share at most."""
-    rows = rows.select(*key, name).distinct().withColumn("form", fold_name(name))
-    letters = F.filter(F.split("form", ""), lambda c: c != "")
-    return rows.withColumn("letters", F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda d: d == c)).cast("string"))))
+#: A letter of a folded name and its how-manieth make one bit of three words; of more than five of a kind the rest are counted.
+_KINDS, _TIMES = "0123456789abcdefghijklmnopqrstuvwxyz", 5
+_SIGNED = "form string, w0 long, w1 long, w2 long, more int"
+
+
+def _signature(name: str | None) -> tuple[str, int, int, int, int]:
+    """A name's folded form, its letters as bits, and how many letters have none."""
+    form = folded(name)
+    bits = more = 0
+    for c in set(form):
+        n = form.count(c)
+        bits |= ((1 << min(n, _TIMES)) - 1) << _TIMES * _KINDS.index(c)
+        more += max(n - _TIMES, 0)
+    return form, bits & (1 << 60) - 1, bits >> 60 & (1 << 60) - 1, bits >> 120, more
+
+
+def _signed(rows: DataFrame, name: str) -> DataFrame:
+    """Distinct names of a roster with their folded form and its letters: what two forms share of these is what they share at most."""
+
+    def sign(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_signature(x) for x in names], columns=[c.split()[0] for c in _SIGNED.split(", ")])
+
+    return rows.select("roster_id", name).distinct().withColumn("x", F.pandas_udf(sign, _SIGNED)(name)).select("roster_id", name, "x.*")
 
 
 def bounded_pairs(reads: DataFrame, rosters: DataFrame) -> DataFrame:
     """roster_id, raw, name, form, name_form, bound: readings and names of their roster, with the most that their similarity can be, where that is LEAST - AHEAD or more.
 
     The similarity of two strings is at most twice the letters they share, in any order, by the letters they have. That is worked out by
-    built-in functions. A roster is what one room holds, as rows.
+    built-in functions, on bits. A roster is what one room holds, as rows; rosters grow with the rooms, so they are dealt by room and never broadcast.
     """
-    asked = _signed(reads, "raw", "roster_id").filter("form <> ''")
-    known = _signed(rosters, "name", "roster_id").select("roster_id", "name", F.col("form").alias("name_form"), F.col("letters").alias("name_letters"))
-    bound = 2 * F.size(F.array_intersect("letters", "name_letters")) / (F.size("letters") + F.size("name_letters"))
-    both = asked.join(known, "roster_id").withColumn("bound", bound).filter(F.col("bound") >= LEAST - AHEAD - 1e-9)
-    return both.select("roster_id", "raw", "name", "form", "name_form", "bound")
+    asked = _signed(reads, "raw").filter("form <> ''")
+    known = _signed(rosters, "name").select("roster_id", "name", *(F.col(c).alias(f"name_{c}") for c in ("form", "w0", "w1", "w2", "more")))
+    shared = F.least("more", "name_more")
+    for w in ("w0", "w1", "w2"):
+        shared = shared + F.bit_count(F.col(w).bitwiseAND(F.col(f"name_{w}")))
+    both = asked.join(known.hint("merge"), "roster_id").withColumn("bound", 2 * shared / (F.length("form") + F.length("name_form")))
+    return both.filter(F.col("bound") >= LEAST - AHEAD - 1e-9).select("roster_id", "raw", "name", "form", "name_form", "bound")
 
 
 def scored_pairs(reads: DataFrame, rosters: DataFrame) -> DataFrame:
     """roster_id, raw, name, score, for all pairs that can decide: those that may be like enough, and then those that may stand in the way of the best of these."""
-    pairs = bounded_pairs(reads, rosters)
-    likely = pairs.filter(F.col("bound") >= LEAST - 1e-9).withColumn("score", seq_ratio("form", "name_form")).select("roster_id", "raw", "name", "score")
-    best = likely.groupBy("roster_id", "raw").agg(F.max("score").alias("best")).filter(F.col("best") >= LEAST)
-    rivals = pairs.filter(F.col("bound") < LEAST - 1e-9).join(best, ["roster_id", "raw"]).filter(F.col("bound") > F.col("best") - AHEAD - 1e-9)
-    return likely.unionByName(rivals.withColumn("score", seq_ratio("form", "name_form")).select("roster_id", "raw", "name", "score"))
+    likely = F.col("bound") >= LEAST - 1e-9
+
+    def score(asked: Column) -> Column:
+        return F.when(asked, seq_ratio(F.when(asked, F.col("form")), F.when(asked, F.col("name_form"))))
+
+    first = bounded_pairs(reads, rosters).withColumn("score", score(likely)).withColumn("best", F.max("score").over(Window.partitionBy("roster_id", "raw")))
+    decide = first.filter(F.col("best") >= LEAST).filter(likely | (F.col("bound") > F.col("best") - AHEAD - 1e-9))
+    return decide.select("roster_id", "raw", "name", F.coalesce("score", score(~likely)).alias("score"))
 
 
 def roster_match(reads: DataFrame, rosters: DataFrame) -> DataFrame:
@@ -167,7 +190,7 @@ def roster_match(reads: DataFrame, rosters: DataFrame) -> DataFrame:
     first, second = F.get("top", F.lit(0)), F.coalesce(F.get("top", F.lit(1))["score"], F.lit(-1.0))
     clear = (first["score"] >= LEAST) & ((second < 0) | (first["score"] - second >= AHEAD))
     found = top.filter(clear).select("roster_id", "raw", first["name"].alias("name"), F.round(first["score"], 2).alias("score"))
-    return reads.select("roster_id", "raw").distinct().join(found, ["roster_id", "raw"], "left").select("roster_id", "raw", "name", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return reads.select("roster_id", "raw").distinct().join(found.hint("merge"), ["roster_id", "raw"], "left").select("roster_id", "raw", "name", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def roster_collisions(roster: DataFrame) -> DataFrame:
@@ -188,13 +211,13 @@ def row_names(reads: DataFrame, rosters: DataFrame) -> DataFrame:
     """
     words = reads.select("roster_id", "read_id", F.posexplode(F.filter(F.transform(F.split("raw", r"\s+"), lambda x: F.regexp_replace(x, "[^A-Za-z0-9]", "")), lambda x: x != "")).alias("at", "raw"))
     known = roster_match(words.filter(F.length("raw") >= 4), rosters).filter("name is not null")
-    found = words.join(known, ["roster_id", "raw"], "left").groupBy("read_id").agg(
+    found = words.join(known.hint("merge"), ["roster_id", "raw"], "left").groupBy("read_id").agg(
         F.min(F.when(F.col("name").isNotNull(), F.struct("at", "name"))).alias("a"), F.max(F.when(F.col("name").isNotNull(), F.struct("at", "name"))).alias("z"), F.max("at").alias("end")
     )
     two, same = F.col("a.at") != F.col("z.at"), F.col("a.name") == F.col("z.name")
     killer = F.when(two & ~same, F.col("a.name")).when(~two & (F.col("a.at") == 0) & (F.col("end") > 0), F.col("a.name"))
     victim = F.when(two & ~same, F.col("z.name")).when(~two & (F.col("a.at") == F.col("end")) & (F.col("end") > 0), F.col("a.name"))
-    return reads.select("read_id").join(found.select("read_id", killer.alias("killer"), victim.alias("victim")), "read_id", "left")
+    return reads.select("read_id").join(found.select("read_id", killer.alias("killer"), victim.alias("victim")).hint("merge"), "read_id", "left")
 
 
 def name_consensus(reads: DataFrame) -> DataFrame:

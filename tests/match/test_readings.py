@@ -214,3 +214,17 @@ def test_roster_match_is_that_of_all_pairs(spark):
     assert got == want and sum(n is not None for n, _ in want.values()) > 50
     # ratios worked out, of those of all pairs
     assert matching.scored_pairs(a, b).count() < ratios / 3
+
+
+def test_rosters_are_not_broadcast(spark):
+    reads = spark.createDataFrame([(1, 1, "Nightjar => Kestrel"), (2, 2, "Nightjar => Kestrel")], "roster_id long, read_id long, raw string")
+    rosters = spark.createDataFrame([(1, "Nightjar"), (1, "Kestrel"), (2, "Kestrel")], "roster_id long, name string")
+    found = matching.row_names(reads, rosters)
+    assert {tuple(r) for r in found.collect()} == {(1, "Nightjar", "Kestrel"), (2, None, "Kestrel")}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_letters_of_a_kind_keep_the_bound(spark):
+    reads = spark.createDataFrame([(1, "aaaaaaaab")], "roster_id long, raw string")
+    rosters = spark.createDataFrame([(1, "aaaaaaaa"), (1, "ccc")], "roster_id long, name string")
+    assert [(r.name, r.bound) for r in matching.bounded_pairs(reads, rosters).collect()] == [("aaaaaaaa", 16 / 17)]
