@@ -27,11 +27,11 @@ def _settle(records: pd.DataFrame) -> pd.DataFrame:
     kinds = {kind: part.sort_values(["t_ms", "id"]).to_dict("records") for kind, part in records.groupby("kind")}
     at = lambda r: (int(r["t_ms"]), int(r["id"]))
     deaths = {int(d["id"]): d for d in kinds.get("death", [])}
-    slots = {int(s["id"]): s for s in kinds.get("slot", [])}
+    slots = kinds.get("slot", [])  # sorted; slots that went grey at one time may share an id
     out = []
-    for death_id, slot_id in teams_of([at(d) for d in deaths.values()], [at(s) for s in slots.values()]):
-        deaths[death_id]["team"] = slots[slot_id]["team"]
-        out.append((match_id, "team", None, death_id, deaths[death_id]["t_ms"], None, slots[slot_id]["team"], slot_id))
+    for death_id, n in teams_of([at(d) for d in deaths.values()], [(int(s["t_ms"]), n) for n, s in enumerate(slots)]):
+        deaths[death_id]["team"] = slots[n]["team"]
+        out.append((match_id, "team", None, death_id, deaths[death_id]["t_ms"], None, slots[n]["team"], int(slots[n]["id"])))
     placing, fold = LateRows(), Pairing()
     for s in kinds.get("start", []):
         placing.start(int(s["t_ms"]), int(s["round_no"]))

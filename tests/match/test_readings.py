@@ -228,3 +228,9 @@ def test_many_letters_of_a_kind_keep_the_bound(spark):
     reads = spark.createDataFrame([(1, "aaaaaaaab")], "roster_id long, raw string")
     rosters = spark.createDataFrame([(1, "aaaaaaaa"), (1, "ccc")], "roster_id long, name string")
     assert [(r.name, r.bound) for r in matching.bounded_pairs(reads, rosters).collect()] == [("aaaaaaaa", 16 / 17)]
+
+
+def test_death_team_of_slots_with_one_id(spark):
+    deaths = spark.createDataFrame([(1, 1, 1000), (1, 2, 1000)], "match_id long, death_id long, t_ms long")
+    slots = spark.createDataFrame([(1, 7, 1200), (1, 7, 1200)], "match_id long, slot_id long, t_ms long")
+    assert sorted((r.death_id, r.slot_id) for r in matching.death_team(deaths, slots).collect()) == [(1, 7), (2, 7)]
