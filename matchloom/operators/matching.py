@@ -223,7 +223,7 @@ def row_names(reads: DataFrame, rosters: DataFrame) -> DataFrame:
 def name_consensus(reads: DataFrame) -> DataFrame:
     """reads: key, raw. The spelling that two readings and 40 % of them agree on, else the one most like all others; and the share that agrees.
 
-    Equal spellings are counted before anything is gathered, so a list is as long as a key has different ones.
+    Of two spellings on which as many agree, the one more like all others. Equal spellings are counted before anything is gathered, so a list is as long as a key has different ones.
     """
 
     def settle(lists: pd.Series) -> pd.DataFrame:
@@ -231,10 +231,13 @@ def name_consensus(reads: DataFrame) -> DataFrame:
         for spellings in lists:
             count = {x["raw"]: x["n"] for x in sorted(spellings, key=lambda x: x["raw"])}
             total = sum(count.values())
-            top = max(count, key=count.get) if count else ""
-            if count and not (count[top] >= 2 and count[top] / total >= 0.4):
+            most = max(count.values(), default=0)
+            agreed = most >= 2 and most / total >= 0.4
+            asked = [x for x, n in count.items() if n == most or not agreed]
+            top = asked[0] if asked else ""
+            if len(asked) > 1:
                 forms = [(folded(x), n) for x, n in count.items()]
-                top = max(count, key=lambda x: round(sum(n * similarity(folded(x), f) for f, n in forms), 9))  # of equals the first
+                top = max(asked, key=lambda x: round(sum(n * similarity(folded(x), f) for f, n in forms), 9))  # of equals the first
             out.append((top, round(count.get(top, 0) / total, 2) if total else 0.0))
         return pd.DataFrame(out, columns=["name", "share"])
 

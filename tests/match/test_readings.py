@@ -234,3 +234,9 @@ def test_death_team_of_slots_with_one_id(spark):
     deaths = spark.createDataFrame([(1, 1, 1000), (1, 2, 1000)], "match_id long, death_id long, t_ms long")
     slots = spark.createDataFrame([(1, 7, 1200), (1, 7, 1200)], "match_id long, slot_id long, t_ms long")
     assert sorted((r.death_id, r.slot_id) for r in matching.death_team(deaths, slots).collect()) == [(1, 7), (2, 7)]
+
+
+def test_name_consensus_of_two_agreed_spellings(spark):
+    rows = [(1, n) for n in ("axxx", "axxx", "plate", "plate", "plat")]
+    got = [tuple(r) for r in matching.name_consensus(spark.createDataFrame(rows, "key long, raw string")).collect()]
+    assert got == [(1, "plate", 0.4)]
