@@ -240,3 +240,16 @@ def test_name_consensus_of_two_agreed_spellings(spark):
     rows = [(1, n) for n in ("axxx", "axxx", "plate", "plate", "plat")]
     got = [tuple(r) for r in matching.name_consensus(spark.createDataFrame(rows, "key long, raw string")).collect()]
     assert got == [(1, "plate", 0.4)]
+
+
+def test_layout_gate_samples_evenly_in_dealt_tasks(spark):
+    from matchloom.operators import rows
+
+    reads = [(n, "a", t, (t * 7 + n) % 5 < 2) for n in range(1, 47) for t in range(n)]
+    limits = spark.createDataFrame([("a", 40, True)], "landmark string, least int, critical boolean")
+    found = rows.layout_gate(spark.createDataFrame(reads, "match_id long, landmark string, t_ms long, hit boolean"), limits)
+    for r in found.collect():
+        n, k = r.match_id, min(r.match_id, 20)
+        first = [i * (n // k) + min(i, n % k) for i in range(k)]  # of ntile(20)
+        assert r.ok == (100 * sum((t * 7 + n) % 5 < 2 for t in first) / k >= 40)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
