@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from matchloom import oracles
 from matchloom.operators.matching import death_team, pairs
@@ -20,12 +21,27 @@ from matchloom.streaming import jobs, live
 from matchloom.streaming.ordered import records, state_store
 
 
-def run_to_end(spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Delivers the parts one after another, each in as many files as it has tasks, streams what is there through job after each, and reads what it wrote."""
+#: Number of the delivery in which a row comes.
+DELIVERY = "delivery"
+
+
+def _deliver(rows: DataFrame, at: str) -> StructType:
+    """Writes rows by delivery, each in as many files as it has tasks: what they are made of is worked out once. Gives their schema without the number."""
+    rows.write.partitionBy(DELIVERY).parquet(at)
+    return rows.drop(DELIVERY).schema
+
+
+def _so_far(spark: SparkSession, at: str, schema: StructType, k: int) -> DataFrame:
+    """The stream of all deliveries up to k."""
+    return spark.readStream.schema(schema).parquet(f"{at}/{DELIVERY}={{{','.join(str(n) for n in range(k + 1))}}}")
+
+
+def run_to_end(spark: SparkSession, rows: DataFrame, deliveries: int, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Delivers rows by their number of delivery, streams what is there through job after each, and reads what it wrote."""
     at = new_folder(spark)
-    for part in parts:
-        part.write.mode("append").parquet(f"{at}/in")
-        result = job(spark.readStream.schema(part.schema).parquet(f"{at}/in"))
+    schema = _deliver(rows, f"{at}/in")
+    for k in range(deliveries):
+        result = job(_so_far(spark, f"{at}/in", schema, k))
         result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{at}/out")
 
@@ -34,7 +50,7 @@ def stream_counter_deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed counter changes, read as a stream in three deliveries: match_id, t_ms, was, value, deaths."""
     reads = bronze.counter_reads(mapping.load(spark, sf_dir)).withColumn("value", F.col("value").cast("long"))
     third = F.floor(F.col("t_ms") * 3 / (bronze.MATCH_MS + 1))
-    return run_to_end(spark, [reads.filter(third == k) for k in range(3)], jobs.counter_stream)
+    return run_to_end(spark, reads.withColumn(DELIVERY, third), 3, jobs.counter_stream)
 
 
 def stream_match_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,17 +64,17 @@ def stream_match_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.read_upserts(spark, f"{at}/out", ["event_id"], "version")
 
 
-def _in_thirds(rows: DataFrame, t_ms: str, end: DataFrame | None = None) -> list[DataFrame]:
-    """Rows in three deliveries by time; end: rows of a later time that move the watermark past all others."""
-    third = F.floor(F.col(t_ms) * 3 / (bronze.MATCH_MS + 10_000))
-    return [rows.filter(third == k) for k in range(3)] + ([end, end] if end is not None else [])
+def _in_thirds(rows: DataFrame, t_ms: str, end: DataFrame | None = None) -> DataFrame:
+    """Rows in three deliveries by time; end: rows of a later time that move the watermark past all others, in two more."""
+    dealt = rows.withColumn(DELIVERY, F.floor(F.col(t_ms) * 3 / (bronze.MATCH_MS + 10_000)))
+    return dealt if end is None else dealt.unionByName(end.withColumn(DELIVERY, F.explode(F.array(F.lit(3).cast("long"), F.lit(4).cast("long")))))
 
 
 def stream_sighting_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of sightings, read as a stream: match_id, line, first_ms, last_ms, seen."""
     seen = bronze.sightings(mapping.load(spark, sf_dir)).select("match_id", "line", "t_ms", F.timestamp_millis("t_ms").alias("ts"))
     after = spark.range(1).select(F.lit(-1).cast("long").alias("match_id"), F.lit(-1).cast("long").alias("line"), F.lit(10**9).cast("long").alias("t_ms"), F.timestamp_millis(F.lit(10**9)).alias("ts"))
-    found = run_to_end(spark, _in_thirds(seen, "t_ms", after), jobs.sighting_stream)
+    found = run_to_end(spark, _in_thirds(seen, "t_ms", after), 5, jobs.sighting_stream)
     return found.filter("match_id >= 0").select("match_id", "line", F.unix_millis("first").alias("first_ms"), F.unix_millis("last").alias("last_ms"), "seen")
 
 
@@ -70,29 +86,27 @@ def stream_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     died = counter_deaths(bronze.counter_reads(t))
     deaths = died.select("match_id", round_("t_ms"), (F.col("t_ms") * 100 + F.col("death_no")).alias("death_id"), "t_ms", F.timestamp_millis("t_ms").alias("ts"))
     at = new_folder(spark)
-    read = lambda name, df: spark.readStream.schema(df.drop("t_ms").schema).parquet(f"{at}/{name}")
-    for row_part, death_part in zip(_in_thirds(rows, "t_ms"), _in_thirds(deaths, "t_ms"), strict=True):
-        row_part.drop("t_ms").write.mode("append").parquet(f"{at}/rows")
-        death_part.drop("t_ms").write.mode("append").parquet(f"{at}/deaths")
-        pairs = jobs.align_stream(read("rows", rows), read("deaths", deaths))
+    of_rows, of_deaths = _deliver(_in_thirds(rows, "t_ms").drop("t_ms"), f"{at}/rows"), _deliver(_in_thirds(deaths, "t_ms").drop("t_ms"), f"{at}/deaths")
+    for k in range(3):
+        pairs = jobs.align_stream(_so_far(spark, f"{at}/rows", of_rows, k), _so_far(spark, f"{at}/deaths", of_deaths, k))
         pairs.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     return spark.read.schema(pairs.schema).parquet(f"{at}/out").select("match_id", "round_no", "event_id", "death_id")
 
 
-def _delivered(parts: list[DataFrame]) -> list[DataFrame]:
+def _delivered(parts: list[DataFrame]) -> DataFrame:
     """Records in three deliveries; each comes up to 16 s late, so they are out of order within deliveries and across them."""
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
     late = whole.withColumn("comes", F.col("due_ms") + F.pmod(F.xxhash64("key", "id", "rank"), F.lit(3)) * 8000)
-    third = F.floor(F.col("comes") * 3 / (bronze.MATCH_MS + 30_000))
+    dealt = late.select(*whole.columns, F.floor(F.col("comes") * 3 / (bronze.MATCH_MS + 30_000)).alias(DELIVERY))
     end = records(whole.sparkSession.range(1).selectExpr("-1L as match_id", "1000000000L as at", "0L as id"), "match_id", "at", 0, "id").select(*whole.columns)
-    return [late.filter(third == k).select(*whole.columns) for k in range(3)] + [end, end]
+    return dealt.unionByName(end.withColumn(DELIVERY, F.explode(F.array(F.lit(3).cast("long"), F.lit(4).cast("long")))))
 
 
 def run_folds(spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
     with state_store(spark):
-        return run_to_end(spark, _delivered(parts), job)
+        return run_to_end(spark, _delivered(parts), 5, job)
 
 
 def _death_rows(t: mapping.Tables) -> DataFrame:
@@ -126,7 +140,7 @@ def stream_match_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last sign of life of each match, once it has been silent for 25 s of event time: match_id, last_ms."""
     signs = mapping.load(spark, sf_dir).events.select("match_id", "feed_ms", F.timestamp_millis("feed_ms").alias("ts"))
     after = spark.range(1).select(F.lit(-1).cast("long").alias("match_id"), F.lit(10**9).cast("long").alias("feed_ms"), F.timestamp_millis(F.lit(10**9)).alias("ts"))
-    found = run_to_end(spark, _in_thirds(signs, "feed_ms", after), jobs.match_end_stream)
+    found = run_to_end(spark, _in_thirds(signs, "feed_ms", after), 5, jobs.match_end_stream)
     # a match that was silent for long in between is told more than once
     return found.filter("match_id >= 0").groupBy("match_id").agg(F.max(F.unix_millis("last_sign")).alias("last_ms"))
 
@@ -159,10 +173,12 @@ def _changes(t: mapping.Tables) -> DataFrame:
 def _live(table: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = new_folder(spark)
-        # in four files of any order, one a batch: what was said late may come first
-        _changes(mapping.load(spark, sf_dir)).repartition(4, F.xxhash64("seq", "event_id", "player_id")).write.parquet(f"{at}/in")
-        stream = spark.readStream.schema(live.CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-        stream.writeStream.foreachBatch(live.live_sink(f"{at}/live")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+        # in four deliveries of any order, one a batch: what was said late may come first
+        number = F.pmod(F.xxhash64("seq", "event_id", "player_id"), F.lit(4))
+        schema = _deliver(_changes(mapping.load(spark, sf_dir)).withColumn(DELIVERY, number), f"{at}/in")
+        for k in range(4):
+            stream = _so_far(spark, f"{at}/in", schema, k)
+            stream.writeStream.foreachBatch(live.live_sink(f"{at}/live")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
         store = TableStore(spark, f"{at}/live")
         store.compact()
         return live.live_tables(store)[table].select(*columns) if columns else live.live_tables(store)[table]

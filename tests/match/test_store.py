@@ -96,3 +96,19 @@ def test_import_twice_and_replace(spark, tmp_path):
     assert shape() == (want | {(8, "d", "processed")}, {(1, 10), (2, 20), (3, 30), (8, 80)})
     assert ingest.import_matches(store, 3, again, replace=True)
     assert shape() == ({(7, "a", "failed"), (2, "b", "processed"), (3, "c", "processed"), (8, "d", "processed")}, {(7, 70), (2, 20), (3, 30), (8, 80)})
+
+
+def test_large_partitions_are_split_among_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from matchloom.sources.store import TableStore
+
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        store = TableStore(spark, str(tmp_path))
+        store.publish("w", 1, {"t": spark.range(0, 200_000, 1, 8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x"))}, F.lit(0), [0])
+    finally:
+        spark.conf.set(size, before)
+    assert store.read("t").count() == 200_000 and len(list(tmp_path.glob("data/t/*/part_of=0/*.parquet"))) > 1

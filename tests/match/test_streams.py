@@ -126,3 +126,14 @@ def test_counter_state_expires(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sizes[0] == 2 and sizes[-1] == 1
     assert sorted(r.value for r in got if r.match_id == 1) == list(range(10, 16)) and [r.t_ms for r in got if r.match_id == 3] == [10_000_000]
+
+
+def test_deliveries_are_written_in_as_many_files_as_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from matchloom.streaming import queries
+
+    rows = spark.range(0, 400, 1, 8).withColumn(queries.DELIVERY, F.col("id") % 2)
+    schema = queries._deliver(rows, str(tmp_path / "in"))
+    assert schema.names == ["id"] and all(len(list((tmp_path / "in" / f"delivery={k}").glob("*.parquet"))) == 8 for k in (0, 1))
+    assert queries.run_to_end(spark, rows, 2, lambda stream: stream).count() == 400
