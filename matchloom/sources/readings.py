@@ -11,9 +11,15 @@ from matchloom.sources.mapping import Tables
 STEP_MS, MATCH_MS, ROUND_MS, ROOM = 500, 1_080_000, 72_000, 15
 
 
+def match_grid(t: Tables) -> DataFrame:
+    """match_id, t_ms (int): two moments a second of each match. Matches are few bytes and become thousands of rows each, so they are dealt to all tasks first."""
+    dealt = t.matches.select("match_id").repartition(int(t.events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "match_id")
+    return dealt.select("match_id", F.explode(F.sequence(F.lit(0), F.lit(MATCH_MS), F.lit(STEP_MS))).alias("t_ms"))
+
+
 def counter_reads(t: Tables) -> DataFrame:
     """match_id, t_ms, value: two readings a second of the players alive in each round of 72 s; some unread, some off by one."""
-    grid = t.matches.select("match_id", F.explode(F.sequence(F.lit(0), F.lit(MATCH_MS), F.lit(STEP_MS))).alias("t_ms")).withColumn("died", F.lit(0))
+    grid = match_grid(t).withColumn("died", F.lit(0))
     died = t.events.filter(counted_elimination()).select("match_id", F.col("feed_ms").alias("t_ms"), F.lit(1).alias("died"))
     line = grid.select("match_id", F.col("t_ms").cast("long").alias("t_ms"), "died").unionByName(died).withColumn("part", F.expr(f"t_ms div {ROUND_MS}"))
     so_far = F.sum("died").over(Window.partitionBy("match_id", "part").orderBy("t_ms").rangeBetween(Window.unboundedPreceding, 0))

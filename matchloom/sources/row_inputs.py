@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.match_rules import counted_elimination
 from matchloom.functions.weapons import GUNS
 from matchloom.sources.mapping import Tables
-from matchloom.sources.readings import MATCH_MS, STEP_MS
+from matchloom.sources.readings import STEP_MS, match_grid
 
 
 def icons(t: Tables) -> DataFrame:
@@ -50,7 +50,7 @@ def score_reads(t: Tables) -> DataFrame:
 
 
 def landmark_reads(t: Tables) -> DataFrame:
-    grid = t.matches.select("match_id", F.explode(F.sequence(F.lit(0), F.lit(MATCH_MS), F.lit(STEP_MS))).alias("t_ms")).withColumn("t_ms", F.col("t_ms").cast("long"))
+    grid = match_grid(t).withColumn("t_ms", F.col("t_ms").cast("long"))
     n = F.expr(f"t_ms div {STEP_MS}")
     hits = F.array(*(F.struct(F.lit(k).alias("landmark"), v.alias("hit")) for k, v in (("counter", n % 37 != 0), ("score", (n + F.col("match_id")) % 3 != 0), ("board", (n * 7 + F.col("match_id")) % 10 < 4))))
     return grid.select("match_id", "t_ms", F.explode(hits).alias("x")).select("match_id", "t_ms", "x.*")

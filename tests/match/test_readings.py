@@ -253,3 +253,13 @@ def test_layout_gate_samples_evenly_in_dealt_tasks(spark):
         first = [i * (n // k) + min(i, n % k) for i in range(k)]  # of ntile(20)
         assert r.ok == (100 * sum((t * 7 + n) % 5 < 2 for t in first) / k >= 40)
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counter_grid_is_dealt_before_it_grows(spark):
+    from matchloom.sources import mapping
+    from matchloom.sources import readings as bronze
+
+    t = mapping.load(spark, "/root/testdata/sf0.001")
+    grid = bronze.match_grid(t)
+    assert grid.count() == t.matches.count() * 2161
+    assert "REPARTITION_BY_NUM" in grid._jdf.queryExecution().executedPlan().toString()
