@@ -13,7 +13,8 @@ STEP_MS, MATCH_MS, ROUND_MS, ROOM = 500, 1_080_000, 72_000, 15
 
 def match_grid(t: Tables) -> DataFrame:
     """match_id, t_ms (int): two moments a second of each match. Matches are few bytes and become thousands of rows each, so they are dealt to all tasks first."""
-    dealt = t.matches.select("match_id").repartition(int(t.events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "match_id")
+    # by a hash of its own: matches come dealt by match_id, a second deal by it would be left out
+    dealt = t.matches.select("match_id").repartition(int(t.events.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("match_id"))
     return dealt.select("match_id", F.explode(F.sequence(F.lit(0), F.lit(MATCH_MS), F.lit(STEP_MS))).alias("t_ms"))
 
 
