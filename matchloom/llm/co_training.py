@@ -265,7 +265,8 @@ def fit(features: DataFrame, into: str, labels: DataFrame, most_labelled: int =
     back_rows = [bags[i] for i in held], x[held], y[held].astype(float)
     model = _fitted(seed_text, seed_meta, None, back_rows, [])
     labelled = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    unlabelled = stored(rows.join(labelled, "doc_id", "left_anti").select("bag", "meta"))
+    # labels grow with the corpus: dealt by key at every size, never broadcast
+    unlabelled = stored(rows.join(labelled.hint("merge"), "doc_id", "left_anti").select("bag", "meta"), "zstd")
     for _ in range(rounds):
         model = _fitted(seed_text, seed_meta, exchange(unlabelled, model), back_rows, model.grown)
     return model
@@ -291,7 +292,7 @@ def scored(features: DataFrame, into: str, model: CoModel | None) -> DataFrame:
 
 def co_training(docs: DataFrame, labels: DataFrame, into: str = "quality", most_labelled: int = MOST_LABELLED) -> DataFrame:
     """All columns of docs with ``into``: text_score, meta_score, score (of quality 1)."""
-    features = stored(featurised(docs, into))
+    features = stored(featurised(docs, into), "zstd")
     return scored(features, into, fit(features, into, labels, most_labelled))
 
 
@@ -299,6 +300,6 @@ def co_training_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, text_score, meta_score, score (of quality 1), predicted, kept."""
     found = "found"
     # texts are not stored again: only their features are read from here on
-    features = stored(featurised(docs.select("doc_id", "text", "source", "lang"), found).select("doc_id", found))
+    features = stored(featurised(docs.select("doc_id", "text", "source", "lang"), found).select("doc_id", found), "zstd")
     rows = scored(features, found, fit(features, found, labels)).select("doc_id", held_out().alias("held_out"), f"{found}.*")
     return rows.withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "kept": F.col("score") >= KEEP})

@@ -73,15 +73,15 @@ def shared_folder(spark: SparkSession) -> str:
 _open: list[list[str]] = []
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    table, path = _written(df)
+    table, path = _written(df, compression)
     if _open:
         _open[-1].append(path)
     return table

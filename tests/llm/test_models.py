@@ -199,3 +199,13 @@ def test_co_training(spark):
     empty = co_training.co_training_report(odd, labels.limit(0)).collect()
     assert {r.score for r in empty} == {0.5} and all(r.kept for r in empty)
     assert co_training.co_training_report(frame(spark, []), labels).count() == 0
+
+
+def test_labels_are_not_broadcast_to_the_features(spark, monkeypatch):
+    rows, given = quality_rows()
+    docs, labels = frame(spark, rows), spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    plans = []
+    monkeypatch.setattr(co_training, "stored", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, *a))
+    co_training.co_training_report(docs, labels).count()
+    joins = [p for p in plans if "LeftAnti" in p]
+    assert joins and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in joins)
