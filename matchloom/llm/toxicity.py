@@ -22,7 +22,7 @@ labels of both kinds every score is 0; extra columns stay, but for one named as
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -230,18 +230,16 @@ def _first_shares(count: np.ndarray, y: np.ndarray) -> np.ndarray:
     return odds / np.sqrt(1 / (count[1] + 0.5) + 1 / (count[0] + 0.5)) * (count.sum(0) > 1)
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model | None:
-    """Fits the model to all, and calibrates it on the scores that models of the other folds give."""
-    if len(set(labels.tolist())) < 2:
-        return None
+def train(texts: Iterable[str], labels: Sequence[int], seed: int = 7) -> Model | None:
+    """Fits the model to all, and calibrates it on the scores that models of the other folds give. The texts are read once, before the labels."""
     known: dict[str, int] = {}
     docs = [np.array([known.setdefault(w, len(known)) for w in tokens(t)], dtype=np.int32) for t in texts]
-    if not known:
+    if not known or len(set(labels)) < 2:
         return None
     flat, sizes = grams_by_word(list(known))
     starts = np.cumsum(sizes) - sizes
     del known
-    y = labels.astype(np.float64)
+    y = np.array(labels, dtype=np.float64)
     fold = np.random.default_rng(seed).integers(FOLDS, size=len(docs))
     full = np.array([len(d) > 0 for d in docs])
     held = _holders(docs, y, fold, sizes, starts, flat)
@@ -289,8 +287,8 @@ def _turn() -> list[Column]:
     return [F.xxhash64(F.lit(11), F.col("doc_id")), F.col("doc_id")]
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> DataFrame:
-    """text, label of the bounded sample; documents that would exceed most_chars are passed over."""
+def _sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, most_chars: int) -> DataFrame:
+    """doc_id, text, label of the bounded sample."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     few = F.broadcast(chosen(labels, "toxic", most_toxic, most_clean))
     # texts stay where they are until the sample is known
@@ -300,12 +298,33 @@ def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, mos
         if r.n <= room[r.label]:
             room[r.label] -= r.n
             ids.append((r.doc_id,))
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id", "left_semi").orderBy("doc_id").select("text", "label")
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id", "left_semi")
+
+
+def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> DataFrame:
+    """text, label of the bounded sample; documents that would exceed most_chars are passed over."""
+    return _sample(docs, labels, most_toxic, most_clean, most_chars).orderBy("doc_id").select("text", "label")
+
+
+def _trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model of all rows of one task; texts go as soon as their words are known."""
+    labels: list[int] = []
+
+    def texts() -> Iterator[str]:
+        for rows in batches:
+            labels.extend(rows.label.tolist())
+            yield from rows.text
+
+    model = train(texts(), labels)
+    if model is not None:
+        yield pd.DataFrame({"shares": [model.shares.astype("<f8").tobytes()], "slope": [model.slope], "offset": [model.offset]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> Model | None:
-    rows = sample(docs, labels, most_toxic, most_clean, most_chars).toPandas()
-    return train(rows.text.tolist(), rows.label.to_numpy()) if len(rows) else None
+    """The model of the sample, which one task trains: texts and vectors never come to the driver, only BUCKETS numbers do."""
+    rows = _sample(docs, labels, most_toxic, most_clean, most_chars).repartition(1).sortWithinPartitions("doc_id")
+    found = rows.select("text", "label").mapInPandas(_trained, "shares binary, slope double, offset double").first()
+    return Model(np.frombuffer(found.shares, dtype="<f8"), found.slope, found.offset) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, into: str = "score") -> DataFrame:

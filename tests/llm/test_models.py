@@ -201,6 +201,15 @@ def test_co_training(spark):
     assert co_training.co_training_report(frame(spark, []), labels).count() == 0
 
 
+def test_toxicity_is_trained_in_a_task(spark, toxic, monkeypatch):
+    """Neither the texts of the sample nor the training come to the driver."""
+    docs, labels, _, _ = toxic
+    want = toxicity.train(*zip(*((r.text, r.label) for r in toxicity.sample(docs, labels).collect()), strict=True))
+    monkeypatch.setattr(toxicity, "train", None)
+    got = toxicity.fit(docs, labels)
+    assert np.array_equal(got.shares, want.shares) and (got.slope, got.offset) == (want.slope, want.offset)
+
+
 def test_labels_are_not_broadcast_to_the_features(spark, monkeypatch):
     rows, given = quality_rows()
     docs, labels = frame(spark, rows), spark.createDataFrame(given, "doc_id long, quality int, toxic int")
