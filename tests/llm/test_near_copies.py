@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from matchloom.llm import near_copies, simhash_dedup
+from matchloom.llm import fingerprints, near_copies, simhash_dedup
 from tests.llm.data import AWKWARD, frame, words
 
 
@@ -84,3 +84,18 @@ def test_signatures_are_a_lower_bound():
         b = set(list(a)[n // 5 :]) | {r.getrandbits(63) for _ in range(n // 4)}
         x, y = (near_copies.signature(np.array(sorted(s), dtype=np.int64)) for s in (a, b))
         assert sum((int(p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y, strict=True)) <= len(a ^ b)
+
+
+def test_fingerprints_give_pairs_that_the_exact_test_keeps(spark, monkeypatch):
+    """Without any prefix, texts within two bits of each other still meet in the SimHash grid; of these only what is alike is joined."""
+    base = words(400, 91)
+    rows = [(i, edited(base, 1, i)) for i in range(12)] + [(100 + i, words(150, 900 + i)) for i in range(6)] + [(200, "a b c a b c a"), (201, "a b c a b c a b c a")]
+    docs = frame(spark, rows)
+    text_of = {r.h: r.text for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    prints = {t: fingerprints.fingerprint(t) for t in text_of.values()}
+    monkeypatch.setattr(near_copies, "prefixes", lambda docs, rarity: spark.createDataFrame([], "node long, size int, keys array<long>"))
+    group = {text_of[r.text_hash]: r.component for r in near_copies.near_copies(docs).collect()}
+    near = [(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 2]
+    alike = [(a, b) for a, b in near if 10 * len(shingle_set(a) & shingle_set(b)) >= 8 * len(shingle_set(a) | shingle_set(b))]
+    assert alike and all(group[a] == group[b] for a, b in alike)
+    assert all(group[t] not in {group[x] for x in group if x != t} for d, t in rows if 100 <= d < 200)
