@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.names import folded, similarity
 from matchloom.operators.matching import name_consensus
+from matchloom.sources.scratch import written
 
 SURE = 75  # hundredths, of a roster name's score and of the likeness of unlisted spellings
 BOARD = ("match_id", "board")
@@ -73,6 +74,7 @@ def board_players(entries: DataFrame) -> DataFrame:
 
     An unlisted name is the consensus of its readings. What was seen once, is unlisted and has no readable number is not a player.
     """
+    entries = written(entries)  # read for the players, their teams and their names
     seen = entries.groupBy(*ENTRY).agg(F.count("*").alias("seen"), F.max(_listed()).alias("listed"), F.max(F.exists("stats", lambda s: s["value"].isNotNull())).alias("read"))
     kept = seen.filter("listed is not null or seen > 1 or read")
     teams = _most(entries, ENTRY, "team").select(*ENTRY, "team")
